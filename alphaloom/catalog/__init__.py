@@ -12,6 +12,7 @@ MODULES = (
     "fundamental",
     "sentiment",
     "preprocess",
+    "effectiveness",
 )
 
 for _m in MODULES:

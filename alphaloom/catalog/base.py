@@ -120,7 +120,7 @@ def query(name: str, keys: str, vals="", body: str | None = None, needs=("bars",
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, folder: publish(fn(spark, folder), key_list, val_map)
         if body is not None:
-            cols = ", ".join([f'"{k}"' for k in key_list] + [f'round(CAST("{c}" AS DOUBLE), {d}) + 0.0 AS "{c}"' for c, d in val_map.items()])
+            cols = ", ".join([f'"{k}"' for k in key_list] + [f'CASE WHEN isfinite(CAST("{c}" AS DOUBLE)) THEN round(CAST("{c}" AS DOUBLE), {d}) + 0.0 END AS "{c}"' for c, d in val_map.items()])
             ORACLES[name] = with_views(f"SELECT {cols} FROM (\n{body}\n) AS result", needs)
         return fn
 

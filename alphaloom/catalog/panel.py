@@ -6,7 +6,7 @@ _RET = '"close" / nullif(lag("close", {n}) OVER (' + W + "), 0) - 1"
 view(
     "panel",
     f"""SELECT v.ts_code, trade_date, "close", total_mv AS market_cap, ({_RET.format(n=5)}) * 100 AS mom,
-               vol / nullif({roll('avg', 'vol', 5)}, 0) AS volr, (high - low) / "close" * 100 AS rng,
+               round(vol / nullif({roll('avg', 'vol', 5)}, 0), 8) AS volr, (high - low) / "close" * 100 AS rng,
                {_RET.format(n=1)} AS return_1d, {_RET.format(n=5)} AS return_5d, industry
         FROM valued v LEFT JOIN basic USING (ts_code)""",
     "valued",

@@ -30,6 +30,22 @@ def sample_kurtosis(x) -> Column:
     return F.when((n > 3) & (F.var_pop(x) > 0), ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
+def correlation(a, b, over=None) -> Column:
+    """Pearson correlation of complete pairs, null when a side has no spread.
+
+    ``F.corr`` raises on zero spread under ANSI arithmetic, so the quotient is formed here.
+    ``over`` makes every part a window aggregate.
+    """
+    a, b = _col(a), _col(b)
+    parts = [
+        F.covar_pop(a, b),
+        F.stddev_pop(F.when(b.isNotNull(), a)),
+        F.stddev_pop(F.when(a.isNotNull(), b)),
+    ]
+    cov, sa, sb = parts if over is None else [p.over(over) for p in parts]
+    return F.try_divide(cov, sa * sb)
+
+
 def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lg = np.vectorize(math.lgamma, otypes=[float])
     return lg(a) + lg(b) - lg(a + b)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalars import clip, inverse_normal, row_mean
-from alphaloom.functions.stats import sample_kurtosis, sample_skew
+from alphaloom.functions.stats import correlation, sample_kurtosis, sample_skew
 from alphaloom.operators import crosssection as X
 
 DATE = "trade_date"
@@ -283,7 +283,7 @@ def pca_compose(df: DataFrame, cols: list[str], out: str = "composite") -> DataF
 
 def validate_composition(df: DataFrame, cols: list[str], composite: str = "composite") -> DataFrame:
     """One row: correlation to each input, retained variance and shape of the composite."""
-    corr = {c: F.coalesce(F.corr(composite, c), F.lit(0.0)) for c in cols}
+    corr = {c: F.coalesce(correlation(composite, c), F.lit(0.0)) for c in cols}
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     spread = reduce(lambda a, b: a + b, [F.var_samp(F.when(complete, F.col(c))) for c in cols])
     return df.agg(

@@ -197,7 +197,8 @@ def build_panel(spark: SparkSession, folder: str) -> DataFrame:
         "close",
         F.col("total_mv").alias("market_cap"),
         F.col("roc_5").alias("mom"),
-        F.col("volume_ratio_5").alias("volr"),
+        # Equal ratios must tie whatever the order of the sum behind them.
+        F.round("volume_ratio_5", 8).alias("volr"),
         ((F.col("high") - F.col("low")) / F.col("close") * 100).alias("rng"),
         back(1).alias("return_1d"),
         back(5).alias("return_5d"),
