@@ -13,6 +13,7 @@ MODULES = (
     "sentiment",
     "preprocess",
     "effectiveness",
+    "selection",
 )
 
 for _m in MODULES:
