@@ -14,6 +14,8 @@ MODULES = (
     "preprocess",
     "effectiveness",
     "selection",
+    "quality",
+    "rollups",
 )
 
 for _m in MODULES:

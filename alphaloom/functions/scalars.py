@@ -55,9 +55,9 @@ def compare(value, threshold, op) -> Column:
 
 
 def grade_by_percentile(p) -> Column:
-    """Letter grade by percentile rank: A from 0.8, then steps of 0.2."""
+    """Letter grade by percentile rank, 0 the best: A to 0.2, then steps of 0.2."""
     p = _col(p)
-    return F.when(p >= 0.8, "A").when(p >= 0.6, "B").when(p >= 0.4, "C").when(p >= 0.2, "D").otherwise("E")
+    return F.when(p <= 0.2, "A").when(p <= 0.4, "B").when(p <= 0.6, "C").when(p <= 0.8, "D").otherwise("E")
 
 
 def grade_by_score(score) -> Column:
