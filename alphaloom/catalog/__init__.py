@@ -7,7 +7,6 @@ import importlib
 from alphaloom.catalog.base import ORACLES, QUERIES
 
 MODULES = (
-    "scans",
     "technical",
     "fundamental",
     "sentiment",
@@ -16,6 +15,7 @@ MODULES = (
     "selection",
     "quality",
     "rollups",
+    "scans",
 )
 
 for _m in MODULES:

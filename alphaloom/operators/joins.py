@@ -117,19 +117,6 @@ def set_overlap(left: DataFrame, right: DataFrame, key: str = "ts_code") -> Data
     return out.select("common", "total", share.alias("overlap"), (share < 0.8).alias("low_overlap"))
 
 
-def dependency_paths(spark, edges_view: str, tasks_view: str) -> str:
-    """Recursive walk of task dependencies with a path that stops cycles."""
-    return f"""
-        WITH RECURSIVE chain(task_id, root, depth, path) AS (
-            SELECT task_id, task_id, 0, array(task_id) FROM {tasks_view}
-            WHERE task_id NOT IN (SELECT task_id FROM {edges_view})
-            UNION ALL
-            SELECT e.task_id, c.root, c.depth + 1, array_append(c.path, e.task_id)
-            FROM {edges_view} e JOIN chain c ON e.depends_on = c.task_id
-            WHERE NOT array_contains(c.path, e.task_id)
-        )
-        SELECT task_id, root, depth, path FROM chain
-    """
 
 
 def condition_pairs(left: DataFrame, templates: DataFrame, limit: int, condition: Column) -> DataFrame:

@@ -29,6 +29,9 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     factors use need no further exchange. Files sit in the shared folder and survive the loss of
     an executor.
     """
+    # Spark 4.1 takes a columnar union of bucketed scans as hash partitioned although it lines the
+    # partitions up one after the other, which makes later groupings wrong. Unions exchange instead.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written or not spark.catalog.tableExists(_written[key]):
         path = scratch_path(spark, name)
