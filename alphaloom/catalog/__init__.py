@@ -16,6 +16,8 @@ MODULES = (
     "quality",
     "rollups",
     "scans",
+    "store",
+    "streams",
 )
 
 for _m in MODULES:
