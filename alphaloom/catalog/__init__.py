@@ -18,6 +18,7 @@ MODULES = (
     "scans",
     "store",
     "streams",
+    "ml",
 )
 
 for _m in MODULES:
