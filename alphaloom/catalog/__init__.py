@@ -19,6 +19,7 @@ MODULES = (
     "store",
     "streams",
     "ml",
+    "registry",
 )
 
 for _m in MODULES:
