@@ -74,6 +74,16 @@ def _split_points(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_splits"))
 
 
+def _smaller_in(array: str, value: str) -> Column:
+    """Number of elements of a sorted array below the value, by halving steps."""
+    steps = [1 << b for b in range(SPLITS.bit_length() - 1, -1, -1)]
+
+    def advance(pos, step):
+        return pos + F.when(F.get(array, pos + step - 1) < F.col(value), step).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+
+
 def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> DataFrame:
     """Distinct non-null values of each group with their place in the sorted group.
 
@@ -94,9 +104,7 @@ def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> D
             before.over(W.partitionBy(*keys)).alias("_n"),
         )
     splits = _split_points(counted, keys, value)
-    pieces = _same(counted, splits, keys).withColumn(
-        "_piece", F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    ).drop("_splits")
+    pieces = _same(counted, splits, keys).withColumn("_piece", _smaller_in("_splits", value)).drop("_splits")
     totals = pieces.groupBy(*keys, "_piece").agg(F.sum("_ties").alias("_rows"))
     group = W.partitionBy(*keys)  # at most SPLITS + 1 rows
     offsets = totals.select(
@@ -114,22 +122,32 @@ def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> D
 
 def with_positions(df: DataFrame, by, value: str, prefix: str = "_", hot: bool | None = None) -> DataFrame:
     """Add ``below``, ``ties`` and ``n`` of the row's value inside its group; null for null."""
-    keys = _cols(by)
-    hot = has_hot_group(df, keys) if hot is None else hot
-    names = {"_below": f"{prefix}below", "_ties": f"{prefix}ties", "_n": f"{prefix}n"}
-    if not hot:
-        group = W.partitionBy(*keys)
-        known = F.col(value).isNotNull()
-        return df.select(
-            "*",
-            F.when(known, F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1).alias(names["_below"]),
-            F.when(known, F.count(value).over(W.partitionBy(*keys, value))).alias(names["_ties"]),
-            F.when(known, F.count(value).over(group)).alias(names["_n"]),
-        )
-    places = value_positions(df, keys, value, hot)
-    for old, new in names.items():
-        places = places.withColumnRenamed(old, new)
-    return _same(df, places, [*keys, value])
+    return with_all_positions(df, [(by, value, prefix)], hot)
+
+
+def with_all_positions(df: DataFrame, specs: list[tuple], hot: bool | None = None) -> DataFrame:
+    """Positions of several columns, each given as (group, column, prefix).
+
+    On the split path every column is placed from the same input and joined to it, so the plan
+    grows with the number of columns only.
+    """
+    out = df
+    for by, value, prefix in specs:
+        keys = _cols(by)
+        names = {"_below": f"{prefix}below", "_ties": f"{prefix}ties", "_n": f"{prefix}n"}
+        if not (has_hot_group(df, keys) if hot is None else hot):
+            group = W.partitionBy(*keys)
+            known = F.col(value).isNotNull()
+            out = out.select(
+                "*",
+                F.when(known, F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1).alias(names["_below"]),
+                F.when(known, F.count(value).over(W.partitionBy(*keys, value))).alias(names["_ties"]),
+                F.when(known, F.count(value).over(group)).alias(names["_n"]),
+            )
+        else:
+            places = value_positions(df.select(*dict.fromkeys([*keys, value])), keys, value, True)
+            out = _same(out, places.withColumnsRenamed(names), [*keys, value])
+    return out
 
 
 def average_rank(prefix: str = "_", ascending: bool = True) -> Column:
@@ -171,18 +189,36 @@ def group_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], hot:
 
 
 def with_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], hot: bool | None = None) -> DataFrame:
+    return with_all_quantiles(df, by, {value: probs}, hot)
+
+
+def with_all_quantiles(df: DataFrame, by, wanted: dict[str, dict[str, float]], hot: bool | None = None) -> DataFrame:
+    """Quantiles of several columns by one grouping: ``wanted`` maps a column to names and shares."""
     keys = _cols(by)
-    return _same(df, group_quantiles(df, keys, value, probs, hot), keys)
+    hot = has_hot_group(df, keys) if hot is None else hot
+    if hot:
+        out = df
+        for value, probs in wanted.items():
+            out = _same(out, group_quantiles(df.select(*dict.fromkeys([*keys, value])), keys, value, probs, True), keys)
+        return out
+    aggs = [F.percentile(c, F.array(*[F.lit(float(p)) for p in probs.values()])).alias(f"_q{i}") for i, (c, probs) in enumerate(wanted.items())]
+    names = [F.col(f"_q{i}")[j].alias(n) for i, probs in enumerate(wanted.values()) for j, n in enumerate(probs)]
+    return _same(df, df.groupBy(*keys).agg(*aggs).select(*keys, *names), keys)
 
 
 def with_median_mad(df: DataFrame, by, value: str, hot: bool | None = None) -> DataFrame:
     """Add ``_med`` and ``_mad`` (median absolute deviation from the median) of the group."""
+    return with_all_median_mad(df, by, {value: ("_med", "_mad")}, hot)
+
+
+def with_all_median_mad(df: DataFrame, by, wanted: dict[str, tuple[str, str]], hot: bool | None = None) -> DataFrame:
+    """Median and median absolute deviation of several columns, two groupings in all."""
     keys = _cols(by)
     hot = has_hot_group(df, keys) if hot is None else hot
-    centred = with_quantiles(df, keys, value, {"_med": 0.5}, hot).withColumn(
-        "_dev", F.abs(F.col(value) - F.col("_med"))
-    )
-    return with_quantiles(centred, keys, "_dev", {"_mad": 0.5}, hot).drop("_dev")
+    out = with_all_quantiles(df, keys, {c: {med: 0.5} for c, (med, _) in wanted.items()}, hot)
+    out = out.withColumns({f"_dev_{c}": F.abs(F.col(c) - F.col(med)) for c, (med, _) in wanted.items()})
+    out = with_all_quantiles(out, keys, {f"_dev_{c}": {mad: 0.5} for c, (_, mad) in wanted.items()}, hot)
+    return out.drop(*[f"_dev_{c}" for c in wanted])
 
 
 def top_per_group(df: DataFrame, by, order: list[Column], k: int) -> DataFrame:
@@ -195,14 +231,27 @@ def top_per_group(df: DataFrame, by, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bucket_by_edges(df: DataFrame, by, value: str, n: int, out: str, hot: bool | None = None) -> DataFrame:
-    """Equal-frequency bucket 1..n inside the group; equal edges are merged."""
+def bucket_by_edges(df: DataFrame, by, value: str, n: int, out: str, hot: bool | None = None, min_rows: int = 0) -> DataFrame:
+    """Equal-frequency bucket 1..n inside the group; equal edges are merged.
+
+    Groups with fewer than ``min_rows`` rows are left out.
+    """
     keys = _cols(by)
-    names = {f"_e{i}": i / n for i in range(n + 1)}
-    edges = group_quantiles(df, keys, value, names, hot).select(
-        *keys, F.array_distinct(F.array(*names)).alias("_edges")
-    )
-    joined = _same(df, edges, keys)
+    hot = has_hot_group(df, keys) if hot is None else hot
+    shares = [i / n for i in range(n + 1)]
+    size = F.count("*").alias("_size")
+    if hot:
+        names = {f"_e{i}": p for i, p in enumerate(shares)}
+        edges = group_quantiles(df.select(*dict.fromkeys([*keys, value])), keys, value, names, True)
+        edges = edges.select(*keys, F.array(*names).alias("_edges"))
+        if min_rows:
+            edges = _same(edges, df.groupBy(*keys).agg(size), keys)
+    else:
+        edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in shares])).alias("_edges"), size)
+    if min_rows:
+        edges = edges.where(F.col("_size") >= min_rows)
+    edges = edges.select(*keys, F.array_distinct("_edges").alias("_edges"))
+    joined = _same(df, edges, keys, "inner" if min_rows else "left")
     inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     bucket = F.lit(1) + F.size(F.filter(inner, lambda e: e < F.col(value)))
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), bucket)).drop("_edges")

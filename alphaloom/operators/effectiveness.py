@@ -39,7 +39,7 @@ def information_coefficients(pairs: DataFrame, value: str = "factor_value", ret:
     keys = list(by)
     complete = pairs.where(F.col(value).isNotNull() & F.col(ret).isNotNull()).select(*keys, value, ret)
     hot = X.has_hot_group(complete, keys)
-    ranked = X.with_positions(X.with_positions(complete, keys, value, "_v", hot), keys, ret, "_w", hot)
+    ranked = X.with_all_positions(complete, [(keys, value, "_v"), (keys, ret, "_w")], hot)
     ranked = ranked.withColumns({"_rv": X.average_rank("_v"), "_rr": X.average_rank("_w")})
     out = ranked.groupBy(*keys).agg(
         F.round(correlation(value, ret), 12).alias("ic_pearson"),  # an exact zero must not turn into noise
@@ -122,13 +122,13 @@ def layered_returns(pairs: DataFrame, layers: int = 10, value: str = "factor_val
     """Return statistics per factor, day and equal-frequency layer; thin days are left out."""
     keys = [FACTOR, DATE]
     complete = pairs.where(F.col(value).isNotNull() & F.col(ret).isNotNull()).select(*keys, value, ret)
-    sized = X.group_stats(complete, keys, _n=F.count("*")).where(F.col("_n") >= 2 * layers)
     hot = X.has_hot_group(complete, keys)
-    bucketed = X.bucket_by_edges(sized, keys, value, layers, "factor_quantile", hot)
+    bucketed = X.bucket_by_edges(complete, keys, value, layers, "factor_quantile", hot, min_rows=2 * layers)
     cells = [*keys, "factor_quantile"]
-    moments = bucketed.groupBy(*cells).agg(F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("std"), F.count(ret).alias("count"))
-    medians = X.group_quantiles(bucketed, cells, ret, {"median": 0.5}, hot)
-    return moments.join(medians, cells)
+    moments = [F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("std"), F.count(ret).alias("count")]
+    if not hot:
+        return bucketed.groupBy(*cells).agg(*moments, F.percentile(ret, 0.5).alias("median"))
+    return bucketed.groupBy(*cells).agg(*moments).join(X.group_quantiles(bucketed, cells, ret, {"median": 0.5}, hot), cells)
 
 
 def layer_performance(layered: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson")
         )
         long = df.select(F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("s.*")
         hot = X.has_hot_group(long, "i")
-        ranked = X.with_positions(X.with_positions(long, "i", "a", "_a", hot), "i", "b", "_b", hot)
+        ranked = X.with_all_positions(long, [("i", "a", "_a"), ("i", "b", "_b")], hot)
         corr = ranked.groupBy("i").agg(correlation(X.average_rank("_a"), X.average_rank("_b")).alias("r"))
         row = corr.groupBy().pivot("i", list(range(len(pairs)))).agg(F.first("r"))
         row = row.select(*[F.col(str(i)).alias(f"c{i}") for i in range(len(pairs))])
@@ -309,7 +309,7 @@ def kendall_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     )
     long = df.select(F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("s.*")
     hot = X.has_hot_group(long, "i")
-    placed = X.with_positions(X.with_positions(long, "i", "a", "_a", hot), "i", "b", "_b", hot)
+    placed = X.with_all_positions(long, [("i", "a", "_a"), ("i", "b", "_b")], hot)
     cells = placed.groupBy("i", F.col("_abelow").alias("pa"), F.col("_bbelow").alias("pb"), F.col("_an").alias("n")).agg(
         F.count("*").cast("double").alias("c")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.frames import trailing, upto_now
 from alphaloom.functions.stats import sample_kurtosis, sample_skew
 from alphaloom.operators import crosssection as X
+from alphaloom.session import cut
 
 KEY, DATE, RET = "strategy_id", "trade_date", "return"
 
@@ -124,7 +125,12 @@ def against_benchmark(df: DataFrame, benchmark: DataFrame, periods: int = 252, r
 
 
 def evaluate(df: DataFrame, benchmark: DataFrame | None = None, periods: int = 252) -> DataFrame:
-    """The full evaluation row of every strategy."""
+    """The full evaluation row of every strategy.
+
+    The returns, one row per strategy and day, are cut from their lineage first, as each part of
+    the row reads them again.
+    """
+    df = cut(df)
     out = performance(df, periods).join(tail_risk(df), KEY)
     return out.join(against_benchmark(df, benchmark, periods), KEY, "left") if benchmark is not None else out
 

@@ -101,7 +101,11 @@ def fill_zero(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def train(df: DataFrame, factors: list[str], kind: str, **params) -> PipelineModel:
-    return model_pipeline(kind, factors, **params).fit(fill_zero(df, factors))
+    rows = fill_zero(df, factors).select(*factors, TARGET).persist()  # fitting reads the rows several times
+    try:
+        return model_pipeline(kind, factors, **params).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def regression_metrics(predicted: DataFrame, target: str = TARGET, by: list[str] | None = None) -> DataFrame:
@@ -246,7 +250,7 @@ def ks_statistic(long: DataFrame, key: str = "feature", value: str = "x", flag:
     """
     known = long.where(F.col(value).isNotNull())
     hot = X.has_hot_group(known, key)
-    placed = X.with_positions(X.with_positions(known, key, value, "_a", hot), [key, flag], value, "_o", hot)
+    placed = X.with_all_positions(known, [(key, value, "_a"), ([key, flag], value, "_o")], hot)
     own = F.col("_obelow") + F.col("_oties")
     other = F.col("_abelow") + F.col("_aties") - own
     gap = F.abs(own / F.col("_on") - F.try_divide(other, F.col("_an") - F.col("_on")))

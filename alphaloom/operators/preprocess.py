@@ -26,73 +26,96 @@ def _keep_if(cond: Column, value: Column, original: Column) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), value).otherwise(original)
 
 
-def winsorize(df: DataFrame, col: str, method: str = "quantile", by=DATE, lower=0.01, upper=0.99, k=3.0) -> DataFrame:
-    """Limit a column to bounds of its cross-section.
+def winsorize(df: DataFrame, cols: str | list[str], method: str = "quantile", by=DATE, lower=0.01, upper=0.99, k=3.0) -> DataFrame:
+    """Limit columns to bounds of their cross-section, all columns by the same groupings.
 
     quantile: interpolated quantiles; mad: median +/- k unscaled MAD; zscore: mean +/- k sd.
     """
-    x = F.col(col)
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    lo, hi = "_lo_{}".format, "_hi_{}".format
     if method == "quantile":
-        out = X.with_quantiles(df, by, col, {"_lo": lower, "_hi": upper})
-        return out.withColumn(col, clip(x, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    if method == "mad":
-        out = X.with_median_mad(df, by, col)
-        return out.withColumn(col, clip(x, F.col("_med") - F.col("_mad") * k, F.col("_med") + F.col("_mad") * k)).drop("_med", "_mad")
-    if method == "zscore":
-        out = X.group_stats(df, by, _m=F.avg(col), _s=F.stddev_samp(col))
-        return out.withColumn(col, clip(x, F.col("_m") - F.col("_s") * k, F.col("_m") + F.col("_s") * k)).drop("_m", "_s")
-    raise ValueError(f"unknown method {method}")
+        out = X.with_all_quantiles(df, by, {c: {lo(c): lower, hi(c): upper} for c in cols})
+        bounds = {c: (F.col(lo(c)), F.col(hi(c))) for c in cols}
+    elif method == "mad":
+        out = X.with_all_median_mad(df, by, {c: (lo(c), hi(c)) for c in cols})
+        bounds = {c: (F.col(lo(c)) - F.col(hi(c)) * k, F.col(lo(c)) + F.col(hi(c)) * k) for c in cols}
+    elif method == "zscore":
+        out = X.group_stats(df, by, **{lo(c): F.avg(c) for c in cols}, **{hi(c): F.stddev_samp(c) for c in cols})
+        bounds = {c: (F.col(lo(c)) - F.col(hi(c)) * k, F.col(lo(c)) + F.col(hi(c)) * k) for c in cols}
+    else:
+        raise ValueError(f"unknown method {method}")
+    return out.withColumns({c: clip(c, *bounds[c]) for c in cols}).drop(*[f(c) for c in cols for f in (lo, hi)])
 
 
-def standardize(df: DataFrame, col: str, method: str = "zscore", by=DATE) -> DataFrame:
-    """Cross-sectional score; a group without spread keeps its values."""
-    x = F.col(col)
-    if method == "zscore":
-        out = X.group_stats(df, by, _m=F.avg(col), _s=F.stddev_samp(col))
-        return out.withColumn(col, _keep_if(F.col("_s") > 0, F.try_divide(x - F.col("_m"), F.col("_s")), x)).drop("_m", "_s")
-    if method == "robust":
-        out = X.with_median_mad(df, by, col)
-        return out.withColumn(col, _keep_if(F.col("_mad") > 0, F.try_divide(x - F.col("_med"), F.col("_mad")), x)).drop("_med", "_mad")
+def standardize(df: DataFrame, cols: str | list[str], method: str = "zscore", by=DATE) -> DataFrame:
+    """Cross-sectional scores; a group without spread keeps its values."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    m, s = "_m_{}".format, "_s_{}".format
+    if method in ("zscore", "robust"):
+        if method == "zscore":
+            out = X.group_stats(df, by, **{m(c): F.avg(c) for c in cols}, **{s(c): F.stddev_samp(c) for c in cols})
+        else:
+            out = X.with_all_median_mad(df, by, {c: (m(c), s(c)) for c in cols})
+        scores = {c: _keep_if(F.col(s(c)) > 0, F.try_divide(F.col(c) - F.col(m(c)), F.col(s(c))), F.col(c)) for c in cols}
+        return out.withColumns(scores).drop(*[f(c) for c in cols for f in (m, s)])
     if method == "rank":
-        out = X.with_positions(df, by, col)
-        share = clip((X.average_rank() - 0.5) / F.col("_n"), 0.001, 0.999)
-        return out.withColumn(col, _keep_if(F.col("_n") > 1, inverse_normal(share), x)).drop("_below", "_ties", "_n")
+        out = X.with_all_positions(df, [(by, c, f"_{c}_") for c in cols])
+        for c in cols:
+            share = clip((X.average_rank(f"_{c}_") - 0.5) / F.col(f"_{c}_n"), 0.001, 0.999)
+            out = out.withColumn(c, _keep_if(F.col(f"_{c}_n") > 1, inverse_normal(share), F.col(c)))
+        return out.drop(*[f"_{c}_{k}" for c in cols for k in ("below", "ties", "n")])
     raise ValueError(f"unknown method {method}")
 
 
 def neutralize(
-    df: DataFrame, col: str, cap: str | None = "market_cap", industry: str | None = "industry", by: str = DATE, min_rows: int = 10
+    df: DataFrame, cols: str | list[str], cap: str | None = "market_cap", industry: str | None = "industry", by: str = DATE, min_rows: int = 10
 ) -> DataFrame:
-    """Replace a factor by its regression residual on log cap and industry, per date.
+    """Replace factors by their regression residual on log cap and industry, per date.
 
-    With industry dummies the regression equals one on values centred inside the industry, so the
-    residual needs two rounds of group means. Rows with a missing value keep the raw factor, and
-    so do dates with too few rows. Rows without an industry form a group of their own.
+    With industry dummies the regression equals one on values centred inside the industry. Sums
+    per (date, industry) give the means, and added up over the industries of a date the slope, so
+    one grouping of the rows serves every factor. Rows with a missing value keep the raw factor,
+    and so do dates with too few rows. Rows without an industry form a group of their own.
     """
-    x = F.col(col)
+    cols = [cols] if isinstance(cols, str) else list(cols)
     work = df.withColumn("_c", F.when(F.col(cap) > 0, F.log(cap)) if cap else F.lit(0.0))
-    use = x.isNotNull() & F.col("_c").isNotNull()
-    work = work.withColumns({"_x": F.when(use, x), "_c": F.when(use, F.col("_c"))})
-    inner = [by, industry] if industry else [by]
-    work = X.group_stats(work, inner, _mx=F.avg("_x"), _mc=F.avg("_c"))
-    work = work.withColumns({"_dx": F.col("_x") - F.col("_mx"), "_dc": F.col("_c") - F.col("_mc")})
-    work = X.group_stats(
-        work,
-        by,
-        _sxc=F.sum(F.col("_dx") * F.col("_dc")),
-        _scc=F.sum(F.col("_dc") * F.col("_dc")),
-        _valid=F.count("_x"),
-        _rows=F.count("*"),
-    )
+    if not industry:
+        work = work.withColumn("_industry", F.lit("all"))
+    group = industry or "_industry"
+    aggs = [F.count("*").alias("_rows")]
+    for i, c in enumerate(cols):
+        use = F.col(c).isNotNull() & F.col("_c").isNotNull()
+        x, z = F.when(use, F.col(c)), F.when(use, F.col("_c"))
+        aggs += [
+            F.count(x).alias(f"_n{i}"),
+            F.avg(x).alias(f"_mx{i}"),
+            F.avg(z).alias(f"_mc{i}"),
+            (F.covar_pop(x, z) * F.count(x)).alias(f"_sxc{i}"),
+            (F.var_pop(z) * F.count(x)).alias(f"_scc{i}"),
+        ]
+    small = work.groupBy(by, group).agg(*aggs)
+    day = W.partitionBy(by)  # one row per industry of the date
     regressors = F.lit(1 if cap else 0)
     if industry:
         kinds = df.agg(F.count_distinct(industry).alias("_kinds"))  # one row
-        work = work.crossJoin(F.broadcast(kinds))
+        small = small.crossJoin(F.broadcast(kinds))
         regressors = regressors + F.col("_kinds")
-    beta = F.coalesce(F.try_divide(F.col("_sxc"), F.col("_scc")), F.lit(0.0))
-    enough = (F.col("_rows") > min_rows) & (F.col("_valid") > regressors + 1) & F.col("_dx").isNotNull()
-    extra = ["_c", "_x", "_mx", "_mc", "_dx", "_dc", "_sxc", "_scc", "_valid", "_rows", "_kinds"]
-    return work.withColumn(col, _keep_if(enough, F.col("_dx") - beta * F.col("_dc"), x)).drop(*extra)
+    stats = [F.sum("_rows").over(day).alias("_rows")]
+    for i in range(len(cols)):
+        slope = F.try_divide(F.sum(f"_sxc{i}").over(day), F.sum(f"_scc{i}").over(day))
+        stats += [
+            f"_mx{i}",
+            f"_mc{i}",
+            F.coalesce(slope, F.lit(0.0)).alias(f"_b{i}"),
+            (F.coalesce(F.sum(f"_n{i}").over(day), F.lit(0)) > regressors + 1).alias(f"_ok{i}"),
+        ]
+    small = small.select(by, group, *stats)
+    out = X._same(work, small, [by, group])
+    for i, c in enumerate(cols):
+        residual = F.col(c) - F.col(f"_mx{i}") - F.col(f"_b{i}") * (F.col("_c") - F.col(f"_mc{i}"))
+        out = out.withColumn(c, _keep_if((F.col("_rows") > min_rows) & F.col(f"_ok{i}") & residual.isNotNull(), residual, F.col(c)))
+    extra = ["_c", "_rows", "_industry"] + [f"_{k}{i}" for i in range(len(cols)) for k in ("mx", "mc", "b", "ok")]
+    return out.drop(*extra)
 
 
 def limit_outliers(df: DataFrame, col: str, treatment: str = "clip", by=DATE, lower=0.01, upper=0.99) -> DataFrame:
@@ -327,29 +350,27 @@ def scoring_normalize(df: DataFrame, cols: list[str], method: str = "zscore", by
     keys = [by] if isinstance(by, str) else list(by)
     floor = min_group if len(keys) > 1 else 0
     known = F.col(keys[-1]).isNotNull() if len(keys) > 1 else F.lit(True)
-    for c in cols:
-        x = F.col(c)
-        out = X.group_stats(df, keys, _rows=F.count("*"), _m=F.avg(c), _s=F.stddev_samp(c), _lo=F.min(c), _hi=F.max(c))
-        big = known & (F.col("_rows") >= floor)
-        if method == "zscore":
-            value = _keep_if(big & (F.col("_s") > 0), F.try_divide(x - F.col("_m"), F.col("_s")), x)
-        elif method == "minmax":
-            span = F.col("_hi") - F.col("_lo")
-            value = _keep_if(big & (span > 0), F.try_divide(x - F.col("_lo"), span), x)
-        elif method == "robust":
-            out = X.with_median_mad(out, keys, c)
-            value = _keep_if(big & (F.col("_mad") > 0), F.try_divide(x - F.col("_med"), F.col("_mad") * 1.4826), x)
-        else:
-            raise ValueError(f"unknown method {method}")
-        df = out.withColumn(c, clip(value, -limit, limit)).drop("_rows", "_m", "_s", "_lo", "_hi", "_med", "_mad")
-    return df
+    a, b = "_a_{}".format, "_b_{}".format
+    if method == "zscore":
+        out = X.group_stats(df, keys, _rows=F.count("*"), **{a(c): F.avg(c) for c in cols}, **{b(c): F.stddev_samp(c) for c in cols})
+        scale = {c: F.col(b(c)) for c in cols}
+    elif method == "minmax":
+        out = X.group_stats(df, keys, _rows=F.count("*"), **{a(c): F.min(c) for c in cols}, **{b(c): F.max(c) for c in cols})
+        scale = {c: F.col(b(c)) - F.col(a(c)) for c in cols}
+    elif method == "robust":
+        out = X.with_all_median_mad(X.group_stats(df, keys, _rows=F.count("*")), keys, {c: (a(c), b(c)) for c in cols})
+        scale = {c: F.col(b(c)) * 1.4826 for c in cols}
+    else:
+        raise ValueError(f"unknown method {method}")
+    big = known & (F.col("_rows") >= floor)
+    values = {c: clip(_keep_if(big & (scale[c] > 0), F.try_divide(F.col(c) - F.col(a(c)), scale[c]), F.col(c)), -limit, limit) for c in cols}
+    return out.withColumns(values).drop("_rows", *[f(c) for c in cols for f in (a, b)])
 
 
 def impute_median(df: DataFrame, cols: list[str], by=DATE) -> DataFrame:
     """Fill nulls with the median of the cross-section."""
-    for c in cols:
-        df = X.with_quantiles(df, by, c, {"_med": 0.5}).withColumn(c, F.coalesce(c, "_med")).drop("_med")
-    return df
+    out = X.with_all_quantiles(df, by, {c: {f"_med_{c}": 0.5} for c in cols})
+    return out.withColumns({c: F.coalesce(c, f"_med_{c}") for c in cols}).drop(*[f"_med_{c}" for c in cols])
 
 
 def date_statistics(df: DataFrame, value: str = "value", by=DATE) -> DataFrame:

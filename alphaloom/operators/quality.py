@@ -87,12 +87,17 @@ def clean_prices(df: DataFrame, key: str = CODE) -> DataFrame:
     by the last value that is none."""
     w = history(key)
     cols = [c for c in (*PRICES, "pre_close") if c in df.columns]
+    filled = [c for c in ("vol", "amount") if c in df.columns]
     df = df.withColumns({c: forward_fill(c, w) for c in cols})
-    for c in ("vol", "amount"):
-        if c in df.columns:
-            df = fill_missing(df, c, "median", key)
-    for c in cols:
-        df = flag_outliers(df, c, "iqr", key, "_out").withColumn(c, F.when(~F.col("_out"), F.col(c))).drop("_out")
+    # One grouping per security finds the medians and the fences of every column.
+    wanted = {c: {f"_med_{c}": 0.5} for c in filled} | {c: {f"_q1_{c}": 0.25, f"_q3_{c}": 0.75} for c in cols}
+    df = X.with_all_quantiles(df, key, wanted).withColumns({c: F.coalesce(c, f"_med_{c}") for c in filled})
+
+    def kept(c):
+        q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
+        return F.when((F.col(c) >= q1 - (q3 - q1) * 1.5) & (F.col(c) <= q3 + (q3 - q1) * 1.5), F.col(c))
+
+    df = df.withColumns({c: kept(c) for c in cols}).drop(*[n for names in wanted.values() for n in names])
     return df.withColumns({c: forward_fill(c, w) for c in cols})
 
 
@@ -285,13 +290,11 @@ def quality_history(reports: DataFrame, as_of, table: str | None = None, days: i
 def robust_anomalies(df: DataFrame, cols: list[str], by="_all", limit: float = 6.0) -> DataFrame:
     """Anomaly score per row: the largest robust z of its columns inside the group."""
     work = df.withColumn("_all", F.lit(1)) if by == "_all" else df
-    zs = []
-    for i, c in enumerate(cols):
-        work = X.with_median_mad(work, by, c).withColumn(f"_z{i}", F.try_divide(F.abs(F.col(c) - F.col("_med")), F.col("_mad"))).drop("_med", "_mad")
-        zs.append(F.coalesce(F.col(f"_z{i}"), F.lit(0.0)))
+    work = X.with_all_median_mad(work, by, {c: (f"_med_{c}", f"_mad_{c}") for c in cols})
+    zs = [F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"_med_{c}")), F.col(f"_mad_{c}")), F.lit(0.0)) for c in cols]
     score = F.greatest(*zs) if len(zs) > 1 else zs[0]
     out = work.withColumn("anomaly_score", score).withColumn("is_anomaly", F.col("anomaly_score") > limit)
-    return out.drop("_all", *[f"_z{i}" for i in range(len(cols))])
+    return out.drop("_all", *[f"_{k}_{c}" for c in cols for k in ("med", "mad")])
 
 
 def validate_batch(df: DataFrame, numeric: list[str]) -> DataFrame:

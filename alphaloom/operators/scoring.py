@@ -27,8 +27,7 @@ def rankings(df: DataFrame, by: str = DATE, industry: str = "industry", score: s
     the exact ranks come from counting smaller pairs.
     """
     out = df.withColumn("_o", F.when(F.col(score).isNotNull(), F.struct((-F.col(score)).alias("s"), F.col(CODE).alias("c"))))
-    out = X.with_positions(out, by, "_o", "_all")
-    out = X.with_positions(out, [by, industry], "_o", "_ind")
+    out = X.with_all_positions(out, [(by, "_o", "_all"), ([by, industry], "_o", "_ind")])
     return out.withColumns({"rank_overall": F.col("_allbelow") + 1, "industry_rank": F.col("_indbelow") + 1}).drop(
         "_o", "_allbelow", "_allties", "_alln", "_indbelow", "_indties", "_indn"
     )

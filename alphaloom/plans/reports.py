@@ -18,15 +18,15 @@ def process_factors(
     cap: str = "market_cap",
     industry: str = "industry",
 ) -> DataFrame:
-    """Winsorize, standardise and neutralise each factor; null stages are left out."""
-    for f in factors:
-        if winsorize:
-            df = P.winsorize(df, f, winsorize)
-        if standardize:
-            df = P.standardize(df, f, standardize)
-        if neutralize:
-            df = P.neutralize(df, f, cap, industry)
-    return df
+    """Winsorize, standardise and neutralise factors; null stages are left out.
+
+    A stage groups the rows once for all factors, so the plan does not grow with their number.
+    """
+    if winsorize:
+        df = P.winsorize(df, factors, winsorize)
+    if standardize:
+        df = P.standardize(df, factors, standardize)
+    return P.neutralize(df, factors, cap, industry) if neutralize else df
 
 
 def processed_long(df: DataFrame, factors: list[str]) -> DataFrame:

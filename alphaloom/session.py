@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,3 +51,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     app = spark.sparkContext.applicationId
     return f"{scratch_root(spark).rstrip('/')}/{app}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder and go on from the files.
+
+    Used on small results that several later steps read, so that none of them repeats the work
+    before, and the loss of an executor costs no more than a read.
+    """
+    scratch_root(df.sparkSession)
+    return df.checkpoint()
