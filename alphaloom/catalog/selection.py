@@ -622,3 +622,15 @@ query(
              + CASE WHEN vol * 2 <= loss_tolerance THEN 1.0 ELSE 0.5 END * 0.2)) AS match_score FROM investors, templates) WHERE round(match_score, 9) > 0.5) WHERE rank <= 3""",
     ("investors", "templates"),
 )(lambda s, f: Po.recommend_templates(investors(s, f), templates(s, f)))
+query(
+    "prediction_enrichment",
+    "ts_code trade_date name industry rank_overall label",
+    "score",
+    """SELECT p.ts_code, p.trade_date, b.name, b.industry, s.rank_overall, s.score, (p.mom > 0)::INT AS label FROM panel p LEFT JOIN placed s USING (ts_code, trade_date) LEFT JOIN basic b ON b.ts_code = p.ts_code
+       WHERE p.mom IS NOT NULL""",
+    ("panel", "placed", "basic"),
+)(
+    lambda s, f: panel(s, f).where(F.col("mom").isNotNull()).select("ts_code", "trade_date", F.when(F.col("mom") > 0, 1).otherwise(0).alias("label"))
+    .join(ranked(s, f).select("ts_code", "trade_date", "score", "rank_overall"), ["ts_code", "trade_date"], "left")
+    .join(stock_basic(s, f).select("ts_code", "name", "industry"), "ts_code", "left")
+)

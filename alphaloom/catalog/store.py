@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import alphaloom.catalog.panel  # noqa: F401
 from alphaloom.catalog.base import W, query, roll, view
 from alphaloom.catalog.quality import rsi_versions
+from alphaloom.catalog.selection import scores
 from alphaloom.operators import incremental as I
 from alphaloom.operators import store as S
 from alphaloom.operators import technical as T
@@ -49,6 +50,22 @@ def export_verification(spark, folder):
     return spark.createDataFrame(done, "format string, ok boolean")
 
 
+@query(
+    "score_history",
+    "ts_code trade_date",
+    "score",
+    "SELECT ts_code, trade_date, score FROM scores WHERE trade_date BETWEEN DATE '1998-02-10' AND DATE '1998-04-20'",
+    ("scores",),
+)
+def score_history(spark, folder):
+    """Append scores by month and load a range of days; the month prunes folders."""
+    path = scratch_path(spark, "scores")
+    rows = scores(spark, folder).select("ts_code", "trade_date", "score").withColumn("month", sinks.month_of())
+    sinks.append(rows.hint("rebalance", "month"), path, ["month"])
+    stored = spark.read.schema(rows.schema).parquet(path).where(F.col("month").between("1998-02", "1998-04"))
+    return stored.where(F.col("trade_date").between(F.lit("1998-02-10").cast("date"), F.lit("1998-04-20").cast("date")))
+
+
 @query(
     "batched_append",
     "factor_name n",

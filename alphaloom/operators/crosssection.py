@@ -174,16 +174,18 @@ def group_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], hot:
     places = value_positions(df, keys, value, hot)
     aggs = []
     for name, p in probs.items():
-        pos = F.col("_n").cast("double") * p - p  # p * (n - 1)
+        pos = (F.col("_n").cast("double") - 1) * p
         for part, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             here = (F.col("_below") <= at) & (at < F.col("_below") + F.col("_ties"))
             aggs.append(F.max(F.when(here, F.col(value))).alias(f"_{part}_{name}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
     picked = places.groupBy(*keys).agg(*aggs)
-    out = picked.select(
-        *keys,
-        *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in probs],
-    )
+
+    def between(name):  # the same arithmetic as the built-in percentile
+        lo, hi, w = (F.col(f"_{part}_{name}") for part in ("lo", "hi", "w"))
+        return F.when(lo == hi, lo).otherwise((F.lit(1.0) - w) * lo + w * hi).alias(name)
+
+    out = picked.select(*keys, *[between(n) for n in probs])
     everyone = df.select(*keys).distinct()  # keep groups whose values are all null
     return _same(everyone, out, keys)
 

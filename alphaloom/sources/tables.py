@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.operators.crosssection import estimated_bytes
 from alphaloom.session import scratch_path
 
 CODE, DATE = "ts_code", "trade_date"
@@ -22,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bucket_count(frame: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Buckets of about ``target_bytes`` of input each, by the optimizer's estimate."""
+    return min(50_000, max(8, estimated_bytes(frame) // target_bytes))
+
+
 def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     """Write a derived table once per session, bucketed by code, and read it back.
 
@@ -36,8 +42,8 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     if key not in _written or not spark.catalog.tableExists(_written[key]):
         path = scratch_path(spark, name)
         relation = "panel_" + path.rsplit("-", 1)[1]
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         frame = build(spark, folder)
+        buckets = bucket_count(frame)
         (
             frame.repartition(buckets, CODE)
             .write.bucketBy(buckets, CODE)
