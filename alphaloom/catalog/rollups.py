@@ -288,7 +288,7 @@ query(
 query(
     "latest_factor_scores",
     "ts_code trade_date name",
-    "score",
+    {"score": 8},
     """SELECT s.ts_code, s.trade_date, b.name, s.score FROM scores s JOIN basic b USING (ts_code)
        WHERE s.trade_date = (SELECT max(trade_date) FROM panel p WHERE p.ts_code = s.ts_code) AND b.list_status = 'L'""",
     ("scores", "basic"),

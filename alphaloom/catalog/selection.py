@@ -37,8 +37,8 @@ def _n(c):
 
 view(
     "scores",
-    f"""SELECT *, 100 / (1 + exp(-weighted_score)) AS score FROM (
-        SELECT *, coalesce(n_mom * 0.5, 0) + coalesce(n_volr * 0.3, 0) + coalesce(n_rng * 0.2, 0) AS weighted_score
+    f"""SELECT *, round(100 / (1 + exp(-weighted_score)), 8) AS score FROM (
+        SELECT *, round(coalesce(n_mom * 0.5, 0) + coalesce(n_volr * 0.3, 0) + coalesce(n_rng * 0.2, 0), 10) AS weighted_score
         FROM (SELECT *, {_n('mom')}, {_n('volr')}, {_n('rng')} FROM panel))""",
     "panel",
 )
@@ -48,26 +48,26 @@ view(
               row_number() OVER (PARTITION BY trade_date, industry ORDER BY score DESC, ts_code) AS industry_rank FROM scores""",
     "scores",
 )
-query("stock_scores", "ts_code trade_date", "weighted_score score", "SELECT * FROM scores", ("scores",))(scores)
-query("score_rankings", "ts_code trade_date rank_overall industry_rank", "score", "SELECT * FROM placed", ("placed",))(ranked)
+query("stock_scores", "ts_code trade_date", {"weighted_score": 10, "score": 8}, "SELECT * FROM scores", ("scores",))(scores)
+query("score_rankings", "ts_code trade_date rank_overall industry_rank", {"score": 8}, "SELECT * FROM placed", ("placed",))(ranked)
 query(
     "stored_scores",
     "ts_code industry",
-    "score",
+    {"score": 8},
     "SELECT * FROM scores WHERE trade_date = DATE '1998-06-15' AND industry = 'ASIA' ORDER BY score DESC, ts_code LIMIT 20",
     ("scores",),
 )(lambda s, f: R.stored_scores(scores(s, f), "1998-06-15", "ASIA", 20))
 query(
     "top_stocks",
     "ts_code trade_date rank",
-    "score",
+    {"score": 8},
     "SELECT *, rank_overall AS rank FROM placed WHERE rank_overall <= 10 AND score >= 60",
     ("placed",),
 )(lambda s, f: R.top_stocks(scores(s, f), 10, 60.0))
 query(
     "industry_balanced_stocks",
     "ts_code trade_date industry rank",
-    "score",
+    {"score": 8},
     """SELECT p.*, p.industry_rank AS rank FROM placed p JOIN (
          SELECT trade_date, industry, count(*) OVER (PARTITION BY trade_date) AS k,
                 row_number() OVER (PARTITION BY trade_date ORDER BY best DESC, industry) - 1 AS i
@@ -84,7 +84,7 @@ def report_days(spark):
 query(
     "score_statistics",
     "ts_code report_date score_trend",
-    "avg_score_30d std_score_30d max_score_30d min_score_30d avg_rank_30d",
+    {"avg_score_30d": 4, "std_score_30d": 5, "max_score_30d": 8, "min_score_30d": 8, "avg_rank_30d": 5},
     """SELECT *, CASE WHEN avg_score_30d > prev THEN 'up' WHEN avg_score_30d < prev THEN 'down' ELSE 'stable' END AS score_trend FROM (
          SELECT *, lag(avg_score_30d) OVER (PARTITION BY ts_code ORDER BY report_date) AS prev FROM (
            SELECT ts_code, report_date, avg(score) AS avg_score_30d, stddev_samp(score) AS std_score_30d, max(score) AS max_score_30d,
@@ -227,21 +227,21 @@ query(
 query(
     "buy_candidates_top",
     "ts_code",
-    "score",
+    {"score": 8},
     "SELECT ts_code, score FROM last_score ANTI JOIN holdings USING (ts_code) ORDER BY score DESC, ts_code LIMIT 10",
     ("holdings", "last_score"),
 )(lambda s, f: Po.candidates(latest_scores(s, f), holdings(s, f), "top_score", 10))
 query(
     "buy_candidates_threshold",
     "ts_code",
-    "score",
+    {"score": 8},
     "SELECT ts_code, score FROM last_score ANTI JOIN holdings USING (ts_code) WHERE score >= 50",
     ("holdings", "last_score"),
 )(lambda s, f: Po.candidates(latest_scores(s, f), holdings(s, f), "threshold", threshold=50.0))
 query(
     "industry_capped_candidates",
     "ts_code industry",
-    "score",
+    {"score": 8},
     """SELECT c.ts_code, c.industry, c.score FROM (SELECT * FROM last_score ANTI JOIN holdings USING (ts_code)) c
        LEFT JOIN (SELECT industry, sum(current_value) / (SELECT sum(current_value) FROM holdings) AS share FROM holdings GROUP BY 1) w USING (industry)
        WHERE coalesce(share, 0) < 0.2""",
@@ -250,7 +250,7 @@ query(
 query(
     "held_scores",
     "ts_code",
-    "score",
+    {"score": 8},
     "SELECT ts_code, score FROM last_score SEMI JOIN holdings USING (ts_code)",
     ("holdings", "last_score"),
 )(lambda s, f: J.only_held(latest_scores(s, f), holdings(s, f)))
@@ -625,7 +625,7 @@ query(
 query(
     "prediction_enrichment",
     "ts_code trade_date name industry rank_overall label",
-    "score",
+    {"score": 8},
     """SELECT p.ts_code, p.trade_date, b.name, b.industry, s.rank_overall, s.score, (p.mom > 0)::INT AS label FROM panel p LEFT JOIN placed s USING (ts_code, trade_date) LEFT JOIN basic b ON b.ts_code = p.ts_code
        WHERE p.mom IS NOT NULL""",
     ("panel", "placed", "basic"),

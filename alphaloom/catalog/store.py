@@ -53,7 +53,7 @@ def export_verification(spark, folder):
 @query(
     "score_history",
     "ts_code trade_date",
-    "score",
+    {"score": 8},
     "SELECT ts_code, trade_date, score FROM scores WHERE trade_date BETWEEN DATE '1998-02-10' AND DATE '1998-04-20'",
     ("scores",),
 )

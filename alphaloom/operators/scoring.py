@@ -15,9 +15,12 @@ CODE, DATE = "ts_code", "trade_date"
 
 
 def weighted_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of the known factors and its logistic score on 0..100."""
+    """Weighted sum of the known factors and its logistic score on 0..100.
+
+    Both are rounded far below their use, so that equal scores tie whatever the order of the sums.
+    """
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c) * v, F.lit(0.0)) for c, v in weights.items()])
-    return df.withColumn("weighted_score", total).withColumn("score", sigmoid_score("weighted_score"))
+    return df.withColumn("weighted_score", F.round(total, 10)).withColumn("score", F.round(sigmoid_score("weighted_score"), 8))
 
 
 def rankings(df: DataFrame, by: str = DATE, industry: str = "industry", score: str = "score") -> DataFrame:

@@ -35,8 +35,17 @@ def _key(row):
     return tuple((x is None, str(type(x)) if x is not None else "", str(x)) for x in row)
 
 
-def compare(spark_df, con, sql: str, show: int = 4) -> list[str]:
-    """Differences between the two results, empty when equal."""
+def _close(a, b, tol: float) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or abs(a - b) <= tol * max(1.0, abs(a), abs(b))
+    return a == b
+
+
+def compare(spark_df, con, sql: str, show: int = 4, tol: float = 0.0) -> list[str]:
+    """Differences between the two results, empty when equal.
+
+    ``tol`` forgives a last digit: a value halfway between two roundings may go either way.
+    """
     rel = con.sql(sql)
     names = [d[0] for d in rel.description]
     issues = []
@@ -53,8 +62,13 @@ def compare(spark_df, con, sql: str, show: int = 4) -> list[str]:
     for c in order:
         if kinds_g[c] != kinds_w[c] and kinds_g[c] and kinds_w[c]:
             issues.append(f"type {c}: {kinds_g[c]} != {kinds_w[c]}")
-    g, w = sorted(got, key=_key), sorted(want, key=_key)
-    bad = [(a, b) for a, b in zip(g, w) if a != b]
+    exact = [i for i, c in enumerate(order) if "float" not in kinds_g[c] | kinds_w[c]]
+
+    def by_keys(row):
+        return _key([row[i] for i in exact]), _key(row)
+
+    g, w = sorted(got, key=by_keys), sorted(want, key=by_keys)
+    bad = [(a, b) for a, b in zip(g, w) if not all(_close(x, y, tol) for x, y in zip(a, b))]
     if bad:
         issues.append(f"{len(bad)} of {len(w)} rows differ")
         only_g, only_w = sorted(set(g) - set(w), key=_key), sorted(set(w) - set(g), key=_key)

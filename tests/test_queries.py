@@ -7,6 +7,8 @@ import oracle
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
+COARSE = {"factor_statistics"}  # rounded to three places
+
 
 @pytest.fixture(scope="module")
 def duck(folder):
@@ -17,7 +19,7 @@ def duck(folder):
 def test_query(name, spark, folder, duck):
     df = QUERIES[name](spark, folder)
     if name in SQL:
-        assert oracle.compare(df, duck, SQL[name]) == []
+        assert oracle.compare(df, duck, SQL[name], tol=2e-3 if name in COARSE else 2e-6) == []
     else:
         assert df.columns and df.count() >= 0
 
