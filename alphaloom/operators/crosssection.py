@@ -3,7 +3,9 @@
 A trading date, an industry or a factor name can own a large share of all rows, so nothing here
 puts a whole group into one task unless its size was checked first:
 
-* moments are grouped with map-side combine and joined back, one small row per group;
+* moments are grouped with map-side combine and joined back, one small row per group. For a large
+  input the statistics are written first and counted: up to ``BROADCAST_ROWS`` rows are broadcast,
+  so the rows themselves are not shuffled; more groups are joined by exchange;
 * quantiles and ranks first count equal values. If no group is larger than ``HOT_ROWS`` they use
   a plain grouping or window. Otherwise each group is cut at ``SPLITS`` of its own values, chosen
   by hash so that every attempt of a task chooses the same ones, and the pieces are ranked apart
@@ -16,9 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.session import cut
+
 HOT_ROWS = 4_000_000  # largest group handled by a single task
 SMALL_INPUT_BYTES = 64 * 1024 * 1024  # an input this small fits one task whole
 SPLITS = 512  # pieces per hot group
+BROADCAST_ROWS = 200_000  # largest statistics table sent to every executor
 
 
 def _cols(by) -> list[str]:
@@ -43,23 +48,31 @@ def has_hot_group(df: DataFrame, by) -> bool:
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys treating null as a value, keeping one copy of each key."""
-    renamed = right
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_k_{k}")
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return left.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def group_stats(df: DataFrame, by, **aggs: Column) -> DataFrame:
-    """Add aggregates of each row's group as columns.
+def attach(df: DataFrame, stats: DataFrame, by, how: str = "left") -> DataFrame:
+    """Join one row of statistics per group to the rows of the group, null keys included.
 
-    The statistics are one row per group, so the join becomes a broadcast when they are small at
-    run time and a skew-split sort-merge join otherwise.
+    Behind a large input the statistics are cut from their lineage, so that chained operators do
+    not repeat the work before them, and broadcast if their counted size allows it. Otherwise
+    adaptive execution picks the join and splits skewed keys.
     """
+    if estimated_bytes(df) > SMALL_INPUT_BYTES:
+        stats = cut(stats)
+        if stats.count() <= BROADCAST_ROWS:
+            stats = F.broadcast(stats)
+    return _same(df, stats, _cols(by), how)
+
+
+def group_stats(df: DataFrame, by, **aggs: Column) -> DataFrame:
+    """Add aggregates of each row's group as columns."""
     keys = _cols(by)
-    stats = df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()])
-    return _same(df, stats, keys)
+    return attach(df, df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()]), keys)
 
 
 def _split_points(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -201,11 +214,11 @@ def with_all_quantiles(df: DataFrame, by, wanted: dict[str, dict[str, float]], h
     if hot:
         out = df
         for value, probs in wanted.items():
-            out = _same(out, group_quantiles(df.select(*dict.fromkeys([*keys, value])), keys, value, probs, True), keys)
+            out = attach(out, group_quantiles(df.select(*dict.fromkeys([*keys, value])), keys, value, probs, True), keys)
         return out
     aggs = [F.percentile(c, F.array(*[F.lit(float(p)) for p in probs.values()])).alias(f"_q{i}") for i, (c, probs) in enumerate(wanted.items())]
     names = [F.col(f"_q{i}")[j].alias(n) for i, probs in enumerate(wanted.values()) for j, n in enumerate(probs)]
-    return _same(df, df.groupBy(*keys).agg(*aggs).select(*keys, *names), keys)
+    return attach(df, df.groupBy(*keys).agg(*aggs).select(*keys, *names), keys)
 
 
 def with_median_mad(df: DataFrame, by, value: str, hot: bool | None = None) -> DataFrame:
@@ -253,7 +266,7 @@ def bucket_by_edges(df: DataFrame, by, value: str, n: int, out: str, hot: bool |
     if min_rows:
         edges = edges.where(F.col("_size") >= min_rows)
     edges = edges.select(*keys, F.array_distinct("_edges").alias("_edges"))
-    joined = _same(df, edges, keys, "inner" if min_rows else "left")
+    joined = attach(df, edges, keys, "inner" if min_rows else "left")
     inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     bucket = F.lit(1) + F.size(F.filter(inner, lambda e: e < F.col(value)))
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), bucket)).drop("_edges")

@@ -110,7 +110,7 @@ def neutralize(
             (F.coalesce(F.sum(f"_n{i}").over(day), F.lit(0)) > regressors + 1).alias(f"_ok{i}"),
         ]
     small = small.select(by, group, *stats)
-    out = X._same(work, small, [by, group])
+    out = X.attach(work, small, [by, group])
     for i, c in enumerate(cols):
         residual = F.col(c) - F.col(f"_mx{i}") - F.col(f"_b{i}") * (F.col("_c") - F.col(f"_mc{i}"))
         out = out.withColumn(c, _keep_if((F.col("_rows") > min_rows) & F.col(f"_ok{i}") & residual.isNotNull(), residual, F.col(c)))

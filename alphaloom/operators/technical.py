@@ -63,12 +63,14 @@ def ema(df: DataFrame, span: int, price: str = "close", out: str | None = None)
     inside = W.partitionBy("ts_code", "_block").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy("ts_code").orderBy("_block").rangeBetween(-1, -1)
     shrink = r**size  # a value of the block before is one block older
+    # The first frame's order by code, block and day also serves the second.
+    staged = staged.withColumns({"_nx": F.sum("_wx").over(inside), "_n1": F.sum("_w1").over(inside)})
 
-    def decayed(c):
-        return F.coalesce(F.sum(c).over(inside), F.lit(0.0)) + F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) * shrink
+    def decayed(now, c):
+        return F.coalesce(now, F.lit(0.0)) + F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) * shrink
 
-    return staged.withColumn(out or f"ema_{span}", F.try_divide(decayed("_wx"), decayed("_w1"))).drop(
-        "_i", "_block", "_j", "_wx", "_w1"
+    return staged.withColumn(out or f"ema_{span}", F.try_divide(decayed("_nx", "_wx"), decayed("_n1", "_w1"))).drop(
+        "_i", "_block", "_j", "_wx", "_w1", "_nx", "_n1"
     )
 
 
