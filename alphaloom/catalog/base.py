@@ -95,6 +95,12 @@ def with_views(body: str, needs) -> str:
     return f"WITH {head}\n{body}"
 
 
+def joined(*names: str, using: str = "ts_code, trade_date") -> str:
+    """The SQL of several queries side by side."""
+    first, *rest = names
+    return f"SELECT * FROM ({ORACLES[first]}) " + " ".join(f"JOIN ({ORACLES[n]}) USING ({using})" for n in rest)
+
+
 def roll(agg: str, x: str, n: int, w: str = W) -> str:
     """A rolling aggregate that is null until its frame is full."""
     frame = f"({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"

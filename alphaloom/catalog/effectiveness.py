@@ -277,6 +277,6 @@ query("factor_rating", "factor_name grade", "ic_score ir_score layered_score dec
 query("factor_ranking", "factor_name rank grade grade_count advice", "score average_score")(
     lambda s, f: E.recommendation(E.rank_factors(report(s, f)), 2)
 )
-query("processed_factors", "factor_name ts_code trade_date", "factor_value")(
+query("processed_factors", "factor_name ts_code trade_date", "factor_value", "SELECT * FROM processed", ("processed",))(
     lambda s, f: reports.processed_long(reports.process_factors(panel(s, f), ["mom", "rng"]), ["mom", "rng"])
 )

@@ -83,19 +83,29 @@ query(
     ("ranked",),
 )(_as_x(lambda d: P.standardize(d, "mom", "rank")))
 
-query(
-    "neutralize_cap_industry",
-    KEYS,
-    "x",
-    f"""SELECT ts_code, trade_date, CASE WHEN rows > 10 AND valid > kinds + 2 AND dx IS NOT NULL
-               THEN dx - coalesce(sxc / nullif(scc, 0), 0) * dc ELSE mom END AS x FROM (
+
+def _neutral_sql(source: str, c: str) -> str:
+    """The residual of a column on log cap and industry per date, as ``x``."""
+    return f"""SELECT ts_code, trade_date, CASE WHEN rows > 10 AND valid > kinds + 2 AND dx IS NOT NULL
+               THEN dx - coalesce(sxc / nullif(scc, 0), 0) * dc ELSE {c} END AS x FROM (
           SELECT *, sum(dx * dc) {D} AS sxc, sum(dc * dc) {D} AS scc, count(dx) {D} AS valid, count(*) {D} AS rows,
                  (SELECT count(DISTINCT industry) FROM panel) AS kinds FROM (
             SELECT *, fx - avg(fx) {DI} AS dx, fc - avg(fc) {DI} AS dc FROM (
-              SELECT *, CASE WHEN lc IS NOT NULL THEN mom END AS fx, CASE WHEN mom IS NOT NULL THEN lc END AS fc FROM (
-                SELECT *, CASE WHEN market_cap > 0 THEN ln(market_cap) END AS lc FROM panel))))""",
-    NEED,
-)(_as_x(lambda d: P.neutralize(d, "mom")))
+              SELECT *, CASE WHEN lc IS NOT NULL THEN {c} END AS fx, CASE WHEN {c} IS NOT NULL THEN lc END AS fc FROM (
+                SELECT *, CASE WHEN market_cap > 0 THEN ln(market_cap) END AS lc FROM {source}))))"""
+
+
+query("neutralize_cap_industry", KEYS, "x", _neutral_sql("panel", "mom"), NEED)(_as_x(lambda d: P.neutralize(d, "mom")))
+
+
+def _processed_sql(c: str) -> str:
+    lo, hi = f"quantile_cont({c}, 0.01) {D}", f"quantile_cont({c}, 0.99) {D}"
+    cut = f"(SELECT ts_code, trade_date, industry, market_cap, {_clip(c, lo, hi)} AS w FROM panel)"
+    z = f"(SELECT *, CASE WHEN stddev_samp(w) {D} > 0 THEN (w - avg(w) {D}) / stddev_samp(w) {D} ELSE w END AS z FROM {cut})"
+    return f"SELECT '{c}_processed' AS factor_name, ts_code, trade_date, x AS factor_value FROM ({_neutral_sql(z, 'z')}) WHERE x IS NOT NULL"
+
+
+view("processed", _processed_sql("mom") + " UNION ALL " + _processed_sql("rng"), "panel")
 
 query(
     "limit_outliers_remove",

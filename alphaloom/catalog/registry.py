@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import alphaloom.catalog.panel  # noqa: F401
-from alphaloom.catalog.base import query, roll
+from alphaloom.catalog.base import joined, query, roll
 from alphaloom.operators import technical as T
 from alphaloom.plans import registry as G
 from alphaloom.sources.tables import bars, panel, statements
@@ -41,7 +41,13 @@ def _long_only(spark, folder):
     return r.compute(bars(spark, folder), ["slow"], keep_short=False).groupBy("ts_code").agg(F.count("*").alias("n"))
 
 
-query("registry_fundamental", "ts_code end_date", "roe current_ratio revenue_yoy")(
+query(
+    "registry_fundamental",
+    "ts_code end_date",
+    "roe current_ratio revenue_yoy",
+    joined("fundamental_growth", "fundamental_profitability", "fundamental_soundness", using="ts_code, end_date"),
+    (),
+)(
     lambda s, f: G.default_registry().compute(statements(s, f), ["growth", "profitability", "soundness"])
 )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alphaloom.catalog.base import W, query, roll, view
+from alphaloom.catalog.base import W, joined, query, roll, view
 from alphaloom.operators import sentiment as S
 from alphaloom.sources.tables import bars, daily_basic, table
 
@@ -160,6 +160,10 @@ query(
          FROM lineitem GROUP BY 1, 2) USING (ts_code, trade_date)""",
 )(lambda spark, folder: S.news_score(bars(spark, folder), news_feed(spark, folder)))
 
-query("sentiment_all_factors", KEYS, "money_flow_5 sentiment_strength abnormal_return sentiment_momentum news_sentiment_score")(
-    lambda spark, folder: S.sentiment_factors(daily_basic(spark, folder), news_feed(spark, folder))
-)
+query(
+    "sentiment_all_factors",
+    KEYS,
+    "money_flow_5 sentiment_strength abnormal_return sentiment_momentum attention_score news_sentiment_score",
+    joined("sentiment_money_flow", "sentiment_strength", "sentiment_abnormal", "sentiment_tone", "sentiment_attention", "sentiment_news_score"),
+    (),
+)(lambda spark, folder: S.sentiment_factors(daily_basic(spark, folder), news_feed(spark, folder)))

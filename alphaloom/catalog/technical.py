@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alphaloom.catalog.base import W, query, roll, view
+from alphaloom.catalog.base import W, joined, query, roll, view
 from alphaloom.operators import crosssection as X
 from alphaloom.operators import technical as T
 from alphaloom.sources.tables import bars
@@ -171,8 +171,14 @@ query(
             SELECT *, coalesce({C} - pre_close, 0) AS d FROM bars))""",
 )(_over(lambda df: T.calculate_bollinger_bands(T.calculate_sma(T.calculate_rsi(df)))))
 
-# Factors without a stated SQL twin above are covered together by the wide table (rows only).
-query("technical_all_factors", "ts_code trade_date", "sma_60 rsi_14 macd_histogram mfi_14 bb_position vpt")(_over(T.technical_factors))
+# The wide table of all factors holds the same values as the single queries.
+query(
+    "technical_all_factors",
+    KEYS,
+    {"sma_60": 6, "rsi_14": 6, "macd_histogram": 6, "mfi_14": 6, "bb_position": 6, "williams_r_14": 6, "vpt": 3},
+    joined("technical_sma", "technical_rsi", "technical_macd", "technical_mfi", "technical_bollinger", "technical_williams_r", "technical_vpt"),
+    (),
+)(_over(T.technical_factors))
 
 _z = "(x - avg(x) OVER (PARTITION BY f)) / nullif(stddev_samp(x) OVER (PARTITION BY f), 0)"
 query(

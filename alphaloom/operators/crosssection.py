@@ -46,7 +46,7 @@ def has_hot_group(df: DataFrame, by) -> bool:
     return not sizes.where(F.col("rows") > HOT_ROWS).limit(1).isEmpty()
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys treating null as a value, keeping one copy of each key."""
     renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     cond = F.lit(True)
@@ -66,7 +66,7 @@ def attach(df: DataFrame, stats: DataFrame, by, how: str = "left") -> DataFrame:
         stats = cut(stats)
         if stats.count() <= BROADCAST_ROWS:
             stats = F.broadcast(stats)
-    return _same(df, stats, _cols(by), how)
+    return join_groups(df, stats, _cols(by), how)
 
 
 def group_stats(df: DataFrame, by, **aggs: Column) -> DataFrame:
@@ -117,7 +117,7 @@ def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> D
             before.over(W.partitionBy(*keys)).alias("_n"),
         )
     splits = _split_points(counted, keys, value)
-    pieces = _same(counted, splits, keys).withColumn("_piece", _smaller_in("_splits", value)).drop("_splits")
+    pieces = join_groups(counted, splits, keys).withColumn("_piece", _smaller_in("_splits", value)).drop("_splits")
     totals = pieces.groupBy(*keys, "_piece").agg(F.sum("_ties").alias("_rows"))
     group = W.partitionBy(*keys)  # at most SPLITS + 1 rows
     offsets = totals.select(
@@ -128,7 +128,7 @@ def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> D
     )
     inside = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     ranked = pieces.withColumn("_inside", F.coalesce(before.over(inside), F.lit(0)))
-    return _same(ranked, offsets, [*keys, "_piece"]).select(
+    return join_groups(ranked, offsets, [*keys, "_piece"]).select(
         *keys, value, "_ties", (F.col("_start") + F.col("_inside")).alias("_below"), "_n"
     )
 
@@ -159,7 +159,7 @@ def with_all_positions(df: DataFrame, specs: list[tuple], hot: bool | None = Non
             )
         else:
             places = value_positions(df.select(*dict.fromkeys([*keys, value])), keys, value, True)
-            out = _same(out, places.withColumnsRenamed(names), [*keys, value])
+            out = join_groups(out, places.withColumnsRenamed(names), [*keys, value])
     return out
 
 
@@ -200,7 +200,7 @@ def group_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], hot:
 
     out = picked.select(*keys, *[between(n) for n in probs])
     everyone = df.select(*keys).distinct()  # keep groups whose values are all null
-    return _same(everyone, out, keys)
+    return join_groups(everyone, out, keys)
 
 
 def with_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], hot: bool | None = None) -> DataFrame:
@@ -260,7 +260,7 @@ def bucket_by_edges(df: DataFrame, by, value: str, n: int, out: str, hot: bool |
         edges = group_quantiles(df.select(*dict.fromkeys([*keys, value])), keys, value, names, True)
         edges = edges.select(*keys, F.array(*names).alias("_edges"))
         if min_rows:
-            edges = _same(edges, df.groupBy(*keys).agg(size), keys)
+            edges = join_groups(edges, df.groupBy(*keys).agg(size), keys)
     else:
         edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in shares])).alias("_edges"), size)
     if min_rows:

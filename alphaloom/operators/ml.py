@@ -133,14 +133,18 @@ def feature_importance(model: PipelineModel, factors: list[str], spark) -> DataF
 
 def time_series_cv(df: DataFrame, factors: list[str], kind: str, folds: int = 5, **params) -> list[dict]:
     """r2 of ``folds`` expanding windows: train up to a cut, test on the part after it."""
-    shared = with_time_share(fill_zero(df, factors))
+    shared = with_time_share(fill_zero(df, factors)).select(*factors, TARGET, "time_share").persist()
     pipeline = model_pipeline(kind, factors, **params)
     scores = []
-    for k in range(1, folds + 1):
-        cut, end = k / (folds + 1), (k + 1) / (folds + 1)
-        model = pipeline.fit(shared.where(F.col("time_share") <= cut))
-        row = regression_metrics(model.transform(shared.where((F.col("time_share") > cut) & (F.col("time_share") <= end)))).first()
-        scores.append({"fold": k, "n": row["n"], "r2": row["r2"], "mse": row["mse"]})
+    try:
+        for k in range(1, folds + 1):
+            cut, end = k / (folds + 1), (k + 1) / (folds + 1)
+            model = pipeline.fit(shared.where(F.col("time_share") <= cut))
+            part = shared.where((F.col("time_share") > cut) & (F.col("time_share") <= end))
+            row = regression_metrics(model.transform(part)).first()
+            scores.append({"fold": k, "n": row["n"], "r2": row["r2"], "mse": row["mse"]})
+    finally:
+        shared.unpersist()
     return scores
 
 

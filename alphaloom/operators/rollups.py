@@ -171,7 +171,7 @@ def factor_statistics(df: DataFrame, by: list[str], value: str = "factor_value")
         F.max(value).alias("max_value"),
     ).withColumn("coverage_rate", F.col("valid_count") / F.col("total_count"))
     probs = {f"p{p:02d}": p / 100 for p in (5, 10, 25, 50, 75, 90, 95)}
-    return X._same(base, X.group_quantiles(df, by, value, probs), by)
+    return X.join_groups(base, X.group_quantiles(df, by, value, probs), by)
 
 
 def archivable(df: DataFrame, before, min_rows: int = 100) -> DataFrame:
