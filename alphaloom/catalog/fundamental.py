@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alphaloom.catalog.base import query, roll, view
 from alphaloom.operators import fundamental as Fu
 from alphaloom.operators import joins as J
-from alphaloom.sources.tables import bars, daily_basic, statements
+from alphaloom.sources.tables import daily_basic, statements
 
 KEYS = "ts_code end_date"
 Q = "PARTITION BY ts_code ORDER BY end_date"

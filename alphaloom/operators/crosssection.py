@@ -23,6 +23,7 @@ from alphaloom.session import cut
 HOT_ROWS = 4_000_000  # largest group handled by a single task
 SMALL_INPUT_BYTES = 64 * 1024 * 1024  # an input this small fits one task whole
 SPLITS = 512  # pieces per hot group
+SALTS = 256  # parts of a group in a long top list
 BROADCAST_ROWS = 200_000  # largest statistics table sent to every executor
 
 
@@ -239,10 +240,16 @@ def with_all_median_mad(df: DataFrame, by, wanted: dict[str, tuple[str, str]], h
 def top_per_group(df: DataFrame, by, order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows of each group with their number in ``rank``.
 
-    The row-number filter is applied before the exchange too, so a task receives at most ``k``
-    rows per group and map task.
+    Up to a thousand rows the optimizer applies the limit before the exchange too, so a task
+    receives at most ``k`` rows per group and map task. Beyond that the rows are first limited
+    inside salted parts of the group, which hold the group's first ``k`` between them.
     """
-    w = W.partitionBy(*_cols(by)).orderBy(*order)
+    keys = _cols(by)
+    w = W.partitionBy(*keys).orderBy(*order)
+    if k > 1000:
+        part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        inner = W.partitionBy(*keys, "_salt").orderBy(*order)
+        df = part.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= k).drop("_salt", "_i")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

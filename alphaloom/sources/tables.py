@@ -23,9 +23,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bucket_count(frame: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> int:
-    """Buckets of about ``target_bytes`` of input each, by the optimizer's estimate."""
-    return min(50_000, max(8, estimated_bytes(frame) // target_bytes))
+def bucket_count(spark: SparkSession, folder: str, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Buckets of about ``target_bytes`` of trades each, by the optimizer's estimate.
+
+    All stored tables of a folder use the same number, so they join and derive without exchange.
+    """
+    return min(50_000, max(8, estimated_bytes(table(spark, folder, "lineitem")) // target_bytes))
 
 
 def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
@@ -33,7 +36,8 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
 
     Bucketing places every security's rows in one bucket, so the per-security windows that most
     factors use need no further exchange. Files sit in the shared folder and survive the loss of
-    an executor.
+    an executor. ``build`` places its rows by code itself, before its own windows, so that the
+    write finds every bucket in one task.
     """
     # Spark 4.1 takes a columnar union of bucketed scans as hash partitioned although it lines the
     # partitions up one after the other, which makes later groupings wrong. Unions exchange instead.
@@ -42,11 +46,10 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     if key not in _written or not spark.catalog.tableExists(_written[key]):
         path = scratch_path(spark, name)
         relation = "panel_" + path.rsplit("-", 1)[1]
+        buckets = bucket_count(spark, folder)
         frame = build(spark, folder)
-        buckets = bucket_count(frame)
         (
-            frame.repartition(buckets, CODE)
-            .write.bucketBy(buckets, CODE)
+            frame.write.bucketBy(buckets, CODE)
             .sortBy(CODE, DATE if DATE in frame.columns else "end_date")
             .option("path", path)
             .format("parquet")
@@ -56,6 +59,10 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     return spark.table(_written[key])
 
 
+def by_code(frame: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    return frame.repartition(bucket_count(spark, folder), CODE)
+
+
 def build_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars from single trades: the line items of one supplier on one ship date.
 
@@ -79,7 +86,7 @@ def build_bars(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("e").alias("amount"),
     )
     w = W.partitionBy(CODE).orderBy(DATE)
-    return daily.withColumn("pre_close", F.lag("close").over(w))
+    return by_code(daily, spark, folder).withColumn("pre_close", F.lag("close").over(w))
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +153,7 @@ def build_statements(spark: SparkSession, folder: str) -> DataFrame:
     )
     f, o, p = F.col("f"), F.col("o"), F.col("p")
     return (
-        base.select(
+        by_code(base, spark, folder).select(
             CODE,
             "end_date",
             F.date_add("end_date", 30).alias("ann_date"),

@@ -171,3 +171,31 @@ def test_zscore_is_unchanged_by_scale_and_shift(spark, a, b):
     df = spark.createDataFrame([(1, v, a * v + b) for v in x], "trade_date int, x double, y double")
     rows = P.standardize(df, ["x", "y"]).collect()
     assert all(r.x == pytest.approx(r.y, abs=1e-7) for r in rows)
+
+
+def test_long_top_lists_are_salted_and_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), "hot" if rng.random() < 0.8 else "cold", float(np.round(rng.normal(), 2))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    got = sorted((r.g, r["rank"], r.id) for r in X.top_per_group(df, "g", [F.desc("x"), F.asc("id")], 1500).collect())
+    pdf = pd.DataFrame(rows, columns=["id", "g", "x"]).sort_values(["g", "x", "id"], ascending=[True, False, True])
+    pdf["r"] = pdf.groupby("g").cumcount() + 1
+    pdf = pdf[pdf.r <= 1500]
+    assert got == sorted(zip(pdf.g, pdf.r, pdf.id))
+
+
+def test_statistics_beyond_the_broadcast_limit_are_joined(spark, split, monkeypatch):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 2)
+    df, pdf = skewed(spark)
+    got = X.group_stats(df, "g", m=F.avg("x")).select("id", "m").toPandas().set_index("id").m.sort_index()
+    assert np.allclose(got, pdf.groupby("g").x.transform("mean"), equal_nan=True)
+
+
+def test_market_wide_layers_equal_on_both_paths(spark, split):
+    rng = np.random.default_rng(4)
+    rows = [("f", int(d), float(np.round(rng.normal(), 1)), float(rng.normal())) for d in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame(rows, "factor_name string, trade_date int, factor_value double, return_rate double")
+    cols = ("trade_date", "factor_quantile", "count", "mean", "median")
+    hot = collect(E.layered_returns(df, 5), *cols)
+    X.HOT_ROWS = 10**9
+    assert hot == collect(E.layered_returns(df, 5), *cols)
