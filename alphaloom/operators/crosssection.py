@@ -117,6 +117,7 @@ def value_positions(df: DataFrame, by, value: str, hot: bool | None = None) -> D
             F.coalesce(before.over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
             before.over(W.partitionBy(*keys)).alias("_n"),
         )
+    counted = cut(counted)  # every branch below must see the same values to the last bit
     splits = _split_points(counted, keys, value)
     pieces = join_groups(counted, splits, keys).withColumn("_piece", _smaller_in("_splits", value)).drop("_splits")
     totals = pieces.groupBy(*keys, "_piece").agg(F.sum("_ties").alias("_rows"))
@@ -145,11 +146,14 @@ def with_all_positions(df: DataFrame, specs: list[tuple], hot: bool | None = Non
     On the split path every column is placed from the same input and joined to it, so the plan
     grows with the number of columns only.
     """
+    split = [has_hot_group(df, _cols(by)) if hot is None else hot for by, _, _ in specs]
+    if any(split):
+        df = cut(df)  # places are joined back by value, so both sides must hold equal floats
     out = df
-    for by, value, prefix in specs:
+    for (by, value, prefix), apart in zip(specs, split):
         keys = _cols(by)
         names = {"_below": f"{prefix}below", "_ties": f"{prefix}ties", "_n": f"{prefix}n"}
-        if not (has_hot_group(df, keys) if hot is None else hot):
+        if not apart:
             group = W.partitionBy(*keys)
             known = F.col(value).isNotNull()
             out = out.select(
