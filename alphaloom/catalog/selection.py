@@ -503,7 +503,7 @@ query(
 
 
 def trade_log(spark, folder):
-    """Daily buys and sells from returned and accepted order lines; one desk per ship mode stand-in."""
+    """Daily buys and sells: accepted order lines as buys, returned ones as sells, the line status as strategy."""
     li = table(spark, folder, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
     return li.groupBy(
         F.col("l_linestatus").alias("strategy_id"),

@@ -7,6 +7,7 @@ version) and month, so replacing a date range rewrites only its months.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -227,8 +228,8 @@ class FeatureStore:
         rows = self._table("lineage", LINEAGE).where(F.col("factor_name") == factor)
         return rows.join(self.versions(factor).select("version_id", "version", "algorithm_hash", "is_active"), "version_id").orderBy(F.desc("recorded_at"))
 
-    def calculate_and_store(self, names: dict, bars: DataFrame, code_of=lambda fn: fn.__name__) -> dict[str, str]:
-        """Compute factors, each under its version, and store them; returns the version ids."""
+    def calculate_and_store(self, names: dict, bars: DataFrame, code_of=inspect.getsource) -> dict[str, str]:
+        """Compute factors, each under the version of its source text, and store them."""
         ids = {}
         for name, fn in names.items():
             ids[name] = self.create_version(name, code_of(fn), {"factor": name})
