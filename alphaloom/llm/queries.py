@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, simhash
+from alphaloom.llm import bpe, mixing, simhash
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+MIX_SQL = r"""
+WITH sized AS MATERIALIZED (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, 3 * source_size AS cap,
+         CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight FROM sources),
+levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS BIGINT) AS rest,
+         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS BIGINT) AS shares
+  FROM ranked WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT rest, shares FROM levels WHERE rest * weight <= cap * shares ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST LIMIT 1),
+shared AS (SELECT source, source_size, least(CAST(level.rest AS DOUBLE) * weight / level.shares, CAST(cap AS DOUBLE)) AS target FROM ranked, level),
+queued AS (
+  SELECT sized.*, source_size, target,
+         CAST(coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized JOIN shared ON sized.source IS NOT DISTINCT FROM shared.source),
+turns AS (
+  SELECT doc_id, place, size, turn, CAST(source_size * turn + before + size AS DOUBLE) / target AS finish
+  FROM queued, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0 AND target > 0),
+cut AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, turn ROWS UNBOUNDED PRECEDING) AS upto FROM turns),
+used AS (
+  SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM cut WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM queued LEFT JOIN used USING (doc_id)
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.queue(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
