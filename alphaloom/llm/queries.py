@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, mixing, simhash
+from alphaloom.llm import bpe, mixing, pii, simhash
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,15 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM queue
 @query("op1_mixing", MIX_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.queue(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
