@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 
 SHORT = 400
 #: Entries in each of the two generations that a cache of a Python worker keeps.
-CACHED = 300_000
+CACHED = 200_000
+#: Rows that are encoded or decoded at a time.
+ROWS = 1000
 
 #: White space beyond the six ASCII characters; texts that hold any are split as a whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -152,9 +154,15 @@ def _with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, name: str) -> Iterator[pa.RecordBatch]:
     own = codec(data)
-    for batch in batches:
+    for batch in _slices(batches):
         packed = [own.encode(t) for t in batch.column(at).to_pylist()]
         lengths = pa.array([0, *(len(p) // 4 for p in packed)], pa.int64())
         offsets = pa.compute.cumulative_sum(lengths).cast(pa.int32())
@@ -164,7 +172,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, nam
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, name: str) -> Iterator[pa.RecordBatch]:
     own = codec(data)
-    for batch in batches:
+    for batch in _slices(batches):
         ids = batch.column(at)
         texts = []
         for k in range(len(ids)):
