@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
+from alphaloom.llm import bpe, chat, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,53 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+CHAT_SQL = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens,
+         length(regexp_replace(text, '([<\[\\])', '\1-', 'g')) + 4
+         + CASE role WHEN 'user' THEN 10 WHEN 'assistant' THEN 11 WHEN 'system' THEN 11
+           ELSE 17 + length(regexp_replace(role, '([<\[\\])', '\1-', 'g')) END AS chars FROM every),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, CAST(sum(tokens) OVER w AS BIGINT) AS upto FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+spans AS (SELECT *, (greatest(upto, 1) - 1) // 384 AS span FROM placed),
+ends AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS span_end, max(span) OVER (PARTITION BY conv_id) AS last_span FROM spans),
+counts AS (SELECT conv_id, count(DISTINCT span) AS n_windows FROM spans GROUP BY conv_id),
+used AS (
+  SELECT e.*, 1 + CASE WHEN place = 0 AND role = 'system' THEN n_windows - 1
+                       WHEN span < last_span AND span_end - upto + tokens <= 128 THEN 1 ELSE 0 END AS uses
+  FROM ends e JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+       CAST(sum(chars * uses) AS BIGINT) AS formatted_chars
+FROM used GROUP BY conv_id
+"""
+
+
+@query("op8_chat", CHAT_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.windows(rows)
+    turns = chat.read_turns(F.col("formatted"))
+    fresh = F.filter(F.transform(turns, lambda t, k: F.when(k >= F.col("repeated"), F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), lambda t: t.isNotNull())
+    back = made.select("conv_id", "window", "formatted", fresh.alias("turns"), F.array_join(chat.read_targets(F.col("formatted"), F.col("mask")), "").alias("loss"))
+    back = back.select("conv_id", F.struct("window", F.size("turns").alias("n"), F.array_join("turns", "").alias("turns"), "loss", F.length("formatted").alias("chars")).alias("w"))
+    whole = back.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    total = lambda part: F.aggregate(F.transform("w", part), F.lit(0).cast("long"), lambda a, n: a + n)
+    joined = lambda field: F.array_join(F.col("w")[field], "")
+    return whole.select(
+        "conv_id",
+        total(lambda w: w["n"]).alias("n_turns"),
+        F.sha2(joined("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.length(joined("loss")).cast("long").alias("loss_chars"),
+        F.sha2(joined("loss").cast("binary"), 256).alias("loss_sha256"),
+        total(lambda w: w["chars"]).alias("formatted_chars"),
+    )
