@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
+from alphaloom.llm import ann, bpe, chat, licenses, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined("loss").cast("binary"), 256).alias("loss_sha256"),
         total(lambda w: w["chars"]).alias("formatted_chars"),
     )
+
+
+@query("op7_licenses", licenses.oracle_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op3_ann")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), top=20)
