@@ -261,6 +261,9 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
     Exactly repeated rows share an id; one of them stays.
     """
-    kept = classes(df, doc_id, text, width, budget).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
-    with_id = df.join(kept, df[doc_id] == kept["_kept"], "left_semi").dropDuplicates([doc_id])
+    first = classes(df, doc_id, text, width, budget).where(F.col(doc_id) == F.col("component_id"))
+    kept = stored(first.groupBy(F.col(doc_id).alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
+    with_id = df.join(kept.select("_kept"), df[doc_id] == kept["_kept"], "left_semi")
+    if not kept.where("_rows > 1").isEmpty():
+        with_id = with_id.dropDuplicates([doc_id])
     return with_id.unionByName(df.where(F.col(doc_id).isNull()))
