@@ -1,15 +1,15 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-Two words are alike by the letter triples that they share in order, gaps allowed: a triple that
+Two words are alike by the letter fours that they share in order, gaps allowed: a four that
 spans s characters counts ``DECAY ** s``, at most ``SPAN`` characters apart. Separators inside a
 word and inserted letters thus only add gaps, and single letters in a row are read as one word.
 Kernel values with a few landmark words, whitened by the landmarks' own kernel matrix, are the
-features of a linear machine. A sentence is as bad as its worst word and a document as bad as its
-worst sentence, which is how words are picked in training: from labelled documents' sentences, the
-worst word of each toxic document by the current machine against the words of clean documents.
+features of a linear machine. A sentence is as bad as its worst word, which is how words are picked
+in training: from labelled documents' sentences, the worst word of each toxic document against the
+words of clean documents. A document's chance to be toxic follows from its ``TOP`` worst words.
 
-A linear machine on kernel values is a sum over triples, so the trained model is one table of
-weights for triples, and scoring is a few look-ups for each character of the whole text.
+A linear machine on kernel values is a sum over fours, so the trained model is one table of
+weights for fours, and scoring is a few look-ups for each character of the whole text.
 
 Learned from at most about ``TRAIN_DOCS`` labelled documents of each class, chosen by checksum of
 the id, never from held-out ids. Scores are calibrated on training documents that the machine has
@@ -38,15 +38,22 @@ from alphaloom.llm.common import held_out, stored
 
 TRAIN_DOCS = 3000
 LANDMARKS = 192
-SPAN, DECAY = 5, 0.7
-#: Letters are 1 to 26, letters of other scripts 27 to 30, white space 31, all else 0.
-CODES, BLANK = 32, 31
+SPAN, DECAY = 6, 0.7
+#: Letters are 1 to 26, letters of other scripts 27 to 30, the start of a word 31, all else 0.
+CODES, START = 32, 31
+FOURS = CODES**4
 #: Characters after which a word without blanks is cut; words that long are read twice, with other cuts.
 WORD_LIMIT = 24
 CHUNK = 400_000
-#: Rounds of training; each after the first adds the words that the round before got wrong or nearly so.
-MINED = 3
-GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+#: Rounds of training, and toxic documents without explanation that are too few for another one.
+ROUNDS, LEAST_OPEN = 4, 10
+#: Worst words by which a document is judged.
+TOP = 3
+#: Words that a round picks on average at most.
+WORDS = 60_000
+#: Deviations that rare fours reach by chance, the ratio that tells nothing, and the part of clean documents whose words stay below a toxic one.
+CHANCE, RATIO, ABOVE = 3.5, 4.0, 0.93
+GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -55,7 +62,7 @@ def _code_table() -> np.ndarray:
     for cp in range(1 << 16):
         c = chr(cp)
         if c in " \t\n\x0b\x0c\r":
-            table[cp] = BLANK
+            table[cp] = START
         elif c.isalpha():
             base = unicodedata.normalize("NFKD", c.lower())[:1]
             table[cp] = ord(base) - 96 if "a" <= base <= "z" else 19 if c in "ßẞ" else 27 + cp % 4
@@ -64,12 +71,13 @@ def _code_table() -> np.ndarray:
 
 @dataclass
 class Words:
-    """Letter codes of some texts, word by word; ``starts`` are the words' first places, ``doc`` the texts they are in."""
+    """Letter codes of some texts, word by word; ``starts`` are the words' first places, ``doc`` their texts, ``cut`` tells pieces of very long words."""
 
     codes: np.ndarray
     word: np.ndarray
     starts: np.ndarray
     doc: np.ndarray
+    cut: np.ndarray
 
 
 def words_of(texts: list[str | None], shift: int = 0) -> Words:
@@ -79,7 +87,7 @@ def words_of(texts: list[str | None], shift: int = 0) -> Words:
     table = _code_table()
     codes = np.where(points < (1 << 16), table[points & 0xFFFF], 0).astype(np.uint8)
     doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])[: len(codes)]
-    blank = codes == BLANK
+    blank = codes == START
     # Single letters in a row: a blank with a lone letter on either side parts no words.
     padded = np.r_[True, True, blank, True, True]
     lone_before = ~padded[1:-3] & padded[:-4]
@@ -87,94 +95,117 @@ def words_of(texts: list[str | None], shift: int = 0) -> Words:
     soft = blank & lone_before & lone_after
     codes = np.where(soft, 0, codes)
     blank &= ~soft
+    word = np.cumsum(blank)
     keep = (codes > 0) & ~blank
-    word = np.cumsum(blank)[keep]
-    codes, doc = codes[keep], doc[keep]
+    codes, doc, word = codes[keep], doc[keep], word[keep]
     if not len(codes):
-        return Words(codes, word, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        return Words(codes, word, none, none, none.astype(bool))
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
-    cut = (place > 0) & ((place + shift) % WORD_LIMIT == 0)
-    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]] | cut)
+    # The mark for a word's start goes before its first letter.
+    codes, doc, word = np.insert(codes, first, START), np.insert(doc, first, doc[first]), np.insert(word, first, word[first])
+    first = first + np.arange(len(first))
+    sizes = np.diff(np.r_[first, len(codes)])
+    place = np.arange(len(codes)) - np.repeat(first, sizes)
+    starts = np.flatnonzero((place == 0) | ((place + shift) % WORD_LIMIT == 0))
+    cut = np.repeat(sizes > WORD_LIMIT, sizes)[starts]
     word = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-    return Words(codes, word, starts, doc[starts])
+    return Words(codes, word, starts, doc[starts], cut)
 
 
 #: A letter for each of the codes 27 to 30.
 _OTHER = "".join(chr(0x3B4 + (k - 0x3B4) % 4) for k in range(4))
 
 
-def _triples(w: Words):
-    """(place of the first letter, code of the triple, weight) arrays for each pair of gaps; code 0 is none."""
-    c = w.codes.astype(np.int32)
-    for a, b in GAPS:
-        n = len(c) - b
+def _fours(w: Words):
+    """(places, code of the four that begins there, weight) for each choice of gaps; code 0 is none."""
+    x = w.codes.astype(np.int32)
+    for a, b, c in GAPS:
+        n = len(x) - c
         if n <= 0:
             continue
-        code = (c[:n] << 10) + (c[a : a + n] << 5) + c[b:]
-        yield n, np.where(w.word[:n] == w.word[b:], code, 0), DECAY ** (b + 1)
+        code = (x[:n] << 15) + (x[a : a + n] << 10) + (x[b : b + n] << 5) + x[c:]
+        yield n, np.where(w.word[:n] == w.word[c:], code, 0), DECAY ** (c + 1)
 
 
 def word_scores(w: Words, weights: np.ndarray) -> np.ndarray:
-    """The weights' sum over each word's triples, over the word's own length in triples; -inf without triples."""
+    """The weights' sum over each word's fours, over the word's own length in fours; -inf without fours."""
     if not len(w.codes):
         return np.zeros(0)
     top, own = np.zeros(len(w.codes), np.float32), np.zeros(len(w.codes), np.float32)
-    for n, code, decay in _triples(w):
+    for n, code, decay in _fours(w):
         top[:n] += np.float32(decay) * weights[code]
         own[:n] += np.float32(decay * decay) * (code > 0)
     top, own = np.add.reduceat(top, w.starts), np.add.reduceat(own, w.starts)
     return np.where(own > 0, top / np.sqrt(np.maximum(own, 1e-9)), -np.inf)
 
 
-def _worst(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """The highest word score of each text; -inf for a text without words."""
-    found = np.full(len(texts), -np.inf)
+def _worst(texts: list[str | None], weights: np.ndarray, top: int = 1) -> np.ndarray:
+    """The ``top`` highest word scores of each text, highest first; -inf where there are no more words."""
+    out = np.full((len(texts), top), -np.inf)
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
         while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHUNK):
             size += len(texts[end] or "")
             end += 1
-        part = texts[begin:end]
-        for shift in (0, WORD_LIMIT // 2):
-            w = words_of(part, shift)
-            if shift and not len(w.starts):
-                break
-            np.maximum.at(found, begin + w.doc, word_scores(w, weights))
-            if not shift and (not len(w.starts) or np.diff(np.r_[w.starts, len(w.codes)]).max() < WORD_LIMIT):
-                break
+        w = words_of(texts[begin:end])
+        scores, doc = word_scores(w, weights), w.doc
+        if w.cut.any():
+            again = words_of(texts[begin:end], WORD_LIMIT // 2)
+            scores, doc = np.r_[scores, word_scores(again, weights)[again.cut]], np.r_[doc, again.doc[again.cut]]
+        order = np.lexsort((-scores, doc))
+        scores, doc = scores[order], doc[order]
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        out[begin + doc[place < top], place[place < top]] = scores[place < top]
         begin = end
-    return found
+    return out
 
 
-def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """Kernel values of words, each of at most ``WORD_LIMIT`` letters, with landmarks."""
-    return np.vstack([_against(words[k : k + 2000], _table(marks)) for k in range(0, len(words), 2000)]) if words else np.zeros((0, len(marks)))
+@dataclass(frozen=True)
+class Marks:
+    """Landmarks as a row of weights for each four that occurs in one; ``row`` is a four's row, 0 for all others."""
+
+    row: np.ndarray
+    weight: np.ndarray
+
+    def flat(self, by: np.ndarray) -> np.ndarray:
+        """One weight for each four: the rows' products with a weight for each landmark."""
+        return (self.weight @ by).astype(np.float32)[self.row]
 
 
-def _table(marks: list[str]) -> np.ndarray:
-    """A row for each triple: its weight in each landmark, over the landmark's own length."""
-    table = np.zeros((CODES**3, len(marks)), np.float32)
-    w = words_of(marks)
-    at = w.doc[w.word] if len(w.codes) else w.word
-    own = np.zeros(len(marks))
-    for n, code, decay in _triples(w):
-        np.add.at(table, (code, at[:n]), np.float32(decay))
+def _marks(words: list[str]) -> Marks:
+    """Rows over the landmark's own length, so that products with another word's fours are kernel values."""
+    w = words_of(words)
+    at = w.doc[w.word]
+    own = np.zeros(len(words))
+    for n, code, decay in _fours(w):
         np.add.at(own, at[:n], decay * decay * (code > 0))
-    table[0] = 0
-    return table / np.sqrt(np.maximum(own, 1e-9)).astype(np.float32)
+    codes = np.unique(np.concatenate([code for _, code, _ in _fours(w)] or [np.zeros(0, np.int32)]))
+    codes = codes[codes > 0]
+    row = np.zeros(FOURS, np.int32)
+    row[codes] = np.arange(1, len(codes) + 1)
+    weight = np.zeros((len(codes) + 1, len(words)), np.float32)
+    for n, code, decay in _fours(w):
+        np.add.at(weight, (row[code], at[:n]), np.float32(decay))
+    weight[0] = 0
+    return Marks(row, weight / np.sqrt(np.maximum(own, 1e-9)).astype(np.float32))
+
 
+def _kernel(words: list[str], marks: Marks) -> np.ndarray:
+    """Kernel values of words, each of fewer than ``WORD_LIMIT`` letters, with landmarks."""
+    return np.vstack([_against(words[k : k + 2000], marks) for k in range(0, len(words), 2000)]) if words else np.zeros((0, marks.weight.shape[1]))
 
-def _against(words: list[str], table: np.ndarray) -> np.ndarray:
+
+def _against(words: list[str], marks: Marks) -> np.ndarray:
     w = words_of(words)
-    out, own = np.zeros((len(words), table.shape[1])), np.zeros(len(words))
+    out, own = np.zeros((len(words), marks.weight.shape[1])), np.zeros(len(words))
     if not len(w.codes):
         return out
-    top = np.zeros((len(w.codes), table.shape[1]), np.float32)
+    top = np.zeros((len(w.codes), marks.weight.shape[1]), np.float32)
     length = np.zeros(len(w.codes))
-    for n, code, decay in _triples(w):
-        top[:n] += np.float32(decay) * table[code]
+    for n, code, decay in _fours(w):
+        top[:n] += np.float32(decay) * marks.weight[marks.row[code]]
         length[:n] += decay * decay * (code > 0)
     out[w.doc], own[w.doc] = np.add.reduceat(top, w.starts), np.add.reduceat(length, w.starts)
     return out / np.sqrt(np.maximum(own, 1e-9))[:, None]
@@ -182,62 +213,60 @@ def _against(words: list[str], table: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of triples, the offset, and the slope and level of the calibration; None scores ``level`` for all."""
+    """Weights of fours, their offset, and the calibration's slopes and level; without weights ``level`` is the score."""
 
     weights: np.ndarray | None
     offset: float = 0.0
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,) + (0.0,) * (TOP - 1)
     level: float = 0.5
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        found = _worst(texts, self.weights) + self.offset
-        return np.where(np.isfinite(found), found, -3.0)
+        """The machine's values of the worst words, held to a range in which they tell something."""
+        return np.clip(_worst(texts, self.weights, TOP) + self.offset, -2, 3)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.level)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.level, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(texts) @ np.array(self.slopes) + self.level, -30, 30)))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, toxic, clean): in how many documents of each class a triple without gaps beyond one occurs."""
-    counts = np.zeros((2, CODES**3), np.int64)
+    """(code, toxic, clean): in how many documents of each class a four with one gap at most occurs."""
+    counts = np.zeros((2, FOURS), np.int32)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = words_of([text])
-            seen = np.zeros(CODES**3, bool)
-            for _, code, decay in _triples(w):
-                if decay >= DECAY**4:
-                    seen[code] = True
-            counts[int(label)] += seen
-    codes = np.flatnonzero(counts.sum(axis=0) > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(counts[1, codes]), pa.array(counts[0, codes])], names=["code", "toxic", "clean"])
+            seen = [code for _, code, decay in _fours(w) if decay >= DECAY**5]
+            if seen:
+                counts[int(label), np.unique(np.concatenate(seen))] += 1
+    codes = np.flatnonzero((counts[0] > 0) | (counts[1] > 0))
+    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(counts[1, codes].astype(np.int64)), pa.array(counts[0, codes].astype(np.int64))], names=["code", "toxic", "clean"])
 
 
 def _text_of(w: Words, k: int) -> str:
     """A word's letters; those of other scripts as four letters that stand for them."""
     end = w.starts[k + 1] if k + 1 < len(w.starts) else len(w.codes)
-    return "".join(chr(96 + c) if c <= 26 else _OTHER[c - 27] for c in w.codes[w.starts[k] : end])
+    return "".join(chr(96 + c) if c <= 26 else _OTHER[c - 27] for c in w.codes[w.starts[k] : end] if c != START)
 
 
-def _pick_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, each: int) -> Iterator[pa.RecordBatch]:
-    """The words of a document's worst sentences, by the given weights, and as many others of clean documents."""
+def _pick_batches(batches: Iterator[pa.RecordBatch], evidence: np.ndarray, weights: np.ndarray, each: int) -> Iterator[pa.RecordBatch]:
+    """The words of a document's worst sentences by evidence; of clean ones also the worst by weights and some drawn by chance."""
     for batch in batches:
-        ids, labels, words, found = [], [], [], []
+        ids, labels, words = [], [], []
         for doc_id, text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             w = words_of([text])
-            s = word_scores(w, weights)
+            s = word_scores(w, evidence)
             order = np.argsort(-s, kind="stable")
             order = order[np.isfinite(s[order])]
             chosen = list(order[:each])
-            if not label and len(order) > each:
-                chosen += list(np.random.default_rng(abs(doc_id)).choice(order[each:], min(each, len(order) - each), replace=False))
+            if not label and len(order):
+                chosen += list(order[np.argsort(-word_scores(w, weights)[order], kind="stable")[:each]])
+                chosen += list(np.random.default_rng(abs(doc_id)).choice(order, min(each, len(order)), replace=False))
             for k in chosen:
                 ids.append(doc_id)
                 labels.append(int(label))
                 words.append(_text_of(w, k))
-                found.append(float(s[k]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(words, pa.string()), pa.array(found, pa.float64())], names=["doc_id", "label", "word", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(words, pa.string())], names=["doc_id", "label", "word"])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -262,12 +291,24 @@ def _stretched(word: str, rng: np.random.Generator) -> str:
     return word[:at] + chr(97 + int(rng.integers(26))) + word[at:]
 
 
-def _landmarks(words: np.ndarray, bad: np.ndarray, clean: np.ndarray, score: np.ndarray) -> list[str]:
-    """The highest words of toxic documents that no clean one holds, each far from those before; and some clean words."""
-    ranked = [words[k] for k in np.argsort(-score, kind="stable") if bad[k] and not clean[k]][: 6 * LANDMARKS]
-    plain = [words[k] for k in np.argsort(-score, kind="stable") if clean[k]]
-    plain = plain[:: max(1, len(plain) // (LANDMARKS // 4))][: LANDMARKS // 4]
-    gram = _kernel(ranked, ranked) if ranked else np.zeros((0, 0))
+def _evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How many times more often a four occurs in toxic documents, as a logarithm beyond ``RATIO``.
+
+    Nothing where the difference is within ``CHANCE`` deviations. Fours that are merely usual in a
+    language of which there are more toxic documents stay below the ratio.
+    """
+    share = (toxic + clean + 0.5) / (n1 + n0 + 1)
+    z = (toxic / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1)) - np.log(RATIO)
+    return np.where(z > CHANCE, np.maximum(odds, 0), 0).astype(np.float32)
+
+
+def _landmarks(positive: pd.DataFrame, negative: list[str]) -> list[str]:
+    """Toxic words by evidence, each far from those before; and clean words from all over."""
+    by_word = positive.groupby("word")["evidence"].max().sort_values(ascending=False, kind="stable")
+    ranked = list(by_word.index[: 6 * LANDMARKS])
+    plain = negative[:: max(1, len(negative) // (LANDMARKS // 4))][: LANDMARKS // 4]
+    gram = _kernel(ranked, _marks(ranked))
     chosen: list[int] = []
     near = np.zeros(len(ranked))
     while len(chosen) < min(LANDMARKS - len(plain), len(ranked)):
@@ -277,69 +318,119 @@ def _landmarks(words: np.ndarray, bad: np.ndarray, clean: np.ndarray, score: np.
     return [*(ranked[k] for k in chosen), *plain]
 
 
-def _machine(ids: np.ndarray, labels: np.ndarray, words: list[str], start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Triple weights and offset from words of documents: each toxic document stands by its worst word."""
-    distinct, of = np.unique(np.array(words), return_inverse=True)
-    now = np.zeros(len(distinct))
-    now[of] = start
-    bad, clean = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-    bad[of[labels == 1]] = True
-    clean[of[labels == 0]] = True
-    if not (bad & ~clean).any():
-        return np.zeros(CODES**3, np.float32), -1.0
-    marks = _landmarks(distinct, bad, clean, now)
-    values, vectors = np.linalg.eigh(_kernel(marks, marks))
+def _machine(positive: pd.DataFrame, negative: list[str]) -> tuple[np.ndarray, float]:
+    """Weights of fours and offset from (doc_id, word, evidence) of toxic documents and clean words.
+
+    A document stands by its worst word: by evidence at first, then by the machine before.
+    """
+    chosen = _landmarks(positive, negative)
+    marks = _marks(chosen)
+    values, vectors = np.linalg.eigh(_kernel(chosen, marks))
     whiten = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
     phi_of = lambda some: np.hstack([_kernel(some, marks) @ whiten, np.ones((len(some), 1))])
-    phi = phi_of(list(distinct))
-    toxic = np.flatnonzero(labels == 1)
-    toxic = toxic[np.argsort(ids[toxic], kind="stable")]
+    words, of = np.unique(positive["word"].to_numpy(str), return_inverse=True)
+    bad, good = phi_of(list(words)), phi_of(negative)
+    ids, now = positive["doc_id"].to_numpy(), positive["evidence"].to_numpy()
     for _ in range(3):
-        # The worst word of each toxic document; documents whose worst word is in clean ones too tell nothing.
-        order = toxic[np.lexsort((now[of[toxic]], ids[toxic]))]
+        order = np.lexsort((now, ids))
         worst = of[order[np.r_[ids[order][1:] != ids[order][:-1], True]]]
-        worst = worst[~clean[worst]]
-        if not len(worst):
-            return np.zeros(CODES**3, np.float32), -1.0
         rng = np.random.default_rng(len(worst))
-        more = [_stretched(x, rng) for x in distinct[np.unique(worst)] if 4 <= len(x) < WORD_LIMIT]
-        more = phi_of([x for x in more if x not in distinct[clean]]) if more else np.zeros((0, phi.shape[1]))
-        negative = np.flatnonzero(clean)
-        x = np.vstack([phi[worst], more, phi[negative]])
-        balance = max(1.0, len(negative) / len(worst))
-        cost = np.r_[np.full(len(worst), balance), np.full(len(more), 0.5 * balance * len(worst) / max(1, len(more))), np.ones(len(negative))]
-        w = _svm(x, np.r_[np.ones(len(worst) + len(more)), -np.ones(len(negative))], cost)
-        now = phi @ w
-    return (_table(marks) @ (whiten @ w[:-1]).astype(np.float32)).astype(np.float32), float(w[-1])
+        more = [_stretched(x, rng) for x in words[np.unique(worst)] if 4 <= len(x) < WORD_LIMIT - 2 for _ in range(3)]
+        more = phi_of(more) if more else np.zeros((0, bad.shape[1]))
+        balance = max(1.0, len(good) / len(worst))
+        cost = np.r_[np.full(len(worst), balance), np.full(len(more), balance * len(worst) / max(1, len(more))), np.ones(len(good))]
+        w = _svm(np.vstack([bad[worst], more, good]), np.r_[np.ones(len(worst) + len(more)), -np.ones(len(good))], cost)
+        now = (bad @ w)[of]
+    return marks.flat(whiten @ w[:-1]), float(w[-1])
+
+
+class Trainer:
+    """Rounds of training over (doc_id, text, label) in batches that ``each_pass`` runs over all documents.
+
+    A round looks for what the toxic documents have that the machine so far doesn't explain, takes
+    their words of most evidence, and trains on these, the words of rounds before, and the words of
+    clean documents that either look worst or are drawn by chance.
+    """
+
+    def __init__(self, n1: int, n0: int):
+        self.n1, self.n0 = n1, n0
+        self.each = int(np.clip(WORDS // (2 * (n1 + n0)), 4, 40))
+        self.positive = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "word": np.zeros(0, str), "evidence": np.zeros(0)})
+        self.pool = pd.DataFrame({"word": np.zeros(0, str), "toxic": np.zeros(0), "clean": np.zeros(0)})
+        self.model = Model(np.zeros(FOURS, np.float32), -1.0)
+
+    def evidence(self, counts: pd.DataFrame, open_docs: int) -> np.ndarray:
+        """From (code, toxic, clean): the toxic column of open documents only."""
+        table = np.zeros(FOURS, np.float32)
+        table[counts["code"]] = _evidence(counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float), open_docs, self.n0)
+        table[0] = 0
+        return table
+
+    def learn(self, picked: pd.DataFrame, evidence: np.ndarray) -> bool:
+        """From (doc_id, label, word) of open toxic documents and of clean ones; False if nothing was found."""
+        picked = picked.drop_duplicates(["doc_id", "word"]).assign(evidence=lambda d: _rescored(d["word"], evidence))
+        count = picked.groupby(["word", "label"]).size().unstack(fill_value=0).reindex(columns=[1, 0], fill_value=0)
+        self.pool = pd.concat([self.pool, pd.DataFrame({"word": count.index, "toxic": count[1].to_numpy(), "clean": count[0].to_numpy()})]).groupby("word", as_index=False).max()
+        highest = picked[picked["label"] == 0].groupby("doc_id")["evidence"].max()
+        least = max(1e-6, float(highest.quantile(ABOVE)) if len(highest) else 0.0)
+        found = picked[(picked["label"] == 1) & (picked["evidence"] > least)]
+        self.positive = pd.concat([self.positive, found[["doc_id", "word"]].assign(evidence=found["evidence"] / least)])
+        # A word of clean documents counts as toxic only if it is far more usual in toxic ones.
+        pool = self.pool
+        rarely = (pool["clean"] > 0) & ((pool["toxic"] < 3) | (pool["toxic"] / self.n1 < 2 * RATIO * pool["clean"] / self.n0))
+        negative = sorted(pool["word"][rarely])
+        self.positive = self.positive[~self.positive["word"].isin(set(negative))].sort_values(["doc_id", "word"])
+        if not len(found) or not len(self.positive) or not negative:
+            return False
+        self.model = Model(*_machine(self.positive, negative))
+        return True
 
 
 def _rescored(words, weights: np.ndarray) -> np.ndarray:
-    found = _worst(list(words), weights)
+    found = _worst(list(words), weights)[:, 0]
     return np.where(np.isfinite(found), found, -3.0)
 
 
 def _raw_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.raw(batch.column(1).to_pylist()))], names=["label", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.raw(batch.column(1).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["label", "raw"])
 
 
-def _platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and level of a logistic fit; targets stay off 0 and 1 as far as the counts ask for."""
+def _calibrated(raw: np.ndarray, label: np.ndarray, share: float) -> tuple[tuple[float, ...], float]:
+    """Slopes and level of a logistic fit; targets stay off 0 and 1 as far as the counts ask for.
+
+    ``share`` is the toxic part of all labelled documents, of which the sample may hold more.
+    """
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(label == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(label)
-    theta = np.array([2.0, 0.0])
+    weight = np.where(label == 1, share / max(n1, 1), (1 - share) / max(n0, 1)) * len(label)
+    theta = np.zeros(raw.shape[1] + 1)
     x = np.c_[raw, np.ones(len(raw))]
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (weight * (p - target)) + 1e-3 * theta
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        theta = theta - np.clip(step, -2, 2)
+        ridge = np.r_[0.1, np.full(raw.shape[1] - 1, 5.0), 1e-3]
+        g = x.T @ (weight * (p - target)) + ridge * theta
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        theta = theta - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1])
+    return tuple(map(float, theta[:-1])), float(theta[-1])
+
+
+def counts_of(docs: DataFrame) -> pd.DataFrame:
+    """(code, toxic, clean): documents of each class that hold a four; at most one row for each of ``FOURS``."""
+    counts = docs.select("text", "label").mapInArrow(_count_batches, "code int, toxic long, clean long")
+    return counts.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") > 1).toPandas()
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Documents that the machine doesn't find toxic."""
+    for batch in batches:
+        if batch.num_rows:
+            left = model.raw(batch.column(1).to_pylist())[:, 0] < 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(left))], names=["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
@@ -355,26 +446,44 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
     sample = stored(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4))), "toxic-sample").repartition(24)
     learn, check = sample.where("fold > 0"), sample.where("fold = 0")
-    counts = learn.select("text", "label").mapInArrow(_count_batches, "code int, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
     n1, n0 = (learn.where(f"label = {k}").count() for k in (1, 0))
     if not n1 or not n0:
         return Model(None, level=n1 / (n1 + n0) if n1 + n0 else 0.5)
-    odds = np.zeros(CODES**3, np.float32)
-    odds[counts["code"]] = np.log((counts["toxic"] + 0.5) / (n1 + 1)) - np.log((counts["clean"] + 0.5) / (n0 + 1))
-    odds[0] = 0
-    picked, weights = None, odds
-    for _ in range(MINED):
-        # The words that the machine so far finds worst join those picked before.
-        more = learn.select("doc_id", "text", "label").mapInArrow(functools.partial(_pick_batches, weights=weights, each=4), "doc_id long, label int, word string, s double").toPandas()
-        picked = more if picked is None else pd.concat([picked.assign(s=_rescored(picked["word"], weights)), more])
-        picked = picked.drop_duplicates(["doc_id", "word"], keep="last").sort_values(["doc_id", "s", "word"])
-        weights, offset = _machine(picked["doc_id"].to_numpy(), picked["label"].to_numpy(), list(picked["word"]), picked["s"].to_numpy())
-    model = Model(weights, offset)
-    raw = check.select("label", "text").mapInArrow(functools.partial(_raw_batches, model=model), "label int, raw double").toPandas()
-    if raw["label"].nunique() < 2:
-        raw = sample.select("label", "text").mapInArrow(functools.partial(_raw_batches, model=model), "label int, raw double").toPandas()
-    slope, level = _platt(raw["raw"].to_numpy(), raw["label"].to_numpy())
-    return Model(weights, offset, slope, level)
+    trainer, open_docs, open_count = Trainer(n1, n0), learn.where("label = 1"), n1
+    clean = counts_of(learn.where("label = 0"))[["code", "clean"]]
+    models = []
+    for round_ in range(ROUNDS):
+        counts = counts_of(open_docs)[["code", "toxic"]].merge(clean, on="code", how="outer").fillna(0)
+        evidence = trainer.evidence(counts, open_count)
+        both = open_docs.unionByName(learn.where("label = 0")).select("doc_id", "text", "label")
+        picked = both.mapInArrow(functools.partial(_pick_batches, evidence=evidence, weights=trainer.model.weights, each=trainer.each), "doc_id long, label int, word string").toPandas()
+        if not trainer.learn(picked, evidence):
+            break
+        models.append(trainer.model)
+        left = learn.where("label = 1").select("doc_id", "text").mapInArrow(functools.partial(_open_batches, model=trainer.model), "doc_id long")
+        left = stored(left, "toxic-open")
+        open_count = left.count()
+        # Clean words that the first machine gets wrong are mined once, even if it explains all toxic documents.
+        if open_count < LEAST_OPEN and round_:
+            break
+        if open_count >= LEAST_OPEN:
+            open_docs = learn.join(F.broadcast(left), "doc_id", "left_semi")
+        else:
+            open_docs, open_count = learn.where("label = 1"), n1
+    return _best(check if check.where("label = 1").count() and check.where("label = 0").count() else sample, models or [trainer.model], totals[1] / (totals[0] + totals[1]))
+
+
+def _best(docs: DataFrame, models: list[Model], share: float) -> Model:
+    """The round whose calibrated scores fit documents best that it was not trained on."""
+    found = []
+    for model in models:
+        raw = docs.select("label", "text").mapInArrow(functools.partial(_raw_batches, model=model), "label int, raw array<double>").toPandas()
+        values, label = np.array(raw["raw"].tolist()), raw["label"].to_numpy()
+        slopes, level = _calibrated(values, label, share)
+        chance = 1 / (1 + np.exp(-np.clip(values @ np.array(slopes) + level, -30, 30)))
+        loss = -np.where(label == 1, share * np.log(chance) / (label == 1).mean(), (1 - share) * np.log1p(-chance) / (label == 0).mean()).mean()
+        found.append((loss, len(found), Model(model.weights, model.offset, slopes, level)))
+    return min(found, key=lambda x: x[:2])[2]
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
