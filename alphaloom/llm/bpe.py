@@ -5,7 +5,7 @@ smallest rank is found by a scan, the boundary inside that pair is deleted, and
 sides of it are refreshed, until no pair can merge. Words above ``SHORT`` bytes take the same
 merges in the same order from a heap, because a scan for each merge is quadratic.
 
-``encode`` and ``decode`` keep all columns. A null text has no tokens, as the empty one; null ids
+``encode`` and ``decode`` keep all columns, but for one with the name of the new column. A null text has no tokens, as the empty one; null ids
 decode to the empty text. Special tokens inside a text become their own id. Repeated rows are
 encoded alike. Very long texts are encoded whole, one text at a time.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT = 400
@@ -182,15 +183,15 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, nam
 
 
 def _mapped(df: DataFrame, fn, path: str, column: str, out: str, kind: T.DataType) -> DataFrame:
-    """Columns go through by position, so that any names do; a taken ``out`` is an error."""
-    if out in df.columns:
-        raise ValueError(f"column {out} exists already")
+    """Columns go through by position, so that any names do; one that has the new name gives way."""
     with open(path, "rb") as f:
         data = f.read()
     at = df.columns.index(column)
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     schema = T.StructType([*plain.schema.fields, T.StructField("out", kind)])
-    return plain.mapInArrow(functools.partial(fn, data=data, at=at, name="out"), schema).toDF(*df.columns, out)
+    mapped = plain.mapInArrow(functools.partial(fn, data=data, at=at, name="out"), schema)
+    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns) if c != out]
+    return mapped.select(*kept, F.col("out").alias(out))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -149,12 +149,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
 
     Rows that share id and text count as one document, used as often as they are all together.
     """
-    columns = docs.columns
     found = queue(docs, weights, epochs, doc_id, text, source).where("taken > 0")
-    uses = found.groupBy("text_key").agg(F.sum(F.expr("taken div size")).alias("_uses"), F.min(F.struct("source_size", "target", "finish")).alias("_q"))
-    own = docs.withColumn("_key", row_key(doc_id, text))
-    joined = own.join(uses, own["_key"] == uses["text_key"])
-    one = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_row = 1")
-    each = one.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_uses") - 1)))
-    when = F.col("_q.finish") + F.col("_turn") * F.col("_q.source_size") / F.col("_q.target")
-    return each.withColumn("_finish", when).orderBy("_finish", "_key").select(*columns)
+    uses = found.groupBy("text_key").agg(F.sum(F.expr("taken div size")).alias("uses"), F.min(F.struct("source_size", "target", "finish")).alias("q"))
+    # All columns travel in one, so that their names clash with none here.
+    own = docs.select(F.struct(*docs.columns).alias("d"), row_key(doc_id, text).alias("text_key"))
+    one = own.join(uses, "text_key").withColumn("row", F.row_number().over(Window.partitionBy("text_key").orderBy("text_key"))).where("row = 1")
+    each = one.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
+    when = F.col("q.finish") + F.col("turn") * F.col("q.source_size") / F.col("q.target")
+    return each.orderBy(when, "text_key").select("d.*")

@@ -180,17 +180,17 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns; every span in the text gives way to its kind in brackets, overlapping spans to the first."""
     found = _found(docs, doc_id, text)
-    spans = stored(found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row_key", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans")).dropDuplicates(["row_key"]), "pii-spans")
-    own = docs.withColumn("_key", row_key(doc_id, text))
-    joined = own.join(spans.withColumnRenamed("row_key", "_own"), F.col("_key") == F.col("_own"), "left")
+    spans = stored(found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row_key", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans")).dropDuplicates(["row_key"]), "pii-spans")
+    # All columns travel in one, so that their names clash with none here.
+    own = docs.select(F.struct(*docs.columns).alias("d"), F.col(text).alias("whole"), row_key(doc_id, text).alias("row_key"))
+    joined = own.join(spans, "row_key", "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    whole = F.col(text)
 
     def step(state: Column, s: Column) -> Column:
         ahead = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(state["out"], F.substring("whole", state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
         return F.struct(F.when(ahead, piece).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
-    walked = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    walked = F.concat(walked["out"], F.substring(whole, walked["at"] + 1, F.length(whole)))
-    return joined.withColumn(text, F.when(F.col("_own").isNotNull(), walked).otherwise(whole)).select(*docs.columns)
+    walked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    clean = F.when(F.col("spans").isNotNull(), F.concat(walked["out"], F.substring("whole", walked["at"] + 1, F.length("whole")))).otherwise(F.col("whole"))
+    return joined.select(*(clean.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns))

@@ -11,7 +11,7 @@ Counts are made inside each row, so that no word leaves its document.
 
 Defined results: a null text has no words, is judged by the same rules and fails the base check;
 repeated rows are judged alike; a null id is kept; an empty table gives an empty table; other
-columns of ``judge`` are kept, and a clash with the names it adds is an error.
+columns of ``judge`` are kept, but for those with the names that it adds.
 """
 
 from __future__ import annotations
@@ -63,22 +63,18 @@ GOOD = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_letters", "n_distinct", "n_mark_runs", "n_wordless")
 
 
-def _checked(df: DataFrame, *new: str) -> list[Column]:
-    if taken := set(new) & set(df.columns):
-        raise ValueError(f"columns {sorted(taken)} exist already")
-    return [F.col(c) for c in df.columns]
-
-
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns and the counts that the rules look at.
+    """All columns and the counts that the rules look at; columns with the names of counts give way.
 
     Repeated words are those in windows of three that occur twice or more in the text. Windows are
     sorted with their places, so that equal ones are neighbours; a repeated window then covers its
     own start and the two words behind it, or as many as come before the next repeated window.
     """
-    own = _checked(df, *COUNTS, "_t", "_w", "_l", "_3", "_p", "_h")
+    # All columns travel in one, so that their names clash with none here.
+    kept = [c for c in df.columns if c not in COUNTS]
+    own = [F.col("_d")]
     whole = F.coalesce(F.col(text), F.lit(""))
-    parts = df.select(*own, whole.alias("_t"), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias("_w"))
+    parts = df.select(F.struct(F.lit(None).cast("int").alias("_none"), *kept).alias("_d"), whole.alias("_t"), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias("_w"))
     # A window is one string, its words apart by a blank, which no word holds.
     window = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
     lines = F.filter(F.split("_t", "\n", -1), lambda line: line.rlike(WORD))
@@ -95,7 +91,7 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     covered = F.transform("_h", lambda i, k: F.least(F.coalesce(F.get("_h", k + 1) - i, F.lit(3)), F.lit(3)))
     left = lambda pattern: F.length(F.regexp_replace("_t", pattern, "")).cast("long")
     return parts.select(
-        *own,
+        *(F.col("_d")[c].alias(c) for c in kept),
         F.size("_w").cast("long").alias("n_words"),
         left(GAP).alias("word_chars"),
         left(r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -153,11 +149,14 @@ def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> Estima
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns but the text, the counts, base_failed, the posterior of being good, and kept."""
-    _checked(df, *COUNTS, "base_failed", "posterior", "kept")
-    counted = counts(df, text).drop(text)
-    names = [f"_vote_{r.name}" for r in rules]
+    added = ("base_failed", "posterior", "kept")
+    columns = [c for c in df.columns if c not in (*COUNTS, *added, text)]
+    own = df.select(F.struct(F.lit(None).cast("int").alias("_none"), *columns).alias("_d"), F.col(text).alias("_text"))
+    names = [f"vote_{r.name}" for r in rules]
+    counted = counts(own, "_text").drop("_text")
     voted = stored(counted.select("*", *(r.vote().alias(c) for r, c in zip(rules, names))), "quality-votes")
     posterior = estimate(voted, names).posterior([F.col(c) for c in names])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= GOOD)).drop(*names)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= GOOD))
+    return judged.select(*(F.col("_d")[c].alias(c) for c in columns), *COUNTS, *added)

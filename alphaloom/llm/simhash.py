@@ -64,10 +64,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], at: int, width: int)
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3, out: str = "fingerprint") -> DataFrame:
-    """All columns but the text, and the fingerprint as a long."""
+    """All columns but the text, and the fingerprint as a long; a column of that name gives way."""
+    df = df.select(*(c for c in df.columns if c != out or c == text))
     rest = [c for c in df.columns if c != text]
-    if out in rest:
-        raise ValueError(f"column {out} exists already")
     at = df.columns.index(text)
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     schema = T.StructType([f for k, f in enumerate(plain.schema.fields) if k != at] + [T.StructField("out", T.LongType())])
@@ -196,6 +195,8 @@ def links(distinct: DataFrame, budget: int = 3, forest: bool = False) -> DataFra
 
     ``forest`` gives of each bucket only links that connect the same fingerprints.
     """
+    if not budget:  # distinct fingerprints differ
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
     blocks = budget + 1
     # left: the bits that are still to compare, at the low end; width: how many; bucket: what was agreed so far
     level = distinct.where("fp IS NOT NULL").select("fp", F.col("fp").alias("left"), F.lit(0).cast("long").alias("bucket"))
@@ -212,14 +213,15 @@ def links(distinct: DataFrame, budget: int = 3, forest: bool = False) -> DataFra
             low = F.col("left").bitwiseAND(F.lit((1 << at) - 1).cast("long"))
             kinds.append(F.struct(F.xxhash64("bucket", F.lit(k), F.lit(width), own).alias("bucket"), high.bitwiseOR(low).alias("left")))
         dealt = level.select("fp", F.explode(F.array(*kinds)).alias("d")).select("fp", "d.bucket", "d.left")
-        width -= sizes[-1]  # the smallest block; wider rests keep a leading zero bit at most
-        width = max(width, max(sum(sizes) - s for s in sizes))
+        width -= min(sizes)  # where a larger block went, the leading bit stays 0
         counts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         sized = stored(dealt.join(counts, "bucket"), "simhash-buckets")
-        small = sized.where(F.col("n") <= BUCKET).select("fp", "bucket", "left").repartition(parallel, "bucket").sortWithinPartitions("bucket")
+        # Down to a bit for each block there are no more fingerprints than one task joins.
+        most = BUCKET if width > blocks else 1 << blocks
+        small = sized.where(F.col("n") <= most).select("fp", "bucket", "left").repartition(parallel, "bucket").sortWithinPartitions("bucket")
         pairs = small.mapInArrow(functools.partial(_join_batches, width=width, budget=budget, forest=forest), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
-        level = sized.where(F.col("n") > BUCKET).select("fp", "left", "bucket")
+        level = sized.where(F.col("n") > most).select("fp", "left", "bucket")
         if level.isEmpty():
             return found.distinct()
 
@@ -262,8 +264,10 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     Exactly repeated rows share an id; one of them stays.
     """
     first = classes(df, doc_id, text, width, budget).where(F.col(doc_id) == F.col("component_id"))
-    kept = stored(first.groupBy(F.col(doc_id).alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
-    with_id = df.join(kept.select("_kept"), df[doc_id] == kept["_kept"], "left_semi")
-    if not kept.where("_rows > 1").isEmpty():
-        with_id = with_id.dropDuplicates([doc_id])
-    return with_id.unionByName(df.where(F.col(doc_id).isNull()))
+    kept = stored(first.groupBy(F.col(doc_id).alias("kept")).agg(F.count("*").alias("rows")), "simhash-kept")
+    # All columns travel in one, so that their names clash with none here.
+    whole = df.select(F.col(doc_id).alias("id"), F.struct(*df.columns).alias("d"))
+    with_id = whole.join(kept.select("kept"), F.col("id") == F.col("kept"), "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        with_id = with_id.dropDuplicates(["id"])
+    return with_id.unionByName(whole.where("id IS NULL")).select("d.*")
