@@ -7,8 +7,8 @@ its shape with the word before it, and its shape with the word after it. A shape
 letters as ``a``, of digits as their number, and keeps the rest.
 
 The graph of patterns and instances is scored round by round. A pattern's score for a kind is the
-mean score of its instances, seeds of the kind counting 1 and seeds of other kinds 0, pulled
-towards 0 while its instances are few; an instance that is no seed then takes the chance that at
+mean score of its instances, seeds of the kind counting 1, seeds of other kinds 0 and other
+instances half their score so far, pulled towards 0 while its instances are few; an instance that is no seed then takes the chance that at
 least one of its patterns is right, after a pattern's own doubt. Patterns above ``CONFIDENT``
 give their kind to the instances that no exact format knows: the method adds those spans and takes
 none away. All instances of the corpus take part; sums are made per pattern and per instance text,
@@ -46,6 +46,8 @@ CONFIDENT = 0.9
 DOUBT = 1.0
 #: How far a single pattern is trusted when an instance has two.
 TRUST = 0.95
+#: What an instance that is no seed gives its patterns of its own score, so that they don't prove each other.
+HELD = 0.5
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,32 +69,58 @@ def _valid(kind: str, found: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+MATCH = "struct<start:int,end:int,found:string,before:string,after:string>"
+#: Matches whose places are added up together; the sums of such groups then place the groups.
+GROUP = 128
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """(start, end, found) of the leftmost matches that don't overlap, in code points.
+    """(start, end, found, before, after) of the leftmost matches that don't overlap, in code points.
 
     The parts between matches give the places: a match starts where the parts and the matches
-    before it end.
+    before it end. ``before`` and ``after`` are up to 40 characters beside it, from the parts and
+    matches next to it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    zero = F.array().cast("array<struct<start:int,end:int,found:string>>")
-
-    def step(done: Column, pair: Column) -> Column:
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
-        start = before + F.length(pair["part"])
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(pair["found"])).alias("end"), pair["found"].alias("found"))))
-
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, f: F.struct(p.alias("part"), f.alias("found")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)).otherwise(zero)
+    rows = F.zip_with(
+        F.slice(parts, F.lit(1), F.size(found)),
+        F.arrays_zip(found.alias("found"), F.concat(F.array(F.lit("")), found).alias("last"), F.slice(F.concat(found, F.array(F.lit(""))), 2, 2**30).alias("next"), F.slice(parts, 2, 2**30).alias("part")),
+        lambda part, f: F.struct(
+            F.length(part).alias("gap"),
+            f["found"].alias("found"),
+            F.right(F.concat(f["last"], part), F.lit(40)).alias("before"),
+            F.left(F.concat(f["part"], f["next"]), F.lit(40)).alias("after"),
+        ),
+    )
+    # arrays_zip has one row more than there are matches, the last match as "last".
+    rows = F.slice(rows, F.lit(1), F.size(found))
+    parted = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / GROUP).cast("int")), lambda g: F.slice(r, g * GROUP + 1, GROUP))
+    total = lambda g: F.aggregate(g, F.lit(0), lambda a, r: a + r["gap"] + F.length(r["found"]))
+    none = F.array().cast(f"array<{MATCH}>")
+
+    def place(state: Column, r: Column) -> Column:
+        start = state["at"] + r["gap"]
+        end = start + F.length(r["found"])
+        row = F.struct(start.alias("start"), end.alias("end"), r["found"].alias("found"), r["before"].alias("before"), r["after"].alias("after"))
+        return F.struct(end.alias("at"), F.concat(state["done"], F.array(row)).alias("done"))
+
+    def join(state: Column, g: Column) -> Column:
+        return F.struct((state["at"] + total(g)).alias("at"), F.concat(state["done"], F.array(F.aggregate(g, F.struct(state["at"].alias("at"), none.alias("done")), place)["done"])).alias("done"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{MATCH}>>").alias("done"))
+    # In an array of one, so that a lambda's variable holds the rows and they are made once.
+    placed = F.transform(F.array(rows), lambda r: F.flatten(F.aggregate(parted(r), start, join)["done"]))
+    return F.when(F.size(found) > 0, F.get(placed, F.lit(0))).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
     """All spans of the exact formats, by kind as listed, then by start."""
-    nothing = F.array().cast("array<struct<kind:int,start:int,end:int,found:string>>")
+    nothing = F.array().cast(f"array<struct<kind:int,{MATCH[7:]}>")
 
     def of(k: int, kind: str) -> Column:
         valid = F.filter(_matches(text, FORMATS[kind]), lambda m: _valid(kind, m["found"]))
-        marked = F.transform(valid, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
+        marked = F.transform(valid, lambda m: F.struct(F.lit(k).alias("kind"), *(m[c].alias(c) for c in ("start", "end", "found", "before", "after"))))
         return F.when(text.rlike(NEEDS[kind]), marked).otherwise(nothing)
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
@@ -106,28 +134,30 @@ def _shape(found: Column) -> Column:
     return F.regexp_replace(runs, r"(?<![0-9<])[0-9]++(?!>)", "<+>")
 
 
-def _instance(text: Column, kind: Column, start: Column, end: Column, found: Column) -> Column:
-    """An instance with its two patterns. Words beside it are short pieces of the text: up to 40 characters."""
-    left = F.regexp_extract(F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))), r"([^\x20\x09-\x0D]{1,30})[\x20\x09-\x0D]+$", 1)
-    right = F.regexp_extract(F.substring(text, end + 1, F.lit(40)), r"^[^A-Za-z0-9]{0,4}[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,30})", 1)
-    shape = _shape(found)
-    return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), F.concat_ws(" ", F.lit("<"), F.lower(left), shape).alias("left"), F.concat_ws(" ", F.lit(">"), shape, F.lower(right)).alias("right"))
+def _instance(kind: Column, m: Column) -> Column:
+    """A match with its two patterns."""
+    left = F.regexp_extract(m["before"], r"([^\x20\x09-\x0D]{1,30})[\x20\x09-\x0D]+[^A-Za-z0-9\x20\x09-\x0D]{0,4}$", 1)
+    right = F.regexp_extract(m["after"], r"^[^A-Za-z0-9\x20\x09-\x0D]{0,4}[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,30})", 1)
+    shape = _shape(m["found"])
+    return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.concat_ws(" ", F.lit("<"), F.lower(left), shape).alias("left"), F.concat_ws(" ", F.lit(">"), shape, F.lower(right)).alias("right"))
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row_key, base, instances) of each row, made in one pass; the text is left behind."""
     own = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    places = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    places = F.array().cast(f"array<{MATCH}>")
     own = own.select("*", base_spans(F.col("text")).alias("spans"), F.when(F.col("text").rlike("[0-9@]"), _matches(F.col("text"), CANDIDATE)).otherwise(places).alias("open"))
 
     def trimmed(c: Column) -> Column:
         start = c["start"] + F.length(F.regexp_extract(c["found"], r"^[^A-Za-z0-9+(]*", 0))
         found = F.regexp_replace(c["found"], EDGES, "")
-        return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"))
+        # What is trimmed off stands beside the rest.
+        after = F.concat(F.substring(c["found"], start - c["start"] + F.length(found) + 1, F.lit(40)), c["after"])
+        return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"), c["before"].alias("before"), after.alias("after"))
 
     open_ = F.filter(F.transform("open", trimmed), lambda c: (c["end"] > c["start"]) & ~F.exists("spans", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])))
-    seeds = F.transform("spans", lambda s: _instance(F.col("text"), s["kind"], s["start"], s["end"], s["found"]))
-    unknown = F.transform(open_, lambda c: _instance(F.col("text"), F.lit(None).cast("int"), c["start"], c["end"], c["found"]))
+    seeds = F.transform("spans", lambda s: _instance(s["kind"], s))
+    unknown = F.transform(open_, lambda c: _instance(F.lit(None).cast("int"), c))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return own.select("doc_id", "row_key", base.alias("base"), F.concat(seeds, unknown).alias("instances"))
 
@@ -141,7 +171,7 @@ def _discovered(instances: DataFrame) -> DataFrame:
     # Only patterns that a seed reaches by way of shared instances can ever score; the rest stays at 0.
     state = edges.select("*", *(F.lit(0.0).alias(f"p{k}") for k in range(n)))
     for _ in range(ROUNDS):
-        mean = lambda k: F.sum(F.col(f"seed{k}") + F.col("unknown") * F.col(f"p{k}")) / (F.sum("n") + F.lit(DOUBT))
+        mean = lambda k: F.sum(F.col(f"seed{k}") + F.lit(HELD) * F.col("unknown") * F.col(f"p{k}")) / (F.sum("n") + F.lit(DOUBT))
         by_left = state.groupBy("left").agg(*(mean(k).alias(f"l{k}") for k in range(n)))
         by_right = state.groupBy("right").agg(*(mean(k).alias(f"r{k}") for k in range(n)))
         open_ = state.where("unknown > 0").select("left", "right", "n", "unknown", *(f"seed{k}" for k in range(n)))

@@ -39,7 +39,7 @@ class Rule:
 
     def vote(self) -> Column:
         """1 good, 0 bad, null abstains; a whole of nothing abstains."""
-        ratio = F.col(self.part).cast("double") / F.col(self.whole)
+        ratio = F.try_divide(F.col(self.part).cast("double"), F.col(self.whole).cast("double"))
         inside = F.when((F.col(self.whole) > 0) & ((ratio < self.bad_below) | (ratio > self.bad_above)), 0)
         return inside.when((F.col(self.whole) > 0) & ratio.between(self.good_from, self.good_to), 1)
 
