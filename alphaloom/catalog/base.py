@@ -91,7 +91,7 @@ def with_views(body: str, needs) -> str:
         visit(n)
     if not order:
         return body
-    head = ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED (\n{VIEWS[n][1]}\n)" for n in order)
     return f"WITH {head}\n{body}"
 
 
@@ -116,6 +116,12 @@ def publish(df: DataFrame, keys: list[str], vals, digits: int = 6) -> DataFrame:
     return df.select(*keys, *rounded)
 
 
+def cells(pivoted: DataFrame, keys: list[str], column: str, value: str) -> DataFrame:
+    """A pivoted table as one row for each cell, empty ones included, so that its columns can come from the data."""
+    rest = [c for c in pivoted.columns if c not in keys]
+    return pivoted.unpivot(keys, rest, column, value).withColumn(column, F.col(column).cast("int"))
+
+
 def query(name: str, keys: str, vals="", body: str | None = None, needs=("bars",), digits: int = 6):
     """Register a query; ``body`` is SQL over ``needs`` that yields at least the same columns."""
     key_list = keys.split()

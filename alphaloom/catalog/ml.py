@@ -80,7 +80,38 @@ def _fit(kind):
     return run
 
 
-for _k in ("linear", "ridge", "lasso", "random_forest", "gradient_boosting"):
+def normal_equations(rows: str, alpha: float) -> str:
+    """SQL of one row (y0, m_*, s_*, b_*): a penalised fit on three scaled factors, by Cramer's rule."""
+    a, b, c = FACTORS
+    z = lambda f: f"(CASE WHEN s_{f} > 0 THEN ({f} - m_{f}) / s_{f} ELSE 0 END)"
+    pairs = [(a, a), (a, b), (a, c), (b, b), (b, c), (c, c)]
+    sums = ", ".join([f"sum({z(p)} * {z(q)}) + {alpha if p == q else 0} AS {p}_{q}" for p, q in pairs] + [f"sum({z(f)} * (target_return - y0)) AS r_{f}" for f in FACTORS])
+    moments = ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in FACTORS)
+
+    def det(m):
+        return " + ".join(f"({m[0][i]}) * (({m[1][j]}) * ({m[2][k]}) - ({m[1][k]}) * ({m[2][j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    rows3 = [[f"{min(p, q, key=FACTORS.index)}_{max(p, q, key=FACTORS.index)}" for q in FACTORS] for p in FACTORS]
+    solved = ", ".join(f"({det([[f'r_{p}' if j == k else rows3[i][j] for j in range(3)] for i, p in enumerate(FACTORS)])}) / ({det(rows3)}) AS b_{f}" for k, f in enumerate(FACTORS))
+    filled = "SELECT target_return, " + ", ".join(f"coalesce({f}, 0) AS {f}" for f in FACTORS) + f" FROM {rows}"
+    return f"""SELECT y0, {", ".join(f"m_{f}, s_{f}" for f in FACTORS)}, {solved} FROM (
+        SELECT y0, {", ".join(f"m_{f}, s_{f}" for f in FACTORS)}, {sums} FROM ({filled}) x, (SELECT avg(target_return) AS y0, {moments} FROM ({filled}))
+        GROUP BY ALL)"""
+
+
+def predicted() -> str:
+    return "y0 + " + " + ".join(f"CASE WHEN s_{f} > 0 THEN b_{f} * (coalesce({f}, 0) - m_{f}) / s_{f} ELSE 0 END" for f in FACTORS)
+
+
+def metrics_sql(kind: str, alpha: float) -> str:
+    return f"""SELECT '{kind}' AS kind, part, count(*) AS n, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2 FROM (
+         SELECT CASE WHEN share <= 0.8 THEN 'train' ELSE 'test' END AS part, target_return AS y, {predicted()} - target_return AS e
+         FROM (SELECT share, target_return, {", ".join(FACTORS)} FROM shares), ({normal_equations("(SELECT * FROM shares WHERE share <= 0.8)", alpha)})) GROUP BY 1, 2"""
+
+
+query("model_linear", "kind part n", "mse rmse mae r2", metrics_sql("linear", 0), ("shares",), digits=5)(_fit("linear"))
+query("model_ridge", "kind part n", "mse rmse mae r2", metrics_sql("ridge", 1), ("shares",), digits=5)(_fit("ridge"))
+for _k in ("lasso", "random_forest", "gradient_boosting"):
     query(f"model_{_k}", "kind part n", "mse rmse mae r2")(_fit(_k))
 
 
@@ -97,10 +128,16 @@ def time_series_cv(spark, folder):
 
 @query("best_model", "kind", "r2")
 def best_model(spark, folder):
-    return ml.best_model(ml.metrics_table(ml.train_many(training(spark, folder), FACTORS, ["linear", "ridge", "lasso"])))
+    return ml.best_model(ml.metrics_table(ml.train_many(training(spark, folder), FACTORS, ["linear", "ridge", "lasso", "random_forest", "gradient_boosting"])))
 
 
-@query("model_save_load", "ts_code trade_date label", "score")
+@query(
+    "model_save_load",
+    "ts_code trade_date label",
+    "score",
+    f"SELECT ts_code, trade_date, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS label FROM (SELECT ts_code, trade_date, {predicted()} AS score FROM panel, ({normal_equations('training', 0)}))",
+    ("panel", "training"),
+)
 def model_save_load(spark, folder):
     """Predictions of a model that was written and read back."""
     rows = training(spark, folder)
@@ -222,7 +259,7 @@ def _model(spark, folder):
 @query("permutation_importance", "feature", "importance importance_std importance_min importance_max")
 def permutation_importance(spark, folder):
     model, rows = _model(spark, folder)
-    return ml.permutation_importance(model, rows, FACTORS, 2)
+    return ml.permutation_importance(model, rows, FACTORS)
 
 
 @query("partial_dependence", "grid_index", "feature_value pdp_value")

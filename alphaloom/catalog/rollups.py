@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import alphaloom.catalog.panel  # noqa: F401
 from alphaloom.catalog import monitoring as M
-from alphaloom.catalog.base import query, view
+from alphaloom.catalog.base import cells, query, view
 from alphaloom.catalog.quality import dirty
 from alphaloom.catalog.selection import ranked
 from alphaloom.operators import joins as J
@@ -140,12 +140,13 @@ query("unpivot_factors", "ts_code trade_date factor_name", "factor_value", "SELE
 )
 query(
     "pivot_mean_by_year",
-    "factor_name",
-    "1996 1997 1998 1999",
-    "SELECT factor_name, " + ", ".join(f'avg(factor_value) FILTER (year(trade_date) = {y}) AS "{y}"' for y in range(1996, 2000)) + " FROM flong GROUP BY 1",
+    "factor_name year",
+    "mean",
+    """SELECT factor_name, year, avg(factor_value) FILTER (year(trade_date) = year) AS mean
+       FROM flong, (SELECT DISTINCT CAST(year(trade_date) AS INTEGER) AS year FROM flong) GROUP BY 1, 2""",
     ("flong",),
     digits=5,
-)(lambda s, f: R.pivot_mean(long(s, f).withColumn("year", F.year("trade_date")), "factor_name", "year", [1996, 1997, 1998, 1999], "factor_value"))
+)(lambda s, f: cells(R.pivot_mean(long(s, f).withColumn("year", F.year("trade_date")), "factor_name", "year", "factor_value"), ["factor_name"], "year", "mean"))
 _sk, _ku = "skewness(x)", "kurtosis(x)"
 query(
     "factor_description",

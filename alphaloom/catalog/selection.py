@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import alphaloom.catalog.panel  # noqa: F401
-from alphaloom.catalog.base import W, query, view
+from alphaloom.catalog.base import W, cells, query, view
 from alphaloom.operators import evaluation as V
 from alphaloom.operators import joins as J
 from alphaloom.operators import portfolio as Po
@@ -77,8 +77,10 @@ query(
 )(lambda s, f: R.industry_balanced(scores(s, f), 7))
 
 
-def report_days(spark):
-    return spark.sql("SELECT explode(sequence(DATE '1996-01-31', DATE '2001-07-31', INTERVAL 30 DAY)) AS report_date")
+def report_days(spark, folder):
+    """Every thirtieth day from the end of the data's first month of days to its last day."""
+    ends = bars(spark, folder).agg(F.date_add(F.min("trade_date"), 30).alias("a"), F.max("trade_date").alias("b"))
+    return ends.where("a <= b").select(F.explode(F.expr("sequence(a, b, INTERVAL 30 DAY)")).alias("report_date"))
 
 
 query(
@@ -89,10 +91,10 @@ query(
          SELECT *, lag(avg_score_30d) OVER (PARTITION BY ts_code ORDER BY report_date) AS prev FROM (
            SELECT ts_code, report_date, avg(score) AS avg_score_30d, stddev_samp(score) AS std_score_30d, max(score) AS max_score_30d,
                   min(score) AS min_score_30d, avg(rank_overall) AS avg_rank_30d
-           FROM placed JOIN (SELECT CAST(unnest(generate_series(DATE '1996-01-31', DATE '2001-07-31', INTERVAL 30 DAY)) AS DATE) AS report_date)
+           FROM placed JOIN (SELECT CAST(unnest(generate_series((SELECT min(trade_date) + 30 FROM bars), (SELECT max(trade_date) FROM bars), INTERVAL 30 DAY)) AS DATE) AS report_date)
              ON trade_date BETWEEN report_date - 30 AND report_date GROUP BY 1, 2))""",
-    ("placed",),
-)(lambda s, f: R.score_statistics(ranked(s, f), report_days(s)))
+    ("placed", "bars"),
+)(lambda s, f: R.score_statistics(ranked(s, f), report_days(s, f)))
 
 # ---- factor weights -----------------------------------------------------------------------
 
@@ -493,13 +495,12 @@ query(
 )(lambda s, f: V.monthly_returns(strategy_returns(s, f)))
 query(
     "monthly_return_table",
-    "strategy_id month",
-    "1996 1997 1998",
-    "SELECT strategy_id, CAST(m AS INTEGER) AS month, "
-    + ", ".join(f'max(x) FILTER (y = {y}) AS "{y}"' for y in (1996, 1997, 1998))
-    + " FROM monthly GROUP BY 1, 2",
+    "strategy_id month year",
+    "monthly_return",
+    """SELECT strategy_id, CAST(m AS INTEGER) AS month, year, max(x) FILTER (y = year) AS monthly_return
+       FROM monthly, (SELECT DISTINCT CAST(y AS INTEGER) AS year FROM monthly) GROUP BY 1, 2, 3""",
     ("monthly",),
-)(lambda s, f: V.monthly_table(strategy_returns(s, f), [1996, 1997, 1998]))
+)(lambda s, f: cells(V.monthly_table(strategy_returns(s, f)), ["strategy_id", "month"], "year", "monthly_return"))
 
 
 def trade_log(spark, folder):
@@ -537,13 +538,13 @@ query(
 )(lambda s, f: V.trade_statistics(trade_log(s, f), 1e7, 2499))
 query(
     "first_earlier_buy",
-    "ts_code sell_date buy_date",
+    "strategy_id ts_code sell_date buy_date",
     {"sell_price": 8, "buy_price": 8},
-    """SELECT s.ts_code, s.trade_date AS sell_date, s.price AS sell_price, b.trade_date AS buy_date, b.price AS buy_price FROM tlog s JOIN tlog b
+    """SELECT s.strategy_id, s.ts_code, s.trade_date AS sell_date, s.price AS sell_price, b.trade_date AS buy_date, b.price AS buy_price FROM tlog s JOIN tlog b
          ON b.ts_code = s.ts_code AND b.strategy_id = s.strategy_id AND b.action = 'buy' AND b.trade_date < s.trade_date
-       WHERE s.action = 'sell' AND s.strategy_id = 'F' QUALIFY row_number() OVER (PARTITION BY s.ts_code, s.trade_date ORDER BY b.trade_date) = 1""",
+       WHERE s.action = 'sell' QUALIFY row_number() OVER (PARTITION BY s.strategy_id, s.ts_code, s.trade_date ORDER BY b.trade_date) = 1""",
     ("tlog",),
-)(lambda s, f: J.first_earlier_buy(trade_log(s, f).where(F.col("strategy_id") == "F")))
+)(lambda s, f: J.first_earlier_buy(trade_log(s, f)))
 query(
     "strategy_comparison",
     "strategy_id metric place",

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alphaloom.session import stored
+
 
 def register(spark: SparkSession) -> None:
     """Make the SQL functions available to ``spark.sql`` in this session."""
@@ -35,18 +37,27 @@ def _view(df: DataFrame, label: str) -> str:
 def dependency_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Walk dependencies from tasks that depend on nothing; a path never visits a task twice.
 
-    Each round of the recursion is one join of the newest rows with the edges.
+    Paths are put together from stretches of doubling length: a path of ``length + r`` steps is one
+    of ``r`` steps, found before, and a stretch of ``length`` steps. So the rounds grow with the
+    logarithm of the depth, each is two joins on task ids, and each is written to the shared folder.
+    A cycle ends where its stretches would meet themselves.
     """
-    spark = nodes.sparkSession
-    n, e = _view(nodes, "nodes"), _view(edges, "edges")
-    return spark.sql(
-        f"""WITH RECURSIVE chain(task_id, root, depth, path) AS (
-              SELECT t.task_id, t.task_id, 0, array(t.task_id) FROM {n} t LEFT ANTI JOIN {e} d ON t.task_id = d.task_id
-              UNION ALL
-              SELECT d.task_id, c.root, c.depth + 1, array_append(c.path, d.task_id)
-              FROM {e} d JOIN chain c ON d.depends_on = c.task_id WHERE NOT array_contains(c.path, d.task_id))
-            SELECT task_id, root, depth, path FROM chain"""
-    )
+    links = edges.select(F.col("depends_on").alias("start"), "task_id").where("start <> task_id").distinct()
+    stretches = links.select("start", F.col("task_id").alias("stop"), F.array("task_id").alias("steps"))
+    roots = nodes.join(edges.select("task_id").distinct(), "task_id", "left_anti")
+    chain = roots.select("task_id", F.col("task_id").alias("root"), F.lit(0).alias("depth"), F.array("task_id").alias("path"))
+    length = 1
+    while True:
+        stretches = stored(stretches, "stretches")
+        if stretches.isEmpty():
+            return chain
+        longer = chain.join(stretches, F.col("task_id") == F.col("start")).where(~F.arrays_overlap("path", "steps"))
+        longer = longer.select(F.col("stop").alias("task_id"), "root", (F.col("depth") + length).alias("depth"), F.concat("path", "steps").alias("path"))
+        chain = stored(chain.unionByName(longer), "chain")
+        ahead = stretches.select(F.col("start").alias("stop"), F.col("stop").alias("end"), F.col("steps").alias("more"))
+        joined = stretches.join(ahead, "stop").where(~F.arrays_overlap("steps", "more") & ~F.array_contains("more", F.col("start")))
+        stretches = joined.select("start", F.col("end").alias("stop"), F.concat("steps", "more").alias("steps"))
+        length *= 2
 
 
 def industry_paths(spark: SparkSession, upper: DataFrame, lower: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def with_all_positions(df: DataFrame, specs: list[tuple], hot: bool | None = Non
             known = F.col(value).isNotNull()
             out = out.select(
                 "*",
-                F.when(known, F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1).alias(names["_below"]),
+                F.when(known, (F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1).cast("long")).alias(names["_below"]),
                 F.when(known, F.count(value).over(W.partitionBy(*keys, value))).alias(names["_ties"]),
                 F.when(known, F.count(value).over(group)).alias(names["_n"]),
             )

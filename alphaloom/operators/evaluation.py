@@ -168,8 +168,8 @@ def monthly_returns(df: DataFrame) -> DataFrame:
     return df.groupBy(KEY, F.year(DATE).alias("year"), F.month(DATE).alias("month")).agg((F.product(F.col(RET) + 1) - 1).alias("monthly_return"))
 
 
-def monthly_table(df: DataFrame, years: list[int]) -> DataFrame:
-    """Months by years of compounded returns."""
+def monthly_table(df: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Months by years of compounded returns; all years of the data unless some are named."""
     return monthly_returns(df).groupBy(KEY, "month").pivot("year", years).agg(F.first("monthly_return"))
 
 

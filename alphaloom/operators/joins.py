@@ -84,15 +84,15 @@ def global_latest_rows(df: DataFrame, time: str) -> DataFrame:
     return df.join(newest, time, "left_semi")
 
 
-def first_earlier_buy(trades: DataFrame) -> DataFrame:
-    """Pair each sell with the first buy of the same security before it.
+def first_earlier_buy(trades: DataFrame, by: tuple[str, ...] = ("strategy_id", "ts_code")) -> DataFrame:
+    """Pair each sell with the first buy of the same strategy and security before it.
 
-    The first buy of a security is one number, so pairing needs no comparison of all pairs.
+    Their first buy is one number, so pairing needs no comparison of all pairs.
     """
     buys = trades.where(F.col("action") == "buy")
-    opening = buys.groupBy("ts_code").agg(F.min("trade_date").alias("buy_date"), F.min_by("price", "trade_date").alias("buy_price"))
-    sells = trades.where(F.col("action") == "sell").select("ts_code", F.col("trade_date").alias("sell_date"), F.col("price").alias("sell_price"))
-    return sells.join(opening, "ts_code").where(F.col("buy_date") < F.col("sell_date"))
+    opening = buys.groupBy(*by).agg(F.min("trade_date").alias("buy_date"), F.min_by("price", "trade_date").alias("buy_price"))
+    sells = trades.where(F.col("action") == "sell").select(*by, F.col("trade_date").alias("sell_date"), F.col("price").alias("sell_price"))
+    return sells.join(opening, list(by)).where(F.col("buy_date") < F.col("sell_date"))
 
 
 def not_held(candidates: DataFrame, holdings: DataFrame) -> DataFrame:

@@ -77,19 +77,19 @@ def regressor(kind: str, seed: int = 42, **params):
     if kind == "linear":
         return LinearRegression(featuresCol="features", labelCol=TARGET, **params)
     if kind == "ridge":
-        return LinearRegression(featuresCol="features", labelCol=TARGET, elasticNetParam=0.0, regParam=params.pop("regParam", 1.0), **params)
+        return LinearRegression(featuresCol="features", labelCol=TARGET, elasticNetParam=0.0, standardization=False, **params)
     if kind == "lasso":
-        return LinearRegression(featuresCol="features", labelCol=TARGET, elasticNetParam=1.0, regParam=params.pop("regParam", 0.01), **params)
+        return LinearRegression(featuresCol="features", labelCol=TARGET, elasticNetParam=1.0, standardization=False, regParam=params.pop("regParam", 0.1), **params)
     if kind == "random_forest":
-        return RandomForestRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"numTrees": 20, "maxDepth": 5} | params))
+        return RandomForestRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"numTrees": 100, "maxDepth": 10} | params))
     if kind in ("gradient_boosting", "xgboost", "lightgbm"):
-        return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"maxIter": 10, "maxDepth": 4} | params))
+        return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params))
     raise ValueError(f"unknown model {kind}")
 
 
 def model_pipeline(kind: str, factors: list[str], **params) -> Pipeline:
     """Assemble, scale for the linear family, and regress."""
-    assemble = VectorAssembler(inputCols=factors, outputCol="raw" if kind in LINEAR else "features", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=factors, outputCol="raw" if kind in LINEAR else "features", handleInvalid="error")
     stages = [assemble]
     if kind in LINEAR:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
@@ -103,11 +103,24 @@ def fill_zero(df: DataFrame, factors: list[str]) -> DataFrame:
 def train(df: DataFrame, factors: list[str], kind: str, **params) -> PipelineModel:
     rows = fill_zero(df, factors).select(*factors, TARGET).persist()  # fitting reads the rows several times
     try:
-        return model_pipeline(kind, factors, **params).fit(rows)
+        return fitted(rows, factors, kind, **params)
     finally:
         rows.unpersist()
 
 
+def fitted(rows: DataFrame, factors: list[str], kind: str, alpha: float = 1.0, **params) -> PipelineModel:
+    """The model of a kind on rows without nulls.
+
+    Ridge weighs ``alpha`` against the sum of squared errors; the estimator's own penalty goes with
+    half the mean error and is divided by the target's deviation, so it follows from both. The
+    lasso's penalty goes with half the mean error here and there.
+    """
+    if kind == "ridge" and "regParam" not in params:
+        n, deviation = rows.agg(F.count("*"), F.stddev_pop(TARGET)).first()
+        params["regParam"] = alpha * (deviation or 0.0) / max(n, 1)
+    return model_pipeline(kind, factors, **params).fit(rows)
+
+
 def regression_metrics(predicted: DataFrame, target: str = TARGET, by: list[str] | None = None) -> DataFrame:
     """mse, rmse, mae and r2 in one aggregate."""
     e = F.col("prediction") - F.col(target)
@@ -134,12 +147,11 @@ def feature_importance(model: PipelineModel, factors: list[str], spark) -> DataF
 def time_series_cv(df: DataFrame, factors: list[str], kind: str, folds: int = 5, **params) -> list[dict]:
     """r2 of ``folds`` expanding windows: train up to a cut, test on the part after it."""
     shared = with_time_share(fill_zero(df, factors)).select(*factors, TARGET, "time_share").persist()
-    pipeline = model_pipeline(kind, factors, **params)
     scores = []
     try:
         for k in range(1, folds + 1):
             cut, end = k / (folds + 1), (k + 1) / (folds + 1)
-            model = pipeline.fit(shared.where(F.col("time_share") <= cut))
+            model = fitted(shared.where(F.col("time_share") <= cut), factors, kind, **params)
             part = shared.where((F.col("time_share") > cut) & (F.col("time_share") <= end))
             row = regression_metrics(model.transform(part)).first()
             scores.append({"fold": k, "n": row["n"], "r2": row["r2"], "mse": row["mse"]})
@@ -340,7 +352,7 @@ def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_r
     return takers.join(givers, ["_g", "_i"]).drop("_g", "_i")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[str], repeats: int = 3, seed: int = 42, keys=(CODE, DATE)) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[str], repeats: int = 10, seed: int = 42, keys=(CODE, DATE)) -> DataFrame:
     """Rise of the squared error when a factor is permuted, over ``repeats`` permutations.
 
     Every (factor, repeat) is a copy of the rows with one column replaced; one scoring pass and
@@ -365,7 +377,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[st
     )
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, factors: list[str], feature: str, resolution: int = 20) -> DataFrame:
+def partial_dependence(model: PipelineModel, df: DataFrame, factors: list[str], feature: str, resolution: int = 50) -> DataFrame:
     """Mean prediction with one factor set to each point of an even grid over its range.
 
     The grid is an array of ``resolution`` numbers computed from the factor's range, so each row

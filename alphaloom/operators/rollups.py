@@ -135,7 +135,8 @@ def pivot_first(df: DataFrame, keys: list[str], names: list[str], name: str = "f
     return df.groupBy(*keys).pivot(name, names).agg(F.first(value, ignorenulls=True))
 
 
-def pivot_mean(df: DataFrame, row: str, col: str, names: list, value: str) -> DataFrame:
+def pivot_mean(df: DataFrame, row: str, col: str, value: str, names: list | None = None) -> DataFrame:
+    """Means of each row and column value; all column values of the data unless some are named."""
     return df.groupBy(row).pivot(col, names).agg(F.avg(value))
 
 

@@ -79,3 +79,33 @@ def test_interaction_of_an_additive_model_is_below_one(rows):
     model = ml.train(df, ["a", "b", "c"], "linear")
     got = ml.interaction_strength(model, df, ["a", "b", "c"], [("a", "b")]).first()
     assert 0 < got.interaction_strength <= 1
+
+
+@pytest.mark.parametrize("alpha", [0.5, 1.0, 500.0])
+def test_ridge_is_the_closed_form(spark, alpha):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 2)) @ np.array([[1.0, 0.6], [0.0, 0.5]])
+    y = 0.02 * x[:, 0] + 0.01 * x[:, 1] + rng.normal(scale=0.05, size=2000) + 0.3
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], f"a double, b double, {ml.TARGET} double")
+    found = ml.train(df, ["a", "b"], "ridge", alpha=alpha).stages[-1]
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    exact = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
+    assert np.abs(found.coefficients.toArray() - exact).max() < 1e-6
+
+
+def test_lasso_is_the_coordinate_solution(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 2))
+    y = 0.9 * x[:, 0] + 0.05 * x[:, 1] + rng.normal(scale=0.2, size=1500)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], f"a double, b double, {ml.TARGET} double")
+    found = ml.train(df, ["a", "b"], "lasso", tol=1e-10, maxIter=1000).stages[-1].coefficients.toArray()
+    z, t, w = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1), y - y.mean(), np.zeros(2)
+    for _ in range(500):
+        for k in range(2):
+            r = t - z @ w + z[:, k] * w[k]
+            w[k] = np.sign(z[:, k] @ r) * max(abs(z[:, k] @ r) / len(t) - 0.1, 0) / (z[:, k] @ z[:, k] / len(t))
+    assert np.abs(found - w).max() < 1e-5 and w[1] == 0
