@@ -121,7 +121,18 @@ def feature_importance(spark, folder):
     return ml.feature_importance(ml.train(a, FACTORS, "random_forest"), FACTORS, spark)
 
 
-@query("time_series_cv", "fold n", "r2 mse")
+def folds_sql(folds: int = 5) -> str:
+    parts = []
+    for k in range(1, folds + 1):
+        cut, end = f"CAST({k / (folds + 1)!r} AS DOUBLE)", f"CAST({(k + 1) / (folds + 1)!r} AS DOUBLE)"
+        parts.append(
+            f"""SELECT {k} AS fold, count(*) AS n, 1 - avg(e * e) / var_pop(y) AS r2, avg(e * e) AS mse FROM (SELECT target_return AS y, {predicted()} - target_return AS e
+                FROM (SELECT target_return, {", ".join(FACTORS)} FROM shares WHERE share > {cut} AND share <= {end}), ({normal_equations(f"(SELECT * FROM shares WHERE share <= {cut})", 0)}))"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("time_series_cv", "fold n", "r2 mse", folds_sql(), ("shares",), digits=5)
 def time_series_cv(spark, folder):
     return spark.createDataFrame(ml.time_series_cv(training(spark, folder), FACTORS, "linear"), "fold int, n long, r2 double, mse double")
 
@@ -256,25 +267,88 @@ def _model(spark, folder):
     return ml.train(rows, FACTORS, "linear"), rows
 
 
-@query("permutation_importance", "feature", "importance importance_std importance_min importance_max")
+_filled = ", ".join(f"coalesce({f}, 0) AS {f}" for f in FACTORS)
+
+
+def digest_sql(seed: int) -> str:
+    return f"md5('{seed}|' || ts_code || '|' || trade_date)"
+
+
+def number_sql(seed: int) -> str:
+    return f"CAST('0x' || substr({digest_sql(seed)}, 1, 8) AS BIGINT)"
+
+
+def shuffled_sql(rows: str, col: str, seed: int) -> str:
+    """(ts_code, trade_date, v): the column's values permuted among the rows."""
+    places = ", ".join(f"row_number() OVER (PARTITION BY g ORDER BY {digest_sql(seed * 31 + salt)}, ts_code, trade_date) AS i{salt}" for salt in (1, 2))
+    placed = f"(SELECT *, {places} FROM (SELECT ts_code, trade_date, {col}, {number_sql(seed)} % (SELECT greatest(1, CAST(ceil(count(*) / 50000) AS BIGINT)) FROM {rows}) AS g FROM {rows}))"
+    return f"(SELECT a.ts_code, a.trade_date, b.{col} AS v FROM {placed} a JOIN {placed} b ON a.g = b.g AND a.i1 = b.i2)"
+
+
+def importance_sql(rows: str, repeats: int = 10, seed: int = 42) -> str:
+    """Rise of the squared error of the linear model when a factor is permuted."""
+    parts = []
+    for j, f in enumerate(FACTORS):
+        own = ", ".join("v AS " + f if c == f else c for c in FACTORS)
+        for r in range(repeats):
+            mixed = f"(SELECT target_return, {own} FROM {rows} JOIN {shuffled_sql(rows, f, seed + 100 * j + r)} USING (ts_code, trade_date))"
+            parts.append(f"SELECT '{f}' AS feature, avg(pow({predicted()} - target_return, 2)) AS mse FROM {mixed}, fit")
+    return f"""WITH fit AS MATERIALIZED ({normal_equations("training", 0)}), errors AS ({" UNION ALL ".join(parts)}),
+        base AS (SELECT avg(pow({predicted()} - target_return, 2)) AS b FROM {rows}, fit)
+        SELECT feature, avg(mse - b) AS importance, stddev_pop(mse - b) AS importance_std, min(mse - b) AS importance_min, max(mse - b) AS importance_max FROM errors, base GROUP BY 1"""
+
+
+view("filled", f"SELECT ts_code, trade_date, target_return, {_filled} FROM training", "training")
+view("sampled", f"SELECT * FROM filled WHERE {number_sql(42)} < 0.3 * 4294967296", "filled")
+
+
+def dependence_sql(feature: str, points: int = 50) -> str:
+    at = predicted().replace(f"coalesce({feature}, 0)", "feature_value")
+    return f"""SELECT grid_index, feature_value, avg({at}) AS pdp_value FROM filled, ({normal_equations("training", 0)}),
+        (SELECT i AS grid_index, lo + (hi - lo) * i / {points - 1} AS feature_value FROM (SELECT min({feature}) AS lo, max({feature}) AS hi FROM filled), (SELECT CAST(unnest(range({points})) AS INTEGER) AS i))
+        GROUP BY 1, 2"""
+
+
+def interaction_sql(pairs: list[tuple[str, str]], seed: int = 7) -> str:
+    used = sorted({f for p in pairs for f in p})
+    wide = "filled"
+    columns = ", ".join(f"p{j}.v AS p_{f}" for j, f in enumerate(used))
+    for j, f in enumerate(used):
+        wide += f" JOIN {shuffled_sql('filled', f, seed + j)} p{j} USING (ts_code, trade_date)"
+
+    def with_(*swap):
+        out = predicted()
+        for f in swap:
+            out = out.replace(f"coalesce({f}, 0)", f"p_{f}")
+        return f"({out})"
+
+    base = with_()
+    return " UNION ALL ".join(
+        f"""SELECT '{a}' AS feature1, '{b}' AS feature2, avg(abs({base} - {with_(a, b)})) / (avg(abs({base} - {with_(a)}) + abs({base} - {with_(b)})) + 1e-8) AS interaction_strength
+            FROM (SELECT {", ".join(FACTORS)}, {columns} FROM {wide}), ({normal_equations("training", 0)})"""
+        for a, b in pairs
+    )
+
+
+@query("permutation_importance", "feature", "importance importance_std importance_min importance_max", importance_sql("filled"), ("training", "filled"), digits=8)
 def permutation_importance(spark, folder):
     model, rows = _model(spark, folder)
     return ml.permutation_importance(model, rows, FACTORS)
 
 
-@query("partial_dependence", "grid_index", "feature_value pdp_value")
+@query("partial_dependence", "grid_index", "feature_value pdp_value", dependence_sql("mom"), ("training", "filled"))
 def partial_dependence(spark, folder):
     model, rows = _model(spark, folder)
     return ml.partial_dependence(model, rows, FACTORS, "mom")
 
 
-@query("interaction_strength", "feature1 feature2", "interaction_strength")
+@query("interaction_strength", "feature1 feature2", "interaction_strength", interaction_sql([("mom", "volr"), ("mom", "rng")]), ("training", "filled"), digits=5)
 def interaction_strength(spark, folder):
     model, rows = _model(spark, folder)
     return ml.interaction_strength(model, rows, FACTORS, [("mom", "volr"), ("mom", "rng")])
 
 
-@query("global_importance", "feature", "importance")
+@query("global_importance", "feature", "importance", importance_sql("sampled"), ("training", "filled", "sampled"), digits=8)
 def global_importance(spark, folder):
     model, rows = _model(spark, folder)
     return ml.global_importance(model, rows, FACTORS, 0.3)

@@ -129,7 +129,7 @@ query(
         FROM ({_score_sql("(SELECT * FROM flags WHERE trade_date >= DATE '2000-06-30' - 365 AND trade_date <= DATE '2000-06-30')")})""",
     ("flags",),
 )(_over(lambda d: Q.check_recent(d, "2000-06-30", 365)))
-query("quality_sample", "ts_code", "")(_over(lambda d: Q.sample_codes(d, 20)))
+query("quality_sample", "ts_code", "", "SELECT DISTINCT ON (h, ts_code) ts_code FROM (SELECT ts_code, md5('42|' || ts_code) AS h FROM dirty) ORDER BY h, ts_code LIMIT 20", ("dirty",))(_over(lambda d: Q.sample_codes(d, 20)))
 
 RULES_AS_OF = "2001-11-10"
 

@@ -334,6 +334,16 @@ def retraining_triggers(state: DataFrame, as_of, accuracy: float = 0.6, f1: floa
 # ---- explanation ----------------------------------------------------------------------------
 
 
+def key_digest(seed: int, keys: list[str]) -> Column:
+    """An order of keys by chance that any engine can repeat: the digest of seed and keys."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+
+
+def key_number(seed: int, keys: list[str]) -> Column:
+    """The digest's first 32 bits."""
+    return F.conv(F.substring(key_digest(seed, keys), 1, 8), 16, 10).cast("long")
+
+
 def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_rows: int = 50_000, rows: int | None = None) -> DataFrame:
     """Keys with the column's values permuted among the rows.
 
@@ -344,9 +354,9 @@ def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_r
     groups = max(1, math.ceil(n / group_rows))
 
     def place(salt: int) -> Column:
-        return F.row_number().over(W.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed * 31 + salt), *keys), *keys))
+        return F.row_number().over(W.partitionBy("_g").orderBy(key_digest(seed * 31 + salt, keys), *keys))
 
-    base = df.select(*keys, F.col(col).alias("_v"), F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(groups)).alias("_g"))
+    base = df.select(*keys, F.col(col).alias("_v"), (key_number(seed, keys) % groups).alias("_g"))
     takers = base.select(*keys, "_g", place(1).alias("_i"))
     givers = base.select("_g", place(2).alias("_i"), F.col("_v").alias(col))
     return takers.join(givers, ["_g", "_i"]).drop("_g", "_i")
@@ -414,6 +424,7 @@ def interaction_strength(model: PipelineModel, df: DataFrame, factors: list[str]
     return pivot.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def global_importance(model: PipelineModel, df: DataFrame, factors: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """Permutation importance on a random sample of the rows."""
-    return permutation_importance(model, df.sample(fraction=fraction, seed=seed), factors, 1, seed)
+def global_importance(model: PipelineModel, df: DataFrame, factors: list[str], fraction: float, seed: int = 42, keys=(CODE, DATE)) -> DataFrame:
+    """Permutation importance on a sample of the rows, chosen by digest of the key."""
+    some = df.where(key_number(seed, list(keys)) < F.lit(fraction * 2**32))
+    return permutation_importance(model, some, factors, seed=seed, keys=keys)

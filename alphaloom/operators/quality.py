@@ -142,7 +142,7 @@ def check_recent(df: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 def sample_codes(df: DataFrame, n: int, seed: int = 42, key: str = CODE) -> DataFrame:
     """A random sample of securities, the same for the same seed."""
-    return df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.select(key).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 # ---- rules ----------------------------------------------------------------------------------
