@@ -178,7 +178,7 @@ query(
 
 view(
     "shifted",
-    """SELECT f.factor_name, k AS period, f.trade_date, f.v, p.return_1d AS r FROM (SELECT unnest(generate_series(1, 10)) AS k) ks, fpairs f
+    """SELECT f.factor_name, k AS period, f.trade_date, f.v, p.return_1d AS r FROM (SELECT unnest(generate_series(1, 20)) AS k) ks, fpairs f
        JOIN panel p ON p.ts_code = f.ts_code AND p.trade_date = f.trade_date + CAST(k AS INTEGER) WHERE p.return_1d IS NOT NULL""",
     "fpairs",
 )
@@ -193,7 +193,7 @@ view(
 
 
 def decay(spark, folder):
-    return E.factor_decay(long_panel(spark, folder), returns(spark, folder), 10, min_pairs=10)
+    return E.factor_decay(long_panel(spark, folder), returns(spark, folder), min_pairs=10)
 
 
 query(
@@ -270,7 +270,7 @@ query(
 
 
 def report(spark, folder):
-    return reports.factor_report(long_panel(spark, folder), returns(spark, folder), layers=5, max_periods=10)
+    return reports.factor_report(long_panel(spark, folder), returns(spark, folder), layers=5)
 
 
 query("factor_rating", "factor_name grade", "ic_score ir_score layered_score decay_score score")(report)

@@ -171,6 +171,17 @@ query(
             SELECT *, coalesce({C} - pre_close, 0) AS d FROM bars))""",
 )(_over(lambda df: T.calculate_bollinger_bands(T.calculate_sma(T.calculate_rsi(df)))))
 
+view("ema20", _ema_sql("numbered", 20), "numbered")
+query(
+    "technical_compat_averages",
+    KEYS,
+    "macd macd_signal macd_histogram ema",
+    """SELECT ts_code, trade_date, a.x AS macd, b.x AS macd_signal, a.x - b.x AS macd_histogram, c.x AS ema
+       FROM macd_line a JOIN macd_sig b USING (ts_code, trade_date) JOIN ema20 c USING (ts_code, trade_date)""",
+    needs=("macd_line", "macd_sig", "ema20"),
+    digits=4,
+)(_over(lambda df: T.calculate_ema(T.calculate_macd(df))))
+
 # The wide table of all factors holds the same values as the single queries.
 query(
     "technical_all_factors",
