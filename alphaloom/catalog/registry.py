@@ -58,5 +58,5 @@ def _range(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 query("user_statistic", "ts_code n", {"span": 6}, "SELECT ts_code, max(rng) - min(rng) AS span, count(rng) AS n FROM panel GROUP BY 1", ("panel",))(
-    lambda s, f: G.grouped_statistic(panel(s, f), ["ts_code"], ["rng"], _range, "ts_code long, span double, n long")
+    lambda s, f: G.grouped_statistic(panel(s, f), ["ts_code"], ["rng"], _range, "ts_code long, span double, n long", max_rows=100_000)
 )

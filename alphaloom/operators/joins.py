@@ -117,18 +117,6 @@ def set_overlap(left: DataFrame, right: DataFrame, key: str = "ts_code") -> Data
     return out.select("common", "total", share.alias("overlap"), (share < 0.8).alias("low_overlap"))
 
 
-
-
-def condition_pairs(left: DataFrame, templates: DataFrame, limit: int, condition: Column) -> DataFrame:
-    """Join on a condition with a template table of a checked size.
-
-    The template side must hold at most ``limit`` rows; a larger one is refused, not truncated.
-    """
-    if templates.limit(limit + 1).count() > limit:
-        raise ValueError(f"template table exceeds {limit} rows")
-    return left.join(F.broadcast(templates), condition)
-
-
 def wide_security_view(stock: DataFrame, market: DataFrame, *factor_frames: DataFrame) -> DataFrame:
     """Security, bar and factor tables joined left on (code, day)."""
     out = market.join(stock, "ts_code", "left")

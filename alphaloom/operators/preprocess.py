@@ -251,14 +251,22 @@ def industry_quantiles(df: DataFrame, col: str, n: int = 5, industry: str = "ind
     return big.unionByName(small).unionByName(none)
 
 
-def update_quantiles(current: DataFrame, history: DataFrame, keys=("quantile",), decay: float = 0.95) -> DataFrame:
-    """Blend bucket statistics with the stored ones; a new bucket is taken as it is."""
+def update_quantiles(current: DataFrame, history: DataFrame, keys=("quantile",), decay: float = 0.95, keep: bool = False) -> DataFrame:
+    """Blend bucket statistics with the stored ones; a new bucket is taken as it is.
+
+    ``keep`` also returns the buckets that only the stored statistics hold, as they are.
+    """
     stats = ("min_value", "max_value", "mean_value", "std_value")
-    old = history.select(*keys, *[F.col(c).alias(f"_{c}") for c in stats])
-    joined = current.join(old, list(keys), "left")
-    return joined.withColumns(
-        {c: F.when(F.col("_mean_value").isNotNull(), F.col(f"_{c}") * decay + F.col(c) * (1 - decay)).otherwise(F.col(c)) for c in stats}
-    ).drop(*[f"_{c}" for c in stats])
+    rest = [c for c in current.columns if c not in (*keys, *stats) and keep]
+    old = history.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*stats, *rest)])
+    joined = current.join(old, list(keys), "full" if keep else "left")
+
+    def blended(c: str) -> Column:
+        both = F.col("_mean_value").isNotNull() & F.col("mean_value").isNotNull()
+        return F.when(both, F.col(f"_{c}") * decay + F.col(c) * (1 - decay)).when(F.col("mean_value").isNull(), F.col(f"_{c}")).otherwise(F.col(c))
+
+    new = {c: blended(c) for c in stats} | {c: F.coalesce(c, f"_{c}") for c in rest}
+    return joined.withColumns(new).select(*current.columns)
 
 
 def equal_weight(df: DataFrame, cols: list[str], out: str = "composite") -> DataFrame:

@@ -195,11 +195,11 @@ def default_registry(settings: FactorSettings | None = None) -> Registry:
     return r
 
 
-def grouped_statistic(df: DataFrame, by: list[str], columns: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int = 1_000_000) -> DataFrame:
+def grouped_statistic(df: DataFrame, by: list[str], columns: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int) -> DataFrame:
     """A user's pandas statistic per group.
 
-    A group is handed to the function whole, so the largest group is checked first; data beyond
-    ``max_rows`` per group is refused and needs a statistic written with columns instead.
+    A group is handed to the function whole, so the caller says how many rows the function can
+    take; data beyond ``max_rows`` per group is refused and needs a statistic written with columns.
     """
     biggest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest > max_rows:

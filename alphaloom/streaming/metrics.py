@@ -90,15 +90,13 @@ def request_monitor(requests: DataFrame, width: str = "5 minutes", slide: str =
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "success_rate", "cache_hit_rate", "avg_time")
 
 
-def rule_hits(metrics: DataFrame, rules: DataFrame, limit: int = 10_000) -> DataFrame:
+def rule_hits(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Match points with enabled rules of their metric and test the condition.
 
-    Rules are configuration: their number is checked before they are broadcast.
+    An equal join by metric, whose side and way the optimiser picks by size.
     """
-    if rules.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rules")
     on = rules.where("enabled").select("rule_id", F.col("metric").alias("name"), "threshold", "comparison", "trigger_count", "evaluation_window")
-    return metrics.join(F.broadcast(on), "name").withColumn("hit", compare("value", "threshold", "comparison"))
+    return metrics.join(on, "name").withColumn("hit", compare("value", "threshold", "comparison"))
 
 
 ALERT = "rule_id string, fired_at timestamp, value double, hits int"
@@ -165,7 +163,7 @@ def decay_quantiles(values: DataFrame, path: str, buckets: int = 5, decay: float
     """Blend each micro-batch's bucket statistics into the running ones, one small table per epoch.
 
     ``values`` needs factor_name and factor_value. An epoch reads the result of the one before,
-    so a repeated epoch gives the same table.
+    so a repeated epoch gives the same table. A bucket that a batch doesn't hold keeps its state.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -173,7 +171,7 @@ def decay_quantiles(values: DataFrame, path: str, buckets: int = 5, decay: float
         stats = P.quantile_stats(P.market_quantiles(batch, "factor_value", buckets, "factor_name"), "factor_value", "factor_name")
         before = f"{path}/epoch={epoch - 1}"
         if epoch > 0 and sinks.path_exists(spark, before):
-            stats = P.update_quantiles(stats, spark.read.parquet(before), ("factor_name", "quantile"), decay)
+            stats = P.update_quantiles(stats, spark.read.parquet(before), ("factor_name", "quantile"), decay, keep=True)
         stats.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     drain_batches(values, each)
