@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 SHORT = 400
 #: Entries in each of the two generations that a cache of a Python worker keeps.
-CACHED = 200_000
+CACHED = 100_000
 #: Rows that are encoded or decoded at a time.
-ROWS = 1000
+ROWS = 500
 
 #: White space beyond the six ASCII characters; texts that hold any are split as a whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -73,10 +73,10 @@ class Codec:
         raw = lambda token: bytes(chars[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        pairs = [(raw(a), raw(b)) for a, b in pairs]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
-        self.joined = [self.ids[a + b] for a, b in self.ranks]
-        self.rank_of_ids = {self.ids[a] << 32 | self.ids[b]: k for (a, b), k in self.ranks.items()}
+        self.joined = [self.ids[a + b] for a, b in pairs]
+        self.rank_of_ids = {self.ids[a] << 32 | self.ids[b]: k for k, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -87,7 +87,7 @@ class Codec:
         """The parts of a word that no merge joins any more."""
         if len(word) > SHORT:
             return self._merge_long(word)
-        bounds, none, rank, joined = list(range(len(word) + 1)), len(self.ranks), self.rank_of_ids.get, self.joined
+        bounds, none, rank, joined = list(range(len(word) + 1)), len(self.joined), self.rank_of_ids.get, self.joined
         parts = [self.byte_ids[b] for b in word]
         ranks = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
@@ -104,21 +104,23 @@ class Codec:
         return [word[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _merge_long(self, word: bytes) -> list[bytes]:
-        n, rank = len(word), self.ranks.get
+        n, of_ids, joined = len(word), self.rank_of_ids.get, self.joined
+        part = [self.byte_ids[b] for b in word]
+        rank = lambda i, j: of_ids(part[i] << 32 | part[j])
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank((word[i : i + 1], word[i + 1 : i + 2]))) is not None]
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
         heapq.heapify(heap)
         alive = bytearray(b"\x01") * n
         while heap:
-            _, i, middle, stop = heapq.heappop(heap)
+            least, i, middle, stop = heapq.heappop(heap)
             if not alive[i] or end[i] != middle or middle >= n or not alive[middle] or end[middle] != stop:
                 continue
-            alive[middle], end[i] = 0, stop
+            alive[middle], end[i], part[i] = 0, stop, joined[least]
             if stop < n:
                 before[stop] = i
-                if (r := rank((word[i:stop], word[stop : end[stop]]))) is not None:
+                if (r := rank(i, stop)) is not None:
                     heapq.heappush(heap, (r, i, stop, end[stop]))
-            if (j := before[i]) >= 0 and (r := rank((word[j:i], word[i:stop]))) is not None:
+            if (j := before[i]) >= 0 and (r := rank(j, i)) is not None:
                 heapq.heappush(heap, (r, j, i, stop))
         return [word[i : end[i]] for i in range(n) if alive[i]]
 

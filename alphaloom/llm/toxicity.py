@@ -44,7 +44,9 @@ CODES, START = 32, 31
 FOURS = CODES**4
 #: Characters after which a word without blanks is cut; words that long are read twice, with other cuts.
 WORD_LIMIT = 24
-CHUNK = 400_000
+CHUNK = 200_000
+#: Rows of a batch that are scored at a time.
+ROWS = 500
 #: Rounds of training, and toxic documents without explanation that are too few for another one.
 ROUNDS, LEAST_OPEN = 4, 10
 #: Worst words by which a document is judged.
@@ -233,7 +235,7 @@ class Model:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, toxic, clean): in how many documents of each class a four with one gap at most occurs."""
     counts = np.zeros((2, FOURS), np.int32)
-    for batch in batches:
+    for batch in _slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = words_of([text])
             seen = [code for _, code, decay in _fours(w) if decay >= DECAY**5]
@@ -251,7 +253,7 @@ def _text_of(w: Words, k: int) -> str:
 
 def _pick_batches(batches: Iterator[pa.RecordBatch], evidence: np.ndarray, weights: np.ndarray, each: int) -> Iterator[pa.RecordBatch]:
     """The words of a document's worst sentences by evidence; of clean ones also the worst by weights and some drawn by chance."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, labels, words = [], [], []
         for doc_id, text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             w = words_of([text])
@@ -391,8 +393,14 @@ def _rescored(words, weights: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(found), found, -3.0)
 
 
-def _raw_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
+def _raw_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.raw(batch.column(1).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["label", "raw"])
 
@@ -427,7 +435,7 @@ def counts_of(docs: DataFrame) -> pd.DataFrame:
 
 def _open_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Documents that the machine doesn't find toxic."""
-    for batch in batches:
+    for batch in _slices(batches):
         if batch.num_rows:
             left = model.raw(batch.column(1).to_pylist())[:, 0] < 0
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(left))], names=["doc_id"])
@@ -487,7 +495,7 @@ def _best(docs: DataFrame, models: list[Model], share: float) -> Model:
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()))], names=["key", "score"])
 
@@ -513,6 +521,6 @@ def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def _keep_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         if batch.num_rows:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < threshold))
