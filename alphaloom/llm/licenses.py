@@ -29,9 +29,9 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("&", " and "),
 )
-QUOTES = "\u201c\u201d\u2018\u2019\u2013\u2014"
 COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|\u00a9)[ \t]+[^\n]*"
-PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
+#: ASCII other than letters and digits, and typographic quotes and dashes.
+PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f\u2013\u2014\u2018\u2019\u201c\u201d]+"
 
 #: Public licence texts and usual notices.
 PERMISSION_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -85,22 +85,25 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The text that equivalent writings of a licence share."""
-    c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+def canonical(c: Column) -> Column:
+    """What equivalent writings of a licence share, from the text in lower case."""
+    marked = F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("(c)")) | F.contains(c, F.lit("\u00a9"))
+    c = F.when(marked, F.regexp_replace(c, COPYRIGHT_LINE, "\n")).otherwise(c)
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(F.translate(c, QUOTES, " " * len(QUOTES)), PUNCTUATION, " "))
+    return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def with_digest(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with the digest of the canonical text in place of the text."""
+    lowered = rows.withColumn(text, F.lower(text))
+    return lowered.withColumn("digest", F.sha2(canonical(F.col(text)).cast("binary"), 256)).drop(text)
 
 
 def known(spark) -> DataFrame:
     """(digest, license) of the known texts: a few dozen rows."""
     rows = spark.createDataFrame(list(KNOWN), "license string, known_text string")
-    return rows.select(digest(F.col("known_text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return with_digest(rows, "known_text").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,12 +111,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     licences = F.broadcast(known(docs.sparkSession))
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), whole.alias("t"))
-    lines = rows.select("row_key", F.posexplode(F.split("t", "\n", -1)).alias("line", "part")).select("row_key", "line", digest(F.col("part")).alias("digest"))
-    found = lines.join(licences, "digest")
+    lines = rows.select("row_key", F.posexplode(F.split("t", "\n", -1)).alias("line", "part"))
+    found = with_digest(lines, "part").join(licences, "digest")
     # Exactly repeated rows share a key: their lines count once each.
     notices = found.groupBy("row_key").agg(F.count_distinct("line").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     notices = stored(notices, "licence-notices")
-    texts = rows.select("doc_id", "row_key", digest(F.col("t")).alias("digest")).join(licences, "digest", "left")
+    texts = with_digest(rows, "t").join(licences, "digest", "left")
     joined = texts.join(notices, "row_key", "left")
     return joined.select(
         F.col("doc_id").alias(doc_id),
@@ -133,7 +136,7 @@ def oracle_sql() -> str:
         c = f"regexp_replace(lower({c}), {pattern(COPYRIGHT_LINE)}, chr(10), 'g')"
         for old, new in SPELLINGS:
             c = f"replace({c}, {quoted(old)}, {quoted(new)})"
-        return f"sha256(trim(regexp_replace(translate({c}, {quoted(QUOTES)}, {quoted(' ' * len(QUOTES))}), {pattern(PUNCTUATION)}, ' ', 'g')))"
+        return f"sha256(trim(regexp_replace({c}, {pattern(PUNCTUATION)}, ' ', 'g')))"
 
     rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
