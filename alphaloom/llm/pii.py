@@ -213,7 +213,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spans = stored(found.where((F.size("base") > 0) | (F.size("added") > 0)).select("row_key", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans")).dropDuplicates(["row_key"]), "pii-spans")
     # All columns travel in one, so that their names clash with none here.
     own = docs.select(F.struct(*docs.columns).alias("d"), F.col(text).alias("whole"), row_key(doc_id, text).alias("row_key"))
-    joined = own.join(spans, "row_key", "left")
+    # The spans grow with the documents: merged at every size, never broadcast.
+    joined = own.join(spans.hint("merge"), "row_key", "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def step(state: Column, s: Column) -> Column:

@@ -267,7 +267,8 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     kept = stored(first.groupBy(F.col(doc_id).alias("kept")).agg(F.count("*").alias("rows")), "simhash-kept")
     # All columns travel in one, so that their names clash with none here.
     whole = df.select(F.col(doc_id).alias("id"), F.struct(*df.columns).alias("d"))
-    with_id = whole.join(kept.select("kept"), F.col("id") == F.col("kept"), "left_semi")
+    # The kept ids grow with the documents: merged at every size, never broadcast.
+    with_id = whole.join(kept.select("kept").hint("merge"), F.col("id") == F.col("kept"), "left_semi")
     if not kept.where("rows > 1").isEmpty():
         with_id = with_id.dropDuplicates(["id"])
     return with_id.unionByName(whole.where("id IS NULL")).select("d.*")
