@@ -263,7 +263,12 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
     Exactly repeated rows share an id; one of them stays.
     """
-    first = classes(df, doc_id, text, width, budget).where(F.col(doc_id) == F.col("component_id"))
+    return keep_first(df, classes(df, doc_id, text, width, budget), doc_id)
+
+
+def keep_first(df: DataFrame, classed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose id is the ``component_id`` of its class, one for each id, and all rows without id."""
+    first = classed.where(F.col(doc_id) == F.col("component_id"))
     kept = stored(first.groupBy(F.col(doc_id).alias("kept")).agg(F.count("*").alias("rows")), "simhash-kept")
     # All columns travel in one, so that their names clash with none here.
     whole = df.select(F.col(doc_id).alias("id"), F.struct(*df.columns).alias("d"))
