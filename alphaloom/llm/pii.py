@@ -2,14 +2,17 @@
 
 Seeds are what the four exact formats find: mail addresses, IPv4 addresses, payment card numbers
 that pass the check digit, phone numbers. Each place in a text where an identifier may stand - a
-seed, or a run of words that hold digits or an at sign - is an instance with two lexical patterns:
-its shape with the word before it, and its shape with the word after it. A shape writes runs of
-letters as ``a``, of digits as their number, and keeps the rest.
+seed, or a run of words that hold digits or an at sign - is an instance with three lexical patterns:
+its shape with the word before it, its shape with the word after it, and, whatever its shape, the
+two words with a coarse class: an at sign, many digits or few. A shape writes runs of letters as
+``a``, of digits as their number, and keeps the rest. So a sure pair of words proves shapes that no
+exact format has, and these prove other pairs of words.
 
 The graph of patterns and instances is scored round by round. A pattern's score for a kind is the
 mean score of its instances, seeds of the kind counting 1, seeds of other kinds 0 and other
 instances half their score so far, pulled towards 0 while its instances are few; an instance that is no seed then takes the chance that at
-least one of its patterns is right, after a pattern's own doubt. Patterns above ``CONFIDENT``
+least one of its patterns by shape is right, after a pattern's own doubt, or that of its pair of
+words if it is larger. What one of the two ways makes sure counts in full for the patterns of the other, never for its own. Patterns above ``CONFIDENT``
 give their kind to the instances that no exact format knows: the method adds those spans and takes
 none away. All instances of the corpus take part; sums are made per pattern and per instance text,
 never in one task for all.
@@ -40,6 +43,8 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]"}
 #: Where identifiers may stand: a run of words with a digit or an at sign, digits groups together.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][0-9().-]*+(?![^\x20\x09-\x0D.,;:!?]))*+"
 EDGES = r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$"
+#: From how many digits an instance without an at sign has many.
+MANY = 7
 ROUNDS = 4
 CONFIDENT = 0.9
 #: A pattern of n instances with mean score m scores m * n / (n + DOUBT).
@@ -135,11 +140,14 @@ def _shape(found: Column) -> Column:
 
 
 def _instance(kind: Column, m: Column) -> Column:
-    """A match with its two patterns."""
+    """A match with its two patterns by shape, and that of the words beside it (null without both)."""
     left = F.regexp_extract(m["before"], r"([^\x20\x09-\x0D]{1,30})[\x20\x09-\x0D]+[^A-Za-z0-9\x20\x09-\x0D]{0,4}$", 1)
     right = F.regexp_extract(m["after"], r"^[^A-Za-z0-9\x20\x09-\x0D]{0,4}[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,30})", 1)
     shape = _shape(m["found"])
-    return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.concat_ws(" ", F.lit("<"), F.lower(left), shape).alias("left"), F.concat_ws(" ", F.lit(">"), shape, F.lower(right)).alias("right"))
+    digits = F.length(F.regexp_replace(m["found"], "[^0-9]", ""))
+    coarse = F.when(F.contains(m["found"], F.lit("@")), "@").when(digits >= MANY, "#").otherwise("n")
+    pair = F.when((left != "") & (right != ""), F.concat_ws(" ", F.lower(left), coarse, F.lower(right)))
+    return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.concat_ws(" ", F.lit("<"), F.lower(left), shape).alias("left"), F.concat_ws(" ", F.lit(">"), shape, F.lower(right)).alias("right"), pair.alias("pair"))
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -166,18 +174,26 @@ def _discovered(instances: DataFrame) -> DataFrame:
     """(left, right, kind): the pairs of patterns that make an unknown instance one of a kind."""
     n = len(KINDS)
     seed = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"seed{k}") for k in range(n)]
-    # Instances with the same two patterns score alike, so an edge of the graph is a pair of patterns.
-    edges = stored(instances.groupBy("left", "right").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("unknown"), *seed), "pii-edges")
+    # Instances with the same patterns by shape share their words, and so score alike: an edge of the graph is a pair of patterns.
+    edges = stored(instances.groupBy("left", "right", "pair").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("unknown"), *seed), "pii-edges")
     # Only patterns that a seed reaches by way of shared instances can ever score; the rest stays at 0.
-    state = edges.select("*", *(F.lit(0.0).alias(f"p{k}") for k in range(n)))
+    # s: the chance by the patterns by shape; w: by the pair of words; p: the larger one
+    state = edges.select("*", *(F.lit(0.0).alias(f"{c}{k}") for k in range(n) for c in "swp"))
     for _ in range(ROUNDS):
-        mean = lambda k: F.sum(F.col(f"seed{k}") + F.lit(HELD) * F.col("unknown") * F.col(f"p{k}")) / (F.sum("n") + F.lit(DOUBT))
-        by_left = state.groupBy("left").agg(*(mean(k).alias(f"l{k}") for k in range(n)))
-        by_right = state.groupBy("right").agg(*(mean(k).alias(f"r{k}") for k in range(n)))
-        open_ = state.where("unknown > 0").select("left", "right", "n", "unknown", *(f"seed{k}" for k in range(n)))
-        scored = open_.join(by_left, "left").join(by_right, "right")
-        chance = [(1 - (1 - F.lit(TRUST) * F.col(f"l{k}")) * (1 - F.lit(TRUST) * F.col(f"r{k}"))).alias(f"p{k}") for k in range(n)]
-        scored = scored.select("left", "right", "n", "unknown", *(f"seed{k}" for k in range(n)), *chance)
+
+        def mean(k: int, other: str) -> Column:
+            sure = F.col(f"{other}{k}")
+            held = F.greatest(F.lit(HELD) * F.col(f"p{k}"), F.when(sure >= F.lit(CONFIDENT), sure).otherwise(0.0))
+            return F.sum(F.col(f"seed{k}") + F.col("unknown") * held) / (F.sum("n") + F.lit(DOUBT))
+
+        by_left = state.groupBy("left").agg(*(mean(k, "w").alias(f"l{k}") for k in range(n)))
+        by_right = state.groupBy("right").agg(*(mean(k, "w").alias(f"r{k}") for k in range(n)))
+        by_pair = state.where("pair IS NOT NULL").groupBy("pair").agg(*(mean(k, "s").alias(f"b{k}") for k in range(n)))
+        kept = ("left", "right", "pair", "n", "unknown", *(f"seed{k}" for k in range(n)))
+        scored = state.where("unknown > 0").select(*kept).join(by_left, "left").join(by_right, "right").join(by_pair, "pair", "left")
+        by_shape = [(1 - (1 - F.lit(TRUST) * F.col(f"l{k}")) * (1 - F.lit(TRUST) * F.col(f"r{k}"))).alias(f"s{k}") for k in range(n)]
+        by_words = [(F.lit(TRUST) * F.coalesce(f"b{k}", F.lit(0.0))).alias(f"w{k}") for k in range(n)]
+        scored = scored.select(*kept, *by_shape, *by_words).select("*", *(F.greatest(f"s{k}", f"w{k}").alias(f"p{k}") for k in range(n)))
         known = state.where("unknown = 0").select(*scored.columns)
         state = stored(scored.unionByName(known), "pii-round")
     best = F.greatest(*(F.col(f"p{k}") for k in range(n)))

@@ -72,6 +72,33 @@ def test_patterns_find_what_formats_miss(docs_of):
     assert clean[0] == clean[100] and clean[102] == rows[-1][1]
 
 
+def added_of(found, rows):
+    texts = dict(rows)
+    return {r.doc_id: [(pii.KINDS[s.kind], texts[r.doc_id][s.start : s.end]) for s in r.spans if s not in r.base] for r in found if r.spans != r.base}
+
+
+def test_words_find_formats_that_the_base_lacks(docs_of):
+    rng = random.Random(11)
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    rows = [(k, f"please call me on +1 {n(3)} {n(3)} {n(4)} today or so") for k in range(60)]
+    rows += [(100 + k, f"just write to ab{k}@mail.example any day of it") for k in range(60)]
+    rows += [(200, "please call me on 613.555.8758 today or so"), (201, "please call me on 0613-5558758 today or so"), (202, "just write to joe@localhost any day of it")]
+    rows += [(203, "the part 613.555.8759 is of no kind"), (204, "please call me on 12 today or so")]
+    found = pii.find(docs_of(rows)).collect()
+    assert added_of(found, rows) == {200: [("phone", "613.555.8758")], 201: [("phone", "0613-5558758")], 202: [("email", "joe@localhost")]}
+
+
+def test_found_shapes_prove_other_words(docs_of):
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    known, new = lambda: f"+1 {n(3)} {n(3)} {n(4)}", lambda: f"{n(3)}.{n(3)}.{n(4)}"
+    rows = [(k, f"phone on {known()} today") for k in range(200)] + [(300 + k, f"phone at {known()} now") for k in range(200)]
+    rows += [(600 + k, f"phone on {new()} today") for k in range(8)] + [(700 + k, f"phone at {new()} now") for k in range(8)]
+    rows += [(800, f"phone on {new()} now")]
+    found = added_of(pii.find(docs_of(rows)).collect(), rows)
+    assert sorted(found) == [*range(600, 608), *range(700, 708), 800]
+
+
 def test_patterns_that_meet_other_kinds_find_nothing(docs_of):
     rng = random.Random(10)
     rows = [(k, f"number {card(rng)} here") for k in range(20)] + [(100 + k, f"number {rng.randint(10**15, 10**16 - 1)} here") for k in range(60)]
