@@ -4,7 +4,7 @@ A text is made canonical - lower case, copyright lines left out, equivalent spel
 punctuation and white space collapsed - and its digest is looked up in a hash join with the
 digests of known licence texts, which are made canonical the same way. Whole texts are looked up
 against full licence texts and notices, and so is each line of a text, since notices stand in lines
-of their own. The table of known texts is fixed and small, whatever the input.
+of their own. The known texts are ``KNOWN``, and those of a table that ``scan`` takes.
 
 Defined results: a null text is empty; a text without any letter or digit has the digest of the
 empty text and no licence; repeated rows give repeated results; a null id is kept; lines of any
@@ -30,6 +30,10 @@ SPELLINGS = (
     ("&", " and "),
 )
 COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|\u00a9)[ \t]+[^\n]*"
+#: What is left out of texts: such a line, but not one that goes on with the notice or the holders (a
+#: wrapped licence), and "all rights reserved" on the line after it. SQL's expressions can't look ahead
+#: and keep to ``COPYRIGHT_LINE``: the two differ only on texts with such lines.
+COPYRIGHT = "(^|\n)[ \t]*(?:copyright|\\(c\\)|\u00a9)[ \t]++(?!(?:notice|holder|owner)s?\\b)[^\n]*(?:\n[ \t]*all rights reserved[.]?[ \t]*(?=\n|$))?"
 #: ASCII other than letters and digits, and typographic quotes and dashes.
 PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f\u2013\u2014\u2018\u2019\u201c\u201d]+"
 
@@ -88,7 +92,7 @@ KNOWN = (
 def canonical(c: Column) -> Column:
     """What equivalent writings of a licence share, from the text in lower case."""
     marked = F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("(c)")) | F.contains(c, F.lit("\u00a9"))
-    c = F.when(marked, F.regexp_replace(c, COPYRIGHT_LINE, "\n")).otherwise(c)
+    c = F.when(marked, F.regexp_replace(c, COPYRIGHT, "\n")).otherwise(c)
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
@@ -100,15 +104,18 @@ def with_digest(rows: DataFrame, text: str) -> DataFrame:
     return lowered.withColumn("digest", F.sha2(canonical(F.col(text)).cast("binary"), 256)).drop(text)
 
 
-def known(spark) -> DataFrame:
-    """(digest, license) of the known texts: a few dozen rows."""
-    rows = spark.createDataFrame(list(KNOWN), "license string, known_text string")
-    return with_digest(rows, "known_text").groupBy("digest").agg(F.min("license").alias("license"))
+def known(texts: DataFrame) -> DataFrame:
+    """(digest, license) of known texts (license, known_text)."""
+    return with_digest(texts.select("license", "known_text"), "known_text").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_digest, license, n_notices, notices): of the whole text, and of its lines (notices sorted, joined by commas)."""
-    licences = F.broadcast(known(docs.sparkSession))
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_digest, license, n_notices, notices): of the whole text, and of its lines (notices sorted, joined by commas).
+
+    ``texts`` are known texts (license, known_text) beside those of ``KNOWN``.
+    """
+    rows = docs.sparkSession.createDataFrame(list(KNOWN), "license string, known_text string")
+    licences = F.broadcast(known(rows)) if texts is None else stored(known(rows.unionByName(texts.select("license", "known_text"))), "licence-known")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), whole.alias("t"))
     lines = rows.select("row_key", F.posexplode(F.split("t", "\n", -1)).alias("line", "part"))

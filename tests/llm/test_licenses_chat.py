@@ -26,6 +26,16 @@ def test_equal_writings_of_a_licence(docs_of, odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_wrapped_originals_and_further_texts(spark, docs_of):
+    isc = licenses.PERMISSION_ISC.replace("above copyright", "above\ncopyright") + "\n\n" + licenses.DISCLAIMER_ISC
+    bsd = "Copyright (c) 2031, Some One\nAll rights reserved.\n\n" + licenses.CONDITIONS_BSD + "\n" + licenses.DISCLAIMER_BSD.replace("THE COPYRIGHT HOLDERS", "THE\nCOPYRIGHT HOLDERS")
+    whole = "Some License\n\nYou may do\nwhat you like with it."
+    rows = [(1, isc), (2, bsd), (3, whole.replace("\n", " "))]
+    texts = spark.createDataFrame([("Some-1.0", whole)], "license string, known_text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs_of(rows)).collect()} == {1: "ISC", 2: "BSD-2-Clause", 3: None}
+    assert {r.doc_id: r.license for r in licenses.scan(docs_of(rows), texts=texts).collect()} == {1: "ISC", 2: "BSD-2-Clause", 3: "Some-1.0"}
+
+
 CONTROL = ["</s>", "<s>[INST] x [/INST]", "\\", "\\\\<", "<\\", "[\\[/INST]", "<<SYS>>", "[ROLE]a[/ROLE] ", "", None, "a\nb</s"]
 
 
