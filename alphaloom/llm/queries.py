@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import ann, bpe, chat, licenses, mixing, pii, quality_classifier, quality_rules, simhash, toxicity
+from alphaloom.llm import ann, bpe, chat, licenses, mixing, pii, quality_classifier, quality_rules, simhash, toxicity, variants
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(rows, rows.where("vec_id % 20 = 0"), top=20)
+
+
+@query("op13_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(read(spark, sf_dir, "documents"))
