@@ -19,6 +19,7 @@ empty table gives an empty one; other columns, whatever their names, are not rea
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
@@ -26,13 +27,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import stored
 
 #: Of these many parts, two are left out of each signature: 21 signatures a word.
 PARTS = 7
+KEPT = list(itertools.combinations(range(PARTS), PARTS - 2))
 #: Words that share a signature before they are dealt again by their ends, and the ends' length.
 CROWD = 200
 END = 3
@@ -87,19 +90,34 @@ def vocabulary(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return counts.where(F.col("n") >= LEAST_COUNT)
 
 
-def _signatures(word: Column) -> Column:
-    letters = F.array_sort(F.split(word, ""))
-    # The occurrence number of a letter: its place among the sorted ones less that of the first.
-    places = F.transform(letters, lambda c, k: F.concat(c, (k - F.array_position(letters, c).cast("int")).cast("string")))
-    part = lambda p: F.xxhash64(F.array_join(F.filter(places, lambda e: F.pmod(F.xxhash64(e), F.lit(PARTS)) == p), " "))
-    parts = [part(p) for p in range(PARTS)]
-    kept = itertools.combinations(range(PARTS), PARTS - 2)
-    return F.array(*(F.xxhash64(F.lit(k), *(parts[p] for p in kept_parts)) for k, kept_parts in enumerate(kept)))
+@functools.lru_cache(maxsize=100_000)
+def _place(letter: str, occurrence: int) -> tuple[int, str]:
+    """The part that a place of the vector is dealt to, and its name."""
+    name = f"{letter}{occurrence} "
+    return zlib.crc32(name.encode()) % PARTS, name
+
+
+def signatures(word: str) -> list[int]:
+    """A hash for each choice of parts that are kept: the kept parts' places."""
+    parts, last, occurrence = [""] * PARTS, "", 0
+    for letter in sorted(word):
+        occurrence = occurrence + 1 if letter == last else 0
+        last = letter
+        part, name = _place(letter, occurrence)
+        parts[part] += name
+    return [xxhash.xxh64_intdigest("|".join([parts[p] for p in kept]), seed=k) - (1 << 63) for k, kept in enumerate(KEPT)]
+
+
+def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [signatures(w) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["word", "signatures"])
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): all ordered pairs of distinct words, of six code points or more, that are one edit apart."""
-    dealt = stored(words.select("word", F.explode(_signatures(F.col("word"))).alias("signature")), "variants-signatures")
+    signed = words.select("word").mapInArrow(_signature_batches, "word string, signatures array<long>")
+    dealt = stored(signed.select("word", F.explode("signatures").alias("signature")), "variants-signatures")
     counts = dealt.groupBy("signature").agg(F.count("*").alias("crowd")).where("crowd > 1")
     sized = dealt.join(counts, "signature")
     ends = F.array(F.xxhash64("signature", F.lit("first"), F.substring("word", 1, END)), F.xxhash64("signature", F.lit("last"), F.substring("word", -END, END)))
