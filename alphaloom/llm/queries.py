@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import ann, bpe, chat, licenses, mixing, pii, quality_classifier, quality_rules, simhash, toxicity, variants
+from alphaloom.llm import ann, bpe, chat, embedding_dedup, lexical, licenses, mixing, pii, quality_classifier, quality_rules, simhash, toxicity, variants
 from alphaloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), top=20)
 
 
+@query("op11_embedding_dedup", embedding_dedup.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_lexical", lexical.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op13_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(read(spark, sf_dir, "documents"))
