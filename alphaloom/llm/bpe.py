@@ -5,7 +5,7 @@ smallest rank is found by a scan, the boundary inside that pair is deleted, and
 sides of it are refreshed, until no pair can merge. Words above ``SHORT`` bytes take the same
 merges in the same order from a heap, because a scan for each merge is quadratic.
 
-``encode`` and ``decode`` keep all columns, but for one with the name of the new column. A null text has no tokens, as the empty one; null ids
+``round_trip`` does both in one pass. All keep all columns, but for one with the name of the new column. A null text has no tokens, as the empty one; null ids
 decode to the empty text. Special tokens inside a text become their own id. Repeated rows are
 encoded alike. Very long texts are encoded whole, one text at a time.
 """
@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT = 400
-#: Entries in each of the two generations that a cache of a Python worker keeps.
-CACHED = 100_000
+#: Bytes that each of the two generations of a Python worker's cache may hold, and what an entry takes
+#: besides its characters and ids: its place in the table and the heads of both objects.
+CACHE_BYTES = 72_000_000
+ENTRY = 190
 #: Rows that are encoded or decoded at a time.
 ROWS = 500
 
@@ -50,17 +52,19 @@ class Recent(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= SHORT:
-            if len(self) >= CACHED:
-                self.old = dict(self)
+            size = ENTRY + len(key) + len(found)
+            if self.held + size > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = found
+            self.held += size
         return found
 
 
@@ -80,8 +84,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Recent(self._word)
-        self.chunks = Recent(self._chunk)
+        # Ids of chunks and of the words in them, by the same text: most chunks are one word.
+        self.pieces = Recent(self._piece)
 
     def merge(self, word: bytes) -> list[bytes]:
         """The parts of a word that no merge joins any more."""
@@ -124,11 +128,11 @@ class Codec:
                 heapq.heappush(heap, (r, j, i, stop))
         return [word[i : end[i]] for i in range(n) if alive[i]]
 
-    def _word(self, word: str) -> bytes:
-        return array("i", [self.ids[p] for p in self.merge(word.encode())]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
+    def _piece(self, piece: str) -> bytes:
+        words = _WORDS.findall(piece)
+        if len(words) > 1:
+            return b"".join(map(self.pieces.__getitem__, words))
+        return array("i", [self.ids[p] for p in self.merge(piece.encode())]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as packed 32-bit integers."""
@@ -141,8 +145,8 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         if _RARE_SPACE.search(text):
-            return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
-        return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, _WORDS.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, _CHUNK.findall(text)))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -163,14 +167,27 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS)
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed 32-bit integers as a column of lists."""
+    lengths = pa.array([0, *(len(p) // 4 for p in packed)], pa.int64())
+    offsets = pa.compute.cumulative_sum(lengths).cast(pa.int32())
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(offsets, values)
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, name: str) -> Iterator[pa.RecordBatch]:
+    own = codec(data)
+    for batch in _slices(batches):
+        yield _with_column(batch, _lists([own.encode(t) for t in batch.column(at).to_pylist()]), name)
+
+
+def _both_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Ids and their text in one pass: the ids don't leave the worker in between."""
     own = codec(data)
     for batch in _slices(batches):
         packed = [own.encode(t) for t in batch.column(at).to_pylist()]
-        lengths = pa.array([0, *(len(p) // 4 for p in packed)], pa.int64())
-        offsets = pa.compute.cumulative_sum(lengths).cast(pa.int32())
-        values = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])
-        yield _with_column(batch, pa.ListArray.from_arrays(offsets, values), name)
+        texts = pa.array([own.decode(array("i", p)) for p in packed], pa.string())
+        yield _with_column(batch, pa.StructArray.from_arrays([_lists(packed), texts], names=["ids", "text"]), name)
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, name: str) -> Iterator[pa.RecordBatch]:
@@ -184,16 +201,21 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], data: bytes, at: int, nam
         yield _with_column(batch, pa.array(texts, pa.string()), name)
 
 
-def _mapped(df: DataFrame, fn, path: str, column: str, out: str, kind: T.DataType) -> DataFrame:
-    """Columns go through by position, so that any names do; one that has the new name gives way."""
+def _positional(df: DataFrame, fn, path: str, column: str, kind: T.DataType) -> tuple[DataFrame, dict[str, Column]]:
+    """The mapped rows with their result as ``out``, and the columns by name: they go through by position, so that any names do."""
     with open(path, "rb") as f:
         data = f.read()
     at = df.columns.index(column)
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     schema = T.StructType([*plain.schema.fields, T.StructField("out", kind)])
     mapped = plain.mapInArrow(functools.partial(fn, data=data, at=at, name="out"), schema)
-    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns) if c != out]
-    return mapped.select(*kept, F.col("out").alias(out))
+    return mapped, {c: F.col(f"c{k}") for k, c in enumerate(df.columns)}
+
+
+def _mapped(df: DataFrame, fn, path: str, column: str, out: str, kind: T.DataType) -> DataFrame:
+    """A column that has the new name gives way."""
+    mapped, kept = _positional(df, fn, path, column, kind)
+    return mapped.select(*(c.alias(n) for n, c in kept.items() if n != out), F.col("out").alias(out))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -204,3 +226,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns and the text that the ids stand for, special tokens included."""
     return _mapped(df, _decode_batches, path, ids, out, T.StringType())
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """All columns, the token ids of ``text`` and the text that these ids stand for, made in one pass."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+    mapped, kept = _positional(df, _both_batches, path, text, kind)
+    kept = [c.alias(n) for n, c in kept.items() if n not in (ids, decoded)]
+    return mapped.select(*kept, F.col("out.ids").alias(ids), F.col("out.text").alias(decoded))

@@ -33,10 +33,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path).select("doc_id", "ids")
-    back = bpe.decode(ids, path)
+    back = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

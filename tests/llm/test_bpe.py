@@ -68,6 +68,20 @@ def test_odd_rows(odd_docs, no_docs, codec):
     assert len(rows) == 9
     assert all(r.decoded == (r.text or "") and list(r.ids) == ids_of(codec, r.text) for r in rows)
     assert bpe.decode(bpe.encode(no_docs, vocabulary()), vocabulary()).count() == 0
+    both = bpe.round_trip(odd_docs, vocabulary())
+    assert both.columns == back.columns and sorted(both.collect(), key=str) == sorted(rows, key=str)
+    assert bpe.round_trip(no_docs, vocabulary()).count() == 0
+
+
+def test_cache_is_bounded_in_bytes(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
+    codec.pieces.clear()
+    codec.pieces.old, codec.pieces.held = {}, 0
+    rng = random.Random(8)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice("abcdé,'") for _ in range(rng.randint(1, 12))) for _ in range(40))
+        assert ids_of(codec, text) == library.encode(text, add_special_tokens=False).ids
+        assert sum(bpe.ENTRY + len(k) + len(v) for k, v in codec.pieces.items()) <= 3000
 
 
 def test_null_ids(spark):
