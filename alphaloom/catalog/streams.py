@@ -8,7 +8,10 @@ from alphaloom.catalog import monitoring as M
 from alphaloom.catalog.base import query, view
 from alphaloom.session import scratch_path
 from alphaloom.sources.tables import table
+from alphaloom.streaming import alerts as A
+from alphaloom.streaming import checks, tasks
 from alphaloom.streaming import metrics as S
+from alphaloom.streaming import windows as W
 
 
 def stream(spark, folder):
@@ -34,6 +37,10 @@ query(
 
 _closed = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 _STATS = """count(value) AS count, min(value) AS min, max(value) AS max, avg(value) AS mean, quantile_disc(value, 0.5) AS median, stddev_pop(value) AS std, arg_max(value, ts) AS latest"""
+def stats(spark, folder, *span):
+    return ntz(W.closed_windows(metrics(spark, folder), scratch_path(spark, "windows"), W.value_figures(), *span), "window_start", "window_end")
+
+
 query(
     "stream_window_stats",
     "window_start window_end name count",
@@ -41,7 +48,7 @@ query(
     f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type AS name, {_STATS} FROM events GROUP BY 1, 2, 3)
         WHERE window_end <= {_closed}""",
     (),
-)(lambda s, f: ntz(S.drain(S.window_stats(metrics(s, f), "1 hour")), "window_start", "window_end"))
+)(lambda s, f: stats(s, f, "1 hour"))
 query(
     "stream_sliding_stats",
     "window_start window_end name count",
@@ -49,7 +56,7 @@ query(
     f"""SELECT * FROM (SELECT b - k * INTERVAL 30 MINUTE AS window_start, b - k * INTERVAL 30 MINUTE + INTERVAL 2 HOUR AS window_end, name, {_STATS} FROM (
           SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b, event_type AS name, ts, value, unnest([0, 1, 2, 3]) AS k FROM events) GROUP BY 1, 2, 3) WHERE window_end <= {_closed}""",
     (),
-)(lambda s, f: ntz(S.drain(S.window_stats(metrics(s, f), "2 hours", "30 minutes")), "window_start", "window_end"))
+)(lambda s, f: stats(s, f, "2 hours", "30 minutes"))
 
 
 def requests(spark, folder):
@@ -66,7 +73,7 @@ query(
     f"""SELECT * FROM (SELECT b - k * INTERVAL 30 MINUTE AS window_start, b - k * INTERVAL 30 MINUTE + INTERVAL 1 HOUR AS window_end, count(*) AS requests, avg((event_type <> 'error')::INT) AS success_rate,
               avg((user_id < 30)::INT) AS cache_hit_rate, avg(value) AS avg_time FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) AS b, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2) WHERE window_end <= {_closed}""",
     (),
-)(lambda s, f: ntz(S.drain(S.request_monitor(requests(s, f), "1 hour", "30 minutes")), "window_start", "window_end"))
+)(lambda s, f: ntz(W.closed_windows(requests(s, f), scratch_path(s, "requests"), W.request_figures(), "1 hour", "30 minutes"), "window_start", "window_end"))
 
 
 def rules(spark, folder):
@@ -84,7 +91,7 @@ def rules(spark, folder):
 
 
 def fired(spark, folder):
-    return S.drain(S.alerts(S.rule_hits(metrics(spark, folder), rules(spark, folder))))
+    return A.alerts(metrics(spark, folder), rules(spark, folder))
 
 
 view(
@@ -106,7 +113,7 @@ query("stream_alerts", "rule_id fired_at hits", {"value": 4}, _CHAIN, ("hits",))
 def suppressed(spark, folder):
     """Long tasks as alerts titled by their type, let through at most every six hours."""
     e = stream(spark, folder).where(F.col("value") > 100)
-    return S.drain(S.suppress(e.select(F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("fired_at"), "value"), 360))
+    return A.suppress(e.select(F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("fired_at"), "value"), 360)
 
 
 query(
@@ -124,16 +131,18 @@ query(
 
 @query(
     "stream_batch_checks",
-    "rows dates_unique",
-    {"null_ratio": 6},
-    "SELECT count(*) AS rows, count(*) = count(DISTINCT (user_id, ts)) AS dates_unique, avg(0.0) AS null_ratio FROM events",
+    "rows duplicates dates_unique",
+    {"null_ratio": 6, "anomaly_ratio": 6, "overall_score": 4, "mean_value": 4, "std_value": 4},
+    """SELECT rows, duplicates, duplicates = 0 AS dates_unique, 0.0::DOUBLE AS null_ratio, anomaly_ratio, (100 + greatest(0, 100 - 100 * anomaly_ratio) + CASE WHEN duplicates = 0 THEN 100 ELSE 50 END) / 3 AS overall_score, mean_value, std_value
+       FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT (user_id, ts)) AS duplicates, avg((abs(value - m) / nullif(d, 0) > 6)::INT) AS anomaly_ratio, avg(value) AS mean_value, stddev_pop(value) AS std_value
+             FROM events, (SELECT median(value) AS m, mad(value) AS d FROM events) q)""",
     (),
 )
 def stream_batch_checks(spark, folder):
     path = scratch_path(spark, "checks")
     rows = stream(spark, folder).select(F.col("user_id").alias("ts_code"), F.col("ts").alias("trade_date"), "value", "event_type")
-    S.check_batches(rows, ["value"], path)
-    return spark.read.parquet(path).groupBy().agg(F.sum("rows").alias("rows"), F.min("dates_unique").alias("dates_unique"), F.avg("null_ratio").alias("null_ratio"))
+    checks.check_batches(rows, ["value"], path)
+    return checks.running_result(spark, path)
 
 
 @query(
@@ -168,14 +177,14 @@ def updates(spark, folder):
     "stream_task_progress",
     "task_id status updates",
     {"progress": 4},
-    """SELECT user_id AS task_id, CASE WHEN v < 10 THEN 'failed' WHEN v < 40 THEN 'completed' ELSE 'running' END AS status, n AS updates, least(v, 100.0) AS progress FROM (
-         SELECT user_id, arg_max(value, ts) AS v, count(*) AS n FROM events GROUP BY 1)""",
+    """SELECT user_id AS task_id, CASE WHEN v < 10 THEN 'failed' WHEN v < 40 THEN 'completed' WHEN newest + INTERVAL 2 DAY < until - INTERVAL 10 MINUTE THEN 'expired' ELSE 'running' END AS status, n AS updates, least(v, 100.0) AS progress FROM (
+         SELECT user_id, arg_max(value, ts) AS v, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1), (SELECT max(ts) AS until FROM events) u""",
     (),
 )
 def stream_task_progress(spark, folder):
     path = scratch_path(spark, "progress_table")
-    S.follow_tasks(updates(spark, folder), path)
-    return spark.read.parquet(path)
+    tasks.follow_tasks(updates(spark, folder).withWatermark("ts", "10 minutes"), path, "2 days")
+    return tasks.results(spark, path).withColumn("task_id", F.col("task_id").cast("long"))
 
 
 query(

@@ -1,4 +1,4 @@
-"""Metric streams: windowed figures, alert rules, suppression, batch checks and task progress.
+"""Metric streams: points, windowed figures, rule hits and running bucket statistics.
 
 A stream is ``(name, ts, value)`` with event time. Late rows beyond the watermark are dropped.
 Cool-downs use event time, so a replay gives the same alerts.
@@ -6,18 +6,13 @@ Cool-downs use event time, so a replay gives the same alerts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from alphaloom.functions.scalars import compare
 from alphaloom.operators import crosssection as X
 from alphaloom.operators import preprocess as P
-from alphaloom.operators import quality as Q
 from alphaloom.session import scratch_path
 from alphaloom.sources import sinks
 
@@ -99,66 +94,6 @@ def rule_hits(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return metrics.join(on, "name").withColumn("hit", compare("value", "threshold", "comparison"))
 
 
-ALERT = "rule_id string, fired_at timestamp, value double, hits int"
-RULE_STATE = "hits int, last_fired double"
-
-
-def _rule_machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count hits in a row; fire at the wanted count once the cool-down is over."""
-    hits, last = state.get if state.exists else (0, float("-inf"))
-    rows = pd.concat(list(batches)).sort_values(["ts", "value"], kind="stable")
-    fired = []
-    seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-    for ts, at, value, hit, need, wait in zip(rows["ts"], seconds, rows["value"], rows["hit"], rows["trigger_count"], rows["evaluation_window"]):
-        hits = hits + 1 if hit else 0
-        if hits >= need and at - last >= wait and hit:
-            fired.append((key[0], ts, value, hits))
-            hits, last = 0, at
-    state.update((hits, last))
-    yield pd.DataFrame(fired, columns=["rule_id", "fired_at", "value", "hits"])
-
-
-def alerts(hits: DataFrame) -> DataFrame:
-    """Alerts of a rule stream. State is two numbers per rule.
-
-    A trigger hands a rule's new rows to one task; ``maxBytesPerTrigger`` of the source bounds
-    them. Only hits and the misses that follow are needed, but order decides, so all are kept.
-    """
-    return hits.groupBy("rule_id").applyInPandasWithState(_rule_machine, ALERT, RULE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _suppressor(minutes: float):
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values("fired_at", kind="stable")
-        at = rows["fired_at"].astype("datetime64[us]").astype("int64") / 1e6
-        kept = []
-        for row, t in zip(rows.itertuples(index=False), at):
-            if t - last > minutes * 60:
-                kept.append((key[0], row.fired_at, row.value))
-                last = t
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["title", "fired_at", "value"])
-
-    return keep
-
-
-def suppress(fired: DataFrame, minutes: float) -> DataFrame:
-    """Drop an alert when one of the same title was let through in the last minutes."""
-    return fired.groupBy("title").applyInPandasWithState(
-        _suppressor(minutes), "title string, fired_at timestamp, value double", "last double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def check_batches(bars: DataFrame, numeric: list[str], path: str) -> None:
-    """Validate every micro-batch and keep one result row per batch."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        Q.validate_batch(batch, numeric).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    drain_batches(bars, each)
-
-
 def decay_quantiles(values: DataFrame, path: str, buckets: int = 5, decay: float = 0.95) -> None:
     """Blend each micro-batch's bucket statistics into the running ones, one small table per epoch.
 
@@ -193,19 +128,6 @@ def active_only(progress: DataFrame) -> DataFrame:
     )
 
 
-def follow_tasks(updates: DataFrame, path: str, shards: int = 16) -> None:
-    """Keep the newest state of every task in a table, merged per trigger.
-
-    Tasks are spread over ``shards`` folders by hash, so a trigger rewrites folders of its tasks.
-    """
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("shard", F.pmod(F.xxhash64("task_id"), F.lit(shards)).cast("int"))
-        sinks.upsert(batch.sparkSession, path, rows, ["task_id", "shard"], ["shard"])
-
-    drain_batches(task_progress(updates), each, "update")
-
-
 def alert_statistics(alerts_table: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Alerts of the last hours by severity and type."""
     until = F.lit(as_of).cast("timestamp")
