@@ -10,6 +10,7 @@ from alphaloom.functions import scalars as C
 from alphaloom.functions import sqlfuncs
 from alphaloom.operators import joins as J
 from alphaloom.sources import scans as S
+from alphaloom.sources.pages import Pages
 from alphaloom.sources.tables import bars, calendar, daily_basic, industry_members, panel, statements, stock_basic, table
 
 CLOSE = '"close"'
@@ -213,8 +214,8 @@ query(
     "compare_full_outer",
     "ts_code trade_date same",
     {"old_value": 8, "new_value": 8, "difference": 7, "pct_change": 6},
-    """SELECT ts_code, trade_date, o.v AS old_value, n.v AS new_value, n.v - o.v AS difference, (n.v - o.v) / nullif(abs(o.v), 0) AS pct_change, o.v IS NOT DISTINCT FROM n.v AS same
-       FROM (SELECT ts_code, trade_date, mom AS v FROM panel WHERE trade_date < DATE '1999-01-01') o FULL JOIN (SELECT ts_code, trade_date, mom + rng AS v FROM panel WHERE trade_date >= DATE '1997-01-01') n USING (ts_code, trade_date)""",
+    """SELECT ts_code, trade_date, a AS old_value, b AS new_value, b - a AS difference, (b - a) / nullif(abs(a), 0) AS pct_change, a IS NOT DISTINCT FROM b AS same
+       FROM (SELECT ts_code, trade_date, CASE WHEN trade_date < DATE '1999-01-01' THEN mom END AS a, CASE WHEN trade_date >= DATE '1997-01-01' THEN mom + rng END AS b FROM panel)""",
     ("panel",),
 )(
     lambda s, f: J.compare_full(
@@ -256,7 +257,7 @@ query(
     "",
     """SELECT ts_code, trade_date, rn AS row_number, (SELECT count(*) FROM bars) AS total, 3 AS page, CAST(ceil((SELECT count(*) FROM bars) / 40.0) AS BIGINT) AS pages,
               3 < ceil((SELECT count(*) FROM bars) / 40.0) AS has_next, true AS has_prev FROM (SELECT *, row_number() OVER (ORDER BY trade_date DESC, ts_code) AS rn FROM bars) WHERE rn BETWEEN 81 AND 120""",
-)(lambda s, f: S.page(bars(s, f), 3, 40, [F.desc("trade_date"), F.asc("ts_code")]))
+)(lambda s, f: Pages(bars(s, f), [F.desc("trade_date"), F.asc("ts_code")], part_rows=50_000).page(3, 40))
 query(
     "top_by_metric",
     "event_id",

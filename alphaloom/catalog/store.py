@@ -13,7 +13,8 @@ from alphaloom.operators import store as S
 from alphaloom.operators import technical as T
 from alphaloom.session import scratch_path
 from alphaloom.sources import sinks
-from alphaloom.sources.tables import bars, calendar, panel, stock_basic, table
+from alphaloom.sources.tables import bars, calendar, monthly, panel, stock_basic, table
+from alphaloom.sources.versioned import VersionedTable
 
 C = '"close"'
 FACTORS = ["mom", "rng"]
@@ -85,20 +86,17 @@ def batched_append(spark, folder):
     "upsert_factors",
     "ts_code trade_date month stamped",
     {"factor_value": 7},
-    """SELECT coalesce(n.ts_code, o.ts_code) AS ts_code, coalesce(n.trade_date, o.trade_date) AS trade_date, coalesce(n.month, o.month) AS month, coalesce(n.v, o.v) AS factor_value, true AS stamped
-       FROM (SELECT ts_code, trade_date, month, factor_value AS v FROM lf WHERE factor_name = 'mom' AND trade_date < DATE '1998-07-01') o
-       FULL JOIN (SELECT ts_code, trade_date, month, factor_value * 2 AS v FROM lf WHERE factor_name = 'mom' AND trade_date >= DATE '1998-05-15') n USING (ts_code, trade_date)""",
+    """SELECT ts_code, trade_date, month, factor_value * CASE WHEN trade_date >= DATE '1998-05-15' THEN 2 ELSE 1 END AS factor_value, true AS stamped FROM lf WHERE factor_name = 'mom'""",
     ("lf",),
 )
 def upsert_factors(spark, folder):
     """Store days up to June 1998, then upsert doubled values from mid-May on."""
-    path = scratch_path(spark, "upsert")
+    own = VersionedTable(spark, scratch_path(spark, "upsert"), ["ts_code", "trade_date", "month"], "month")
     rows = long(spark, folder).where("factor_name = 'mom'").select("ts_code", "trade_date", "month", "factor_value")
-    keys = ["ts_code", "trade_date", "month"]
-    sinks.upsert(spark, path, rows.where(F.col("trade_date") < F.lit("1998-07-01").cast("date")), keys, ["month"])
+    own.upsert(rows.where(F.col("trade_date") < F.lit("1998-07-01").cast("date")))
     later = rows.where(F.col("trade_date") >= F.lit("1998-05-15").cast("date")).withColumn("factor_value", F.col("factor_value") * 2)
-    sinks.upsert(spark, path, later, keys, ["month"])
-    return spark.read.parquet(path).withColumn("stamped", F.col("updated_at").isNotNull()).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+    own.upsert(later)
+    return own.read().withColumn("stamped", F.col("updated_at").isNotNull())
 
 
 @query(
@@ -377,9 +375,9 @@ query(
     "lookback_scan",
     "ts_code trade_date",
     {"close": 8},
-    f"""SELECT b.ts_code, b.trade_date, b."close" FROM bars b JOIN (SELECT ts_code, min(trade_date) AS first FROM missing GROUP BY 1) USING (ts_code) WHERE b.trade_date >= first - 40""",
+    f"""SELECT b.ts_code, b.trade_date, b."close" FROM bars b JOIN (SELECT ts_code, min(trade_date) AS first, max(trade_date) AS last FROM missing GROUP BY 1) m ON m.ts_code = b.ts_code WHERE b.trade_date >= first - 40 AND b.trade_date <= last""",
     ("bars", "missing"),
-)(lambda s, f: I.lookback_scan(bars(s, f), _missing(s, f), 30))
+)(lambda s, f: I.lookback_scan(monthly(s, f), _missing(s, f), 30))
 
 
 def _computed(spark, folder):
@@ -388,7 +386,7 @@ def _computed(spark, folder):
     known = T.sma(bars(spark, folder), 5).select("ts_code", "trade_date", F.lit("sma_5").alias("factor_name"), F.col("sma_5").alias("factor_value"))
     known = known.where((F.col("trade_date") <= F.lit(CUT).cast("date")) & F.col("factor_value").isNotNull())
     missing = I.missing_days(codes, list(fns), known, days, AS_OF)
-    return I.compute_missing(bars(spark, folder), missing, fns)
+    return I.compute_missing(monthly(spark, folder), missing, fns)
 
 
 view(

@@ -19,6 +19,7 @@ from alphaloom.operators import crosssection as X
 from alphaloom.operators import preprocess as P
 from alphaloom.session import scratch_root
 from alphaloom.sources import sinks
+from alphaloom.sources.versioned import VersionedTable
 
 CODE, DATE = "ts_code", "trade_date"
 
@@ -132,28 +133,29 @@ class FeatureStore:
         for c in [x.split()[0] for x in FEATURES.split(", ")]:
             if c not in full.columns:
                 full = full.withColumn(c, F.lit(None).cast("int" if c == "lookback_period" else "string"))
-        sinks.upsert(self.spark, self._path("feature_metadata"), full, ["feature_id", "grp"], ["grp"], [c for c in rows.columns if c != "feature_id"])
+        self._metadata().upsert(full, [c for c in rows.columns if c != "feature_id"])
+
+    def _metadata(self) -> VersionedTable:
+        return VersionedTable(self.spark, self._path("feature_metadata"), ["feature_id", "grp"], "grp")
 
     def feature_metadata(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("feature_metadata"))
+        return self._metadata().read()
 
     # values
+    def stored_values(self) -> VersionedTable:
+        """Values of all features: a feature's day is replaced as a whole, months are folders."""
+        return VersionedTable(self.spark, self._path("values"), ["feature_id", DATE, "month"], "month")
+
     def store_values(self, feature_id: str, data: DataFrame) -> None:
         """Store (code, day, value) with its per-date statistics, replacing the dates given.
 
-        Days of the same months that are not in ``data`` are kept.
+        Only these dates are written; other days stay where they are.
         """
         fresh = P.date_statistics(data.select(CODE, DATE, "value"), "value").withColumn("feature_id", F.lit(feature_id)).withColumn("month", sinks.month_of())
-        path = self._path("values")
-        if sinks.path_exists(self.spark, path):
-            stored = self.spark.read.parquet(path).where(F.col("feature_id") == feature_id)
-            months, days = fresh.select("month").distinct(), fresh.select(DATE).distinct()
-            kept = stored.join(months, "month", "left_semi").join(days, DATE, "left_anti")
-            fresh = fresh.unionByName(kept.select(*fresh.columns))
-        sinks.replace_partitions(fresh, path, ["feature_id", "month"])
+        self.stored_values().write(fresh)
 
     def values(self, feature_id: str, codes: list | None = None, start=None, end=None, normalized: bool = False) -> DataFrame:
-        out = self.spark.read.parquet(self._path("values")).where(F.col("feature_id") == feature_id)
+        out = self.stored_values().read().where(F.col("feature_id") == feature_id)
         if codes is not None:
             out = out.where(F.col(CODE).isin(codes))
         if start is not None:
@@ -164,10 +166,10 @@ class FeatureStore:
         return out.select(CODE, DATE, value).orderBy(F.desc(DATE), CODE)
 
     def matrix(self, feature_ids: list[str], day=None, normalized: bool = False, codes: list | None = None) -> DataFrame:
-        return feature_matrix(self.spark.read.parquet(self._path("values")), feature_ids, day, normalized, codes)
+        return feature_matrix(self.stored_values().read(), feature_ids, day, normalized, codes)
 
     def statistics(self, feature_id: str) -> DataFrame:
-        return feature_statistics(self.spark.read.parquet(self._path("values")).where(F.col("feature_id") == feature_id))
+        return feature_statistics(self.stored_values().read().where(F.col("feature_id") == feature_id))
 
     # versions
     def versions(self, factor: str | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CODE, DATE = "ts_code", "trade_date"
@@ -69,20 +68,6 @@ def latest_rows(df: DataFrame, n: int, time: str = DATE, tie: str = CODE) -> Dat
     return df.orderBy(F.desc(time), tie).limit(n)
 
 
-def page(df: DataFrame, number: int, size: int, order: list) -> DataFrame:
-    """One page of a sorted table with totals.
-
-    The sort keeps at most ``number * size`` rows per task; their numbering runs over that many.
-    """
-    total = df.agg(F.count("*").alias("total"))  # one row
-    head = df.orderBy(*order).limit(number * size)
-    numbered = head.withColumn("row_number", F.row_number().over(W.orderBy(*order))).where(F.col("row_number") > (number - 1) * size)
-    pages = F.ceil(F.col("total") / size)
-    return numbered.crossJoin(F.broadcast(total)).withColumns(
-        {"page": F.lit(number), "pages": pages, "has_next": F.lit(number) < pages, "has_prev": F.lit(number > 1)}
-    )
-
-
 def top_by_metric(df: DataFrame, metric: str, n: int, allowed: tuple[str, ...], tie: str) -> DataFrame:
     if metric not in allowed:
         raise ValueError(f"cannot sort by {metric}")

@@ -6,18 +6,22 @@ master with its industry, daily valuation figures, quarterly statements and the
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import re
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.crosssection import estimated_bytes
-from alphaloom.session import scratch_path
+from alphaloom.session import scratch_root
 
 CODE, DATE = "ts_code", "trade_date"
-
-# Derived tables already written by this session: (application, folder, name) -> path.
-_written: dict[tuple[str, str, str], str] = {}
-
+#: Tables that derived ones are built from.
+BASE_TABLES = ("lineitem", "orders", "supplier", "nation", "region")
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,32 +35,91 @@ def bucket_count(spark: SparkSession, folder: str, target_bytes: int = 128 * 102
     return min(50_000, max(8, estimated_bytes(table(spark, folder, "lineitem")) // target_bytes))
 
 
+def fingerprint(spark: SparkSession, folder: str, build) -> str:
+    """A mark of the files behind a derived table and of what derives it.
+
+    It changes when a base table's files change by name, size or time, and when the code does.
+    """
+    lines = [inspect.getsource(build)]
+    for name in BASE_TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            lines.append(f"{name} {f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()[:16]
+
+
+def _path(spark: SparkSession, name: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _kept(spark: SparkSession, folder: str, name: str, build, write) -> str:
+    """The path of a derived table, written by ``write(path)`` unless an earlier session has done so.
+
+    Tables lie in the shared folder by name and fingerprint. A table is written under another name
+    and renamed when it is complete, so that no session sees part of it.
+    """
+    final = f"{scratch_root(spark).rstrip('/')}/tables/{name}-{fingerprint(spark, folder, build)}"
+    fs, at = _path(spark, final)
+    if not fs.exists(at):
+        draft = f"{final}-{uuid.uuid4().hex[:8]}"
+        write(draft)
+        _, made = _path(spark, draft)
+        if not fs.rename(made, at):  # another session was first
+            fs.delete(made, True)
+    return final
+
+
 def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    """Write a derived table once per session, bucketed by code, and read it back.
+    """Write a derived table once, bucketed by code, and read it back.
 
     Bucketing places every security's rows in one bucket, so the per-security windows that most
-    factors use need no further exchange. Files sit in the shared folder and survive the loss of
-    an executor. ``build`` places its rows by code itself, before its own windows, so that the
-    write finds every bucket in one task.
+    factors use need no further exchange. Files sit in the shared folder, where later sessions find
+    them, and survive the loss of an executor. ``build`` places its rows by code itself, before its
+    own windows, so that the write finds every bucket in one task.
     """
     # Spark 4.1 takes a columnar union of bucketed scans as hash partitioned although it lines the
     # partitions up one after the other, which makes later groupings wrong. Unions exchange instead.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _written or not spark.catalog.tableExists(_written[key]):
-        path = scratch_path(spark, name)
-        relation = "panel_" + path.rsplit("-", 1)[1]
-        buckets = bucket_count(spark, folder)
-        frame = build(spark, folder)
-        (
-            frame.write.bucketBy(buckets, CODE)
-            .sortBy(CODE, DATE if DATE in frame.columns else "end_date")
-            .option("path", path)
-            .format("parquet")
-            .saveAsTable(relation)
-        )
-        _written[key] = relation
-    return spark.table(_written[key])
+    buckets = bucket_count(spark, folder)
+    order = "end_date" if name == "statements" else DATE
+
+    def write(path: str) -> None:
+        relation = "draft_" + uuid.uuid4().hex[:12]
+        build(spark, folder).write.bucketBy(buckets, CODE).sortBy(CODE, order).option("path", path).format("parquet").saveAsTable(relation)
+        spark.sql(f"DROP TABLE {relation}")  # its files lie at a path of their own and stay
+
+    path = _kept(spark, folder, f"{name}-{buckets}", build, write)
+    relation = "stored_" + re.sub("[^a-z0-9]", "_", path.rsplit("/", 1)[1])
+    if not spark.catalog.tableExists(relation):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {relation} ({columns}) USING parquet CLUSTERED BY ({CODE}) SORTED BY ({CODE}, {order}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(relation)
+
+
+def monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored bars in folders by ``month``, for reads of few days: a filter or join on it prunes folders."""
+
+    def write(path: str) -> None:
+        rows = bars(spark, folder).withColumn("month", F.date_format(DATE, "yyyy-MM"))
+        rows.hint("rebalance", "month").sortWithinPartitions("month", CODE, DATE).write.partitionBy("month").parquet(path)
+
+    # Text even if all folders look like numbers.
+    return spark.read.parquet(_kept(spark, folder, "months", build_bars, write)).withColumn("month", F.col("month").cast("string"))
+
+
+def expire(spark: SparkSession, days: float = 30) -> int:
+    """Remove derived tables that were written so many days ago; returns how many."""
+    fs, at = _path(spark, f"{scratch_root(spark).rstrip('/')}/tables")
+    removed = 0
+    if fs.exists(at):
+        for s in fs.listStatus(at):
+            if s.getModificationTime() < (time.time() - days * 86_400) * 1000:
+                removed += bool(fs.delete(s.getPath(), True))
+    return removed
 
 
 def by_code(frame: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
