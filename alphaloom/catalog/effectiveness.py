@@ -70,7 +70,23 @@ query(
     ("ic",),
 )(coefficients)
 
-query("information_coefficient_p_values", "factor_name trade_date", "ic_pearson ic_spearman p_value_pearson p_value_spearman")(
+
+
+def beta_integral_sql(y: str, p: str, q: str, terms: int = 600) -> str:
+    """The regularised incomplete beta integral up to y, as its power series; y below 1."""
+    # Logarithms are added before exp, as the factor may be too small and the terms too large for a double.
+    term = f"exp(({p} + n) * ln({y}) + {q} * ln(1 - {y}) + lgamma({p} + {q} + n) - lgamma({q}) - lgamma({p} + 1 + n))"
+    return f"CASE WHEN {y} <= 0 THEN 0 ELSE list_sum(list_transform(generate_series(0, {terms}), lambda n: {term})) END"
+
+
+def correlation_p_sql(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation of n pairs; that of exactly 1 is 0."""
+    square = f"({r} * {r})"
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {square} >= 1 THEN 0 ELSE 1 - {beta_integral_sql(square, '0.5', f'(({n} - 2) / 2.0)')} END"
+
+
+view("ic_p", f"SELECT *, {correlation_p_sql('ic_pearson', 'sample_size')} AS p_value_pearson, {correlation_p_sql('ic_spearman', 'sample_size')} AS p_value_spearman FROM ic", "ic")
+query("information_coefficient_p_values", "factor_name trade_date", "ic_pearson ic_spearman p_value_pearson p_value_spearman", "SELECT * FROM ic_p", ("ic_p",))(
     lambda spark, folder: E.with_p_values(coefficients(spark, folder))
 )
 
@@ -167,14 +183,20 @@ query(
 query(
     "layer_variance_test",
     "factor_name df_between df_within",
-    "f_statistic",
-    """SELECT factor_name, k - 1 AS df_between, CAST(nn - k AS BIGINT) AS df_within, (ssb / (k - 1)) / (ssw / (nn - k)) AS f_statistic FROM (
+    "f_statistic p_value",
+    # The upper tail of F is one less the incomplete beta integral of d1 F / (d1 F + d2), here as its power series.
+    """SELECT factor_name, df_between, df_within, f_statistic,
+              1 - """
+    + beta_integral_sql("y", "b", "a", 3000)
+    + """ AS p_value
+       FROM (SELECT *, df_within / 2.0 AS a, df_between / 2.0 AS b, df_between * f_statistic / (df_between * f_statistic + df_within) AS y FROM (
+         SELECT factor_name, k - 1 AS df_between, CAST(nn - k AS BIGINT) AS df_within, (ssb / (k - 1)) / (ssw / (nn - k)) AS f_statistic FROM (
          SELECT factor_name, count(*) AS k, sum(n) AS nn, sum(n * pow(m - g, 2)) AS ssb, sum(ss) AS ssw FROM (
            SELECT factor_name, factor_quantile, count(*) AS n, avg(mean) AS m, sum(pow(mean, 2)) - count(*) * pow(avg(mean), 2) AS ss FROM layered GROUP BY 1, 2)
-         JOIN (SELECT factor_name, avg(mean) AS g FROM layered GROUP BY 1) USING (factor_name) GROUP BY 1)""",
+         JOIN (SELECT factor_name, avg(mean) AS g FROM layered GROUP BY 1) USING (factor_name) GROUP BY 1)))""",
     ("layered",),
     digits=5,
-)(lambda spark, folder: E.layer_variance_test(layered(spark, folder)))
+)(lambda spark, folder: E.with_f_p_value(E.layer_variance_test(layered(spark, folder))))
 
 view(
     "shifted",
@@ -233,7 +255,35 @@ def _rank_src(a, b):
 _scells = [(a, b, "corr(x, y)" if a != b else "any_value(1.0)", _rank_src(a, b)) for a in FACTORS for b in FACTORS]
 query("correlation_pearson", "factor_1 factor_2", "correlation", "SELECT * FROM cmatrix", ("cmatrix",))(lambda s, f: E.correlation_matrix(panel(s, f), FACTORS))
 query("correlation_spearman", "factor_1 factor_2", "correlation", _matrix_sql(_scells), ("panel",))(lambda s, f: E.correlation_matrix(panel(s, f), FACTORS, "spearman"))
-query("correlation_kendall", "factor_1 factor_2", "correlation")(lambda s, f: E.correlation_matrix(panel(s, f), FACTORS, "kendall"))
+
+
+def _kendall_sql(a: str, b: str) -> str:
+    """Tau-b by bits: of two rows, the highest bit in which their places of b differ counts them, once."""
+    return f"""SELECT '{a}' AS factor_1, '{b}' AS factor_2, (agree - against) / sqrt((n * (n - 1) / 2 - tied_a) * (n * (n - 1) / 2 - tied_b)) AS correlation FROM (
+        SELECT sum(c1 * coalesce(sum_c0, 0)) AS agree, sum(c0 * coalesce(sum_c1, 0)) AS against FROM (
+          SELECT c0, c1, sum(c0) OVER w AS sum_c0, sum(c1) OVER w AS sum_c1 FROM (
+            SELECT l, pb >> (l + 1) AS block, pa, count(*) FILTER ((pb >> l) & 1 = 0)::DOUBLE AS c0, count(*) FILTER ((pb >> l) & 1 = 1)::DOUBLE AS c1
+            FROM places_{a}_{b}, (SELECT unnest(generate_series(0, 40)) AS l) levels WHERE l <= (SELECT ceil(log2(max(pb) + 1)) FROM places_{a}_{b}) GROUP BY ALL)
+          WINDOW w AS (PARTITION BY l, block ORDER BY pa ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) c,
+        (SELECT count(*)::DOUBLE AS n, sum(ta - 1) / 2 AS tied_a, sum(tb - 1) / 2 AS tied_b FROM places_{a}_{b}) t"""
+
+
+_kpairs = [(a, b) for k, a in enumerate(FACTORS) for b in FACTORS[k + 1 :]]
+for _a, _b in _kpairs:
+    view(
+        f"places_{_a}_{_b}",
+        f"""SELECT rank() OVER (ORDER BY {_a}) - 1 AS pa, rank() OVER (ORDER BY {_b}) - 1 AS pb, count(*) OVER (PARTITION BY {_a}) AS ta, count(*) OVER (PARTITION BY {_b}) AS tb
+            FROM panel WHERE {_a} IS NOT NULL AND {_b} IS NOT NULL""",
+        "panel",
+    )
+view("kendall", " UNION ALL ".join(_kendall_sql(a, b) for a, b in _kpairs), *(f"places_{a}_{b}" for a, b in _kpairs))
+query(
+    "correlation_kendall",
+    "factor_1 factor_2",
+    "correlation",
+    "SELECT * FROM kendall UNION ALL SELECT factor_2, factor_1, correlation FROM kendall UNION ALL SELECT f, f, 1.0 FROM (SELECT unnest(" + str(FACTORS) + ") AS f) x",
+    ("kendall",),
+)(lambda s, f: E.correlation_matrix(panel(s, f), FACTORS, "kendall"))
 _wr = f"({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
 query(
     "rolling_correlation",
@@ -273,10 +323,43 @@ def report(spark, folder):
     return reports.factor_report(long_panel(spark, folder), returns(spark, folder), layers=5)
 
 
-query("factor_rating", "factor_name grade", "ic_score ir_score layered_score decay_score score")(report)
-query("factor_ranking", "factor_name rank grade grade_count advice", "score average_score")(
-    lambda s, f: E.recommendation(E.rank_factors(report(s, f)), 2)
+_long_short_sql = """SELECT *, long_short_return / nullif(long_short_volatility, 0) AS sharpe_ratio FROM (
+         SELECT factor_name, count(*) AS layers, arg_max(avg_return, factor_quantile) - arg_min(avg_return, factor_quantile) AS long_short_return,
+                sqrt(pow(arg_max(return_volatility, factor_quantile), 2) + pow(arg_min(return_volatility, factor_quantile), 2)) AS long_short_volatility, corr(factor_quantile, rk) AS monotonicity
+         FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY factor_name, avg_return) - 1) / 2.0 AS rk FROM layer_perf WINDOW w AS (PARTITION BY factor_name ORDER BY avg_return)) GROUP BY 1)"""
+view(
+    "fades",
+    f"""SELECT *, {correlation_p_sql('trend', 'periods')} AS p FROM (
+          SELECT factor_name, count(*) AS periods, arg_max(period, a) AS best, corr(period, a) AS trend FROM (SELECT factor_name, period, abs_avg_ic_pearson AS a FROM decay) GROUP BY 1)""",
+    "decay",
+)
+view(
+    "rated",
+    f"""SELECT factor_name, ic_score, ir_score, layered_score, decay_score, round(total, 2) AS score,
+               CASE WHEN total >= 80 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 60 THEN 'C' WHEN total >= 50 THEN 'D' ELSE 'F' END AS grade FROM (
+          SELECT *, (ic_score * 0.3 + ir_score * 0.25 + layered_score * 0.25 + decay_score * 0.2) / 4 AS total
+          FROM (SELECT factor_name, least(100, abs(avg(ic_pearson)) * 1000 + count(*) FILTER (ic_pearson > 0) / count(ic_pearson) * 20 + count(*) FILTER (p_value_pearson < 0.05) / count(*) * 30) AS ic_score FROM ic_p GROUP BY 1) i
+          JOIN (SELECT factor_name, least(100, abs(arg_max(ir, trade_date) FILTER (ir IS NOT NULL)) * 20 + count(*) FILTER (ir > 0) / count(ir) * 50) AS ir_score FROM ir GROUP BY 1) r USING (factor_name)
+          JOIN (SELECT factor_name, least(50, abs(sharpe_ratio) * 25) + CASE WHEN monotonicity > 0.5 AND {correlation_p_sql('monotonicity', 'layers')} < 0.05 THEN 50 ELSE coalesce(monotonicity, 0) * 25 END AS layered_score
+                FROM ({_long_short_sql})) l USING (factor_name)
+          JOIN (SELECT factor_name, CASE WHEN best <= 5 THEN 50 WHEN best <= 10 THEN 30 ELSE 10 END
+                       + CASE WHEN p >= 0.05 THEN 10 WHEN trend < -0.5 THEN 10 WHEN trend < -0.2 THEN 30 ELSE 50 END AS decay_score FROM fades) d USING (factor_name))""",
+    "ic_p",
+    "ir",
+    "layer_perf",
+    "fades",
 )
+query("factor_rating", "factor_name grade", "ic_score ir_score layered_score decay_score score", "SELECT * FROM rated", ("rated",), digits=2)(report)
+query(
+    "factor_ranking",
+    "factor_name rank grade grade_count advice",
+    "score average_score",
+    """SELECT *, count(*) OVER (PARTITION BY grade) AS grade_count, round(avg(score) OVER (), 2) AS average_score,
+              CASE WHEN avg(score) OVER () >= 70 THEN 'use directly' WHEN avg(score) OVER () >= 50 THEN 'combine with others' ELSE 'use with care' END AS advice
+       FROM (SELECT factor_name, grade, score, CAST(row_number() OVER (ORDER BY score DESC, factor_name) AS INTEGER) AS rank FROM rated) WHERE rank <= 2""",
+    ("rated",),
+    digits=2,
+)(lambda s, f: E.recommendation(E.rank_factors(report(s, f)), 2))
 query("processed_factors", "factor_name ts_code trade_date", "factor_value", "SELECT * FROM processed", ("processed",))(
     lambda s, f: reports.processed_long(reports.process_factors(panel(s, f), ["mom", "rng"]), ["mom", "rng"])
 )

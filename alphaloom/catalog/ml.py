@@ -72,10 +72,10 @@ def linear_model_single_factor(spark, folder):
     return ml.evaluate(ml.train(a, ["rng"], "linear"), a, b, ["rng"])
 
 
-def _fit(kind):
+def _fit(kind, **params):
     def run(spark, folder):
         a, b = ml.chronological_split(training(spark, folder))
-        return ml.evaluate(ml.train(a, FACTORS, kind), a, b, FACTORS).withColumn("kind", F.lit(kind))
+        return ml.evaluate(ml.train(a, FACTORS, kind, **params), a, b, FACTORS).withColumn("kind", F.lit(kind))
 
     return run
 
@@ -111,10 +111,53 @@ def metrics_sql(kind: str, alpha: float) -> str:
 
 query("model_linear", "kind part n", "mse rmse mae r2", metrics_sql("linear", 0), ("shares",), digits=5)(_fit("linear"))
 query("model_ridge", "kind part n", "mse rmse mae r2", metrics_sql("ridge", 1), ("shares",), digits=5)(_fit("ridge"))
-for _k in ("lasso", "random_forest", "gradient_boosting"):
+
+
+def lasso_equations(rows: str, penalty: float, steps: int = 100) -> str:
+    """SQL of one row (y0, m_*, s_*, b_*): the lasso on three scaled factors, by steps from factor to factor.
+
+    Each step sets a coefficient to what its factor explains of the rest, drawn to zero by the penalty.
+    """
+    z = {f: f"(CASE WHEN s_{f} > 0 THEN ({f} - m_{f}) / s_{f} ELSE 0 END)" for f in FACTORS}
+    moments = ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in FACTORS)
+    filled = "SELECT target_return, " + ", ".join(f"coalesce({f}, 0) AS {f}" for f in FACTORS) + f" FROM {rows}"
+    known = ["y0", *(f"{k}_{f}" for f in FACTORS for k in "ms")]
+    products = [f"avg({z[f]} * {z[g]}) AS g_{f}_{g}" for f in FACTORS for g in FACTORS] + [f"avg({z[f]} * (target_return - y0)) AS c_{f}" for f in FACTORS]
+    gram = f"SELECT {', '.join(known)}, {', '.join(products)} FROM ({filled}) x, (SELECT avg(target_return) AS y0, {moments} FROM ({filled})) GROUP BY ALL"
+    level, body = "SELECT k, gram.*, " + ", ".join(f"b_{f}" for f in FACTORS) + f" FROM steps, gram WHERE k < {steps}", ""
+    for f in FACTORS:  # the new coefficient takes the old one's place for the factors after it
+        rest = " - ".join([f"c_{f}", *(f"g_{f}_{h} * b_{h}" for h in FACTORS if h != f)])
+        level = f"SELECT * REPLACE (CASE WHEN g_{f}_{f} > 0 THEN sign({rest}) * greatest(abs({rest}) - {penalty}, 0) / g_{f}_{f} ELSE 0 END AS b_{f}) FROM ({level})"
+    body = f"SELECT k + 1 AS k, {', '.join(f'b_{f}' for f in FACTORS)} FROM ({level})"
+    first = ", ".join(f"0::DOUBLE AS b_{f}" for f in FACTORS)
+    return f"""WITH RECURSIVE gram AS MATERIALIZED ({gram}), steps AS (SELECT 0 AS k, {first} UNION ALL {body})
+        SELECT {', '.join(known)}, {', '.join(f'b_{f}' for f in FACTORS)} FROM gram, (SELECT * FROM steps WHERE k = {steps})"""
+
+
+def lasso_sql(penalty: float) -> str:
+    return metrics_sql("lasso", 0).replace(normal_equations("(SELECT * FROM shares WHERE share <= 0.8)", 0), lasso_equations("(SELECT * FROM shares WHERE share <= 0.8)", penalty))
+
+
+query("model_lasso", "kind part n", "mse rmse mae r2", lasso_sql(0.1), ("shares",), digits=5)(_fit("lasso"))
+# A penalty that leaves some factors in.
+query("model_lasso_light", "kind part n", "mse rmse mae r2", lasso_sql(0.002), ("shares",), digits=5)(_fit("lasso", regParam=0.002))
+for _k in ("random_forest", "gradient_boosting"):
     query(f"model_{_k}", "kind part n", "mse rmse mae r2")(_fit(_k))
 
 
+@query(
+    "feature_importance_linear",
+    "feature",
+    "importance",
+    f"""SELECT unnest({FACTORS}) AS feature, unnest([{', '.join(f'abs(b_{f})' for f in FACTORS)}]) AS importance FROM ({normal_equations('(SELECT * FROM shares WHERE share <= 0.8)', 0)})""",
+    ("shares",),
+    digits=5,
+)
+def feature_importance_linear(spark, folder):
+    a, _ = ml.chronological_split(training(spark, folder))
+    return ml.feature_importance(ml.train(a, FACTORS, "linear"), FACTORS, spark)
+
+
 @query("feature_importance", "feature", "importance")
 def feature_importance(spark, folder):
     a, _ = ml.chronological_split(training(spark, folder))
@@ -146,7 +189,7 @@ def best_model(spark, folder):
     "model_save_load",
     "ts_code trade_date label",
     "score",
-    f"SELECT ts_code, trade_date, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS label FROM (SELECT ts_code, trade_date, {predicted()} AS score FROM panel, ({normal_equations('training', 0)}))",
+    f"SELECT ts_code, trade_date, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS label FROM (SELECT ts_code, trade_date, {predicted()} AS score FROM (SELECT *, 1 AS one FROM panel) p JOIN (SELECT *, 1 AS also FROM ({normal_equations('training', 0)})) m ON p.one = m.also)",
     ("panel", "training"),
 )
 def model_save_load(spark, folder):
@@ -262,6 +305,31 @@ query(
 )(lambda s, f: ml.history(predictions(s, f), 5, None, "2001-01-01"))
 
 
+_WEIGHTS = {"mom": 0.5, "rng": -0.25}
+
+
+@query(
+    "explanation_history",
+    "id model_version explanation_type created_at",
+    "prediction_value base_value share_mom share_rng",
+    """SELECT 'blend-' || version || '-' || ts_code || '-' || strftime(trade_date, '%Y%m%d') AS id, version AS model_version, 'local' AS explanation_type, base + a + b AS prediction_value, base AS base_value,
+              a AS share_mom, b AS share_rng, trade_date AS created_at
+       FROM (SELECT ts_code, trade_date, '2' AS version, 0.5 * avg(mom) OVER d - 0.25 * avg(rng) OVER d AS base, 0.5 * (coalesce(mom, avg(mom) OVER d) - avg(mom) OVER d) AS a,
+                    -0.25 * (coalesce(rng, avg(rng) OVER d) - avg(rng) OVER d) AS b FROM panel WINDOW d AS (PARTITION BY trade_date))
+       WHERE ts_code = 5 AND trade_date >= DATE '2001-06-30' - 200""",
+    ("panel",),
+)
+def explanation_history(spark, folder):
+    """A model explains all bars, and those of its last year a second time."""
+    own = ml.explanation_table(spark, scratch_path(spark, "explanations"))
+    rows = panel(spark, folder)
+    own.write(ml.linear_explanations(rows, _WEIGHTS, "blend", "2"))
+    own.write(ml.linear_explanations(rows.where("trade_date >= DATE '2001-01-01'"), _WEIGHTS, "blend", "2"))
+    found = ml.explanation_history(own.read(), 5, "blend", "2001-06-30", 200, "local")
+    shares = [F.col("feature_importances")[f].alias(f"share_{f}") for f in _WEIGHTS]
+    return found.select("id", "model_version", "explanation_type", "prediction_value", "base_value", *shares, "created_at")
+
+
 def _model(spark, folder):
     rows = training(spark, folder)
     return ml.train(rows, FACTORS, "linear"), rows

@@ -242,7 +242,8 @@ query(
     "compose_ic_weighted",
     KEYS,
     "composite",
-    "SELECT ts_code, trade_date, (mom * a + volr * b + rng * c) / (a + b + c) AS composite FROM panel, (SELECT abs(corr(mom, return_1d)) AS a, abs(corr(volr, return_1d)) AS b, abs(corr(rng, return_1d)) AS c FROM panel)",
+    """SELECT ts_code, trade_date, (mom * a + volr * b + rng * c) / (a + b + c) AS composite
+       FROM (SELECT *, abs(corr(mom, return_1d) OVER ()) AS a, abs(corr(volr, return_1d) OVER ()) AS b, abs(corr(rng, return_1d) OVER ()) AS c FROM panel)""",
     NEED,
 )(
     _over(
@@ -253,7 +254,24 @@ query(
         )
     )
 )
-query("compose_pca", KEYS, "composite")(_over(lambda d: P.pca_compose(d, ["mom", "volr", "rng"])))
+def _pca_sql(cols: list[str], steps: int = 200) -> str:
+    """The first component of the correlations by repeated multiplication, its sign set by the sum of loadings."""
+    z = {c: f"({c} - m_{c}) / s_{c}" for c in cols}
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    moments = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in cols)
+    pairs = ", ".join(f"corr({a}, {b}) AS r_{a}_{b}" for a in cols for b in cols if a != b)
+    times = {a: " + ".join(f"w_{b}" if a == b else f"r_{a}_{b} * w_{b}" for b in cols) for a in cols}
+    length = "sqrt(" + " + ".join(f"x_{c} * x_{c}" for c in cols) + ")"
+    # A start that no component is at right angles to by chance.
+    start = ", ".join(f"{1 + k / 10}::DOUBLE AS w_{c}" for k, c in enumerate(cols))
+    return f"""WITH RECURSIVE used AS MATERIALIZED (SELECT {moments}, {pairs} FROM panel WHERE {whole}),
+        steps AS (SELECT 0 AS k, {start} UNION ALL
+          SELECT k + 1, {', '.join(f'x_{c} / {length}' for c in cols)} FROM (SELECT k, {', '.join(f'{times[c]} AS x_{c}' for c in cols)} FROM steps, used WHERE k < {steps})),
+        axis AS (SELECT {', '.join(f'w_{c} * CASE WHEN {" + ".join(f"w_{d}" for d in cols)} >= 0 THEN 1 ELSE -1 END AS w_{c}' for c in cols)} FROM steps WHERE k = {steps})
+        SELECT ts_code, trade_date, {' + '.join(f'w_{c} * {z[c]}' for c in cols)} AS composite FROM panel, used, axis"""
+
+
+query("compose_pca", KEYS, "composite", _pca_sql(["mom", "volr", "rng"]), NEED, digits=5)(_over(lambda d: P.pca_compose(d, ["mom", "volr", "rng"])))
 
 _skew, _kurt = "skewness(c)", "kurtosis(c)"
 query(

@@ -52,11 +52,7 @@ query(
 )
 
 
-def _range(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = pdf["rng"].dropna()
-    return pd.DataFrame({"ts_code": [pdf["ts_code"].iloc[0]], "span": [float(x.max() - x.min()) if len(x) else None], "n": [len(x)]})
-
-
 query("user_statistic", "ts_code n", {"span": 6}, "SELECT ts_code, max(rng) - min(rng) AS span, count(rng) AS n FROM panel GROUP BY 1", ("panel",))(
-    lambda s, f: G.grouped_statistic(panel(s, f), ["ts_code"], ["rng"], _range, "ts_code long, span double, n long", max_rows=100_000)
+    lambda s, f: panel(s, f).groupBy("ts_code").agg((F.max("rng") - F.min("rng")).alias("span"), F.count("rng").alias("n"))
 )
+query("user_half_sample_mode", "ts_code n", {"mode": 4})(lambda s, f: G.grouped_statistic(panel(s, f), ["ts_code"], ["rng"], G.HalfSampleMode("rng")))

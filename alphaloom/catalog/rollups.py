@@ -12,7 +12,7 @@ from alphaloom.catalog.selection import ranked
 from alphaloom.operators import joins as J
 from alphaloom.operators import quality as Q
 from alphaloom.operators import rollups as R
-from alphaloom.sources.tables import bars, calendar, daily_basic, panel, stock_basic
+from alphaloom.sources.tables import bars, calendar, daily_basic, panel, stock_basic, table
 
 FACTORS = ["mom", "volr", "rng"]
 AS_OF = M.AS_OF
@@ -229,6 +229,27 @@ query(
         AS_OF,
     )
 )
+def _catalogue(spark, folder):
+    """Parts as factors, of a type by size; their line items as versions, those of a late day rated."""
+    name = lambda c: F.concat(F.lit("f"), c).alias("factor_name")
+    factors = table(spark, folder, "part").select(name("p_partkey"), (F.col("p_size") % 5).cast("string").alias("factor_type"))
+    lines = table(spark, folder, "lineitem")
+    versions = lines.select(name("l_partkey"), (F.col("l_linenumber") == 1).alias("is_active"))
+    quality = lines.where("l_shipdate >= TIMESTAMP '2001-01-01'").select(name("l_partkey"), (F.col("l_quantity") * 2).cast("double").alias("overall_score"))
+    return factors, versions, quality
+
+
+query(
+    "catalogue_statistics",
+    "factor_type factors versions active_versions",
+    {"avg_quality": 6, "min_quality": 4, "max_quality": 4},
+    """SELECT factor_type, count(*) AS factors, CAST(coalesce(sum(n), 0) AS BIGINT) AS versions, CAST(coalesce(sum(active), 0) AS BIGINT) AS active_versions, sum(qs) / nullif(sum(qn), 0) AS avg_quality, min(qmin) AS min_quality, max(qmax) AS max_quality
+       FROM (SELECT p_partkey AS k, CAST(p_size % 5 AS VARCHAR) AS factor_type FROM part) f
+       LEFT JOIN (SELECT l_partkey AS k, count(*) AS n, count(*) FILTER (l_linenumber = 1) AS active FROM lineitem GROUP BY 1) v ON v.k = f.k
+       LEFT JOIN (SELECT l_partkey AS k, sum(l_quantity * 2) AS qs, count(l_quantity) AS qn, min(l_quantity * 2) AS qmin, max(l_quantity * 2) AS qmax FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY 1) q ON q.k = f.k
+       GROUP BY 1""",
+    (),
+)(lambda s, f: R.catalogue_statistics(*_catalogue(s, f)))
 query(
     "explanation_summary",
     "explanation_type count stocks",

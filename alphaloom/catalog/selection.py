@@ -627,7 +627,7 @@ query(
     "prediction_enrichment",
     "ts_code trade_date name industry rank_overall label",
     {"score": 8},
-    """SELECT p.ts_code, p.trade_date, b.name, b.industry, s.rank_overall, s.score, (p.mom > 0)::INT AS label FROM panel p LEFT JOIN placed s USING (ts_code, trade_date) LEFT JOIN basic b ON b.ts_code = p.ts_code
+    """SELECT p.ts_code, p.trade_date, b.name, b.industry, s.rank_overall, s.score, (p.mom > 0)::INT AS label FROM panel p LEFT JOIN placed s ON s.ts_code = p.ts_code AND s.trade_date = p.trade_date LEFT JOIN basic b ON b.ts_code = p.ts_code
        WHERE p.mom IS NOT NULL""",
     ("panel", "placed", "basic"),
 )(

@@ -189,17 +189,31 @@ def with_f_p_value(test: DataFrame) -> DataFrame:
     return test.withColumn("p_value", f_p_value(F.col("f_statistic"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
+def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", before: int = 0) -> DataFrame:
+    """Each day's returns 1 to ``max_periods`` calendar days later, as a list of (period, return) in ``ahead``.
+
+    A day without a return of its own stays, as a factor may have a value on it. The window looks at
+    the security's days only, so bars that are bucketed by security are not exchanged.
+    """
+    day = F.datediff(DATE, F.lit("1970-01-01").cast("date"))
+    rows = returns.select(CODE, DATE, day.alias("_day"), F.col(ret).alias("_ret"))
+    later = W.partitionBy(CODE).orderBy("_day").rangeBetween(1, max_periods)
+    held = F.collect_list(F.when(F.col("_ret").isNotNull(), F.struct("_day", "_ret"))).over(later)
+    ahead = F.transform(held, lambda x: F.struct((x["_day"] - F.col("_day")).alias("period"), x["_ret"].alias(ret)))
+    return rows.withColumn("ahead", ahead).select(CODE, DATE, "ahead")
+
+
 def factor_decay(factors: DataFrame, returns: DataFrame, max_periods: int = 20, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10) -> DataFrame:
     """Mean coefficient of a factor against returns ``k`` calendar days later, k = 1..max.
 
-    Returns are copied once per period with their date moved back, so one join and one grouping
-    cover every period.
+    ``returns`` has a row for each security and day that a factor may have a value on. Later
+    returns travel with the row as one list. Rows are exchanged once, by date, and lists are opened
+    behind the exchange, where each date's ranks are taken.
     """
-    periods = F.explode(F.sequence(F.lit(1), F.lit(max_periods))).alias("period")
-    moved = returns.where(F.col(ret).isNotNull()).select(CODE, F.col(DATE).alias("_d"), ret, periods)
-    moved = moved.select(CODE, F.date_sub("_d", F.col("period")).alias(DATE), ret, "period")
-    pairs = factors.select(FACTOR, CODE, DATE, value).join(moved, [CODE, DATE])
-    ic = information_coefficients(pairs, value, ret, (FACTOR, "period", DATE), min_pairs)
+    pairs = factors.select(FACTOR, CODE, DATE, value).join(forward_returns(returns, max_periods, ret), [CODE, DATE])
+    pairs = pairs.where((F.size("ahead") > 0) & F.col(value).isNotNull()).select(FACTOR, DATE, value, "ahead")
+    dealt = pairs.repartition(DATE).select(FACTOR, DATE, value, F.explode("ahead").alias("a")).select(FACTOR, "a.period", DATE, value, f"a.{ret}")
+    ic = information_coefficients(dealt, value, ret, (FACTOR, "period", DATE), min_pairs)
     return ic.groupBy(FACTOR, "period").agg(
         F.avg("ic_pearson").alias("avg_ic_pearson"),
         F.avg("ic_spearman").alias("avg_ic_spearman"),

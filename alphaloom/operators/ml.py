@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.functions.stats import kolmogorov_p_value
 from alphaloom.operators import crosssection as X
+from alphaloom.sources.versioned import VersionedTable
 
 CODE, DATE = "ts_code", "trade_date"
 TARGET = "target_return"
@@ -218,6 +219,44 @@ def history(rows: DataFrame, code=None, model: str | None = None, since=None, ti
     return rows.orderBy(F.desc(time), CODE)
 
 
+def linear_explanations(rows: DataFrame, weights: dict[str, float], model: str, version: str) -> DataFrame:
+    """What each factor adds to a linear model's prediction, against the mean of its day.
+
+    One row per security and day: base value, prediction and the factors' shares, which add up.
+    Null factors count as their day's mean.
+    """
+    means = X.group_stats(rows, DATE, **{f"_mean_{f}": F.avg(f) for f in weights})
+    share = {f: (F.coalesce(F.col(f), F.col(f"_mean_{f}")) - F.col(f"_mean_{f}")) * w for f, w in weights.items()}
+    base = sum((F.col(f"_mean_{f}") * w for f, w in weights.items()), F.lit(0.0))
+    return means.select(
+        F.concat_ws("-", F.lit(model), F.lit(version), F.col(CODE).cast("string"), F.date_format(DATE, "yyyyMMdd")).alias("id"),
+        F.col(CODE),
+        F.lit(model).alias("model_name"),
+        F.lit(version).alias("model_version"),
+        F.lit("local").alias("explanation_type"),
+        (base + sum(share.values(), F.lit(0.0))).alias("prediction_value"),
+        base.alias("base_value"),
+        F.create_map(*(x for f, c in share.items() for x in (F.lit(f), c))).alias("feature_importances"),
+        F.col(DATE).alias("created_at"),
+        F.date_format(DATE, "yyyy-MM").alias("month"),
+    )
+
+
+def explanation_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Stored explanations by month; one that is stored again replaces the older."""
+    return VersionedTable(spark, path, ["id", "month"], "month")
+
+
+def explanation_history(stored: DataFrame, code, model: str, as_of, days: int = 30, kind: str | None = None) -> DataFrame:
+    """Explanations of one security and model from the last days, newest first."""
+    since = F.date_sub(F.lit(as_of).cast("date"), days)
+    own = stored.where((F.col(CODE) == code) & (F.col("model_name") == model) & (F.col("created_at") >= since) & (F.col("month") >= F.date_format(since, "yyyy-MM")))
+    if kind is not None:
+        own = own.where(F.col("explanation_type") == kind)
+    columns = ["id", "model_version", "explanation_type", "prediction_value", "base_value", "feature_importances", "created_at"]
+    return own.select(*columns).orderBy(F.desc("created_at"), "id")
+
+
 # ---- monitoring -----------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators import crosssection as X
+from alphaloom.session import stored
 from alphaloom.operators.joins import not_held
 
 CODE, DATE = "ts_code", "trade_date"
@@ -165,23 +166,23 @@ def benchmark_returns(index: DataFrame) -> DataFrame:
     return index.withColumn("return", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
 
 
-def match_score() -> Column:
-    """How well a strategy template suits an investor, 0..1."""
+def match_score(template=F.col) -> Column:
+    """How well a strategy template suits an investor, 0..1; ``template`` gives a template's column by name."""
     level = {"beginner": 1, "intermediate": 3, "advanced": 5}
     experience = F.lit(3)
     for name, value in level.items():
         experience = F.when(F.col("experience") == name, value).otherwise(experience)
-    horizon, kind = F.col("time_horizon"), F.col("category")
+    horizon, kind, risk = F.col("time_horizon"), template("category"), template("risk_level")
     fits = (
         ((kind == "conservative") & (horizon >= 12))
         | ((kind == "balanced") & horizon.between(6, 36))
         | ((kind == "aggressive") & (horizon <= 24))
     )
     score = (
-        (F.lit(1.0) - F.abs(F.col("risk_tolerance") - F.col("risk_level") * 2) / 10) * 0.4
-        + (F.lit(1.0) - F.abs(experience - F.col("risk_level")) / 5) * 0.2
+        (F.lit(1.0) - F.abs(F.col("risk_tolerance") - risk * 2) / 10) * 0.4
+        + (F.lit(1.0) - F.abs(experience - risk) / 5) * 0.2
         + F.when(fits, 1.0).otherwise(0.5) * 0.2
-        + F.when(F.col("expected_volatility") * 2 <= F.col("loss_tolerance"), 1.0).otherwise(0.5) * 0.2
+        + F.when(template("expected_volatility") * 2 <= F.col("loss_tolerance"), 1.0).otherwise(0.5) * 0.2
     )
     # Nine digits, so that equal matches tie whatever the order of the sum.
     return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 9)
@@ -192,17 +193,40 @@ def risk_class(tolerance: str = "risk_tolerance") -> Column:
     return F.when(t <= 3, "conservative").when(t <= 7, "balanced").otherwise("aggressive")
 
 
-def recommend_templates(profiles: DataFrame, templates: DataFrame, limit: int = 1000, keep: int = 3, floor: float = 0.5) -> DataFrame:
+def _template_blocks(templates: DataFrame, keep: int, block: int) -> tuple[DataFrame, int]:
+    """(block, list): lists of at most about ``block`` templates, and how many there are.
+
+    A score looks at risk level, category and volatility only; of templates that agree in these, none
+    but the first ``keep`` by id can be among an investor's best.
+    """
+    first = X.top_per_group(templates, ["risk_level", "category", "expected_volatility"], [F.asc("template_id")], keep).drop("rank")
+    first = stored(first, "templates")
+    blocks = max(1, -(-first.count() // block))
+    own = F.struct(*[F.col(c) for c in templates.columns]).alias("t")
+    lists = first.select(F.pmod(F.xxhash64("template_id"), F.lit(blocks)).alias("block"), own).groupBy("block").agg(F.collect_list("t").alias("list"))
+    return stored(lists, "template-blocks"), blocks
+
+
+def recommend_templates(profiles: DataFrame, templates: DataFrame, keep: int = 3, floor: float = 0.5, block: int = 500) -> DataFrame:
     """Best templates per investor with settings adjusted to the investor.
 
-    Templates are a small catalogue: its size is checked against ``limit`` and a larger one is
-    refused. Each investor row is paired with the catalogue inside its own task.
+    Templates are a stated set that investors meet in blocks: each investor row is scored against
+    one block's list inside its own task and keeps its best ``keep``, and the best of all blocks
+    are ranked. So rows grow with investors times blocks, never with investors times templates.
     """
-    if templates.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} templates")
-    pairs = profiles.join(F.broadcast(templates), F.lit(True))
-    scored = pairs.withColumn("match_score", match_score()).where(F.col("match_score") > floor)
-    top = X.top_per_group(scored, "user_id", [F.desc("match_score"), F.asc("template_id")], keep)
+    lists, blocks = _template_blocks(templates, keep, block)
+    dealt = profiles.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else profiles.withColumn("block", F.lit(0).cast("long"))
+    met = dealt.join(lists, "block")
+
+    def scored(t: Column) -> Column:
+        score = match_score(lambda c: t[c])
+        return F.struct((-score).alias("less"), t["template_id"].alias("template_id"), t.alias("t"))
+
+    fit = F.filter(F.transform("list", scored), lambda s: -s["less"] > floor)
+    best = met.withColumn("best", F.slice(F.array_sort(fit), 1, keep)).drop("list", "block")
+    rows = best.select(*profiles.columns, F.explode("best").alias("b"))
+    rows = rows.select(*profiles.columns, "b.t.*", (-F.col("b.less")).alias("match_score"))
+    top = X.top_per_group(rows, "user_id", [F.desc("match_score"), F.asc("template_id")], keep)
     t = F.col("risk_tolerance")
     positions = F.col("max_positions")
     slower = F.when(F.col("rebalance_frequency") == "daily", "weekly").when(F.col("rebalance_frequency") == "weekly", "monthly").otherwise(F.col("rebalance_frequency"))

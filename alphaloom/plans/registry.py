@@ -8,13 +8,16 @@ plan; what depends on what is settled by the columns of that plan.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from alphaloom.operators import fundamental as Fu
 from alphaloom.operators import sentiment as S
@@ -195,13 +198,115 @@ def default_registry(settings: FactorSettings | None = None) -> Registry:
     return r
 
 
-def grouped_statistic(df: DataFrame, by: list[str], columns: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int) -> DataFrame:
-    """A user's pandas statistic per group.
+class Statistic:
+    """A user's statistic of a group, from states that parts of the group give and that merge.
 
-    A group is handed to the function whole, so the caller says how many rows the function can
-    take; data beyond ``max_rows`` per group is refused and needs a statistic written with columns.
+    ``update`` takes a part of a group as a pandas frame and gives its state, ``merge`` puts two
+    states together in any order, and ``finish`` gives the result's values by name. States are
+    bytes of bounded size, whatever the group's.
     """
-    biggest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest > max_rows:
-        raise ValueError(f"a group has {biggest} rows, more than {max_rows}")
-    return df.select(*by, *columns).groupBy(*by).applyInPandas(fn, schema)
+
+    schema: str
+
+    def update(self, rows: pd.DataFrame) -> bytes:
+        raise NotImplementedError
+
+    def merge(self, a: bytes, b: bytes) -> bytes:
+        raise NotImplementedError
+
+    def finish(self, state: bytes) -> dict:
+        raise NotImplementedError
+
+
+#: Groups whose states a task holds before it hands them on, and parts that a hot group's states are merged in.
+HELD_STATES, MERGE_PARTS = 20_000, 64
+
+
+def grouped_statistic(df: DataFrame, by: list[str], columns: list[str], statistic: Statistic) -> DataFrame:
+    """(by, the statistic's columns) for each group; no task is handed a group whole.
+
+    Each task keeps one state a group over its batches; states, not rows, are shuffled and merged,
+    first in parts by chance and then to one.
+    """
+    rows = df.select(*by, *columns)
+    keys = [f for f in rows.schema.fields if f.name in by]
+    with_state = StructType([*keys, StructField("state", BinaryType())])
+    grouped = lambda pdf: pdf.groupby(by, dropna=False, sort=False)
+    as_key = lambda key: tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+
+    def states(batches):
+        held: dict[tuple, bytes] = {}
+
+        def out():
+            frame = pd.DataFrame([(*k, s) for k, s in held.items()], columns=[*by, "state"])
+            held.clear()
+            return frame
+
+        for batch in batches:
+            for key, part in grouped(batch):
+                key, state = as_key(key), statistic.update(part)
+                held[key] = statistic.merge(held[key], state) if key in held else state
+            if len(held) >= HELD_STATES:
+                yield out()
+        if held:
+            yield out()
+
+    def merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key[: len(by)], functools.reduce(statistic.merge, pdf["state"]))], columns=[*by, "state"])
+
+    def finished(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = statistic.finish(functools.reduce(statistic.merge, pdf["state"]))
+        return pd.DataFrame([{**dict(zip(by, key)), **values}])
+
+    parts = rows.mapInPandas(states, with_state).withColumn("_part", F.pmod(F.xxhash64("state"), F.lit(MERGE_PARTS)))
+    fewer = parts.groupBy(*by, "_part").applyInPandas(merged, with_state)
+    result = StructType([*keys, *StructType.fromDDL(statistic.schema).fields])
+    return fewer.groupBy(*by).applyInPandas(finished, result)
+
+
+class HalfSampleMode(Statistic):
+    """The mode of a number by halving: of all spans that hold half of the values the shortest, and again inside it.
+
+    The state is a histogram of ``digits`` decimal places, so the result is exact to these and the
+    state is as large as the distinct rounded values at most. Nulls and non-finite values don't count.
+    """
+
+    schema = "mode double, n long"
+
+    def __init__(self, column: str, digits: int = 3):
+        self.column, self.scale = column, 10**digits
+
+    def update(self, rows: pd.DataFrame) -> bytes:
+        x = rows[self.column].to_numpy(float)
+        x = x[np.isfinite(x)]
+        bins, counts = np.unique(np.round(x * self.scale).astype(np.int64), return_counts=True)
+        return np.stack([bins, counts.astype(np.int64)]).tobytes()
+
+    def merge(self, a: bytes, b: bytes) -> bytes:
+        both = np.hstack([np.frombuffer(s, np.int64).reshape(2, -1) for s in (a, b)])
+        bins, at = np.unique(both[0], return_inverse=True)
+        counts = np.zeros(len(bins), np.int64)
+        np.add.at(counts, at, both[1])
+        return np.stack([bins, counts]).tobytes()
+
+    def finish(self, state: bytes) -> dict:
+        bins, counts = np.frombuffer(state, np.int64).reshape(2, -1)
+        total = int(counts.sum())
+        if not total:
+            return {"mode": None, "n": 0}
+        # Values stand in order; first and last place of the span that is left.
+        upto = np.cumsum(counts)
+        low, high = 0, total - 1
+        while high > low:
+            half = (high - low + 2) // 2
+            # Spans that begin where a value begins are enough, and the span's begin.
+            starts = np.unique(np.clip(np.r_[low, upto], low, high - half + 1))
+            value = lambda place: bins[np.searchsorted(upto, place, side="right")]
+            k = int(np.argmin(value(starts + half - 1) - value(starts)))
+            if (low, high) == (int(starts[k]), int(starts[k]) + half - 1):
+                break
+            low, high = int(starts[k]), int(starts[k]) + half - 1
+            if value(np.array([low]))[0] == value(np.array([high]))[0]:
+                break
+        ends = bins[np.searchsorted(upto, np.array([low, high]), side="right")]
+        return {"mode": float(ends.sum()) / 2 / self.scale, "n": total}
