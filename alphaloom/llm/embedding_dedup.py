@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm.ann import usable
-from alphaloom.llm.common import stored
+from alphaloom.llm.common import in_runs, pieces, stored
 from alphaloom.llm.simhash import components
 
 THRESHOLD = 0.93
@@ -166,26 +166,12 @@ def _meet(rows: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarra
 
 
 def _meet_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pieces of work come one after the other; the last of a batch may go on in the next."""
-
-    def done(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = [_meet(rows.slice(a, b - a), threshold) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+    for rows, runs in in_runs(batches, "work"):
+        found = [_meet(rows.slice(a, n), threshold) for a, n in runs if n > 1]
         if any(len(a) for a, _ in found):
             a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.concat_batches([held, batch]) if held is not None else batch
-        work = rows["work"].to_numpy()
-        bounds = np.r_[0, np.flatnonzero(work[1:] != work[:-1]) + 1]
-        yield from done(rows, bounds)
-        held = rows.slice(bounds[-1])
-    if held is not None:
-        yield from done(held, np.array([0, held.num_rows]))
-
 
 def _dot(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
@@ -211,33 +197,6 @@ def _balls(vectors: DataFrame, banded: DataFrame, threshold: float) -> DataFrame
     return inside.select("node", "ball")
 
 
-def _work(banded: DataFrame, balls: DataFrame) -> DataFrame:
-    """(work, side, code): codes dealt to pieces of work of at most two blocks.
-
-    Blocks are parts of one ball, or of what lies in none; blocks of one ball don't meet.
-    """
-    marked = banded.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(-1).cast("long")))
-    sizes = marked.groupBy(*PLACE, "ball").agg(F.count("*").alias("n"))
-    whole = sizes.groupBy(*PLACE).agg(F.sum("n").alias("crowd"), F.max("ball").alias("top"), F.min("ball").alias("low"))
-    # Where all are of one ball, nothing is left to find.
-    whole = stored(whole.where("crowd > 1 AND (top = -1 OR top > low)").select(*PLACE, "crowd"), "dedup-crowds")
-    sized = marked.join(whole, PLACE)
-    small = sized.where(F.col("crowd") <= CROWD).select(F.xxhash64(*PLACE).alias("work"), F.lit(0).alias("side"), *CODE)
-    blocks = stored(sizes.join(whole.where(F.col("crowd") > CROWD), PLACE).withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int")), "dedup-blocks")
-    if blocks.isEmpty():
-        return small
-    every = blocks.select(*PLACE, "ball", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    other = every.select(*PLACE, F.col("ball").alias("ball2"), F.col("block").alias("block2"))
-    ordered = (F.col("ball") < F.col("ball2")) | ((F.col("ball") == -1) & (F.col("ball2") == -1) & (F.col("block") <= F.col("block2")))
-    met = every.join(other, PLACE).where(ordered).withColumn("work", F.xxhash64(*PLACE, "ball", "block", "ball2", "block2"))
-    own = F.struct("ball", "block", F.lit(0).alias("side"))
-    opposite = F.struct(F.col("ball2").alias("ball"), F.col("block2").alias("block"), F.lit(1).alias("side"))
-    alone = (F.col("ball") == F.col("ball2")) & (F.col("block") == F.col("block2"))
-    ends = met.select(*PLACE, "work", F.explode(F.when(alone, F.array(own)).otherwise(F.array(own, opposite))).alias("e")).select(*PLACE, "work", "e.*")
-    cut = sized.where(F.col("crowd") > CROWD).join(blocks.select(*PLACE, "ball", "blocks"), [*PLACE, "ball"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
-    return small.unionByName(cut.join(ends, [*PLACE, "ball", "block"]).select("work", "side", *CODE))
-
-
 def links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """((a, b), (node, ball)): linked pairs of nodes, and members of balls, all of which are linked.
 
@@ -251,7 +210,8 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     banded = stored(coded.mapInArrow(functools.partial(_code_batches, threshold=threshold), CODES), "dedup-bands")
     balls = stored(_balls(vectors, banded, threshold), "dedup-balls")
     parallel = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = _work(banded, balls).repartition(parallel, "work").sortWithinPartitions("work")
+    marked = banded.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(-1).cast("long")))
+    work = pieces(marked, PLACE, CODE, CROWD).repartition(parallel, "work").sortWithinPartitions("work")
     pairs = work.mapInArrow(functools.partial(_meet_batches, threshold=threshold), "a long, b long").distinct()
     end = lambda n: vectors.select(F.col("node").alias(n), F.col("v").alias(f"v{n}"), F.col("long").alias(f"long{n}"))
     found = pairs.join(end("a"), "a").join(end("b"), "b")

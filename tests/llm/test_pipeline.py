@@ -6,7 +6,7 @@ import corpus_pipeline
 from alphaloom.llm.common import stored
 from test_mixing import plain_mix
 from test_pii import plain_spans
-from test_simhash import plain_classes, plain_fingerprint
+from test_shingles import plain_roots
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -40,9 +40,7 @@ def test_toxic_documents_go(spark, steps):
 
 
 def test_one_document_of_each_class_stays(steps):
-    prints = {i: plain_fingerprint(t) for i, t in pairs(steps[1])}
-    classes = plain_classes(prints)
-    assert sorted(i for i, _ in pairs(steps[2])) == sorted(set(classes.values()))
+    assert sorted(i for i, _ in pairs(steps[2])) == sorted(set(plain_roots(pairs(steps[1])).values()))
 
 
 def test_personal_data_goes(steps):
@@ -70,3 +68,33 @@ def test_tokens(steps):
 
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, FOLDER).count() == steps[5].count()
+
+
+def folder_of(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k % 3 == 0), int(k % 3 == 0)) for k in range(60)] + [(None, 1, 1), (5, None, None), (5, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, ids string, spans string, node long"
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in every column, empty, repeated and very long texts, and columns that stages use names of."""
+    rows = [(k, f"clean words of text {k} and {' '.join(f'w{k}x{j}' for j in range(40))}", "en", "ab"[k % 2], 10, 1, "i", "s", 2) for k in range(40)]
+    long = " ".join(f"long{k}" for k in range(20_000)) + " x" * 5000 + "y" * 20_000
+    rows += [(40, None, None, None, None, None, None, None, None), (41, "", "en", "a", 0, 0, "i", "s", 0), (None, "no id", "en", "a", 5, 0, "i", "s", 0), (42, long, "en", "a", 1, 1, "i", "s", 0)]
+    rows += [rows[0], rows[0], (43, rows[1][1], "en", "b", 10, 1, "i", "s", 2)]
+    folder = folder_of(spark, tmp_path, rows, SCHEMA)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.without_near_copies(spark, corpus_pipeline.without_toxic(spark, docs, folder), folder)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert len(ids) == len(set(ids)) and 43 not in ids and 41 not in ids
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_no_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder_of(spark, tmp_path, [], SCHEMA)).count() == 0

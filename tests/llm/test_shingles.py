@@ -73,6 +73,37 @@ def test_crowded_buckets(docs_of):
     assert found == plain_roots(rows) and len(set(found.values())) == 1
 
 
+def families(rng, count, own=4, words=300, edits=3):
+    """Pairs of texts in one template: a family has a few words of its own, each of its texts some edits more."""
+    template = [f"t{k}" for k in range(words)]
+    rows = []
+    for family in range(count):
+        base = list(template)
+        for k in rng.sample(range(words), own):
+            base[k] = f"f{family}"
+        for _ in range(2):
+            copy = list(base)
+            for k in rng.sample(range(words), edits):
+                copy[k] = f"e{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_a_crowd_in_one_template_loses_no_link(docs_of):
+    """Texts of different families are less similar than 0.8 mostly, and all share buckets."""
+    for own, count in ((4, 300), (5, 150)):
+        rows = families(random.Random(own), count, own)
+        found = {r.doc_id: r.component_id for r in shingles.classes(docs_of(rows)).collect()}
+        assert found == plain_roots(rows)
+
+
+def test_blocks_of_a_crowd(docs_of, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 20)
+    rows = families(random.Random(9), 80, 4)
+    found = {r.doc_id: r.component_id for r in shingles.classes(docs_of(rows)).collect()}
+    assert found == plain_roots(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     kept = shingles.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
