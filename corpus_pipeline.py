@@ -3,6 +3,12 @@
 ``STAGES`` run in order; each reads what the stage before it kept, from Parquet. Toxic documents
 and all but one of each class of near-duplicates go, personal data gives way to its kind, the
 sources are mixed to their weights, and texts become token ids.
+
+Defined results: null and empty texts are kept as documents without words, one of them at most, as
+they are copies of each other, and a mix has no use for them; rows without id are kept by all stages
+that remove rows but the mix; repeated rows count once behind the near-duplicate stage; very long texts
+are read whole; an empty table goes through all stages; further columns of documents, whatever their
+names, are kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each class of near-duplicates.
 
-    Documents are linked from a similarity of 0.8 of their five-word shingles, which differ in more
-    bits of a fingerprint than a join can take.
+    Documents are linked from a similarity of 0.8 of their sets of five-word shingles on. The trie
+    join of SimHash fingerprints proposes pairs up to five bits apart; pairs at 0.8 differ in up to
+    fourteen, so MinHash bands propose the rest. Every pair is checked on the sets.
     """
     return shingles.deduplicate(docs)
 
@@ -46,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, round_trip): token ids, and whether they decode to the text."""
     path = vocabulary()
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.round_trip(docs, path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
