@@ -7,8 +7,9 @@ the smallest distance. Nodes enter the graph in doubling batches: a greedy beam
 shard's centre proposes neighbours, relaxed distance pruning keeps those that no kept neighbour
 shadows, and the kept edges are added the other way round, pruned again where a node has too many.
 
-Every shard's graph is stored, and blocks of queries are searched in each shard by beam search. The
-best of each shard are scored again in double precision on the original vectors and merged.
+Every shard's graph is stored as one packed row. It goes to one task for each ``SLICE`` of the
+queries, and these follow it in blocks, each searched by beam search. The best of each shard are
+scored again in double precision on the original vectors and merged.
 
 Defined results: rows whose vector is null, empty, zero or holds null or non-finite parts take no
 part, nor do rows without id; among vectors of several lengths a query meets those of its own
@@ -20,9 +21,11 @@ for give shorter lists; an empty table gives an empty one. The index holds every
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +36,11 @@ SHARD = 16_384
 DEGREE = 40
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 ALPHA = 1.2
-#: Queries that are searched together, and rows that enter the graph together at most.
+#: Queries that are searched together, those that one copy of a shard serves, and rows that enter the graph together at most.
 BLOCK = 2048
+SLICE = 65_536
 BATCH = 1024
+GRAPH = "shard string, dims int, start int, ids binary, sizes binary, vectors binary, edges binary"
 
 
 def usable(vector: Column) -> Column:
@@ -49,10 +54,11 @@ def _distances(points: np.ndarray, squares: np.ndarray, queries: np.ndarray, ids
     return squares[ids] - 2 * np.einsum("qd,qkd->qk", queries, points[ids])
 
 
-def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances) of the beam of each query, nearest first; unused places are -1 and inf.
 
-    All queries move together: each expands its nearest open node, until none has an open one.
+    All queries move together: each expands its nearest open node, until none has an open one. That
+    ends, as a beam only gets nearer: a node that left it can't come back.
     """
     n = len(queries)
     ids = np.full((n, beam), -1, np.int64)
@@ -61,7 +67,7 @@ def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, star
     ids[:, 0] = start
     near[:, 0] = _distances(points, squares, queries, np.full((n, 1), start))[:, 0]
     active = np.arange(n)
-    for _ in range(rounds):
+    while True:
         open_ = np.where(done[active] | (ids[active] < 0), np.inf, near[active])
         pick = open_.argmin(axis=1)
         live = np.isfinite(open_[np.arange(len(active)), pick])
@@ -164,46 +170,75 @@ def _lifted(vectors: np.ndarray) -> np.ndarray:
 
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("node").reset_index(drop=True)
+    """One row: the shard's vectors, edges and the ids of each node, packed."""
+    rows = rows.sort_values("node")
     vectors = np.array(rows["vector"].tolist(), np.float64)
     edges, start = build(_lifted(vectors))
-    rows["at"] = np.arange(len(rows), dtype=np.int32)
-    rows["start"] = np.int32(start)
-    rows["edges"] = [e[e >= 0].astype(np.int32) for e in edges]
-    return rows[["shard", "at", "start", "vector", "members", "edges"]]
-
-
-def _search_shard(graph: pd.DataFrame, queries: pd.DataFrame, top: int) -> pd.DataFrame:
-    """The best of one shard for one block of queries: ``top`` candidates of each, own id left out."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(graph) or not len(queries):
-        return empty
-    graph = graph.sort_values("at")
-    vectors = np.array(graph["vector"].tolist(), np.float64)
-    points = _lifted(vectors)
-    edges = np.full((len(graph), max(1, max(map(len, graph["edges"])))), -1, np.int64)
-    for k, e in enumerate(graph["edges"]):
-        edges[k, : len(e)] = e
-    asked = np.array(queries["vector"].tolist(), np.float64)
-    flat = np.hstack([asked, np.zeros((len(asked), 1))]).astype(np.float32)
-    beam, _ = beam_search(points, np.einsum("nd,nd->n", points, points), edges, int(graph["start"].iloc[0]), flat, min(SEARCH_BEAM, max(2, len(points))))
-    members = graph["members"].tolist()
-    out = []
-    for q, (query_id, vector) in enumerate(zip(queries["vec_id"], asked)):
-        found = beam[q][beam[q] >= 0]
-        scores = vectors[found] @ vector
-        pairs = {}
-        for s, k in zip(scores, found):
-            for m in members[k]:
-                if m != query_id and (m not in pairs or s > pairs[m]):
-                    pairs[m] = s
-        best = sorted(pairs.items(), key=lambda p: (-p[1], p[0]))[:top]
-        out += [(query_id, m, s) for m, s in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}) if out else empty
+    sizes = rows["members"].map(len).to_numpy(np.int64)
+    ids = np.concatenate(rows["members"].to_numpy()).astype(np.int64)
+    packed = [ids.tobytes(), sizes.tobytes(), vectors.tobytes(), edges.astype(np.int32).tobytes()]
+    return pd.DataFrame([(rows["shard"].iloc[0], vectors.shape[1], start, *packed)], columns=["shard", "dims", "start", "ids", "sizes", "vectors", "edges"])
+
+
+class Graph:
+    """A shard as it was packed."""
+
+    def __init__(self, dims: int, start: int, ids: bytes, sizes: bytes, vectors: bytes, edges: bytes):
+        self.start = start
+        self.vectors = np.frombuffer(vectors).reshape(-1, dims)
+        self.edges = np.frombuffer(edges, np.int32).reshape(len(self.vectors), -1).astype(np.int64)
+        self.members = np.split(np.frombuffer(ids, np.int64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+        self.points = _lifted(self.vectors)
+        self.squares = np.einsum("nd,nd->n", self.points, self.points)
+
+    def search(self, query_ids: list[int], asked: np.ndarray, top: int) -> tuple[list, list, list]:
+        """(query, id, score): the best ``top`` candidates of each query, own id left out."""
+        flat = np.hstack([asked, np.zeros((len(asked), 1))]).astype(np.float32)
+        beam, _ = beam_search(self.points, self.squares, self.edges, self.start, flat, min(SEARCH_BEAM, max(2, len(self.points))))
+        out: tuple[list, list, list] = ([], [], [])
+        for query_id, vector, held in zip(query_ids, asked, beam):
+            found = held[held >= 0]
+            scores = self.vectors[found] @ vector
+            pairs: dict[int, float] = {}
+            for s, k in zip(scores.tolist(), found):
+                for m in self.members[k].tolist():
+                    if m != query_id and (m not in pairs or s > pairs[m]):
+                        pairs[m] = s
+            best = sorted(pairs.items(), key=lambda p: (-p[1], p[0]))[:top]
+            out[0].extend([query_id] * len(best))
+            out[1].extend(m for m, _ in best)
+            out[2].extend(s for _, s in best)
+        return out
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+    """Rows come shard by shard, a graph and then its queries, which are searched in blocks."""
+    graph: Graph | None = None
+    ids: list[int] = []
+    vectors: list[np.ndarray] = []
+
+    def run() -> Iterator[pa.RecordBatch]:
+        if ids:
+            found = graph.search(ids, np.array(vectors, np.float64), top)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            ids.clear()
+            vectors.clear()
+
+    for batch in batches:
+        for k, query_id in enumerate(batch["vec_id"].to_pylist()):
+            if query_id is None:
+                yield from run()
+                graph = Graph(*(batch[c][k].as_py() for c in ("dims", "start", "ids", "sizes", "vectors", "edges")))
+            else:
+                ids.append(query_id)
+                vectors.append(batch["vector"][k].values.to_numpy(zero_copy_only=False))
+                if len(ids) >= BLOCK:
+                    yield from run()
+    yield from run()
 
 
 def index(rows: DataFrame, top: int, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
-    """(shard, dims, at, start, vector, members, edges): the stored graphs over all usable vectors."""
+    """(shard, dims, start, ids, sizes, vectors, edges): a packed graph for each shard of all usable vectors."""
     own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     own = own.withColumn("hash", F.xxhash64("vector"))
     # Of equal vectors, the smallest ids: as many as a list can hold, and the query's own.
@@ -214,8 +249,7 @@ def index(rows: DataFrame, top: int, vec_id: str = "vec_id", vector: str = "embe
     dealt = nodes.join(shards, "dims").withColumn("shard", F.pmod(F.xxhash64("hash", F.lit("shard")), "shards"))
     # Dimensions and shard in one key; a table has few dimensions.
     dealt = dealt.select(F.concat_ws("/", "dims", "shard").alias("shard"), F.element_at("members", 1).alias("node"), "vector", "members")
-    graph = dealt.groupBy("shard").applyInPandas(_build_shard, "shard string, at int, start int, vector array<double>, members array<long>, edges array<int>")
-    return stored(graph, "ann-graph")
+    return stored(dealt.groupBy("shard").applyInPandas(_build_shard, GRAPH), "ann-graph")
 
 
 def search(rows: DataFrame, queries: DataFrame, top: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -223,17 +257,18 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, vec_id: str = "ve
     graph = index(rows, top, vec_id, vector, shard)
     asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct()
     asked = stored(asked, "ann-queries")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    shards = graph.groupBy(F.split("shard", "/")[0].cast("int").alias("dims")).agg(F.collect_set("shard").alias("shards"))
-    # Each block of queries meets each shard once: few keys on both sides, no pairs of rows.
-    dealt = dealt.withColumn("dims", F.size("vector")).join(shards, "dims").select(F.explode("shards").alias("shard"), "block", "vec_id", "vector")
-    copies = graph.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = copies.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(functools.partial(_search_keyed, top=top), "query_id long, vec_id long, score double")
+    slices = max(1, -(-asked.count() // SLICE))
+    graph = graph.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (c.split() for c in GRAPH.split(", ")) if c not in ("shard", "dims")]
+    shards = graph.where("slice = 0").select("dims", "shard")
+    # Each slice of the queries goes to each shard once: few keys, and no pairs of rows on either side.
+    dealt = asked.withColumns({"slice": F.pmod(F.xxhash64("vec_id"), F.lit(slices)), "dims": F.size("vector")}).join(shards, "dims")
+    dealt = dealt.select("shard", "slice", "vec_id", "vector", "dims", *none)
+    graph = graph.select("shard", "slice", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"), "dims", "start", "ids", "sizes", "vectors", "edges")
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = graph.unionByName(dealt).repartition(parallel, "shard", "slice").sortWithinPartitions("shard", "slice", F.col("vec_id").asc_nulls_first())
+    found = met.mapInArrow(functools.partial(_search_batches, top=top), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
-
-def _search_keyed(key: tuple, graph: pd.DataFrame, queries: pd.DataFrame, top: int) -> pd.DataFrame:
-    return _search_shard(graph, queries, top)

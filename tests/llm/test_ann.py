@@ -31,8 +31,10 @@ def recall(found, expected):
     return np.mean([len({i for i, _ in found[q]} & {i for i, _ in e}) / len(e) for q, e in expected.items() if e])
 
 
-@pytest.mark.parametrize("shard", [500, 5000])
-def test_recall(spark, shard):
+@pytest.mark.parametrize("shard,slice_", [(250, 7), (5000, 65_536)])
+def test_recall(spark, monkeypatch, shard, slice_):
+    """Twelve shards and nine slices of queries, and one of each."""
+    monkeypatch.setattr(ann, "SLICE", slice_)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 24))
     vectors = centres[rng.integers(30, size=3000)] + 0.6 * rng.normal(size=(3000, 24))
