@@ -4,7 +4,8 @@ A text is made canonical - lower case, copyright lines left out, equivalent spel
 punctuation and white space collapsed - and its digest is looked up in a hash join with the
 digests of known licence texts, which are made canonical the same way. Whole texts are looked up
 against full licence texts and notices, and so is each line of a text, since notices stand in lines
-of their own. The known texts are ``KNOWN``, and those of a table that ``scan`` takes.
+of their own. The known texts are ``KNOWN``, and those of a table that ``scan`` takes; ``folder_texts``
+makes one of the whole texts that a system carries.
 
 Defined results: a null text is empty; a text without any letter or digit has the digest of the
 empty text and no licence; repeated rows give repeated results; a null id is kept; lines of any
@@ -13,7 +14,9 @@ length are looked up; an empty table gives an empty table; other columns are dro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import row_key, stored
@@ -29,11 +32,10 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("&", " and "),
 )
-COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|\u00a9)[ \t]+[^\n]*"
-#: What is left out of texts: such a line, but not one that goes on with the notice or the holders (a
-#: wrapped licence), and "all rights reserved" on the line after it. SQL's expressions can't look ahead
-#: and keep to ``COPYRIGHT_LINE``: the two differ only on texts with such lines.
-COPYRIGHT = "(^|\n)[ \t]*(?:copyright|\\(c\\)|\u00a9)[ \t]++(?!(?:notice|holder|owner)s?\\b)[^\n]*(?:\n[ \t]*all rights reserved[.]?[ \t]*(?=\n|$))?"
+#: Lines that are left out: one that begins with a copyright mark and goes on with a year, "by" or a
+#: second mark (not the words of a wrapped licence, nor a clause numbered (c)), and "all rights reserved" on the line after it.
+MARK_LINE = "^[ \t]*((copyright|\\(c\\)|\u00a9)[ \t]*(\\(c\\)|\u00a9)?[ \t]*([0-9]{4}|by[ \t])|copyright[ \t]*(\\(c\\)|\u00a9))"
+RIGHTS_LINE = "^[ \t]*all rights reserved[.]?[ \t\r]*\\z"
 #: ASCII other than letters and digits, and typographic quotes and dashes.
 PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f\u2013\u2014\u2018\u2019\u201c\u201d]+"
 
@@ -89,10 +91,18 @@ KNOWN = (
 )
 
 
+def _without_marks(c: Column) -> Column:
+    """A text without its copyright lines."""
+    lines = F.split(c, "\n", -1)
+    mark = lambda x: x.rlike(MARK_LINE)
+    kept = F.filter(lines, lambda x, i: ~mark(x) & ~((i > 0) & x.rlike(RIGHTS_LINE) & F.coalesce(mark(F.get(lines, i - 1)), F.lit(False))))
+    return F.array_join(kept, "\n")
+
+
 def canonical(c: Column) -> Column:
     """What equivalent writings of a licence share, from the text in lower case."""
     marked = F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("(c)")) | F.contains(c, F.lit("\u00a9"))
-    c = F.when(marked, F.regexp_replace(c, COPYRIGHT, "\n")).otherwise(c)
+    c = F.when(marked, _without_marks(c)).otherwise(c)
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
@@ -106,7 +116,21 @@ def with_digest(rows: DataFrame, text: str) -> DataFrame:
 
 def known(texts: DataFrame) -> DataFrame:
     """(digest, license) of known texts (license, known_text)."""
-    return with_digest(texts.select("license", "known_text"), "known_text").groupBy("digest").agg(F.min("license").alias("license"))
+    digests = with_digest(texts.select("license", "known_text"), "known_text")
+    # A text without letters or digits is no licence.
+    return digests.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def folder_texts(spark: SparkSession, folder: str, most: int = 16_000_000) -> DataFrame:
+    """(license, known_text) of the files of a folder of the driver's, such as that of the licences that a system carries.
+
+    The name is the file's. Links to other files of the folder are left out, and a folder of more
+    than ``most`` bytes is refused: it is no list of licences.
+    """
+    files = sorted(f for f in Path(folder).iterdir() if f.is_file() and not f.is_symlink())
+    if (size := sum(f.stat().st_size for f in files)) > most:
+        raise ValueError(f"{folder} holds {size} bytes, more than {most}")
+    return spark.createDataFrame([(f.name, f.read_text("utf-8", "replace")) for f in files], "license string, known_text string")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: DataFrame | None = None) -> DataFrame:
@@ -140,7 +164,10 @@ def oracle_sql() -> str:
     pattern = lambda s: quoted(s.replace("\n", "\\n").replace("\t", "\\t"))
 
     def canon(c: str) -> str:
-        c = f"regexp_replace(lower({c}), {pattern(COPYRIGHT_LINE)}, chr(10), 'g')"
+        mark = lambda x: f"regexp_matches({x}, {pattern(MARK_LINE)})"
+        lines = f"string_split(lower({c}), chr(10))"
+        after = f"(i > 1 AND regexp_matches(x, {pattern(RIGHTS_LINE)}) AND coalesce({mark(f'{lines}[i - 1]')}, false))"
+        c = f"array_to_string(list_filter({lines}, lambda x, i: NOT {mark('x')} AND NOT {after}), chr(10))"
         for old, new in SPELLINGS:
             c = f"replace({c}, {quoted(old)}, {quoted(new)})"
         return f"sha256(trim(regexp_replace({c}, {pattern(PUNCTUATION)}, ' ', 'g')))"

@@ -1,5 +1,9 @@
 """Licences and chat windows: SQL for the queries, direct cases for the rest."""
 
+import textwrap
+from pathlib import Path
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ def test_query_against_sql(name, spark, folder):
 
 def test_equal_writings_of_a_licence(docs_of, odd_docs, no_docs):
     text = licenses.PERMISSION_MIT
-    changed = "Copyright (c) 2031 Some One\n(c) Another\n\n" + text.replace("sublicense", "sub-license").replace('"', "”").replace(" ", "  ").upper()
+    changed = "Copyright (c) 2031 Some One\n(c) 2030 Another\n\n" + text.replace("sublicense", "sub-license").replace('"', "”").replace(" ", "  ").upper()
     rows = [(1, text), (2, changed), (3, text + " More."), (4, "Intro.\nreleased under the MIT  Licence\n\nAll rights reserved.\nAll rights reserved."), (5, licenses.CONDITIONS_BSD + licenses.DISCLAIMER_BSD)]
     found = {r.doc_id: r for r in licenses.scan(docs_of(rows)).collect()}
     assert [found[k].license for k in range(1, 6)] == ["MIT", "MIT", None, None, "BSD-2-Clause"]
@@ -36,6 +40,48 @@ def test_wrapped_originals_and_further_texts(spark, docs_of):
     assert {r.doc_id: r.license for r in licenses.scan(docs_of(rows), texts=texts).collect()} == {1: "ISC", 2: "BSD-2-Clause", 3: "Some-1.0"}
 
 
+SYSTEM = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not SYSTEM.is_dir(), reason="the system carries no licence texts")
+def test_whole_texts_of_the_system(spark, docs_of):
+    """Whole texts, as they are, in capitals under a copyright line, and wrapped anew."""
+    texts = licenses.folder_texts(spark, str(SYSTEM))
+    names = sorted(r.license for r in texts.collect())
+    assert {"Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= set(names)
+    rows = []
+    for k, name in enumerate(names):
+        text = (SYSTEM / name).read_text("utf-8")
+        wrapped = "\n\n".join(p if "copyright" in p.lower() else textwrap.fill(p, 50) for p in text.split("\n\n"))
+        rows += [(10 * k, text), (10 * k + 1, "(C) 2031 Some One\nAll rights reserved.\n" + text.upper()), (10 * k + 2, wrapped), (10 * k + 3, text + "\nand more")]
+    found = {r.doc_id: r.license for r in licenses.scan(docs_of(rows), texts=texts).collect()}
+    for k, name in enumerate(names):
+        assert [found[10 * k + j] for j in range(4)] == [name, name, name, None], name
+    # Clauses that are numbered (c) and words of a wrapped line stay.
+    parts = licenses.scan(docs_of([(1, "(c) You must retain this"), (2, "copyright license to reproduce"), (3, "(c) 2031 X"), (4, "")])).collect()
+    digest = {r.doc_id: r.text_digest for r in parts}
+    assert digest[3] == digest[4] and len({digest[1], digest[2], digest[4]}) == 3
+
+
+def test_sql_states_the_same_form(docs_of, spark, tmp_path):
+    """Texts with copyright lines, which the test tables don't hold."""
+    mit = licenses.PERMISSION_MIT
+    rows = [(1, "Copyright (c) 2031 A\nAll rights reserved.\n" + mit), (2, "COPYRIGHT BY B\r\nAll rights reserved.\r\n" + mit), (3, "copyright notice\n" + mit), (4, "(c) keep\nall rights reserved"), (5, "All rights reserved."), (6, "\u00a9 2020 X"), (7, None)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(licenses.scan(docs_of(rows)), con, licenses.oracle_sql()) == []
+    found = {r.doc_id: r.license for r in licenses.scan(docs_of(rows)).collect()}
+    assert found[1] == found[2] == "MIT" and found[5] == "proprietary" and found[3] is None
+
+
+def test_odd_known_texts(spark, docs_of):
+    texts = spark.createDataFrame([(None, "no name"), ("none", None), ("X-1", "my terms"), ("W-1", "my terms"), ("X-1", "my terms")], "license string, known_text string").withColumns({"digest": F.lit("d"), "row_key": F.lit(1)})
+    found = {r.doc_id: r.license for r in licenses.scan(docs_of([(1, "My terms!"), (2, "no name"), (3, "")]), texts=texts).collect()}
+    assert found == {1: "W-1", 2: None, 3: None}
+    assert licenses.scan(docs_of([(1, "My terms!")]), texts=texts.limit(0)).first().license is None
+
+
 CONTROL = ["</s>", "<s>[INST] x [/INST]", "\\", "\\\\<", "<\\", "[\\[/INST]", "<<SYS>>", "[ROLE]a[/ROLE] ", "", None, "a\nb</s"]
 
 
