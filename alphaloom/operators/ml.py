@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.stats import kolmogorov_p_value
 from alphaloom.operators import crosssection as X
+from alphaloom.session import stored
 from alphaloom.sources.versioned import VersionedTable
 
 CODE, DATE = "ts_code", "trade_date"
@@ -102,11 +103,8 @@ def fill_zero(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def train(df: DataFrame, factors: list[str], kind: str, **params) -> PipelineModel:
-    rows = fill_zero(df, factors).select(*factors, TARGET).persist()  # fitting reads the rows several times
-    try:
-        return fitted(rows, factors, kind, **params)
-    finally:
-        rows.unpersist()
+    # Fitting reads the rows several times; they are written once, so that a lost executor costs a read.
+    return fitted(stored(fill_zero(df, factors).select(*factors, TARGET), "training"), factors, kind, **params)
 
 
 def fitted(rows: DataFrame, factors: list[str], kind: str, alpha: float = 1.0, **params) -> PipelineModel:
@@ -147,17 +145,14 @@ def feature_importance(model: PipelineModel, factors: list[str], spark) -> DataF
 
 def time_series_cv(df: DataFrame, factors: list[str], kind: str, folds: int = 5, **params) -> list[dict]:
     """r2 of ``folds`` expanding windows: train up to a cut, test on the part after it."""
-    shared = with_time_share(fill_zero(df, factors)).select(*factors, TARGET, "time_share").persist()
+    shared = stored(with_time_share(fill_zero(df, factors)).select(*factors, TARGET, "time_share"), "folds")
     scores = []
-    try:
-        for k in range(1, folds + 1):
-            cut, end = k / (folds + 1), (k + 1) / (folds + 1)
-            model = fitted(shared.where(F.col("time_share") <= cut), factors, kind, **params)
-            part = shared.where((F.col("time_share") > cut) & (F.col("time_share") <= end))
-            row = regression_metrics(model.transform(part)).first()
-            scores.append({"fold": k, "n": row["n"], "r2": row["r2"], "mse": row["mse"]})
-    finally:
-        shared.unpersist()
+    for k in range(1, folds + 1):
+        cut, end = k / (folds + 1), (k + 1) / (folds + 1)
+        model = fitted(shared.where(F.col("time_share") <= cut), factors, kind, **params)
+        part = shared.where((F.col("time_share") > cut) & (F.col("time_share") <= end))
+        row = regression_metrics(model.transform(part)).first()
+        scores.append({"fold": k, "n": row["n"], "r2": row["r2"], "mse": row["mse"]})
     return scores
 
 
@@ -247,10 +242,10 @@ def explanation_table(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, path, ["id", "month"], "month")
 
 
-def explanation_history(stored: DataFrame, code, model: str, as_of, days: int = 30, kind: str | None = None) -> DataFrame:
+def explanation_history(rows: DataFrame, code, model: str, as_of, days: int = 30, kind: str | None = None) -> DataFrame:
     """Explanations of one security and model from the last days, newest first."""
     since = F.date_sub(F.lit(as_of).cast("date"), days)
-    own = stored.where((F.col(CODE) == code) & (F.col("model_name") == model) & (F.col("created_at") >= since) & (F.col("month") >= F.date_format(since, "yyyy-MM")))
+    own = rows.where((F.col(CODE) == code) & (F.col("model_name") == model) & (F.col("created_at") >= since) & (F.col("month") >= F.date_format(since, "yyyy-MM")))
     if kind is not None:
         own = own.where(F.col("explanation_type") == kind)
     columns = ["id", "model_version", "explanation_type", "prediction_value", "base_value", "feature_importances", "created_at"]

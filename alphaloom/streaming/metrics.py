@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from alphaloom.functions.scalars import compare
@@ -43,8 +44,8 @@ def drain(stream: DataFrame, path: str | None = None, mode: str = "append") -> D
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_batches(stream: DataFrame, each, mode: str = "append") -> None:
-    """Process everything available through ``each(batch, epoch)``."""
+def drain_batches(stream: DataFrame, each, mode: str = "append") -> StreamingQuery:
+    """Process everything available through ``each(batch, epoch)``; the ended query tells of its progress."""
     query = (
         stream.writeStream.foreachBatch(each)
         .outputMode(mode)
@@ -53,6 +54,7 @@ def drain_batches(stream: DataFrame, each, mode: str = "append") -> None:
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def last_points(metrics: DataFrame, n: int = 1000) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from alphaloom.sources.versioned import VersionedTable
@@ -94,7 +95,7 @@ def slices_of(own: VersionedTable) -> int:
     return int(names[0].partition("-")[0]) if names else 1
 
 
-def follow_tasks(updates: DataFrame, path: str, ttl: str = "1 day", compact_every: int = 50, slice_tasks: int = SLICE_TASKS) -> None:
+def follow_tasks(updates: DataFrame, path: str, ttl: str = "1 day", compact_every: int = 50, slice_tasks: int = SLICE_TASKS) -> StreamingQuery:
     """Keep the newest status of every task in the versioned table at ``path``.
 
     Every ``compact_every`` triggers the changes are put together, and a table whose folders hold
@@ -113,7 +114,7 @@ def follow_tasks(updates: DataFrame, path: str, ttl: str = "1 day", compact_ever
                 own.compact()
             own.expire(keep=2)
 
-    drain_batches(progress(updates, ttl), each, "update")
+    return drain_batches(progress(updates, ttl), each, "update")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
