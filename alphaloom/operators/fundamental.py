@@ -97,8 +97,3 @@ def percent_ratios(df: DataFrame) -> DataFrame:
             "quick_ratio_raw": ratio(F.col("total_cur_assets") - F.coalesce("inventories", F.lit(0.0)), "total_cur_liab"),
         }
     )
-
-
-def statement_factors(df: DataFrame) -> DataFrame:
-    """Every factor that needs statements alone."""
-    return soundness(profitability(growth(with_ttm(df))))

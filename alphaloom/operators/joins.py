@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from alphaloom.functions.frames import history, upto_now
 
 
-def factor_returns(factors: DataFrame, returns: DataFrame, keys=("ts_code", "trade_date")) -> DataFrame:
-    return factors.join(returns, list(keys))
-
-
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, key: str = "ts_code") -> DataFrame:
     """Add to each left row the latest right row of its key dated at or before it.
 

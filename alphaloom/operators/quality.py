@@ -164,6 +164,7 @@ class Rule:
 
 def default_rules(time_column: str = DATE) -> list[Rule]:
     """The five standard checks of a bar table."""
+    # Names and thresholds of the standard rules.
     return [
         Rule("stock_data_completeness", "null", "completeness", "close", 0.05),
         Rule("price_range_check", "range", "accuracy", "close", None, "error", True, {"min": 0.01, "max": 10000}),

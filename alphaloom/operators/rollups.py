@@ -124,12 +124,6 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def value_count_map(df: DataFrame, col: str) -> DataFrame:
-    """Counts as one map, for columns with few distinct values."""
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, "n")))).alias("counts"))
-
-
 def pivot_first(df: DataFrame, keys: list[str], names: list[str], name: str = "factor_name", value: str = "factor_value") -> DataFrame:
     """Long to wide with the first value per cell."""
     return df.groupBy(*keys).pivot(name, names).agg(F.first(value, ignorenulls=True))

@@ -1,4 +1,4 @@
-"""Writers: exports, append, upsert, idempotent replacement, archive and retention.
+"""Writers: exports, append, idempotent replacement, archive and retention. Upserts are in ``versioned``.
 
 Stored tables are Parquet folders partitioned by one or more columns. Replacement works on whole
 partitions through dynamic partition overwrite, which stages the new files before it removes the
@@ -27,14 +27,6 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "overwrite", **option
     return path
 
 
-def export_csv(df: DataFrame, path: str) -> str:
-    return export(df, path, "csv")
-
-
-def export_json(df: DataFrame, path: str) -> str:
-    return export(df, path, "json")
-
-
 def read_export(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     reader = spark.read.schema(schema)
     return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
@@ -71,38 +63,6 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     )
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition_by: list[str], update: list[str] | None = None) -> None:
-    """Insert new keys and update the given columns of existing ones, stamping ``updated_at``.
-
-    Only partitions that receive rows are read and rewritten; the keys must include the partition
-    columns. Columns outside ``update`` keep the stored value of an existing key.
-    """
-    if not set(partition_by) <= set(keys):
-        raise ValueError("keys must include the partition columns")
-    if "updated_at" not in new.columns:
-        new = stamped(new)
-    if not path_exists(spark, path):
-        replace_partitions(new, path, partition_by)
-        return
-    stored = spark.read.parquet(path)
-    touched = new.select(*partition_by).distinct()
-    old = stored.join(touched, partition_by, "left_semi")
-    changed = set(update or [c for c in new.columns if c not in keys]) | {"updated_at"}
-    n = new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("_n"))
-    o = old.select(*keys, F.struct(*[c for c in stored.columns if c not in keys]).alias("_o"))
-    merged = o.join(n, keys, "full_outer")
-
-    def pick(c: str) -> Column:
-        if c not in new.columns:
-            return F.col("_o")[c].alias(c)
-        if c in changed:
-            return F.when(F.col("_n").isNotNull(), F.col("_n")[c]).otherwise(F.col("_o")[c]).alias(c)
-        return F.when(F.col("_o").isNotNull(), F.col("_o")[c]).otherwise(F.col("_n")[c]).alias(c)
-
-    rows = merged.select(*keys, *[pick(c) for c in stored.columns if c not in keys])
-    replace_partitions(rows.select(*stored.columns), path, partition_by)
-
-
 def drop_partitions(spark: SparkSession, path: str, column: str, values: list) -> int:
     """Remove whole partition folders; returns how many existed."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

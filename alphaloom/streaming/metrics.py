@@ -62,31 +62,6 @@ def last_points(metrics: DataFrame, n: int = 1000) -> DataFrame:
     return X.top_per_group(metrics, "name", [F.desc("ts"), F.desc("value")], n)
 
 
-def window_stats(metrics: DataFrame, width: str = "60 seconds", slide: str | None = None) -> DataFrame:
-    """Count, range, mean, median, population spread and newest value per window and metric."""
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    v = F.col("value")
-    return metrics.groupBy(span.alias("w"), "name").agg(
-        F.count(v).alias("count"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.percentile_approx(v, 0.5).alias("median"),
-        F.stddev_pop(v).alias("std"),
-        F.max_by(v, "ts").alias("latest"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "name", "count", "min", "max", "mean", "median", "std", "latest")
-
-
-def request_monitor(requests: DataFrame, width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Success rate, cache hits and mean time per sliding window; needs ok and cached flags."""
-    return requests.groupBy(F.window("ts", width, slide).alias("w")).agg(
-        F.count("*").alias("requests"),
-        F.avg(F.col("ok").cast("double")).alias("success_rate"),
-        F.avg(F.col("cached").cast("double")).alias("cache_hit_rate"),
-        F.avg("value").alias("avg_time"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "success_rate", "cache_hit_rate", "avg_time")
-
-
 def rule_hits(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Match points with enabled rules of their metric and test the condition.
 

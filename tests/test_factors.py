@@ -11,6 +11,7 @@ from alphaloom.operators import fundamental as Fu
 from alphaloom.operators import sentiment as S
 from alphaloom.operators import technical as T
 
+# Price lists whose answers are known.
 RSI_CLOSES = [10.00, 10.50, 10.20, 10.80, 10.60, 10.90, 11.00, 10.80, 11.20, 11.50, 11.30, 11.80, 11.60, 12.00]
 SMA_CLOSES = [10.0, 10.5, 11.0, 10.8, 11.2, 11.5, 11.3, 12.0, 11.8, 12.2]
 

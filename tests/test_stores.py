@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from alphaloom import session
 from alphaloom.operators import joins as J
@@ -19,21 +18,6 @@ def test_unknown_export_format(spark, tmp_path):
         sinks.export(spark.range(1), str(tmp_path / "x"), "xlsx")
 
 
-def test_upsert_keeps_other_columns_and_partitions(spark, tmp_path):
-    path = str(tmp_path / "t")
-    old = spark.createDataFrame([(1, "a", 1.0, "x"), (2, "a", 2.0, "y"), (3, "b", 3.0, "z")], "k long, p string, v double, note string")
-    sinks.upsert(spark, path, old, ["k", "p"], ["p"])
-    new = spark.createDataFrame([(2, "a", 20.0, "changed"), (4, "a", 4.0, "new")], "k long, p string, v double, note string")
-    sinks.upsert(spark, path, new, ["k", "p"], ["p"], update=["v"])
-    got = sorted((r.k, r.v, r.note) for r in spark.read.parquet(path).collect())
-    assert got == [(1, 1.0, "x"), (2, 20.0, "y"), (3, 3.0, "z"), (4, 4.0, "new")]
-
-
-def test_upsert_needs_partition_keys(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sinks.upsert(spark, str(tmp_path / "t"), spark.range(1), ["id"], ["p"])
-
-
 def test_version_reuse_and_hash(spark, tmp_path):
     store = S.FeatureStore(spark, str(tmp_path / "s"))
     a = store.create_version("f", "code", {"b": 1, "a": 2})
