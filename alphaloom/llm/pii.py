@@ -17,6 +17,9 @@ give their kind to the instances that no exact format knows: the method adds tho
 none away. All instances of the corpus take part; sums are made per pattern and per instance text,
 never in one task for all.
 
+Whole texts are searched for identifiers. Only the context beside an instance is bounded: its words
+are looked for among the 40 characters on either side, and 30 characters of a word stand for it.
+
 Defined results: a null text is empty and holds nothing; a null id is kept; repeated rows give
 repeated results; very long runs of digits or letters are matched without backtracking; an empty
 table gives an empty table; other columns are kept by ``redact`` and dropped by ``find``.
