@@ -12,7 +12,8 @@ checked first: the one that shares buckets with the most rows, which is the one
 are copies of, and one by checksum. Where that leaves nodes in different classes, those outside
 the bucket's largest class meet all others of the bucket, in blocks, by a longer row of minima
 (``SLOTS``); a pair is left if these put it five deviations below the similarity, and is checked
-otherwise. So a cluster costs pairs in proportion to its rows, and a crowd of different texts loses none.
+on the sets otherwise, unless its classes are one by then. A block gives only links that connect
+classes, so pairs grow with the rows, and a crowd of different texts loses none.
 
 Defined results: a text of fewer words than a shingle is one shingle; null and wordless texts have
 the empty set and are one class; rows without id take part, and a class of such rows only has a
@@ -108,29 +109,47 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def _slot_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([slots(shingle_set(t.as_py(), width)) for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["node", "slots"])
-
-
-def _meet_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of a piece of work, of different classes, whose slots don't rule out the similarity."""
+        sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slots(s) for s in sets], pa.binary()), hashes], names=["node", "slots", "hashes"])
+
+
+def _linked(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are at least so similar."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _meet(part: pa.RecordBatch, least: float, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of one piece of work that connect classes: pairs whose slots don't rule them out are checked, nearest first, until their classes are one."""
+    node, root, side = (part[c].to_numpy(zero_copy_only=False) for c in ("node", "root", "side"))
+    grid = np.frombuffer(b"".join(part["slots"].to_pylist()), np.uint8).reshape(len(node), SLOTS)
+    sets: dict[int, np.ndarray] = {}
+
+    def hashes(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = part["hashes"][k].values.to_numpy()
+        return sets[k]
+
+    _, now = np.unique(root, return_inverse=True)
+    apart = side.any()
+    other = np.flatnonzero(side == 1) if apart else np.arange(len(node))
+    for i in np.flatnonzero(side == 0) if apart else range(len(node) - 1):
+        mates = other if apart else other[i + 1 :]
+        mates = mates[now[mates] != now[i]]
+        near = (grid[mates] == grid[i]).mean(axis=1)
+        order = np.argsort(-near, kind="stable")
+        for j in mates[order[near[order] >= least]]:
+            if now[i] != now[j] and _linked(hashes(i), hashes(j), similarity):
+                now[now == now[j]] = now[i]
+                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+
+
+def _meet_batches(batches: Iterator[pa.RecordBatch], least: float, similarity: float) -> Iterator[pa.RecordBatch]:
     for rows, runs in in_runs(batches, "work"):
-        found = []
-        for start, n in runs:
-            part = rows.slice(start, n)
-            node, root, side = (part[c].to_numpy(zero_copy_only=False) for c in ("node", "root", "side"))
-            grid = np.frombuffer(b"".join(part["slots"].to_pylist()), np.uint8).reshape(n, SLOTS)
-            apart = side.any()
-            other = np.flatnonzero(side == 1) if apart else np.arange(n)
-            for i in np.flatnonzero(side == 0) if apart else range(n - 1):
-                mates = other if apart else other[i + 1 :]
-                mates = mates[root[mates] != root[i]]
-                near = mates[(grid[mates] == grid[i]).mean(axis=1) >= least]
-                if len(near):
-                    found.append((np.minimum(node[i], node[near]), np.maximum(node[i], node[near])))
+        found = [pair for start, n in runs if n > 1 for pair in _meet(rows.slice(start, n), least, similarity)]
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -196,14 +215,14 @@ def links(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: fl
     open_ = _unsettled(buckets, found)
     if open_.isEmpty():
         return found
-    sketched = _texts_of(nodes, texts, open_).mapInArrow(functools.partial(_slot_batches, width=width), "node long, slots binary")
+    sketched = _texts_of(nodes, texts, open_).mapInArrow(functools.partial(_slot_batches, width=width), "node long, slots binary, hashes array<long>")
     carried = open_.join(stored(sketched, "shingles-slots").hint("merge"), "node")
     parallel = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = pieces(carried, ["bucket"], ["node", "root", "slots"], BLOCK).repartition(parallel, "work").sortWithinPartitions("work")
+    work = pieces(carried, ["bucket"], ["node", "root", "slots", "hashes"], BLOCK).repartition(parallel, "work").sortWithinPartitions("work")
     # Five deviations below; slots that agree by chance only raise the estimate.
     least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / SLOTS)
-    more = work.mapInArrow(functools.partial(_meet_batches, least=least), "a long, b long")
-    return found.unionByName(_checked(more, nodes, texts, width, similarity))
+    more = work.mapInArrow(functools.partial(_meet_batches, least=least, similarity=similarity), "a long, b long")
+    return found.unionByName(stored(more.distinct(), "shingles-more"))
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
