@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from alphaloom.sources import sinks
 from alphaloom.streaming.metrics import drain_batches
@@ -84,8 +85,8 @@ def request_figures() -> Figures:
 def follow(stream: DataFrame, path: str, figures: Figures, width: str, slide: str | None = None, delay: str = "10 minutes") -> None:
     """Process a stream with a ``ts`` column to its end.
 
-    Closed windows go to ``path``, late rows to ``path_late``, what a batch held and lost to
-    ``path_batches``, each a folder an epoch. Rows without time belong to no window and are late.
+    Figures of windows go to ``path``, open and closed ones apart, late rows to ``path_late``, what a
+    batch held and lost to ``path_batches``, each a folder an epoch. Rows without time belong to no window and are late.
     """
     place = ["window_start", "window_end", *figures.groups]
 
@@ -93,8 +94,7 @@ def follow(stream: DataFrame, path: str, figures: Figures, width: str, slide: st
         spark = batch.sparkSession
         known = epoch > 0 and sinks.path_exists(spark, f"{path}_batches/epoch={epoch - 1}")
         mark = spark.read.parquet(f"{path}_batches/epoch={epoch - 1}").first()["watermark"] if known else None
-        span = F.window("ts", width, slide) if slide else F.window("ts", width)
-        timed = batch.where("ts IS NOT NULL").withColumn("_w", span).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+        timed = _placed(batch, width, slide)
         closed = lambda end: F.lit(False) if mark is None else F.col(end) <= F.lit(mark)
         seen = Observation()
         judged = timed.withColumn("late", closed("window_end"))
@@ -107,18 +107,13 @@ def follow(stream: DataFrame, path: str, figures: Figures, width: str, slide: st
         after = spark.range(1).select(F.greatest(F.lit(mark).cast("timestamp"), F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")).alias("watermark")).first()[0]
 
         fresh = timed.where(~closed("window_end")).groupBy(*place).agg(*(c.alias(n) for n, c in figures.first.items()))
+        merged = fresh
         if known:
-            before = spark.read.schema(fresh.schema).parquet(f"{path}_open/epoch={epoch - 1}")
-            # Alone it keeps its figures to the last bit.
-            both = fresh.unionByName(before)
-            merged = both.groupBy(*place).agg(*(c.alias(n) for n, c in figures.merge.items())).select(*fresh.columns)
-        else:
-            merged = fresh
+            before = _figures(spark, f"{path}/epoch={epoch - 1}", fresh.schema).where("open").drop("open")
+            merged = fresh.unionByName(before).groupBy(*place).agg(*(c.alias(n) for n, c in figures.merge.items())).select(*fresh.columns)
         passed = F.lit(False) if after is None else F.col("window_end") <= F.lit(after)
-        merged.withColumn("open", ~passed).write.mode("overwrite").partitionBy("open").parquet(f"{path}_merged/epoch={epoch}")
-        done = spark.read.schema(merged.withColumn("open", ~passed).schema).parquet(f"{path}_merged/epoch={epoch}")
-        done.where("NOT open").select(*place, *(c.alias(n) for n, c in figures.final.items())).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        done.where("open").select(*fresh.columns).write.mode("overwrite").parquet(f"{path}_open/epoch={epoch}")
+        # Static: what an attempt that was cut off has left in this epoch goes.
+        merged.withColumn("open", ~passed).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("open").parquet(f"{path}/epoch={epoch}")
         # Last: it says that the epoch is complete.
         line = spark.createDataFrame([(told["rows"], told["late"], after)], "rows long, late long, watermark timestamp")
         line.write.mode("overwrite").parquet(f"{path}_batches/epoch={epoch}")
@@ -126,10 +121,25 @@ def follow(stream: DataFrame, path: str, figures: Figures, width: str, slide: st
     drain_batches(stream, each)
 
 
+def _figures(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("open", BooleanType())])).parquet(path)
+
+
+def _placed(batch: DataFrame, width: str, slide: str | None) -> DataFrame:
+    """Rows with a time, once for each window that they fall in."""
+    span = F.window("ts", width, slide) if slide else F.window("ts", width)
+    return batch.where("ts IS NOT NULL").withColumn("_w", span).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+
+
 def closed_windows(stream: DataFrame, path: str, figures: Figures, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """The windows that the stream closes, one row a window and group."""
     follow(stream, path, figures, width, slide, delay)
-    return stream.sparkSession.read.parquet(path).drop("epoch")
+    spark = stream.sparkSession
+    none = spark.createDataFrame([], stream.schema)
+    place = ["window_start", "window_end", *figures.groups]
+    kept = _placed(none, width, slide).groupBy(*place).agg(*(c.alias(n) for n, c in figures.first.items()))
+    rows = _figures(spark, path, kept.schema).where("NOT open") if sinks.path_exists(spark, path) else kept
+    return rows.select(*place, *(c.alias(n) for n, c in figures.final.items()))
 
 
 def late_rows(spark, path: str) -> DataFrame:

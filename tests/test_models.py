@@ -109,3 +109,37 @@ def test_lasso_is_the_coordinate_solution(spark):
             r = t - z @ w + z[:, k] * w[k]
             w[k] = np.sign(z[:, k] @ r) * max(abs(z[:, k] @ r) / len(t) - 0.1, 0) / (z[:, k] @ z[:, k] / len(t))
     assert np.abs(found - w).max() < 1e-5 and w[1] == 0
+
+
+@pytest.fixture(scope="module")
+def bent(spark):
+    """A target that turns on one factor and bends on another; the third says nothing."""
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-1, 1, size=(900, 3))
+    y = np.where(x[:, 0] > 0.2, 1.0, -1.0) + 2 * x[:, 1] ** 2 + rng.normal(scale=0.05, size=900)
+    data = [(int(i), *map(float, x[i]), float(y[i])) for i in range(900)]
+    df = spark.createDataFrame(data, "ts_code long, a double, b double, c double, target_return double")
+    return df.withColumn("trade_date", F.expr("date_add(DATE '2024-01-01', cast(ts_code / 10 as int))"))
+
+
+def test_trees_learn_what_a_line_cannot(bent):
+    kinds = ["linear", "random_forest", "gradient_boosting"]
+    trained = ml.train_many(bent, ["a", "b", "c"], kinds)
+    table = ml.metrics_table(trained)
+    r2 = {(r.kind, r.part): r.r2 for r in table.collect()}
+    assert r2["linear", "test"] < 0.85 and min(r2[k, "test"] for k in kinds[1:]) > 0.93
+    best = ml.best_model(table).first()
+    assert (best.r2, best.kind) == max((v, k) for (k, part), v in r2.items() if part == "test")
+    for kind in kinds[1:]:
+        model = trained[kind].model
+        found = {r.feature: r.importance for r in ml.feature_importance(model, ["a", "b", "c"], bent.sparkSession).collect()}
+        assert sum(found.values()) == pytest.approx(1.0) and found["a"] > found["b"] > 10 * found["c"]
+        # Steps and not lines: predictions on either side of the turn differ by what the target does.
+        sides = bent.sparkSession.createDataFrame([(1, 0.1, 0.0, 0.0), (2, 0.3, 0.0, 0.0)], "ts_code long, a double, b double, c double")
+        low, high = (r.prediction for r in model.transform(sides).orderBy("ts_code").collect())
+        assert high - low > 1.5
+
+
+def test_same_seed_same_forest(bent):
+    a, b = (ml.train(bent, ["a", "b", "c"], "random_forest", numTrees=10) for _ in range(2))
+    assert a.transform(bent).agg(F.sum("prediction")).first() == b.transform(bent).agg(F.sum("prediction")).first()

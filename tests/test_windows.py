@@ -64,7 +64,7 @@ def test_windows_and_late_rows_hold_every_row(spark, tmp_path, width, slide):
     assert lost.where("window_end IS NOT NULL").count() == late and lost.where("ts IS NULL").count() == len(parts)
     per_row = width // slide
     last = spark.read.parquet(f"{path}_batches").agg(F.max("epoch")).first()[0]
-    still = spark.read.parquet(f"{path}_open/epoch={last}")
+    still = spark.read.parquet(f"{path}/epoch={last}").where("open = 'true'")
     assert sum(len(r) for r in closed.values()) + sum(len(r) for r in open_.values()) + late == per_row * sum(map(len, parts))
     assert found.agg(F.sum("count")).first()[0] + still.agg(F.sum("n")).first()[0] + lost.where("window_end IS NOT NULL AND value IS NOT NULL").count() == per_row * sum(v is not None for p in parts for _, _, v in p)
     told = W.batch_counts(spark, path).agg(F.sum("rows"), F.sum("late")).first()
@@ -81,6 +81,12 @@ def test_repeated_epoch_changes_nothing(spark, tmp_path):
     assert first == again and first
 
 
+def test_no_rows(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+    assert W.closed_windows(stream, f"{tmp_path}/out", W.value_figures(), "10 minutes").count() == 0
+
+
 def test_requests(spark, tmp_path):
     rows = [(START + timedelta(seconds=10 * k), float(k), k % 4 > 0, k % 2 == 0) for k in range(400)]
     for k in range(2):
