@@ -81,8 +81,10 @@ def beta_integral_sql(y: str, p: str, q: str, terms: int = 600) -> str:
 
 def correlation_p_sql(r: str, n: str) -> str:
     """Two-sided p-value of a correlation of n pairs; that of exactly 1 is 0."""
-    square = f"({r} * {r})"
-    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {square} >= 1 THEN 0 ELSE 1 - {beta_integral_sql(square, '0.5', f'(({n} - 2) / 2.0)')} END"
+    square, half = f"({r} * {r})", f"(({n} - 2) / 2.0)"
+    # Each series where it is short: the lower one for small squares, the upper tail's for large ones.
+    low, high = beta_integral_sql(square, "0.5", half, 300), beta_integral_sql(f"(1 - {square})", half, "0.5", 300)
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {square} >= 1 THEN 0 WHEN {square} < 0.5 THEN 1 - {low} ELSE {high} END"
 
 
 view("ic_p", f"SELECT *, {correlation_p_sql('ic_pearson', 'sample_size')} AS p_value_pearson, {correlation_p_sql('ic_spearman', 'sample_size')} AS p_value_spearman FROM ic", "ic")
