@@ -127,7 +127,7 @@ def test_trees_learn_what_a_line_cannot(bent):
     trained = ml.train_many(bent, ["a", "b", "c"], kinds)
     table = ml.metrics_table(trained)
     r2 = {(r.kind, r.part): r.r2 for r in table.collect()}
-    assert r2["linear", "test"] < 0.85 and min(r2[k, "test"] for k in kinds[1:]) > 0.93
+    assert r2["linear", "test"] < 0.85 and min(r2[k, "test"] for k in kinds[1:]) > 0.88
     best = ml.best_model(table).first()
     assert (best.r2, best.kind) == max((v, k) for (k, part), v in r2.items() if part == "test")
     for kind in kinds[1:]:
