@@ -38,27 +38,30 @@ def missing_days(codes: DataFrame, factors: list[str], values: DataFrame, calend
     return open_spans.join(values.select(CODE, FACTOR, DATE), [CODE, FACTOR, DATE], "left_anti")
 
 
-def needed_months(missing: DataFrame, lookback: int, margin: int = 10) -> DataFrame:
-    """Months between the first missing day less the look-back and a margin, and the last one.
+def needed_months(bars: DataFrame, missing: DataFrame, lookback: int, margin: int = 10) -> DataFrame:
+    """Months from the first missing day less the look-back and a margin to the last month of the bars.
 
-    One row a month of the span, so it is as small as a calendar.
+    One row a month of the span, so it is as small as a calendar. The bars' last month comes from
+    the names of their folders.
     """
-    span = missing.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b")).where(F.col("a").isNotNull())
+    last = bars.agg(F.to_date(F.concat(F.max("month"), F.lit("-01"))).alias("b"))
+    span = missing.agg(F.min(DATE).alias("a")).where(F.col("a").isNotNull()).crossJoin(F.broadcast(last))  # single rows
     begin = F.trunc(F.date_sub("a", lookback + margin), "month")
-    return span.select(F.explode(F.sequence(begin, F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
+    months = F.sequence(begin, F.greatest(begin, "b"), F.expr("INTERVAL 1 MONTH"))
+    return span.select(F.explode(months).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
 
 
 def lookback_scan(bars: DataFrame, missing: DataFrame, lookback: int, margin: int = 10) -> DataFrame:
     """Bars needed for the missing days: each security from its first missing day less the
-    look-back and a margin to its last missing day.
+    look-back and a margin on.
 
     Bars with a ``month`` column that is a folder of their files are read from the needed months
     only: the join with these is broadcast, and the scan waits for it to know its folders.
     """
     if "month" in bars.columns:
-        bars = bars.join(F.broadcast(needed_months(missing, lookback, margin)), "month", "left_semi").drop("month")
-    span = missing.groupBy(CODE).agg(F.min(DATE).alias("_first"), F.max(DATE).alias("_last"))
-    return bars.join(span, CODE).where(F.col(DATE).between(F.date_sub("_first", lookback + margin), F.col("_last"))).drop("_first", "_last")
+        bars = bars.join(F.broadcast(needed_months(bars, missing, lookback, margin)), "month", "left_semi").drop("month")
+    span = missing.groupBy(CODE).agg(F.min(DATE).alias("_first"))
+    return bars.join(span, CODE).where(F.col(DATE) >= F.date_sub("_first", lookback + margin)).drop("_first")
 
 
 def compute_missing(bars: DataFrame, missing: DataFrame, factors: dict[str, tuple[Callable[[DataFrame], DataFrame], int]]) -> DataFrame:

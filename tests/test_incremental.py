@@ -52,6 +52,16 @@ def test_pruned_scan_is_the_whole_scan(spark, folder):
     assert I.lookback_scan(months, missing.limit(0), 40).count() == 0
 
 
+def test_scan_goes_on_after_the_last_missing_day(spark, folder):
+    months = tables.monthly(spark, folder)
+    missing = months.where("trade_date = DATE '1999-03-10'").select("ts_code", "trade_date", F.lit("x").alias("factor_name"))
+    codes = [r[0] for r in missing.select("ts_code").distinct().collect()]
+    wanted = months.where(F.col("ts_code").isin(codes) & (F.col("trade_date") >= F.date_sub(F.lit("1999-03-10").cast("date"), 30)))
+    assert codes and wanted.agg(F.max("trade_date")).first()[0] > dt.date(1999, 4, 30)
+    for bars in (months, months.drop("month")):
+        assert I.lookback_scan(bars, missing, 20).count() == wanted.count()
+
+
 def test_stored_tables_are_kept_for_later_sessions(spark, folder):
     path = tables._kept(spark, folder, "bars-8", tables.build_bars, lambda p: tables.build_bars(spark, folder).write.parquet(p))
     other = spark.newSession()
