@@ -27,9 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bucket_count(spark: SparkSession, folder: str, target_bytes: int = 128 * 1024 * 1024) -> int:
+def bucket_count(spark: SparkSession, folder: str, target_bytes: int = 8 * 1024 * 1024) -> int:
     """Buckets of about ``target_bytes`` of trades each, by the optimizer's estimate.
 
+    A task sorts its bucket several times, with every factor column, in rows many times as wide as
+    the packed trades. The target is small, so that no sort of a task spills and its memory does
+    not grow with the tables.
+
     All stored tables of a folder use the same number, so they join and derive without exchange.
     """
     return min(50_000, max(8, estimated_bytes(table(spark, folder, "lineitem")) // target_bytes))

@@ -85,3 +85,10 @@ def test_old_tables_go(spark, folder, tmp_path):
     tables.bars(spark, folder)
     assert tables.expire(spark, 1) == 0
     assert tables.bars(spark, folder).count() > 0
+
+
+def test_buckets_follow_the_trades(spark, folder, monkeypatch):
+    """A task's bucket stays of one size: eight buckets held anything up to 1 GB."""
+    for mb, buckets in ((1, 8), (645, 80), (3870, 483)):
+        monkeypatch.setattr(tables, "estimated_bytes", lambda df, mb=mb: mb * 1024 * 1024)
+        assert tables.bucket_count(spark, folder) == buckets
