@@ -8,8 +8,11 @@ aggregation hold one row per factor and day, which the calendar bounds.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from alphaloom.functions.frames import full_frame
 from alphaloom.functions.scalars import grade_by_score
 from alphaloom.functions.stats import correlation, correlation_p_value, f_p_value, sample_kurtosis, sample_skew, student_t_quantile
 from alphaloom.operators import crosssection as X
+from alphaloom.session import cut, stored
 
 FACTOR, CODE, DATE = "factor_name", "ts_code", "trade_date"
 
@@ -34,11 +38,14 @@ def to_long(df: DataFrame, factors: list[str]) -> DataFrame:
     return df.unpivot(ids, factors, FACTOR, "factor_value").where(F.col("factor_value").isNotNull())
 
 
-def information_coefficients(pairs: DataFrame, value: str = "factor_value", ret: str = "return_rate", by=(FACTOR, DATE), min_pairs: int = 10) -> DataFrame:
-    """Pearson and Spearman correlation per group with at least ``min_pairs`` complete pairs."""
+def information_coefficients(pairs: DataFrame, value: str = "factor_value", ret: str = "return_rate", by=(FACTOR, DATE), min_pairs: int = 10, hot: bool | None = None) -> DataFrame:
+    """Pearson and Spearman correlation per group with at least ``min_pairs`` complete pairs.
+
+    ``hot`` says whether a group is too large for a task; without it, groups are counted.
+    """
     keys = list(by)
     complete = pairs.where(F.col(value).isNotNull() & F.col(ret).isNotNull()).select(*keys, value, ret)
-    hot = X.has_hot_group(complete, keys)
+    hot = X.has_hot_group(complete, keys) if hot is None else hot
     ranked = X.with_all_positions(complete, [(keys, value, "_v"), (keys, ret, "_w")], hot)
     ranked = ranked.withColumns({"_rv": X.average_rank("_v"), "_rr": X.average_rank("_w")})
     out = ranked.groupBy(*keys).agg(
@@ -189,31 +196,55 @@ def with_f_p_value(test: DataFrame) -> DataFrame:
     return test.withColumn("p_value", f_p_value(F.col("f_statistic"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
-def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", before: int = 0) -> DataFrame:
+def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", keep=()) -> DataFrame:
     """Each day's returns 1 to ``max_periods`` calendar days later, as a list of (period, return) in ``ahead``.
 
+    ``keep`` names further columns to give.
     A day without a return of its own stays, as a factor may have a value on it. The window looks at
     the security's days only, so bars that are bucketed by security are not exchanged.
     """
     day = F.datediff(DATE, F.lit("1970-01-01").cast("date"))
-    rows = returns.select(CODE, DATE, day.alias("_day"), F.col(ret).alias("_ret"))
+    rows = returns.select(CODE, DATE, day.alias("_day"), F.col(ret).alias("_ret"), *keep)
     later = W.partitionBy(CODE).orderBy("_day").rangeBetween(1, max_periods)
     held = F.collect_list(F.when(F.col("_ret").isNotNull(), F.struct("_day", "_ret"))).over(later)
     ahead = F.transform(held, lambda x: F.struct((x["_day"] - F.col("_day")).alias("period"), x["_ret"].alias(ret)))
-    return rows.withColumn("ahead", ahead).select(CODE, DATE, "ahead")
+    return rows.withColumn("ahead", ahead).select(CODE, DATE, "ahead", *keep)
+
 
+DEALT_BYTES = 4 * 1024 * 1024  # input behind a task that opens lists of later returns
 
-def factor_decay(factors: DataFrame, returns: DataFrame, max_periods: int = 20, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10) -> DataFrame:
+
+def factor_decay(factors: DataFrame, returns: DataFrame | None, max_periods: int = 20, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10, wide=()) -> DataFrame:
     """Mean coefficient of a factor against returns ``k`` calendar days later, k = 1..max.
 
-    ``returns`` has a row for each security and day that a factor may have a value on. Later
-    returns travel with the row as one list. Rows are exchanged once, by date, and lists are opened
-    behind the exchange, where each date's ranks are taken.
+    ``returns`` has a row for each security and day that a factor may have a value on. Without it,
+    ``factors`` has the columns ``wide`` and the return beside them, and rows are not joined; a
+    security's day that comes twice counts as often as if each row met both. Later returns travel
+    with the row as one list. Rows are exchanged once, and lists are opened behind the exchange,
+    where each factor's and date's ranks are taken.
     """
-    pairs = factors.select(FACTOR, CODE, DATE, value).join(forward_returns(returns, max_periods, ret), [CODE, DATE])
-    pairs = pairs.where((F.size("ahead") > 0) & F.col(value).isNotNull()).select(FACTOR, DATE, value, "ahead")
-    dealt = pairs.repartition(DATE).select(FACTOR, DATE, value, F.explode("ahead").alias("a")).select(FACTOR, "a.period", DATE, value, f"a.{ret}")
-    ic = information_coefficients(dealt, value, ret, (FACTOR, "period", DATE), min_pairs)
+    if returns is None:
+        known = factors.where(F.col(CODE).isNotNull() & F.col(DATE).isNotNull())
+        twice = F.count("*").over(W.partitionBy(CODE, DATE))
+        pairs = forward_returns(known.withColumn("_twice", twice), max_periods, ret, ("_twice", *wide))
+        pairs = pairs.withColumn("ahead", F.when(F.col("_twice") == 1, F.col("ahead")).otherwise(F.flatten(F.array_repeat("ahead", F.col("_twice").cast("int")))))
+        pairs = pairs.where(F.size("ahead") > 0).select(DATE, "ahead", *wide)
+        sizes, cells = factors.select(DATE), [DATE]
+    else:
+        pairs = factors.select(FACTOR, CODE, DATE, value).join(forward_returns(returns, max_periods, ret), [CODE, DATE])
+        pairs = pairs.where((F.size("ahead") > 0) & F.col(value).isNotNull()).select(FACTOR, DATE, value, "ahead")
+        sizes, cells = factors, [FACTOR, DATE]
+    # A row has one return per period, so no group that is ranked exceeds its factor's rows of the day.
+    hot = X.has_hot_group(sizes, cells)
+    size = X.estimated_bytes(pairs)
+    parts = max(int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // DEALT_BYTES if size < 2**60 else 0)  # more: not known
+    dealt = pairs.repartition(parts, *cells)
+    if returns is None:
+        # An unpivot would lose the exchange's partitioning.
+        named = F.array(*[F.struct(F.lit(c).alias(FACTOR), F.col(c).alias(value)) for c in wide])
+        dealt = dealt.select(DATE, "ahead", F.explode(named).alias("f")).select(f"f.{FACTOR}", DATE, f"f.{value}", "ahead").where(F.col(value).isNotNull())
+    dealt = dealt.select(FACTOR, DATE, value, F.explode("ahead").alias("a")).select(FACTOR, "a.period", DATE, value, f"a.{ret}")
+    ic = information_coefficients(dealt, value, ret, (FACTOR, "period", DATE), min_pairs, hot)
     return ic.groupBy(FACTOR, "period").agg(
         F.avg("ic_pearson").alias("avg_ic_pearson"),
         F.avg("ic_spearman").alias("avg_ic_spearman"),
@@ -274,24 +305,16 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson")
     """Pairwise-complete correlations, long, both directions and the diagonal.
 
     Pearson is one aggregate over all pairs. Spearman ranks inside each pair's complete rows, as a
-    pairwise-complete matrix requires. The number of pairs depends on the columns alone.
+    pairwise-complete matrix requires. The number of pairs depends on the columns alone. The ranked
+    methods read ``df`` several times and need the same values each time.
     """
     pairs = _pairs(cols)
     if method == "pearson":
         row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     elif method == "spearman":
-        both = F.array(
-            *[
-                F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(a).alias("a"), F.col(b).alias("b")))
-                for i, (a, b) in enumerate(pairs)
-            ]
-        )
-        long = df.select(F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("s.*")
-        hot = X.has_hot_group(long, "i")
-        ranked = X.with_all_positions(long, [("i", "a", "_a"), ("i", "b", "_b")], hot)
-        corr = ranked.groupBy("i").agg(correlation(X.average_rank("_a"), X.average_rank("_b")).alias("r"))
-        row = corr.groupBy().pivot("i", list(range(len(pairs)))).agg(F.first("r"))
-        row = row.select(*[F.col(str(i)).alias(f"c{i}") for i in range(len(pairs))])
+        ranked = pair_positions(df, cols, lambda below, ties: {"rank": below + (ties + 1) / 2})
+        at = {c: i for i, c in enumerate(cols)}
+        row = ranked.agg(*[correlation(f"rank_{at[a]}_{at[b]}", f"rank_{at[b]}_{at[a]}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     elif method == "kendall":
         return kendall_matrix(df, cols)
     else:
@@ -302,53 +325,119 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson")
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
-PIECE = 1_000_000  # positions per piece of a running count
+def pair_positions(df: DataFrame, cols: list[str], keep: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """Positions of each column among the rows that another column is known in as well.
+
+    For columns j and k, ``keep`` maps the number of such rows with a smaller j, and with the same
+    one, to output columns, which are named ``<name>_<j>_<k>`` and null outside those rows. Rows
+    are exchanged once for each column: its values are cut at quantiles, pieces are sorted apart
+    and shifted by the counts of the pieces before them. Quantiles need not be exact. A value that
+    is a quantile is a piece of its own, whose counts alone place it, so that its rows, and those
+    without a value, may lie anywhere.
+    """
+    known = [F.col(f"x{j}").isNotNull() for j in range(len(cols))]
+    rows = df.select(*[F.col(c).alias(f"x{j}") for j, c in enumerate(cols)]).where(sum((k.cast("int") for k in known), F.lit(0)) >= 2)
+    shares = F.array(*[F.lit((i + 1) / X.SPLITS) for i in range(X.SPLITS - 1)])
+    splits = cut(rows.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(f"x{j}", shares))).alias(f"s{j}") for j in range(len(cols))]))  # one row
+    out = rows
+    for j in range(len(cols)):
+        x, others = F.col(f"x{j}"), [k for k in range(len(cols)) if k != j]
+        below = X._smaller_in(f"s{j}", f"x{j}")
+        piece = F.when(x.isNotNull(), below * 2 + F.coalesce(F.get(f"s{j}", below) == x, F.lit(False)).cast("int"))
+        cuts = F.broadcast(splits.select(f"s{j}"))
+        counts = rows.crossJoin(cuts).groupBy(piece.alias("_piece")).agg(*[F.count_if(x.isNotNull() & known[k]).alias(f"_n{k}") for k in others])
+        before = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)  # at most twice SPLITS rows
+        counts = counts.where(F.col("_piece").isNotNull()).select("*", *[F.coalesce(F.sum(f"_n{k}").over(before), F.lit(0)).alias(f"_start{k}") for k in others])
+        alone = F.col("_piece").isNull() | (F.col("_piece") % 2 == 1)
+        kept = [c for c in out.columns if c != f"x{j}"]
+        out = out.crossJoin(cuts).withColumn("_piece", piece).drop(f"s{j}")
+        out = out.withColumn("_spread", F.when(alone, F.pmod(F.xxhash64(*kept), F.lit(X.SPLITS))).otherwise(0))
+        part = W.partitionBy("_piece", "_spread")
+        sums = {f"_upto{k}": F.count_if(known[k]).over(part.orderBy(x)) for k in others}
+        ties = {f"_ties{k}": F.count_if(known[k]).over(W.partitionBy("_piece", "_spread", x)) for k in others}
+        out = out.withColumns(sums | ties).join(F.broadcast(counts), "_piece", "left")
+        new = []
+        for k in others:
+            smaller = F.col(f"_start{k}") + F.when(alone, 0).otherwise(F.col(f"_upto{k}") - F.col(f"_ties{k}"))
+            same = F.when(alone, F.col(f"_n{k}")).otherwise(F.col(f"_ties{k}"))
+            new += [F.when(x.isNotNull() & known[k], c).alias(f"{name}_{j}_{k}") for name, c in keep(smaller, same).items()]
+        out = out.select(*kept, F.when(x.isNotNull(), True).alias(f"x{j}"), *new)
+    return out
+
+
+PIECE = 250_000  # positions per slab
+
+
+def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of sign(x - x') * sign(y - y') over all pairs, each taken ``weight * weight'`` times.
+
+    Rows in order of x are dealt by the bits of y from the highest down. Two rows with different y
+    share all bits above one level and differ there, so that every pair is counted once.
+    """
+    y = np.unique(y, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((y, x))
+    x, y, w = x[order], y[order], weight[order]
+    at = np.arange(len(x))
+    score = 0
+    for level in range(int(y.max()).bit_length() - 1, -1, -1) if len(x) else ():
+        block = y >> (level + 1)
+        new_block = np.append(True, block[1:] != block[:-1])
+        new_run = new_block | np.append(True, x[1:] != x[:-1])
+        start, run = (np.maximum.accumulate(np.where(new, at, 0)) for new in (new_block, new_run))
+        one = (y >> level) & 1
+        sums = [np.append(0, np.cumsum(w * side)) for side in (1 - one, one)]
+        smaller = [s[run] - s[start] for s in sums]  # rows of the block with a smaller x, by their bit
+        score += int(np.sum(w * np.where(one == 1, smaller[0], -smaller[1])))
+        order = np.argsort(y >> level, kind="stable")
+        x, y, w = x[order], y[order], w[order]
+    return score
+
+
+def _concordance_of(group: pd.DataFrame) -> pd.DataFrame:
+    score = concordance(group["x"].to_numpy(), group["y"].to_numpy(), group["w"].to_numpy())
+    return pd.DataFrame({"i": group["i"].iloc[:1], "score": [score]})
 
 
 def kendall_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Kendall tau-b of every pair of columns without forming pairs of rows.
 
-    Both columns become positions in sorted order. Two rows with different positions of ``b``
-    share all bits above one level and differ at that level, so counting, per level and block of
-    shared bits, the rows with a smaller ``a`` and the other bit counts every pair once. Running
-    counts are taken in pieces of ``a`` positions and shifted by the totals of earlier pieces, so
-    no task sees more than one piece. Work grows as rows times bits.
+    Both columns become positions in sorted order, and positions are cut into slabs of one size.
+    Pairs of rows in one slab of ``a`` are counted there, those in one slab of ``b`` but different
+    ones of ``a`` there, and the rest from the numbers of rows in each pair of slabs. A value with
+    more rows than a slab has a slab to itself, in which nothing is left to count. Every row is
+    exchanged twice, and no task sees more than slabs.
     """
     pairs = _pairs(cols)
+    at = {c: j for j, c in enumerate(cols)}
+    ranked = stored(pair_positions(df, cols, lambda below, ties: {"below": below, "ties": ties}), "positions")
+    size = max(PIECE, math.ceil(ranked.count() / X.SPLITS))  # the table of slabs stays small
+    names = [(i, at[a], at[b]) for i, (a, b) in enumerate(pairs)]
     both = F.array(
         *[
-            F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(a).alias("a"), F.col(b).alias("b")))
-            for i, (a, b) in enumerate(pairs)
+            F.when(
+                F.col(f"below_{j}_{k}").isNotNull(),
+                F.struct(F.lit(i).alias("i"), *[F.col(f"{c}_{p}_{q}").alias(n) for c, p, q, n in (("below", j, k, "pa"), ("ties", j, k, "ta"), ("below", k, j, "pb"), ("ties", k, j, "tb"))]),
+            )
+            for i, j, k in names
         ]
     )
-    long = df.select(F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("s.*")
-    hot = X.has_hot_group(long, "i")
-    placed = X.with_all_positions(long, [("i", "a", "_a"), ("i", "b", "_b")], hot)
-    cells = placed.groupBy("i", F.col("_abelow").alias("pa"), F.col("_bbelow").alias("pb"), F.col("_an").alias("n")).agg(
-        F.count("*").cast("double").alias("c")
-    )
+    long = ranked.select(F.explode(F.filter(both, lambda s: s.isNotNull())).alias("s")).select("s.*")
+    for side in "ab":
+        slab = F.floor(F.col(f"p{side}") / size) * 2 + (F.col(f"t{side}") >= size).cast("int")
+        long = long.withColumn(f"slab_{side}", slab.cast("long"))
     half = F.lit(0.5)
-    base = placed.groupBy("i").agg(
-        F.max("_an").cast("double").alias("n"),
-        F.sum((F.col("_aties") - 1) * half).alias("tied_a"),
-        F.sum((F.col("_bties") - 1) * half).alias("tied_b"),
-    )
-    top = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
-    bits = cells.withColumn("l", F.explode(F.sequence(F.lit(0), top)))
-    one = F.expr("cast(shiftright(pb, l) as bigint) & 1") == 1
-    blocks = bits.groupBy("i", "l", F.expr("shiftright(pb, l + 1)").alias("block"), "pa").agg(
-        F.sum(F.when(one, 0.0).otherwise(F.col("c"))).alias("c0"), F.sum(F.when(one, F.col("c")).otherwise(0.0)).alias("c1")
-    )
-    keys = ["i", "l", "block"]
-    blocks = blocks.withColumn("piece", F.floor(F.col("pa") / PIECE))
-    before = W.partitionBy(*keys, "piece").orderBy("pa").rowsBetween(W.unboundedPreceding, -1)
-    inside = blocks.withColumns({f"s{k}": F.coalesce(F.sum(f"c{k}").over(before), F.lit(0.0)) for k in (0, 1)})
-    totals = blocks.groupBy(*keys, "piece").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
-    earlier = W.partitionBy(*keys).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "piece", *[F.coalesce(F.sum(f"t{k}").over(earlier), F.lit(0.0)).alias(f"o{k}") for k in (0, 1)])
-    counted = inside.join(offsets, [*keys, "piece"]).groupBy("i").agg(
-        F.sum(F.col("c1") * (F.col("s0") + F.col("o0")) - F.col("c0") * (F.col("s1") + F.col("o1"))).alias("score")
+    base = long.groupBy("i").agg(
+        F.count("*").cast("double").alias("n"), F.sum((F.col("ta") - 1) * half).alias("tied_a"), F.sum((F.col("tb") - 1) * half).alias("tied_b")
     )
+    inside = [
+        F.when(F.col(f"t{side}") < size, F.struct(F.lit(side).alias("side"), F.col(f"slab_{side}").alias("slab"), F.col(x).alias("x"), F.col("pb").alias("y")))
+        for side, x in (("a", "pa"), ("b", "slab_a"))
+    ]
+    rows = long.select("i", F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("s")).select("i", "s.*").withColumn("w", F.lit(1).cast("long"))
+    table = long.groupBy("i", F.col("slab_a").alias("x"), F.col("slab_b").alias("y")).agg(F.count("*").alias("w"))
+    scores = rows.groupBy("i", "side", "slab").applyInPandas(_concordance_of, "i int, score long")
+    scores = scores.unionByName(table.groupBy("i").applyInPandas(_concordance_of, "i int, score long"))
+    counted = scores.groupBy("i").agg(F.sum(F.col("score").cast("decimal(38,0)")).cast("double").alias("score"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     tau = F.try_divide(F.col("score"), F.sqrt((n0 - F.col("tied_a")) * (n0 - F.col("tied_b"))))
     names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])

@@ -1,5 +1,6 @@
 """The split path gives the plain path's results; statistics match pandas and closed forms."""
 
+import datetime as dt
 import itertools
 from statistics import NormalDist
 
@@ -106,6 +107,66 @@ def test_kendall_against_all_pairs(spark, monkeypatch, piece):
     assert got["a", "a"] == 1.0
 
 
+def test_concordance_counts_all_pairs():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 3), (1, 3), (2, 2), (60, 4), (60, 1000)):
+        x, y, w = rng.integers(0, top, n), rng.integers(0, top, n), rng.integers(1, 5, n)
+        want = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j] for i, j in itertools.combinations(range(n), 2))
+        assert E.concordance(x, y, w) == want
+
+
+def gappy(spark):
+    """Rows with gaps, a value that most rows share, and a column without spread."""
+    rng = np.random.default_rng(11)
+    a, b = np.where(rng.random(400) < 0.6, 1.0, rng.normal(size=400)), rng.integers(0, 9, 400).astype(float)
+    data = pd.DataFrame({"a": a, "b": b, "c": a + rng.normal(size=400), "d": 7.0})
+    data = data.mask(rng.random(data.shape) < 0.2)
+    return data, spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in data.itertuples(index=False)], "a double, b double, c double, d double")
+
+
+@pytest.mark.parametrize("splits", [4, 512])
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_ranked_matrix_with_gaps_and_heavy_values(spark, monkeypatch, method, splits):
+    monkeypatch.setattr(X, "SPLITS", splits)
+    monkeypatch.setattr(E, "PIECE", 20)
+    data, df = gappy(spark)
+    got = {(r.factor_1, r.factor_2): r.correlation for r in E.correlation_matrix(df, list("abcd"), method).collect()}
+    assert len(got) == 16 and got["d", "d"] == 1.0 and got["a", "d"] is None
+    for n1, n2 in itertools.permutations("abc", 2):
+        both = data[[n1, n2]].dropna()
+        want = brute_kendall(both[n1].to_numpy(), both[n2].to_numpy()) if method == "kendall" else both[n1].rank().corr(both[n2].rank())
+        assert got[n1, n2] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_ranked_matrix_exchanges_rows_once_for_each_column(spark, monkeypatch, method):
+    """Kendall spread each row over the bits of its place and Spearman over pairs of columns."""
+    sent = []
+    real = E.pair_positions
+    monkeypatch.setattr(E, "pair_positions", lambda *a: sent.append(real(*a)) or sent[-1])
+    _, df = gappy(spark)
+    E.correlation_matrix(df, list("abc"), method)
+    plan = sent[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_piece") - plan.count("HashAggregate(keys=[_piece") // 2 == 3
+
+
+def test_decay_of_wide_rows_is_that_of_joined_ones(spark):
+    rng = np.random.default_rng(8)
+    day = dt.date(2024, 1, 1)
+    rows = [(c, day + dt.timedelta(d), *(None if v < -1.6 else float(v) for v in rng.normal(size=3))) for c in range(15) for d in range(30) if rng.random() < 0.8]
+    rows += rows[:40] + [(None, day, 1.0, 1.0, 1.0)]
+    wide = spark.createDataFrame(rows, "ts_code long, trade_date date, p double, q double, return_rate double")
+    long = E.to_long(wide.drop("return_rate"), ["p", "q"])
+    want = E.factor_decay(long, wide.select("ts_code", "trade_date", "return_rate"), 5, min_pairs=4)
+    found = E.factor_decay(wide, None, 5, min_pairs=4, wide=("p", "q"))
+    key = lambda r: (r.factor_name, r.period)
+    got, want = sorted(found.collect(), key=key), sorted(want.collect(), key=key)
+    assert len(got) == len(want) == 10
+    for g, w in zip(got, want):
+        assert key(g) == key(w) and g.n_dates == w.n_dates and list(g)[2:] == pytest.approx(list(w)[2:])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ks_statistic(spark):
     rng = np.random.default_rng(9)
     a, b = np.round(rng.normal(size=150), 1), np.round(rng.normal(0.3, 1.2, 210), 1)
