@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -368,17 +371,22 @@ def retraining_triggers(state: DataFrame, as_of, accuracy: float = 0.6, f1: floa
 # ---- explanation ----------------------------------------------------------------------------
 
 
-def key_digest(seed: int, keys: list[str]) -> Column:
+def key_digest(seed: int | Column, keys: list[str]) -> Column:
     """An order of keys by chance that any engine can repeat: the digest of seed and keys."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", seed, *(F.col(k).cast("string") for k in keys)).cast("binary"))
 
 
-def key_number(seed: int, keys: list[str]) -> Column:
+def key_number(seed: int | Column, keys: list[str]) -> Column:
     """The digest's first 32 bits."""
     return F.conv(F.substring(key_digest(seed, keys), 1, 8), 16, 10).cast("long")
 
 
-def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_rows: int = 50_000, rows: int | None = None) -> DataFrame:
+GROUP_ROWS = 50_000  # rows among which values are permuted
+TASK_ROWS = 1_000_000  # rows that a task sorts for it
+
+
+def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_rows: int = GROUP_ROWS, rows: int | None = None) -> DataFrame:
     """Keys with the column's values permuted among the rows.
 
     Rows fall into random groups of bounded size by a hash of their key. Inside a group, the row
@@ -399,23 +407,40 @@ def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_r
 def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[str], repeats: int = 10, seed: int = 42, keys=(CODE, DATE)) -> DataFrame:
     """Rise of the squared error when a factor is permuted, over ``repeats`` permutations.
 
-    Every (factor, repeat) is a copy of the rows with one column replaced; one scoring pass and
-    one grouping cover them all.
+    Every (factor, repeat) is a copy of the rows with one column replaced, as by
+    :func:`shuffled_column`. Copies are exchanged whole, once, to the groups among which values are
+    permuted; so neither values nor copies are joined. Rows without a key give their value only.
     """
     k = list(keys)
-    data = fill_zero(df.select(*k, *factors, TARGET), factors)
+    data = stored(fill_zero(df.select(*k, *factors, TARGET), factors), "permuted")
     n = data.count()
-    parts = [data.withColumns({"feature": F.lit("_base"), "repeat": F.lit(0)})]
-    for j, f in enumerate(factors):
-        for r in range(repeats):
-            mixed = data.drop(f).join(shuffled_column(data, k, f, seed + 100 * j + r, rows=n), k)
-            parts.append(mixed.select(*data.columns).withColumns({"feature": F.lit(f), "repeat": F.lit(r)}))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    errors = regression_metrics(model.transform(stacked), by=["feature", "repeat"]).select("feature", "repeat", "mse")
-    base = errors.where("feature = '_base'").select(F.col("mse").alias("_b"))
-    rise = errors.where("feature <> '_base'").crossJoin(F.broadcast(base)).withColumn("d", F.col("mse") - F.col("_b"))
+    groups = max(1, math.ceil(n / GROUP_ROWS))
+    mixes = [(f, r, seed + 100 * j + r) for j, f in enumerate(factors) for r in range(repeats)]
+    mix = F.col("_mix")
+    own = F.get(F.array(*[F.lit(s) for _, _, s in mixes]), mix)
+    copies = data.withColumn("_mix", F.explode(F.array(*[F.lit(i) for i in range(len(mixes))])))
+    parts = max(1, math.ceil(n * len(mixes) / TASK_ROWS))
+    dealt = copies.withColumn("_g", (key_number(own, k) % groups).cast("int")).repartition(parts, "_mix", "_g")
+
+    def place(salt: int) -> Column:
+        return F.row_number().over(W.partitionBy("_mix", "_g").orderBy(key_digest(own * 31 + salt, k), *k))
+
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
+    placed = dealt.select("*", place(1).alias("_i")).select("*", place(2).alias("_j"), known.alias("_known"))
+    moved = [f for f, _, _ in mixes]
+
+    def permute(group: pd.DataFrame) -> pd.DataFrame:
+        col = moved[group["_mix"].iloc[0]]
+        given = np.empty(len(group), group[col].dtype)
+        given[group["_j"].to_numpy() - 1] = group[col].to_numpy()
+        return group.assign(**{col: given[group["_i"].to_numpy() - 1]}).loc[group["_known"], ["_mix", *factors, TARGET]]
+
+    columns = [*factors, TARGET]
+    schema = ", ".join(["_mix int", *(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in columns)])
+    mixed = placed.select("_mix", "_g", *columns, "_i", "_j", "_known").groupBy("_mix", "_g").applyInPandas(permute, schema)
+    errors = regression_metrics(model.transform(mixed), by=["_mix"]).select(F.get(F.array(*[F.lit(f) for f in moved]), mix).alias("feature"), "mse")
+    base = regression_metrics(model.transform(data)).select(F.col("mse").alias("_b"))
+    rise = errors.crossJoin(F.broadcast(base)).withColumn("d", F.col("mse") - F.col("_b"))
     return rise.groupBy("feature").agg(
         F.avg("d").alias("importance"), F.stddev_pop("d").alias("importance_std"), F.min("d").alias("importance_min"), F.max("d").alias("importance_max")
     )

@@ -42,6 +42,24 @@ def test_shuffled_column_is_a_permutation(rows):
     assert (values != x[:, 0]).mean() > 0.9
 
 
+def test_permutation_importance_is_that_of_shuffled_columns_without_joins(rows, monkeypatch):
+    df, _, _ = rows
+    names = ["a", "b", "c"]
+    monkeypatch.setattr(ml, "GROUP_ROWS", 40)
+    model = ml.train(df, names, "linear")
+    base = ml.regression_metrics(model.transform(df)).first().mse
+    found = ml.permutation_importance(model, df, names, 2, seed=5)
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    got = {r.feature: r for r in found.collect()}
+    for j, f in enumerate(names):
+        rises = []
+        for r in range(2):
+            mixed = df.drop(f).join(ml.shuffled_column(df, ["ts_code", "trade_date"], f, 5 + 100 * j + r, 40), ["ts_code", "trade_date"])
+            rises.append(ml.regression_metrics(model.transform(mixed)).first().mse - base)
+        assert (got[f].importance_min, got[f].importance_max) == pytest.approx((min(rises), max(rises)))
+        assert got[f].importance == pytest.approx(np.mean(rises)) and got[f].importance_std == pytest.approx(np.std(rises))
+
+
 def test_permutation_importance_finds_the_used_factors(rows):
     df, _, _ = rows
     model = ml.train(df, ["a", "b", "c"], "linear")
