@@ -409,7 +409,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[st
 
     Every (factor, repeat) is a copy of the rows with one column replaced, as by
     :func:`shuffled_column`. Copies are exchanged whole, once, to the groups among which values are
-    permuted; so neither values nor copies are joined. Rows without a key give their value only.
+    permuted; so neither values nor copies are joined. Rows without a key give their value only,
+    and where a key comes twice, each of its rows takes each of its values.
     """
     k = list(keys)
     data = stored(fill_zero(df.select(*k, *factors, TARGET), factors), "permuted")
@@ -422,22 +423,26 @@ def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[st
     parts = max(1, math.ceil(n * len(mixes) / TASK_ROWS))
     dealt = copies.withColumn("_g", (key_number(own, k) % groups).cast("int")).repartition(parts, "_mix", "_g")
 
-    def place(salt: int) -> Column:
-        return F.row_number().over(W.partitionBy("_mix", "_g").orderBy(key_digest(own * 31 + salt, k), *k))
+    def order(salt: int):
+        return W.partitionBy("_mix", "_g").orderBy(key_digest(own * 31 + salt, k), *k)
 
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-    placed = dealt.select("*", place(1).alias("_i")).select("*", place(2).alias("_j"), known.alias("_known"))
+    placed = dealt.select("*", F.row_number().over(order(1)).alias("_i"), F.dense_rank().over(order(1)).alias("_key"))
+    placed = placed.select("*", F.row_number().over(order(2)).alias("_j"), known.alias("_known"))
     moved = [f for f, _, _ in mixes]
 
     def permute(group: pd.DataFrame) -> pd.DataFrame:
         col = moved[group["_mix"].iloc[0]]
         given = np.empty(len(group), group[col].dtype)
         given[group["_j"].to_numpy() - 1] = group[col].to_numpy()
-        return group.assign(**{col: given[group["_i"].to_numpy() - 1]}).loc[group["_known"], ["_mix", *factors, TARGET]]
+        mixed = group.assign(**{col: given[group["_i"].to_numpy() - 1]}).loc[group["_known"]]
+        if not mixed["_key"].is_unique:
+            mixed = mixed.drop(columns=col).merge(mixed[["_key", col]], on="_key")
+        return mixed[["_mix", *factors, TARGET]]
 
     columns = [*factors, TARGET]
     schema = ", ".join(["_mix int", *(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in columns)])
-    mixed = placed.select("_mix", "_g", *columns, "_i", "_j", "_known").groupBy("_mix", "_g").applyInPandas(permute, schema)
+    mixed = placed.select("_mix", "_g", *columns, "_i", "_j", "_key", "_known").groupBy("_mix", "_g").applyInPandas(permute, schema)
     errors = regression_metrics(model.transform(mixed), by=["_mix"]).select(F.get(F.array(*[F.lit(f) for f in moved]), mix).alias("feature"), "mse")
     base = regression_metrics(model.transform(data)).select(F.col("mse").alias("_b"))
     rise = errors.crossJoin(F.broadcast(base)).withColumn("d", F.col("mse") - F.col("_b"))

@@ -42,8 +42,10 @@ def test_shuffled_column_is_a_permutation(rows):
     assert (values != x[:, 0]).mean() > 0.9
 
 
-def test_permutation_importance_is_that_of_shuffled_columns_without_joins(rows, monkeypatch):
+@pytest.mark.parametrize("twice", [False, True])
+def test_permutation_importance_is_that_of_shuffled_columns_without_joins(rows, monkeypatch, twice):
     df, _, _ = rows
+    df = df.unionByName(df.where("ts_code % 7 = 0")) if twice else df
     names = ["a", "b", "c"]
     monkeypatch.setattr(ml, "GROUP_ROWS", 40)
     model = ml.train(df, names, "linear")
