@@ -86,7 +86,7 @@ def regressor(kind: str, seed: int = 42, **params):
     if kind == "lasso":
         return LinearRegression(featuresCol="features", labelCol=TARGET, elasticNetParam=1.0, standardization=False, regParam=params.pop("regParam", 0.1), **params)
     if kind == "random_forest":
-        return RandomForestRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"numTrees": 100, "maxDepth": 10} | params))
+        return RandomForestRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all"} | params))
     if kind in ("gradient_boosting", "xgboost", "lightgbm"):
         return GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **({"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params))
     raise ValueError(f"unknown model {kind}")
