@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.stats import kolmogorov_p_value
 from alphaloom.operators import crosssection as X
+from alphaloom.operators import trees
 from alphaloom.session import stored
 from alphaloom.sources.versioned import VersionedTable
 
@@ -75,6 +76,8 @@ def chronological_split(df: DataFrame, train: float = 0.8) -> tuple[DataFrame, D
 # ---- models ---------------------------------------------------------------------------------
 
 LINEAR = ("linear", "ridge", "lasso")
+#: Parameters of trees that mean the same for rows and for rows summed by cell.
+CELL_PARAMS = {"seed", "numTrees", "maxIter", "maxDepth", "stepSize", "minInfoGain", "featureSubsetStrategy"}
 
 
 def regressor(kind: str, seed: int = 42, **params):
@@ -107,7 +110,7 @@ def fill_zero(df: DataFrame, factors: list[str]) -> DataFrame:
 
 def train(df: DataFrame, factors: list[str], kind: str, **params) -> PipelineModel:
     # Fitting reads the rows several times; they are written once, so that a lost executor costs a read.
-    return fitted(stored(fill_zero(df, factors).select(*factors, TARGET), "training"), factors, kind, **params)
+    return fitted(stored(trees.numbered(fill_zero(df, factors).select(*factors, TARGET)), "training"), factors, kind, **params)
 
 
 def fitted(rows: DataFrame, factors: list[str], kind: str, alpha: float = 1.0, **params) -> PipelineModel:
@@ -115,8 +118,13 @@ def fitted(rows: DataFrame, factors: list[str], kind: str, alpha: float = 1.0, *
 
     Ridge weighs ``alpha`` against the sum of squared errors; the estimator's own penalty goes with
     half the mean error and is divided by the target's deviation, so it follows from both. The
-    lasso's penalty goes with half the mean error here and there.
+    lasso's penalty goes with half the mean error here and there. Trees grow on rows summed by cell,
+    unless a parameter asks for something that only single rows have, or there are too many cells.
     """
+    if kind not in LINEAR and set(params) <= CELL_PARAMS:
+        model = trees.fitted_trees(rows, factors, TARGET, regressor(kind, **params))
+        if model:
+            return model
     if kind == "ridge" and "regParam" not in params:
         n, deviation = rows.agg(F.count("*"), F.stddev_pop(TARGET)).first()
         params["regParam"] = alpha * (deviation or 0.0) / max(n, 1)
@@ -167,12 +175,14 @@ class Trained:
 
 
 def train_many(df: DataFrame, factors: list[str], kinds: list[str]) -> dict[str, Trained]:
-    """Fit several kinds on the same chronological split."""
+    """Fit several kinds on the same chronological split, written once for all of them."""
     train_set, test_set = chronological_split(df)
+    parts = train_set.withColumn("part", F.lit("train")).unionByName(test_set.withColumn("part", F.lit("test")))
+    rows = stored(trees.numbered(fill_zero(parts, factors).select(*factors, TARGET, "part")), "training")
     out = {}
     for kind in kinds:
-        model = train(train_set, factors, kind)
-        out[kind] = Trained(kind, model, evaluate(model, train_set, test_set, factors).withColumn("kind", F.lit(kind)))
+        model = fitted(rows.where("part = 'train'"), factors, kind)
+        out[kind] = Trained(kind, model, regression_metrics(model.transform(rows), by=["part"]).withColumn("kind", F.lit(kind)))
     return out
 
 

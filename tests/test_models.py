@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators import ml
 from alphaloom.operators import preprocess as P
+from alphaloom.operators import trees
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +164,49 @@ def test_trees_learn_what_a_line_cannot(bent):
 def test_same_seed_same_forest(bent):
     a, b = (ml.train(bent, ["a", "b", "c"], "random_forest", numTrees=10) for _ in range(2))
     assert a.transform(bent).agg(F.sum("prediction")).first() == b.transform(bent).agg(F.sum("prediction")).first()
+
+
+def test_forest_follows_its_rows_and_not_the_tasks_that_read_them(bent):
+    rows = trees.numbered(bent).cache()
+    few, many = (ml.fitted(rows.repartition(n), ["a", "b", "c"], "random_forest", numTrees=5) for n in (2, 7))
+    assert few.stages[-1].toDebugString.split("\n")[1:] == many.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_boosted_trees_on_cells_are_those_on_rows(bent):
+    names = ["a", "b", "c"]
+    steps = bent.select(*(F.floor(F.col(f) * 4).cast("double").alias(f) for f in names), ml.TARGET)
+    cells = ml.fitted(steps, names, "gradient_boosting", maxIter=20, maxDepth=4)
+    rows = ml.model_pipeline("gradient_boosting", names, maxIter=20, maxDepth=4).fit(steps.coalesce(1))
+    at = steps.select(*names).distinct().toPandas()
+    got, exact = (m.transform(bent.sparkSession.createDataFrame(at)).toPandas()["prediction"] for m in (cells, rows))
+    assert np.allclose(got, exact, atol=1e-6) and got.std() > 0.5
+    assert np.allclose(cells.stages[-1].featureImportances.toArray(), rows.stages[-1].featureImportances.toArray(), atol=1e-6)
+
+
+def test_one_tree_without_draws_is_that_on_rows(bent, monkeypatch):
+    names = ["a", "b", "c"]
+    steps = bent.select(*(F.floor(F.col(f) * 4).cast("double").alias(f) for f in names), ml.TARGET)
+    monkeypatch.setattr(trees, "bootstrap", lambda cells, n, count, seed: cells.groupBy("cell").agg(F.count("*").alias("weight"), F.sum("units").alias("total")).withColumn("tree", F.lit(0)))
+    cells = ml.fitted(steps, names, "random_forest", numTrees=1)
+    rows = ml.model_pipeline("random_forest", names, numTrees=1, bootstrap=False).fit(steps.coalesce(1))
+    got, exact = (m.transform(steps).agg(F.sum(F.col("prediction") ** 2)).first()[0] for m in (cells, rows))
+    assert got == pytest.approx(exact, rel=1e-7)
+
+
+def test_bootstrap_draws_every_row_by_itself(spark):
+    rows = spark.range(40_000).select(F.col("id").alias(trees.ROW), (F.col("id") % 20_000).cast("int").alias("cell"), (F.col("id") % 7 - 3).alias("units"))
+    got = trees.bootstrap(rows, 20_000, 3, 42).toPandas()
+    drawn = np.zeros((3, 20_000))
+    drawn[got["tree"], got["cell"]] = got["weight"]
+    # Two rows of a cell are drawn apart from each other: Poisson numbers of mean and variance 2.
+    assert np.allclose(drawn.mean(axis=1), 2, atol=0.05) and np.allclose(drawn.var(axis=1), 2, atol=0.1)
+    assert np.abs(np.corrcoef(drawn) - np.eye(3)).max() < 0.03
+    single = trees.bootstrap(rows.where("cell = _row"), 20_000, 3, 42).toPandas()
+    assert (single["total"] == single["weight"] * (single["cell"] % 7 - 3)).all()
+
+
+def test_rare_values_keep_a_bin(spark):
+    rows = spark.range(5000).selectExpr("cast(id = 17 as double) rare", "cast(id <> 17 as double) common", "cast(id % 1000 as double) many", "0.5D same", f"cast(id as double) {ml.TARGET}")
+    (rare, common, many, same), _, n = trees.cut_points(rows, ["rare", "common", "many", "same"], ml.TARGET)
+    assert rare == common == [1.0] and same == [0.5] and n == 5000
+    assert len(many) == 32 and many[-1] == 999.0 and np.abs(np.diff(many[:-1]) - 31.25).max() < 3
