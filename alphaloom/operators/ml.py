@@ -23,6 +23,8 @@ from alphaloom.sources.versioned import VersionedTable
 
 CODE, DATE = "ts_code", "trade_date"
 TARGET = "target_return"
+#: Share of the rows, by their days, that models learn from.
+TRAIN_SHARE = 0.8
 
 
 # ---- data -----------------------------------------------------------------------------------
@@ -37,9 +39,10 @@ def forward_returns(bars: DataFrame, n: int = 5) -> DataFrame:
 def clean_training(df: DataFrame, factors: list[str], band: float = 0.5, sigmas: float = 10.0) -> DataFrame:
     """Known targets inside the band, rows with some factor, factors inside ten sd.
 
-    The sd bounds join their conditions with AND, so that they have an effect.
+    The sd bounds join their conditions with AND, so that they have an effect. Moments, shares of
+    days and fits all read the rows; they are written once, so that windows and joins run once.
     """
-    out = df.where(F.col(TARGET).between(-band, band)).dropna(how="all", subset=factors)
+    out = stored(df.where(F.col(TARGET).between(-band, band)).dropna(how="all", subset=factors), "known")
     moments = out.agg(*[F.avg(c).alias(f"_m_{c}") for c in factors], *[F.stddev_samp(c).alias(f"_s_{c}") for c in factors])
     out = out.crossJoin(F.broadcast(moments))  # one row
     for c in factors:
@@ -67,7 +70,7 @@ def with_time_share(df: DataFrame) -> DataFrame:
     return df.join(days.select(DATE, share.alias("time_share")), DATE)
 
 
-def chronological_split(df: DataFrame, train: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def chronological_split(df: DataFrame, train: float = TRAIN_SHARE) -> tuple[DataFrame, DataFrame]:
     """Earlier days for training, later ones for testing; a day is never divided."""
     shared = with_time_share(df)
     return shared.where(F.col("time_share") <= train).drop("time_share"), shared.where(F.col("time_share") > train).drop("time_share")
@@ -143,7 +146,7 @@ def regression_metrics(predicted: DataFrame, target: str = TARGET, by: list[str]
 def evaluate(model: PipelineModel, train_set: DataFrame, test_set: DataFrame, factors: list[str]) -> DataFrame:
     """Metrics of both sets, one row each."""
     both = train_set.withColumn("part", F.lit("train")).unionByName(test_set.withColumn("part", F.lit("test")))
-    return regression_metrics(model.transform(fill_zero(both, factors)), by=["part"])
+    return regression_metrics(trees.predicted(model, fill_zero(both, factors)), by=["part"])
 
 
 def feature_importance(model: PipelineModel, factors: list[str], spark) -> DataFrame:
@@ -176,13 +179,12 @@ class Trained:
 
 def train_many(df: DataFrame, factors: list[str], kinds: list[str]) -> dict[str, Trained]:
     """Fit several kinds on the same chronological split, written once for all of them."""
-    train_set, test_set = chronological_split(df)
-    parts = train_set.withColumn("part", F.lit("train")).unionByName(test_set.withColumn("part", F.lit("test")))
+    parts = with_time_share(df).withColumn("part", F.when(F.col("time_share") <= TRAIN_SHARE, "train").otherwise("test"))
     rows = stored(trees.numbered(fill_zero(parts, factors).select(*factors, TARGET, "part")), "training")
     out = {}
     for kind in kinds:
         model = fitted(rows.where("part = 'train'"), factors, kind)
-        out[kind] = Trained(kind, model, regression_metrics(model.transform(rows), by=["part"]).withColumn("kind", F.lit(kind)))
+        out[kind] = Trained(kind, model, regression_metrics(trees.predicted(model, rows), by=["part"]).withColumn("kind", F.lit(kind)))
     return out
 
 

@@ -20,7 +20,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.session import scratch_path, stored
@@ -123,6 +123,37 @@ def bootstrap(cells: DataFrame, n_cells: int, trees: int, seed: int) -> DataFram
     return parts.groupBy("tree", "cell").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
 
 
+def strides(sizes: list[int]) -> list[int]:
+    return [math.prod(sizes[i + 1 :]) for i in range(len(sizes))]
+
+
+def cell_of(names: list[str], sizes: list[int]) -> Column:
+    """The number of a row's cell, from the columns of its bins."""
+    return sum((F.col(n).cast("int") * s for n, s in zip(names, strides(sizes))), F.lit(0))
+
+
+def bins_of(names: list[str], sizes: list[int]) -> list[Column]:
+    """The bins behind the column ``cell``."""
+    return [(F.expr(f"cell div {s}") % n).cast("double").alias(name) for s, n, name in zip(strides(sizes), sizes, names)]
+
+
+def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows with the model's prediction.
+
+    Trees on cells say the same for all rows of a cell. Each possible cell is predicted once, and
+    its rows look it up, instead of every row going down every tree.
+    """
+    bucketizer, *rest = model.stages
+    if not isinstance(bucketizer, Bucketizer) or len(rest) != 2 or rest[0].getInputCols() != bucketizer.getOutputCols():
+        return model.transform(rows)
+    names, sizes = bucketizer.getOutputCols(), [len(s) - 1 for s in bucketizer.getSplitsArray()]
+    every = rows.sparkSession.range(math.prod(sizes)).select(F.col("id").cast("int").alias("cell"))
+    found = PipelineModel(rest).transform(every.select("cell", *bins_of(names, sizes)))
+    found = stored(found.select(F.col("cell").alias("_cell"), "prediction"), "predictions")  # at most CELLS rows
+    binned = bucketizer.transform(rows).withColumn("_cell", cell_of(names, sizes)).drop(*names)
+    return binned.join(F.broadcast(found), "_cell").drop("_cell")
+
+
 def fitted_trees(rows: DataFrame, factors: list[str], target: str, estimator) -> PipelineModel | None:
     """The estimator's model on all rows; nothing if the factors have more than ``CELLS`` cells."""
     spark = rows.sparkSession
@@ -134,14 +165,12 @@ def fitted_trees(rows: DataFrame, factors: list[str], target: str, estimator) ->
     names = [f"_bin_{f}" for f in factors]
     bucketizer = Bucketizer(inputCols=factors, outputCols=names, splitsArray=[[-math.inf, *c, math.inf] for c in cuts])
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    strides = [math.prod(sizes[i + 1 :]) for i in range(len(sizes))]
-    cell = sum((F.col(n).cast("int") * s for n, s in zip(names, strides)), F.lit(0))
     units = F.round(F.col(target) * F.lit(2.0**bits)).cast("long")
-    cells = bucketizer.transform(rows).select(ROW, cell.alias("cell"), units.alias("units"))
+    cells = bucketizer.transform(rows).select(ROW, cell_of(names, sizes).alias("cell"), units.alias("units"))
 
     def table(sums: DataFrame) -> DataFrame:
         """A row per cell: its bins, its weight and its mean target."""
-        bins = [(F.expr(f"cell div {s}") % n).cast("double").alias(name) for s, n, name in zip(strides, sizes, names)]
+        bins = bins_of(names, sizes)
         mean = F.col("total") / F.col("weight") * F.lit(2.0**-bits)
         rest = [c for c in sums.columns if c not in ("cell", "weight", "total")]
         return assembler.transform(sums.select(*bins, F.col("weight").cast("double").alias("weight"), mean.alias(target), *rest)).drop(*names)

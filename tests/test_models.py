@@ -193,6 +193,41 @@ def test_one_tree_without_draws_is_that_on_rows(bent, monkeypatch):
     assert got == pytest.approx(exact, rel=1e-7)
 
 
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting", "linear"])
+def test_rows_look_up_what_the_model_says_of_their_cell(bent, kind):
+    names, few = ["a", "b", "c"], {"linear": {}, "random_forest": {"numTrees": 5}, "gradient_boosting": {"maxIter": 3}}[kind]
+    model = ml.train(bent, names, kind, **few)
+    # Beyond the learnt range too; rows that come twice stay two.
+    rows = bent.select("ts_code", *((F.col(f) * 1.5).alias(f) for f in names)).union(bent.select("ts_code", *names)).union(bent.select("ts_code", *names))
+    exact = sorted(tuple(r) for r in model.transform(rows).select("ts_code", *names, "prediction").collect())
+    found = trees.predicted(model, rows)
+    assert sorted(tuple(r) for r in found.select("ts_code", *names, "prediction").collect()) == exact
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting"])
+def test_measuring_trees_looks_rows_up_by_cell(bent, kind, monkeypatch):
+    monkeypatch.setattr(ml, "regressor", lambda k, r=ml.regressor: r(k, **({"numTrees": 3} if k == "random_forest" else {"maxIter": 2})))
+    trained = ml.train_many(bent, ["a", "b", "c"], [kind])[kind]
+    first, later = ml.chronological_split(bent)
+    found = {r.part: (r.n, r.mse, r.mae, r.r2) for r in trained.metrics.collect()}
+    again = ml.evaluate(trained.model, first, later, ["a", "b", "c"])
+    for part, rows in (("train", first), ("test", later)):
+        row = ml.regression_metrics(trained.model.transform(rows)).first()
+        assert found[part] == pytest.approx((row.n, row.mse, row.mae, row.r2))
+    assert {r.part: r.r2 for r in again.collect()} == pytest.approx({k: v[3] for k, v in found.items()})
+    for metrics in (trained.metrics, again):
+        assert "ResolvedHint (strategy=broadcast)" in metrics._jdf.queryExecution().analyzed().toString()
+
+
+def test_training_rows_are_joined_once(spark):
+    days = spark.range(400).selectExpr("id % 4 AS ts_code", "date_add(DATE '2024-01-01', cast(id div 4 as int)) AS trade_date", "cast(id AS double) AS a", "100 + sin(id) AS close")
+    found = ml.training_set(days.select("ts_code", "trade_date", "a"), ml.forward_returns(days, 5), ["a"])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 380
+    first, later = ml.chronological_split(found)
+    trained = ml.train_many(found, ["a"], ["linear"])["linear"].metrics
+    assert {r.part: r.n for r in trained.collect()} == {"train": first.count(), "test": later.count()} == {"train": 304, "test": 76}
+
+
 def test_bootstrap_draws_every_row_by_itself(spark):
     rows = spark.range(40_000).select(F.col("id").alias(trees.ROW), (F.col("id") % 20_000).cast("int").alias("cell"), (F.col("id") % 7 - 3).alias("units"))
     got = trees.bootstrap(rows, 20_000, 3, 42).toPandas()
