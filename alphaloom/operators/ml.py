@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.stats import kolmogorov_p_value
 from alphaloom.operators import crosssection as X
 from alphaloom.operators import trees
-from alphaloom.session import stored
+from alphaloom.session import brief_shuffles, stored
 from alphaloom.sources.versioned import VersionedTable
 
 CODE, DATE = "ts_code", "trade_date"
@@ -396,6 +396,7 @@ def key_number(seed: int | Column, keys: list[str]) -> Column:
 
 GROUP_ROWS = 50_000  # rows among which values are permuted
 TASK_ROWS = 1_000_000  # rows that a task sorts for it
+TURN_ROWS = 40_000_000  # rows that are exchanged before the disk is free again
 
 
 def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_rows: int = GROUP_ROWS, rows: int | None = None) -> DataFrame:
@@ -416,49 +417,80 @@ def shuffled_column(df: DataFrame, keys: list[str], col: str, seed: int, group_r
     return takers.join(givers, ["_g", "_i"]).drop("_g", "_i")
 
 
+def digest_order(table: pa.Table, digest: str, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in the order of a digest, then of the keys, and for each row the number of its key in that order."""
+    held = table[digest].combine_chunks().cast(pa.binary(16))
+    words = np.frombuffer(held.buffers()[1], ">u8", 2 * len(held), 16 * held.offset).astype(np.uint64)
+    by = [words[0::2]]
+    order = np.argsort(by[0], kind="stable")
+    if (by[0][order][1:] == by[0][order][:-1]).any():  # a key that comes twice, or almost never two keys
+        by = [*by, words[1::2], *(pd.factorize(table[k].to_pandas(), sort=True)[0] for k in keys)]
+        order = np.lexsort(by[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for b in by:
+        new[1:] |= b[order][1:] != b[order][:-1]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new)
+    return order, number
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, factors: list[str], repeats: int = 10, seed: int = 42, keys=(CODE, DATE)) -> DataFrame:
     """Rise of the squared error when a factor is permuted, over ``repeats`` permutations.
 
     Every (factor, repeat) is a copy of the rows with one column replaced, as by
     :func:`shuffled_column`. Copies are exchanged whole, once, to the groups among which values are
     permuted; so neither values nor copies are joined. Rows without a key give their value only,
-    and where a key comes twice, each of its rows takes each of its values.
+    and where a key comes twice, each of its rows takes each of its values. Copies, or some groups
+    of one, are taken in turns of ``TURN_ROWS`` rows, so that the disk never holds all copies.
     """
     k = list(keys)
-    data = stored(fill_zero(df.select(*k, *factors, TARGET), factors), "permuted")
-    n = data.count()
+    spark = df.sparkSession
+    with brief_shuffles(spark):
+        data = stored(fill_zero(df.select(*k, *factors, TARGET), factors), "permuted")
+        n = data.count()
     groups = max(1, math.ceil(n / GROUP_ROWS))
     mixes = [(f, r, seed + 100 * j + r) for j, f in enumerate(factors) for r in range(repeats)]
+    columns = [*factors, TARGET]
+    schema = ", ".join(["_mix int", *(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in columns)])
+    moved = [f for f, _, _ in mixes]
     mix = F.col("_mix")
     own = F.get(F.array(*[F.lit(s) for _, _, s in mixes]), mix)
-    copies = data.withColumn("_mix", F.explode(F.array(*[F.lit(i) for i in range(len(mixes))])))
-    parts = max(1, math.ceil(n * len(mixes) / TASK_ROWS))
-    dealt = copies.withColumn("_g", (key_number(own, k) % groups).cast("int")).repartition(parts, "_mix", "_g")
 
-    def order(salt: int):
-        return W.partitionBy("_mix", "_g").orderBy(key_digest(own * 31 + salt, k), *k)
-
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
-    placed = dealt.select("*", F.row_number().over(order(1)).alias("_i"), F.dense_rank().over(order(1)).alias("_key"))
-    placed = placed.select("*", F.row_number().over(order(2)).alias("_j"), known.alias("_known"))
-    moved = [f for f, _, _ in mixes]
-
-    def permute(group: pd.DataFrame) -> pd.DataFrame:
-        col = moved[group["_mix"].iloc[0]]
-        given = np.empty(len(group), group[col].dtype)
-        given[group["_j"].to_numpy() - 1] = group[col].to_numpy()
-        mixed = group.assign(**{col: given[group["_i"].to_numpy() - 1]}).loc[group["_known"]]
-        if not mixed["_key"].is_unique:
-            mixed = mixed.drop(columns=col).merge(mixed[["_key", col]], on="_key")
-        return mixed[["_mix", *factors, TARGET]]
-
-    columns = [*factors, TARGET]
-    schema = ", ".join(["_mix int", *(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in columns)])
-    mixed = placed.select("_mix", "_g", *columns, "_i", "_j", "_key", "_known").groupBy("_mix", "_g").applyInPandas(permute, schema)
-    errors = regression_metrics(model.transform(mixed), by=["_mix"]).select(F.get(F.array(*[F.lit(f) for f in moved]), mix).alias("feature"), "mse")
-    base = regression_metrics(model.transform(data)).select(F.col("mse").alias("_b"))
-    rise = errors.crossJoin(F.broadcast(base)).withColumn("d", F.col("mse") - F.col("_b"))
-    return rise.groupBy("feature").agg(
+    def permute(group: pa.Table) -> pa.Table:
+        col = moved[group["_mix"][0].as_py()]
+        takers, number = digest_order(group, "_to", k)
+        givers, _ = digest_order(group, "_from", k)
+        given = np.empty(len(takers), dtype=np.int64)
+        given[takers] = givers
+        rows = np.flatnonzero(np.logical_and.reduce([group[c].is_valid().to_numpy() for c in k]))
+        mixed = pd.DataFrame({"number": number[rows], "row": rows, "value": given[rows]})
+        if not mixed["number"].is_unique:
+            mixed = mixed[["number", "row"]].merge(mixed[["number", "value"]], on="number")
+        out = group.select(["_mix", *columns]).take(pa.array(mixed["row"]))
+        return out.set_column(out.column_names.index(col), out.schema.field(col), group[col].take(pa.array(mixed["value"])))
+
+    def errors(chosen: range, part: int, parts: int) -> list:
+        copies = data.withColumn("_mix", F.explode(F.array(*[F.lit(i) for i in chosen]))).withColumn("_g", (key_number(own, k) % groups).cast("int"))
+        tasks = max(1, math.ceil(n * len(chosen) / parts / TASK_ROWS))
+        dealt = copies.where(F.col("_g") % parts == part).repartition(tasks, "_mix", "_g")
+        placed = dealt.select("*", *[F.unhex(key_digest(own * 31 + salt, k)).alias(name) for salt, name in ((1, "_to"), (2, "_from"))])
+        mixed = placed.groupBy("_mix", "_g").applyInArrow(permute, schema)
+        predicted = model.transform(mixed)
+        e = F.col("prediction") - F.col(TARGET)
+        return predicted.groupBy("_mix").agg(F.sum(e * e).alias("sum"), F.count(e).alias("n")).collect()
+
+    turn = max(TURN_ROWS, spark.sparkContext.defaultParallelism * TASK_ROWS)
+    together, parts = max(1, turn // max(n, 1)), max(1, math.ceil(n / turn))
+    sums = {}
+    with brief_shuffles(spark):
+        for first in range(0, len(mixes), together):
+            for part in range(parts):
+                for r in errors(range(first, min(first + together, len(mixes))), part, parts):
+                    total, known = sums.get(r["_mix"], (0.0, 0))
+                    sums[r["_mix"]] = (total + (r["sum"] or 0.0), known + r["n"])
+        base = regression_metrics(model.transform(data)).first()["mse"]
+    found = [(moved[i], total / known - base if known else None) for i, (total, known) in sorted(sums.items())]
+    return spark.createDataFrame(found, "feature string, d double").groupBy("feature").agg(
         F.avg("d").alias("importance"), F.stddev_pop("d").alias("importance_std"), F.min("d").alias("importance_min"), F.max("d").alias("importance_max")
     )
 

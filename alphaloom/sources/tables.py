@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.operators.crosssection import estimated_bytes
-from alphaloom.session import scratch_root
+from alphaloom.session import brief_shuffles, scratch_root
 
 CODE, DATE = "ts_code", "trade_date"
 #: Tables that derived ones are built from.
@@ -93,7 +93,8 @@ def _stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
 
     def write(path: str) -> None:
         relation = "draft_" + uuid.uuid4().hex[:12]
-        build(spark, folder).write.bucketBy(buckets, CODE).sortBy(CODE, order).option("path", path).format("parquet").saveAsTable(relation)
+        with brief_shuffles(spark):
+            build(spark, folder).write.bucketBy(buckets, CODE).sortBy(CODE, order).option("path", path).format("parquet").saveAsTable(relation)
         spark.sql(f"DROP TABLE {relation}")  # its files lie at a path of their own and stay
 
     path = _kept(spark, folder, f"{name}-{buckets}", build, write)

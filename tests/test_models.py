@@ -1,6 +1,10 @@
 """Models, explanation and composition against direct computations."""
 
+import time
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +23,17 @@ def rows(spark):
     return df.withColumn("trade_date", F.to_date("day")).drop("day").cache(), x, y
 
 
+def exchanged(spark, known=frozenset()) -> set[str]:
+    """Files of exchanged rows on the disk beside ``known``; waits a little for those that are being deleted."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    for _ in range(50):
+        found = {p.name for d in folders for p in Path(str(d)).rglob("shuffle_*")} - known
+        if not found or not known:
+            break
+        time.sleep(0.1)
+    return found
+
+
 def test_linear_model_matches_least_squares(rows):
     df, x, y = rows
     model = ml.train(df, ["a", "b", "c"], "linear")
@@ -63,6 +78,38 @@ def test_permutation_importance_is_that_of_shuffled_columns_without_joins(rows,
         assert got[f].importance == pytest.approx(np.mean(rises)) and got[f].importance_std == pytest.approx(np.std(rises))
 
 
+@pytest.mark.parametrize("turn", [1, 710])
+def test_permutation_importance_has_one_turn_on_disk(rows, monkeypatch, turn):
+    """All copies lay on the disk at once."""
+    df, _, _ = rows
+    df = df.unionByName(df.where("ts_code % 7 = 0")).unionByName(df.where("ts_code < 9").withColumn("ts_code", F.lit(None).cast("long")))
+    names, spark = ["a", "b", "c"], df.sparkSession
+    monkeypatch.setattr(ml, "GROUP_ROWS", 40)
+    model = ml.train(df, names, "linear")
+    want = {r.feature: r for r in ml.permutation_importance(model, df, names, 2, seed=5).collect()}
+    start, left = exchanged(spark), []
+
+    class Watched:
+        def transform(self, data):
+            left.append(exchanged(spark, start))
+            return model.transform(data)
+
+    monkeypatch.setattr(ml, "TURN_ROWS", turn, raising=False)
+    monkeypatch.setattr(ml, "TASK_ROWS", 20)
+    got = {r.feature: r for r in ml.permutation_importance(Watched(), df, names, 2, seed=5).collect()}
+    # 352 rows: a turn takes a third of a copy, as 8 tasks have 160 rows, or two copies of six.
+    assert len(left) == 1 + (3 if turn == 710 else 6 * 3) and not any(left)
+    assert got.keys() == want.keys() == set(names)
+    for f in names:
+        assert list(got[f])[1:] == pytest.approx(list(want[f])[1:], abs=1e-12)
+
+
+def test_digest_order_follows_keys_where_digests_are_equal():
+    data = {"d": [b"b" * 16, b"a" * 16, b"b" * 16, b"a" * 8 + b"b" * 8, b"b" * 16, b"b" * 16], "k": ["y", "x", "x", "x", None, "x"]}
+    order, number = ml.digest_order(pa.table(data, pa.schema([("d", pa.binary()), ("k", pa.string())])), "d", ["k"])
+    assert order.tolist() == [1, 3, 4, 2, 5, 0] and number.tolist() == [4, 0, 3, 1, 2, 3]
+
+
 def test_permutation_importance_finds_the_used_factors(rows):
     df, _, _ = rows
     model = ml.train(df, ["a", "b", "c"], "linear")
