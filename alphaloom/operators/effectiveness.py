@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ from alphaloom.functions.frames import full_frame
 from alphaloom.functions.scalars import grade_by_score
 from alphaloom.functions.stats import correlation, correlation_p_value, f_p_value, sample_kurtosis, sample_skew, student_t_quantile
 from alphaloom.operators import crosssection as X
-from alphaloom.session import cut, stored
+from alphaloom.session import brief_shuffles, cut, stored, stored_in_turns
 
 FACTOR, CODE, DATE = "factor_name", "ts_code", "trade_date"
 
@@ -125,11 +126,14 @@ def ir_statistics(ir: DataFrame) -> DataFrame:
     )
 
 
-def layered_returns(pairs: DataFrame, layers: int = 10, value: str = "factor_value", ret: str = "return_rate") -> DataFrame:
-    """Return statistics per factor, day and equal-frequency layer; thin days are left out."""
+def layered_returns(pairs: DataFrame, layers: int = 10, value: str = "factor_value", ret: str = "return_rate", hot: bool | None = None) -> DataFrame:
+    """Return statistics per factor, day and equal-frequency layer; thin days are left out.
+
+    ``hot`` says whether a day is too large for a task; without it, days are counted.
+    """
     keys = [FACTOR, DATE]
     complete = pairs.where(F.col(value).isNotNull() & F.col(ret).isNotNull()).select(*keys, value, ret)
-    hot = X.has_hot_group(complete, keys)
+    hot = X.has_hot_group(complete, keys) if hot is None else hot
     bucketed = X.bucket_by_edges(complete, keys, value, layers, "factor_quantile", hot, min_rows=2 * layers)
     cells = [*keys, "factor_quantile"]
     moments = [F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("std"), F.count(ret).alias("count")]
@@ -196,8 +200,8 @@ def with_f_p_value(test: DataFrame) -> DataFrame:
     return test.withColumn("p_value", f_p_value(F.col("f_statistic"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
-def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", keep=()) -> DataFrame:
-    """Each day's returns 1 to ``max_periods`` calendar days later, as a list of (period, return) in ``ahead``.
+def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", keep=(), first: int = 1) -> DataFrame:
+    """Each day's returns ``first`` to ``max_periods`` calendar days later, as a list of (period, return) in ``ahead``.
 
     ``keep`` names further columns to give.
     A day without a return of its own stays, as a factor may have a value on it. The window looks at
@@ -205,46 +209,101 @@ def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "retur
     """
     day = F.datediff(DATE, F.lit("1970-01-01").cast("date"))
     rows = returns.select(CODE, DATE, day.alias("_day"), F.col(ret).alias("_ret"), *keep)
-    later = W.partitionBy(CODE).orderBy("_day").rangeBetween(1, max_periods)
+    later = W.partitionBy(CODE).orderBy("_day").rangeBetween(first, max_periods)
     held = F.collect_list(F.when(F.col("_ret").isNotNull(), F.struct("_day", "_ret"))).over(later)
     ahead = F.transform(held, lambda x: F.struct((x["_day"] - F.col("_day")).alias("period"), x["_ret"].alias(ret)))
     return rows.withColumn("ahead", ahead).select(CODE, DATE, "ahead", *keep)
 
 
-DEALT_BYTES = 4 * 1024 * 1024  # input behind a task that opens lists of later returns
+DEALT_ROWS = 50_000  # rows, each with its list of later returns, behind a task that opens the lists
+TURN_ROWS = 16_000_000  # rows that are exchanged before the disk is free again
 
 
-def factor_decay(factors: DataFrame, returns: DataFrame | None, max_periods: int = 20, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10, wide=()) -> DataFrame:
-    """Mean coefficient of a factor against returns ``k`` calendar days later, k = 1..max.
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(CODE).isNotNull() & F.col(DATE).isNotNull())
 
-    ``returns`` has a row for each security and day that a factor may have a value on. Without it,
-    ``factors`` has the columns ``wide`` and the return beside them, and rows are not joined; a
-    security's day that comes twice counts as often as if each row met both. Later returns travel
-    with the row as one list. Rows are exchanged once, and lists are opened behind the exchange,
-    where each factor's and date's ranks are taken.
+
+def day_turns(rows: DataFrame, cells: list[str]) -> tuple[list[tuple[date, date, int]], bool]:
+    """Runs of days that have ``TURN_ROWS`` rows together, or one day, as first day, last day and rows.
+
+    Also whether a cell of a day has more rows than a task should take. Only days are collected.
     """
+    sizes = _known(rows).groupBy(*cells).agg(F.count("*").alias("n")).groupBy(DATE).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    with brief_shuffles(rows.sparkSession):
+        days = sorted(sizes.select(DATE, "n", "most").collect())
+    turns, most = [], 0
+    for day, n, largest in days:
+        most = max(most, largest)
+        if turns and turns[-1][2] + n <= TURN_ROWS:
+            turns[-1] = (turns[-1][0], day, turns[-1][2] + n)
+        else:
+            turns.append((day, day, n))
+    return turns or [(date.min, date.min, 0)], most > X.HOT_ROWS
+
+
+def dealt_pairs(factors: DataFrame, returns: DataFrame | None, turn: tuple[date, date, int], periods: range, value: str = "factor_value", ret: str = "return_rate", wide=()) -> DataFrame:
+    """Each factor value of a turn's days with the returns ``periods`` calendar days later, dealt by day.
+
+    Inputs are those of :func:`factor_decay`. Later returns travel with the row as one list. Rows
+    are exchanged once, and lists are opened behind the exchange. A period of 0 is the same day.
+    """
+    first, last, n = turn
+    low, high = periods[0], periods[-1]
+    near = F.col(DATE).between(first, last)
+    reach = F.col(DATE).between(first, last + timedelta(high))
     if returns is None:
-        known = factors.where(F.col(CODE).isNotNull() & F.col(DATE).isNotNull())
         twice = F.count("*").over(W.partitionBy(CODE, DATE))
-        pairs = forward_returns(known.withColumn("_twice", twice), max_periods, ret, ("_twice", *wide))
-        pairs = pairs.withColumn("ahead", F.when(F.col("_twice") == 1, F.col("ahead")).otherwise(F.flatten(F.array_repeat("ahead", F.col("_twice").cast("int")))))
-        pairs = pairs.where(F.size("ahead") > 0).select(DATE, "ahead", *wide)
-        sizes, cells = factors.select(DATE), [DATE]
+        pairs = forward_returns(_known(factors).where(reach).withColumn("_twice", twice), high, ret, ("_twice", *wide), low)
+        same, later = F.filter("ahead", lambda x: x["period"] == 0), F.filter("ahead", lambda x: x["period"] > 0)
+        repeated = F.concat(same, F.flatten(F.array_repeat(later, F.col("_twice").cast("int"))))
+        pairs = pairs.withColumn("ahead", F.when(F.col("_twice") == 1, F.col("ahead")).otherwise(repeated))
+        pairs, cells = pairs.where(near & (F.size("ahead") > 0)).select(DATE, "ahead", *wide), [DATE]
     else:
-        pairs = factors.select(FACTOR, CODE, DATE, value).join(forward_returns(returns, max_periods, ret), [CODE, DATE])
-        pairs = pairs.where((F.size("ahead") > 0) & F.col(value).isNotNull()).select(FACTOR, DATE, value, "ahead")
-        sizes, cells = factors, [FACTOR, DATE]
-    # A row has one return per period, so no group that is ranked exceeds its factor's rows of the day.
-    hot = X.has_hot_group(sizes, cells)
-    size = X.estimated_bytes(pairs)
-    parts = max(int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // DEALT_BYTES if size < 2**60 else 0)  # more: not known
+        ahead = forward_returns(returns.where(reach), high, ret, (ret,), max(low, 1)) if high else returns.where(near).select(CODE, DATE, ret).withColumn("ahead", F.array())
+        if low == 0:
+            own = F.array(F.struct(F.lit(0).alias("period"), F.col(ret)))
+            ahead = ahead.withColumn("ahead", F.when(F.col(ret).isNull(), F.col("ahead")).otherwise(F.concat(own, "ahead") if high else own))
+        pairs = factors.select(FACTOR, CODE, DATE, value).where(near).join(ahead.where(near).select(CODE, DATE, "ahead"), [CODE, DATE])
+        pairs, cells = pairs.where((F.size("ahead") > 0) & F.col(value).isNotNull()).select(FACTOR, DATE, value, "ahead"), [FACTOR, DATE]
+    parts = max(int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // DEALT_ROWS)
     dealt = pairs.repartition(parts, *cells)
     if returns is None:
         # An unpivot would lose the exchange's partitioning.
         named = F.array(*[F.struct(F.lit(c).alias(FACTOR), F.col(c).alias(value)) for c in wide])
         dealt = dealt.select(DATE, "ahead", F.explode(named).alias("f")).select(f"f.{FACTOR}", DATE, f"f.{value}", "ahead").where(F.col(value).isNotNull())
-    dealt = dealt.select(FACTOR, DATE, value, F.explode("ahead").alias("a")).select(FACTOR, "a.period", DATE, value, f"a.{ret}")
-    ic = information_coefficients(dealt, value, ret, (FACTOR, "period", DATE), min_pairs, hot)
+    return dealt.select(FACTOR, DATE, value, F.explode("ahead").alias("a")).select(FACTOR, "a.period", DATE, value, f"a.{ret}")
+
+
+def period_coefficients(factors: DataFrame, returns: DataFrame | None, periods: range, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10, wide=()) -> DataFrame:
+    """Coefficients of each factor and day against returns ``periods`` calendar days later.
+
+    Days are taken in turns, so that the disk holds the exchanged rows of one turn. The result has
+    a row for each factor, period and day.
+    """
+    # A row has one return per period, so no group that is ranked exceeds its factor's rows of the day.
+    turns, hot = day_turns(factors, [DATE] if returns is None else [FACTOR, DATE])
+    found = (information_coefficients(dealt_pairs(factors, returns, t, periods, value, ret, wide), value, ret, (FACTOR, "period", DATE), min_pairs, hot) for t in turns)
+    return stored_in_turns(factors.sparkSession, (ic.repartition(1) for ic in found), "coefficients")
+
+
+def layered_by_days(factors: DataFrame, returns: DataFrame | None, layers: int = 10, value: str = "factor_value", ret: str = "return_rate", wide=()) -> DataFrame:
+    """:func:`layered_returns` of each factor and the same day's returns, days taken in turns."""
+    turns, hot = day_turns(factors, [DATE] if returns is None else [FACTOR, DATE])
+    found = (layered_returns(dealt_pairs(factors, returns, t, range(1), value, ret, wide), layers, value, ret, hot) for t in turns)
+    return stored_in_turns(factors.sparkSession, (layered.repartition(1) for layered in found), "layered")
+
+
+def factor_decay(factors: DataFrame, returns: DataFrame | None, max_periods: int = 20, value: str = "factor_value", ret: str = "return_rate", min_pairs: int = 10, wide=()) -> DataFrame:
+    """Mean coefficient of a factor against returns ``k`` calendar days later, k = 1..max.
+
+    ``returns`` has a row for each security and day that a factor may have a value on. Without it,
+    ``factors`` has the columns ``wide`` and the return beside them, and rows are not joined; a
+    security's day that comes twice counts as often as if each row met both.
+    """
+    return mean_by_period(period_coefficients(factors, returns, range(1, max_periods + 1), value, ret, min_pairs, wide))
+
+
+def mean_by_period(ic: DataFrame) -> DataFrame:
     return ic.groupBy(FACTOR, "period").agg(
         F.avg("ic_pearson").alias("avg_ic_pearson"),
         F.avg("ic_spearman").alias("avg_ic_spearman"),

@@ -35,13 +35,17 @@ def processed_long(df: DataFrame, factors: list[str]) -> DataFrame:
     return E.to_long(named, [f"{f}_processed" for f in factors])
 
 
-def factor_report(factors_long: DataFrame, returns: DataFrame, layers: int = 10, window: int = 20, max_periods: int = 20) -> DataFrame:
-    """Coefficients, ratio, layers, decay and rating of every factor in one table."""
-    pairs = factors_long.join(returns, ["ts_code", "trade_date"])
-    ic = E.with_p_values(E.information_coefficients(pairs))
+def factor_report(factors: DataFrame, returns: DataFrame | None, layers: int = 10, window: int = 20, max_periods: int = 20, wide=()) -> DataFrame:
+    """Coefficients, ratio, layers, decay and rating of every factor in one table.
+
+    Inputs are those of :func:`effectiveness.factor_decay`. Rows are exchanged once for all
+    coefficients and once for the layers; what follows has at most a row per factor, period and day.
+    """
+    by_period = E.period_coefficients(factors, returns, range(max_periods + 1), wide=wide)
+    ic = E.with_p_values(by_period.where("period = 0").drop("period"))
     ic_stats = E.ic_statistics(ic)
     ir_stats = E.ir_statistics(E.information_ratio(ic, window=window))
-    layered = E.layered_returns(pairs, layers)
+    layered = E.layered_by_days(factors, returns, layers, wide=wide)
     spread = E.long_short(E.layer_performance(layered))
-    decay = E.decay_pattern(E.decay_profile(E.factor_decay(factors_long, returns, max_periods)))
+    decay = E.decay_pattern(E.decay_profile(E.mean_by_period(by_period.where("period > 0"))))
     return E.rating(ic_stats, ir_stats, spread, decay)

@@ -1,16 +1,20 @@
 """Models, explanation and composition against direct computations."""
 
+import datetime as dt
 import time
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from alphaloom.operators import effectiveness as E
 from alphaloom.operators import ml
 from alphaloom.operators import preprocess as P
 from alphaloom.operators import trees
+from alphaloom.plans import reports
 
 
 @pytest.fixture(scope="module")
@@ -118,6 +122,35 @@ def test_permutation_importance_finds_the_used_factors(rows):
     assert abs(got["c"]) < 1e-4
 
 
+def test_report_has_one_turn_of_days_on_disk(spark, monkeypatch):
+    """Long pairs of all days lay on the disk several times, those of the decay with lists of returns."""
+    rng = np.random.default_rng(8)
+    day = dt.date(2024, 1, 1)
+    data = [(c, day + dt.timedelta(d), *(None if v < -1.6 else float(v) for v in rng.normal(size=3))) for c in range(25) for d in range(40) if rng.random() < 0.8]
+    data += data[:40] + [(None, day, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0, 1.0)]
+    wide = spark.createDataFrame(data, "ts_code long, trade_date date, p double, q double, return_rate double")
+    long, returns = E.to_long(wide.drop("return_rate"), ["p", "q"]), wide.select("ts_code", "trade_date", "return_rate")
+    pairs = long.join(returns, ["ts_code", "trade_date"])
+    key = ["factor_name", "trade_date", "factor_quantile"]
+    layers = E.layered_returns(pairs, 3).orderBy(key).toPandas()
+    ic = E.with_p_values(E.information_coefficients(pairs))
+    ir = E.ir_statistics(E.information_ratio(ic, window=5))
+    spread = E.long_short(E.layer_performance(E.layered_returns(pairs, 3)))
+    fade = E.decay_pattern(E.decay_profile(E.factor_decay(long, returns, 5)))
+    want = E.rating(E.ic_statistics(ic), ir, spread, fade).orderBy("factor_name").toPandas()
+    start, left, real = exchanged(spark), [], E.information_coefficients
+    monkeypatch.setattr(E, "information_coefficients", lambda *a, **k: left.append(exchanged(spark, start)) or real(*a, **k))
+    monkeypatch.setattr(E, "TURN_ROWS", 450, raising=False)
+    got = [reports.factor_report(long, returns, 3, 5, 5).orderBy("factor_name").toPandas()]
+    assert len(left) >= 4 and not any(left)
+    got.append(reports.factor_report(wide, None, 3, 5, 5, wide=("p", "q")).orderBy("factor_name").toPandas())
+    assert len(left) >= 6 and len(want) == 2 and set(want["grade"])
+    for found in got:
+        pd.testing.assert_frame_equal(found, want)
+    found = E.layered_by_days(wide, None, 3, wide=("p", "q")).orderBy(key).toPandas()
+    pd.testing.assert_frame_equal(found[layers.columns], layers)
+
+
 def test_partial_dependence_of_a_linear_model_is_a_line(rows):
     df, _, _ = rows
     model = ml.train(df, ["a", "b", "c"], "linear")
