@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -200,6 +199,10 @@ def with_f_p_value(test: DataFrame) -> DataFrame:
     return test.withColumn("p_value", f_p_value(F.col("f_statistic"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
+def day_number() -> Column:
+    return F.datediff(DATE, F.lit("1970-01-01").cast("date"))
+
+
 def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "return_rate", keep=(), first: int = 1) -> DataFrame:
     """Each day's returns ``first`` to ``max_periods`` calendar days later, as a list of (period, return) in ``ahead``.
 
@@ -207,8 +210,7 @@ def forward_returns(returns: DataFrame, max_periods: int = 20, ret: str = "retur
     A day without a return of its own stays, as a factor may have a value on it. The window looks at
     the security's days only, so bars that are bucketed by security are not exchanged.
     """
-    day = F.datediff(DATE, F.lit("1970-01-01").cast("date"))
-    rows = returns.select(CODE, DATE, day.alias("_day"), F.col(ret).alias("_ret"), *keep)
+    rows = returns.select(CODE, DATE, day_number().alias("_day"), F.col(ret).alias("_ret"), *keep)
     later = W.partitionBy(CODE).orderBy("_day").rangeBetween(first, max_periods)
     held = F.collect_list(F.when(F.col("_ret").isNotNull(), F.struct("_day", "_ret"))).over(later)
     ahead = F.transform(held, lambda x: F.struct((x["_day"] - F.col("_day")).alias("period"), x["_ret"].alias(ret)))
@@ -223,14 +225,14 @@ def _known(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(CODE).isNotNull() & F.col(DATE).isNotNull())
 
 
-def day_turns(rows: DataFrame, cells: list[str]) -> tuple[list[tuple[date, date, int]], bool]:
-    """Runs of days that have ``TURN_ROWS`` rows together, or one day, as first day, last day and rows.
+def day_turns(rows: DataFrame, cells: list[str]) -> tuple[list[tuple[int, int, int]], bool]:
+    """Runs of days that have up to ``TURN_ROWS`` rows together, or one day, as the first and last day's number and rows.
 
     Also whether a cell of a day has more rows than a task should take. Only days are collected.
     """
-    sizes = _known(rows).groupBy(*cells).agg(F.count("*").alias("n")).groupBy(DATE).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     with brief_shuffles(rows.sparkSession):
-        days = sorted(sizes.select(DATE, "n", "most").collect())
+        sizes = _known(rows).groupBy(*cells).agg(F.count("*").alias("n"))
+        days = sorted(sizes.groupBy(day_number().alias("day")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect())
     turns, most = [], 0
     for day, n, largest in days:
         most = max(most, largest)
@@ -238,10 +240,10 @@ def day_turns(rows: DataFrame, cells: list[str]) -> tuple[list[tuple[date, date,
             turns[-1] = (turns[-1][0], day, turns[-1][2] + n)
         else:
             turns.append((day, day, n))
-    return turns or [(date.min, date.min, 0)], most > X.HOT_ROWS
+    return turns or [(0, 0, 0)], most > X.HOT_ROWS
 
 
-def dealt_pairs(factors: DataFrame, returns: DataFrame | None, turn: tuple[date, date, int], periods: range, value: str = "factor_value", ret: str = "return_rate", wide=()) -> DataFrame:
+def dealt_pairs(factors: DataFrame, returns: DataFrame | None, turn: tuple[int, int, int], periods: range, value: str = "factor_value", ret: str = "return_rate", wide=()) -> DataFrame:
     """Each factor value of a turn's days with the returns ``periods`` calendar days later, dealt by day.
 
     Inputs are those of :func:`factor_decay`. Later returns travel with the row as one list. Rows
@@ -249,8 +251,7 @@ def dealt_pairs(factors: DataFrame, returns: DataFrame | None, turn: tuple[date,
     """
     first, last, n = turn
     low, high = periods[0], periods[-1]
-    near = F.col(DATE).between(first, last)
-    reach = F.col(DATE).between(first, last + timedelta(high))
+    near, reach = day_number().between(first, last), day_number().between(first, last + high)
     if returns is None:
         twice = F.count("*").over(W.partitionBy(CODE, DATE))
         pairs = forward_returns(_known(factors).where(reach).withColumn("_twice", twice), high, ret, ("_twice", *wide), low)

@@ -147,6 +147,7 @@ def test_report_has_one_turn_of_days_on_disk(spark, monkeypatch):
     assert len(left) >= 6 and len(want) == 2 and set(want["grade"])
     for found in got:
         pd.testing.assert_frame_equal(found, want)
+    assert E.factor_decay(wide.where("ts_code is null"), None, 5, wide=("p", "q")).isEmpty()
     found = E.layered_by_days(wide, None, 3, wide=("p", "q")).orderBy(key).toPandas()
     pd.testing.assert_frame_equal(found[layers.columns], layers)
 
